@@ -27,11 +27,13 @@ def _as_col(c: str | Column) -> Column:
 
 
 def number_rows(df: DataFrame, order_by: Sequence[str | Column],
-                partition_by: Sequence[str] = (), out: str = "row_num") -> DataFrame:
+                partition_by: Sequence[str] = (), out: str = "row_num",
+                count_out: str | None = None) -> DataFrame:
     """Add ``out`` = row_number() - 1 over (partition_by, order_by).
 
     ``order_by`` must be a total order within each partition (end it with a
-    unique column) for the numbers to be deterministic.
+    unique column) for the numbers to be deterministic.  ``count_out`` also
+    adds the size of each partition (``count(*) over (partition_by)``).
     """
     pcols = list(partition_by)
     sort_exprs = [F.col(c).asc_nulls_first() for c in pcols] + [_as_col(c) for c in order_by]
@@ -53,16 +55,18 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column],
     )
     blocks = blocks.withColumn(
         "_rn_before", F.coalesce(F.sum("_rn_cnt").over(before), F.lit(0)).cast("bigint")
-    ).drop("_rn_cnt")
+    ).withColumn("_rn_total", F.sum("_rn_cnt").over(Window.partitionBy(*pcols)).cast("bigint"))
     b = blocks.alias("_rn_b")
     r = ranged.alias("_rn_r")
     cond = [F.col("_rn_r._rn_task") == F.col("_rn_b._rn_task")] + [
         F.col(f"_rn_r.{c}").eqNullSafe(F.col(f"_rn_b.{c}")) for c in pcols
     ]
     joined = r.join(b, reduce(lambda x, y: x & y, cond))
+    extra = [F.col("_rn_b._rn_total").alias(count_out)] if count_out else []
     return joined.select(
         *[F.col(f"_rn_r.{c}") for c in df.columns],
         (F.col("_rn_b._rn_before") + F.col("_rn_r._rn_loc") - F.col("_rn_b._rn_first"))
         .cast("bigint")
         .alias(out),
+        *extra,
     )

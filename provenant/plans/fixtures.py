@@ -96,3 +96,60 @@ def sql_file_name(expr: str) -> str:
     """DuckDB text of :func:`provenant.functions.paths.file_name`."""
     last = f"list_filter(string_split({expr}, '/'), lambda x: x <> '' and x <> '.')[-1]"
     return f"(case when {last} <> '..' then {last} end)"
+
+
+# --- Records per documents.source (FIXTURES B) -----------------------------
+
+def record_includes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(record_id, entry_pos, file)``: one Record per source, doc_id order."""
+    d = table(spark, sf_dir, "documents")
+    return d.select(
+        F.col("source").alias("record_id"),
+        F.col("doc_id").alias("entry_pos"),
+        F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("file"),
+    )
+
+
+def contents_then(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)`` when the Records were made (snapshot 1)."""
+    return snapshot_a(spark, sf_dir).select(F.col("file").alias("path"), "content")
+
+
+def contents_now(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(path, content)`` present now (snapshot 2)."""
+    return snapshot_b(spark, sf_dir).select(F.col("file").alias("path"), "content")
+
+
+SQL_RECORD_ENTRIES = """
+    select source as record_id, doc_id as entry_pos,
+           concat('docs/', source, '/', cast(doc_id as varchar), '.txt') as file,
+           sha256(text) as data_digest
+    from documents"""
+
+SQL_PRESENT_NOW = f"select file, sha256(content) as present_digest from ({SQL_SNAPSHOT_B})"
+
+
+def sql_rollup(source: str, group: str, order: str, digest: str, fanout: int, name: str = "roll",
+               levels: int = 3) -> str:
+    """DuckDB CTE text ``<name>(group, n_entries, digest)`` for the tree
+    roll-up of :func:`provenant.operators.records.rollup_digest` (exact for
+    groups up to ``fanout ** levels`` entries)."""
+    f = fanout
+    parts = [
+        f"{name}_0 as (select {group} as g, {digest} as d, "
+        f"row_number() over (partition by {group} order by {order}) - 1 as i, "
+        f"count(*) over (partition by {group}) as n from {source})"
+    ]
+    finals = []
+    for lv in range(1, levels + 1):
+        prev = f"{name}_{lv - 1}"
+        where = "" if lv == 1 else f" where n > {f ** (lv - 1)}"
+        parts.append(
+            f"{name}_{lv} as (select g, i // {f} as i, any_value(n) as n, "
+            f"case when count(d) = count(*) then sha256(unhex(string_agg(d, '' order by i))) end as d "
+            f"from {prev}{where} group by g, i // {f})"
+        )
+        finals.append(f"select g, n, d from {name}_{lv} where n <= {f ** lv}")
+    parts.append(f"{name} as (select g as {group}, n as n_entries, d as digest from ("
+                 + " union all ".join(finals) + "))")
+    return ",\n".join(parts)
