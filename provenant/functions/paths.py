@@ -96,7 +96,7 @@ def path_compact(p: str | Column) -> Column:
 
 def file_name(path: str | Column) -> Column:
     """#14 on a plain string: last normal component; null for '/', '.', '..'."""
-    last = F.element_at(components(path), -1)
+    last = F.try_element_at(components(path), F.lit(-1))
     return F.when(last != "..", last)
 
 
@@ -152,9 +152,9 @@ def path_relativize(path: str | Column, directory: str | Column) -> Column:
         F.sequence(F.lit(1), F.least(F.size(pc), F.size(dc))),
         F.struct(F.lit(0).alias("n"), F.lit(True).alias("run")),
         lambda acc, i: F.struct(
-            F.when(acc["run"] & (F.element_at(pc, i) == F.element_at(dc, i)), acc["n"] + 1)
+            F.when(acc["run"] & (F.try_element_at(pc, i) == F.try_element_at(dc, i)), acc["n"] + 1)
             .otherwise(acc["n"]).alias("n"),
-            (acc["run"] & (F.element_at(pc, i) == F.element_at(dc, i))).alias("run"),
+            (acc["run"] & (F.try_element_at(pc, i) == F.try_element_at(dc, i))).alias("run"),
         ),
     )["n"]
     common = F.when(F.least(F.size(pc), F.size(dc)) == 0, F.lit(0)).otherwise(common)

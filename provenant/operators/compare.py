@@ -147,7 +147,7 @@ def unique_match(a: DataFrame, b: DataFrame, key: Column, name: str = "key") ->
 
 
 def _last_attempt(col: str) -> tuple[Column, Column]:
-    last = F.element_at(F.col(col), -1)
+    last = F.try_element_at(F.col(col), F.lit(-1))
     return last["tier"], last["key"]
 
 
@@ -213,7 +213,7 @@ def diff_report_rows(diff: DataFrame, n_tiers: int = 2) -> DataFrame:
     matched = F.col("tier_idx").isNotNull()
     sort_cols = [F.coalesce(F.col("tier_idx"), F.lit(0)).asc()]
     for j in range(1, n_tiers + 1):
-        unmatched_key = F.element_at(F.col("tier_keys"), n_tiers + 1 - j)
+        unmatched_key = F.try_element_at(F.col("tier_keys"), F.lit(n_tiers + 1 - j))
         if j == 1:
             sort_cols.append(F.when(matched, F.col("match_key")).otherwise(unmatched_key).asc_nulls_last())
         else:

@@ -70,3 +70,23 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column],
         .alias(out),
         *extra,
     )
+
+
+def with_previous(df: DataFrame, unit_cols: Sequence[str], order_by: Sequence[str | Column],
+                  value_cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
+    """``lag(value) OVER (PARTITION BY unit ORDER BY order_by)`` for each
+    value column, without putting one unit's rows into one task: rows get a
+    global rank in (unit, order) and are joined to the row ranked just
+    before them (same unit), a join spread evenly by rank."""
+    units = list(unit_cols)
+    ranked = number_rows(df, [F.col(c).asc_nulls_first() for c in units] + list(order_by), (), out="_lag_rk")
+    prev = ranked.select(
+        *[F.col(u).alias(f"_lag_u{i}") for i, u in enumerate(units)],
+        (F.col("_lag_rk") + 1).alias("_lag_prk"),
+        *[F.col(v).alias(prefix + v) for v in value_cols],
+    )
+    cond = [F.col("_lag_rk") == F.col("_lag_prk")] + [
+        F.col(u).eqNullSafe(F.col(f"_lag_u{i}")) for i, u in enumerate(units)
+    ]
+    joined = ranked.join(prev, reduce(lambda x, y: x & y, cond), "left")
+    return joined.select(*df.columns, *[prefix + v for v in value_cols])
