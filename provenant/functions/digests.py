@@ -79,8 +79,11 @@ def keyed_set_digest(prefix: str | Column, name: str | Column, value: str | Colu
                      separator: str = "") -> Column:
     """#21 aggregate: digest of the keyed-set preimage (order-insensitive).
 
-    A ``str`` prefix is a literal; pass a Column for a per-group prefix."""
-    return hex_digest(keyed_set_preimage(prefix, name, value, separator), n_bytes, algorithm)
+    A ``str`` prefix is a literal; pass a Column for a per-group prefix.
+    A set in which a name repeats has no id (null; see #22)."""
+    names = F.collect_list(_c(name))
+    unique = F.size(F.array_distinct(names)) == F.size(names)
+    return F.when(unique, hex_digest(keyed_set_preimage(prefix, name, value, separator), n_bytes, algorithm))
 
 
 def metadata_digest(record_format: str | Column, generated_by: str | Column,

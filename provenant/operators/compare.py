@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.paths import file_name
 from provenant.operators.numbering import number_rows
+from provenant.session import cut_lineage
 
 POS = "entry_pos"
 SAME, CHANGED, UNDET_1, UNDET_2 = "same", "changed", "undetermined_1", "undetermined_2"
@@ -54,7 +55,10 @@ def default_tiers() -> list[tuple[str, Column]]:
 
 
 def _prepare(df: DataFrame) -> DataFrame:
-    return (
+    # Materialised once (reliable checkpoint, partitioning by entry_pos kept):
+    # every tier reads the entries several times, and recomputing them could
+    # mean re-reading and re-digesting all contents.
+    return cut_lineage(
         df.select(POS, "file", "data_digest")
         .repartition(POS)
         .withColumn("attempts", F.array().cast(_ATTEMPT))
@@ -134,6 +138,8 @@ def match_tiers(a: DataFrame, b: DataFrame,
 
         ra = advance(ta, F.col("_pb").isNull())
         rb = advance(tb, F.col("_hit").isNull())
+        if idx + 1 < len(tiers):
+            ra, rb = cut_lineage(ra), cut_lineage(rb)
 
     matched = matched_parts[0]
     for m in matched_parts[1:]:

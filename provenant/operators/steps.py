@@ -116,28 +116,43 @@ def input_variables(tokens: DataFrame) -> DataFrame:
     return step_variables(tokens).select("variable").distinct()
 
 
-def step_closure(step_names: DataFrame, edges: DataFrame) -> DataFrame:
+def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int = 8) -> DataFrame:
     """#52: ``(step, upstream, depth)`` -- every step reachable through
     dependencies, the step itself included (depth 0); ``depth`` is the
-    longest path.  Iterative join to a fixpoint; each round is checkpointed
-    (lineage stays flat) and a cycle raises instead of looping forever."""
+    longest path.
+
+    Iterative join to a fixpoint: round k finds the pairs joined by a path
+    of exactly k edges.  Frontiers are cached while in use and the lineage
+    is cut by a reliable checkpoint every few rounds; a graph that still has
+    paths after more rounds than it has steps has a cycle, which raises.
+    """
     e = edges.select(F.col("step").alias("_via"), F.col("depends_on").alias("_next"))
-    closure = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth"))
-    frontier = closure
-    n_steps = step_names.count()
-    for rnd in range(MAX_CLOSURE_ROUNDS):
-        step_up = frontier.join(e, frontier.upstream == e._via).select(
-            "step", F.col("_next").alias("upstream"), (F.col("depth") + 1).alias("depth")
+    frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth"))
+    found = [frontier]
+    n_steps = None
+    cached = []
+    for rnd in range(1, MAX_CLOSURE_ROUNDS + 1):
+        nxt = (
+            frontier.join(e, frontier.upstream == e._via)
+            .select("step", F.col("_next").alias("upstream"), F.lit(rnd).alias("depth"))
+            .distinct()
         )
-        step_up = cut_lineage(step_up.groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
-        if step_up.isEmpty():
+        nxt = cut_lineage(nxt) if rnd % checkpoint_every == 0 else nxt.persist()
+        cached.append(nxt)
+        if nxt.isEmpty():
             break
+        if n_steps is None:
+            n_steps = step_names.count()
         if rnd > n_steps:
             raise ValueError("step graph has a cycle")
-        closure = cut_lineage(
-            closure.unionByName(step_up).groupBy("step", "upstream").agg(F.max("depth").alias("depth"))
-        )
-        frontier = step_up
+        found.append(nxt)
+        frontier = nxt
+    closure = found[0]
+    for f in found[1:]:
+        closure = closure.unionByName(f)
+    closure = cut_lineage(closure.groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
+    for c in cached:
+        c.unpersist(blocking=False)
     return closure
 
 

@@ -15,6 +15,7 @@ from provenant.plans.fixtures import (
     table,
 )
 from provenant.plans.registry import register
+from provenant.session import cut_lineage
 
 F_REC = R.ROLLUP_FANOUT
 F_SMALL = 16  # fan-in of the tree check: exercises 2-3 levels on the test data
@@ -50,7 +51,8 @@ def _compact(col: str, w: int) -> str:
 
 
 def _entries(spark, sf_dir):
-    return R.build_record_entries(record_includes(spark, sf_dir), contents_then(spark, sf_dir))
+    # materialised: several consumers, and each would re-digest all contents
+    return cut_lineage(R.build_record_entries(record_includes(spark, sf_dir), contents_then(spark, sf_dir)))
 
 
 def _checked(spark, sf_dir):
