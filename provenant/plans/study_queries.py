@@ -117,13 +117,6 @@ def q_step_levels(spark, sf_dir):
 # --- design expansion (study steps x design from part) ---------------------
 
 
-@register("design_scan", f"{STUDY_CTE} select variation_pos, brand, size, type from design")
-def q_design_scan(spark, sf_dir):
-    """#6 (table form): the design's used columns as strings."""
-    m = study_model(spark, sf_dir)
-    return m["melted"].groupBy("variation_pos").pivot("variable", ["brand", "size", "type"]).agg(F.first("value"))
-
-
 @register("melt_design", f"{STUDY_CTE} select variation_pos, variable, value from melted")
 def q_melt_design(spark, sf_dir):
     """#56: design rows melted to (variable, value) branches."""
