@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.digests import compact_hex, content_digest
 from provenant.operators.numbering import number_rows
+from provenant.session import cut_lineage
 
 # Roll-up fan-in: a Record of at most this many entries is rolled up flat
 # (digest of all raw child digests in entry order, the reference's rule);
@@ -123,6 +124,67 @@ def rollup_digest(entries: DataFrame, group_cols: Sequence[str] = ("record_id",)
     return out.select(*g, F.col("_n").alias("n_entries"), F.col("_d").alias("digest"))
 
 
+DIGESTS_PER_CHUNK = 32  # 32-byte digests per 1024-byte BLAKE3 chunk
+MERGE_BLOCK = 1024      # tree nodes merged per group and level (10 binary levels)
+
+
+def rollup_digest_blake3(entries: DataFrame, group_cols: Sequence[str] = ("record_id",),
+                         order_col: str = "entry_pos", digest_col: str = "data_digest") -> DataFrame:
+    """#23 with BLAKE3, exactly the reference's roll-up for any size.
+
+    BLAKE3 is itself a tree over 1024-byte chunks, so the digest of the
+    concatenated child digests is built by Spark: chunk values per 32
+    consecutive entries (``groupBy``), then aligned blocks of nodes merged
+    level by level until one root per group.  No group ever holds more than
+    32 digests or ``MERGE_BLOCK`` nodes.  A null child digest gives null.
+    """
+    from provenant.functions.blake3 import chunk_cv_udf, merge_udf
+
+    g = list(group_cols)
+    ranked = number_rows(entries.select(*g, order_col, digest_col), [F.col(order_col)], g,
+                         out="_idx", count_out="_n")
+    ordered = F.array_sort(F.collect_list(F.struct(F.col("_idx").alias("o"), F.col(digest_col).alias("d"))))
+    chunks = ranked.groupBy(*g, F.floor(F.col("_idx") / DIGESTS_PER_CHUNK).alias("_blk")).agg(
+        F.any_value("_n").alias("_n"),
+        (F.count(digest_col) == F.count(F.lit(1))).alias("_full"),
+        F.unhex(F.array_join(F.transform(ordered, lambda x: x["d"]), "")).alias("_bytes"),
+    )
+    n_chunks = F.ceil(F.col("_n") / DIGESTS_PER_CHUNK)
+    nodes = chunks.select(
+        *g,
+        F.col("_blk").alias("_idx"),
+        n_chunks.alias("_m"),
+        F.col("_n"),
+        chunk_cv_udf(F.when(F.col("_full"), F.col("_bytes")), F.col("_blk"), n_chunks == 1).alias("_cv"),
+    )
+    nodes = cut_lineage(nodes)
+    max_m = nodes.agg(F.max("_m")).first()[0] or 1
+    finals = [nodes.where(F.col("_m") <= 1)]
+    todo = nodes.where(F.col("_m") > 1)
+    while max_m > 1:
+        ordered = F.array_sort(F.collect_list(F.struct(F.col("_idx").alias("o"), F.col("_cv").alias("c"))))
+        merged = todo.groupBy(*g, F.floor(F.col("_idx") / MERGE_BLOCK).alias("_blk")).agg(
+            F.any_value("_m").alias("_m_prev"), F.any_value("_n").alias("_n"),
+            F.transform(ordered, lambda x: x["c"]).alias("_cvs"),
+        )
+        final = F.col("_m_prev") <= MERGE_BLOCK
+        todo = merged.select(
+            *g, F.col("_blk").alias("_idx"), F.ceil(F.col("_m_prev") / MERGE_BLOCK).alias("_m"), "_n",
+            merge_udf(F.col("_cvs"), final).alias("_cv"),
+        )
+        max_m = -(-max_m // MERGE_BLOCK)
+        if max_m > 1:
+            todo = cut_lineage(todo)
+            finals.append(todo.where(F.col("_m") <= 1))
+            todo = todo.where(F.col("_m") > 1)
+        else:
+            finals.append(todo)
+    out = finals[0]
+    for f in finals[1:]:
+        out = out.unionByName(f)
+    return out.select(*g, F.col("_n").alias("n_entries"), F.col("_cv").alias("digest"))
+
+
 def build_records(entries: DataFrame, fanout: int = ROLLUP_FANOUT) -> DataFrame:
     """#28: ``(record_id, n_entries, digest)`` from hashed entries."""
     return rollup_digest(entries, ("record_id",), "entry_pos", "data_digest", fanout)

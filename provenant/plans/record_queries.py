@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from provenant.functions.digests import content_digest
 from provenant.operators import records as R
 from provenant.plans.fixtures import (
     SQL_PRESENT_NOW,
@@ -155,3 +156,20 @@ def q_verify_report_rows(spark, sf_dir):
     checked = R.verify_entries(entries, contents_now(spark, sf_dir))
     verified = R.verify_record(checked, R.build_records(entries))
     return R.verify_report_rows(checked, verified)
+
+
+@register("content_digest_blake3")
+def q_content_digest_blake3(spark, sf_dir):
+    """#18 with BLAKE3 (Arrow-batched UDF): no SQL engine here has BLAKE3,
+    so rows only; values are checked against goldens in the tests."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", content_digest("text", algorithm="blake3").alias("data_digest"))
+
+
+@register("record_build_blake3")
+def q_record_build_blake3(spark, sf_dir):
+    """#23/#28 with BLAKE3: entries digested with BLAKE3, rolled up through
+    BLAKE3's own tree, distributed (exact for Records of any size)."""
+    inc = record_includes(spark, sf_dir)
+    entries = cut_lineage(R.build_record_entries(inc, contents_then(spark, sf_dir), algorithm="blake3"))
+    return R.rollup_digest_blake3(entries)

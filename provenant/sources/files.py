@@ -104,14 +104,21 @@ def scan_path_list(spark: SparkSession, location: str, sep: str = "\n") -> DataF
 
 def scan_status(spark: SparkSession, run_dir: str) -> DataFrame:
     """#7: marker files ``<run_dir>/<vs_id>/status.<state>`` as
-    ``(vs_id, marker)``; file contents are never read."""
-    found = (
+    ``(vs_id, marker)``.
+
+    Markers are empty files, which file sources skip (no bytes, no split),
+    so the markers come from Spark's file index of the folder (the same
+    listing every file source does; Spark parallelises it over many
+    folders); contents are never read.
+    """
+    index = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", "status.*")
         .load(run_dir)
-        .select(strip_scheme("path").alias("path"))
     )
+    listed = spark.createDataFrame([(p,) for p in index.inputFiles()], "path string")
+    found = listed.select(strip_scheme("path").alias("path"))
     return found.select(
         F.regexp_extract("path", r"/([^/]+)/status\.[^/]+$", 1).alias("vs_id"),
         F.regexp_extract("path", r"/status\.([^/]+)$", 1).alias("marker"),
