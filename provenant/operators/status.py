@@ -27,23 +27,28 @@ MULTIPLE = "Multiple-Statuses"  # more than one marker: the reference refuses to
 RUNNABLE = (NOT_INITIALIZED, NOT_RUNNING)
 
 
-def _label(marker_col: str) -> F.Column:
-    expr = F.lit(None).cast("string")
-    for m, label in MARKERS.items():
-        expr = F.when(F.col(marker_col) == m, F.lit(label)).otherwise(expr)
-    return expr
+_CODES = {m: i for i, m in enumerate(MARKERS)}
 
 
 def resolve_status(vsteps: DataFrame, markers: DataFrame) -> DataFrame:
-    """#68: no marker = Not-Initialized; one = its state; more = Multiple-Statuses."""
+    """#68: no marker = Not-Initialized; one = its state; more = Multiple-Statuses.
+
+    Markers are aggregated as small integer codes so the aggregation stays
+    a (map-side combined) hash aggregate."""
+    code = F.lit(None).cast("int")
+    for m, i in _CODES.items():
+        code = F.when(F.col("marker") == m, F.lit(i)).otherwise(code)
     per = markers.groupBy("vs_id").agg(
-        F.count(F.lit(1)).alias("n_markers"), F.min("marker").alias("marker")
+        F.count(F.lit(1)).alias("n_markers"), F.min(code).alias("_code")
     )
+    label = F.lit(None).cast("string")
+    for m, i in _CODES.items():
+        label = F.when(F.col("_code") == i, F.lit(MARKERS[m])).otherwise(label)
     j = vsteps.join(per, "vs_id", "left")
     status = (
         F.when(F.col("n_markers").isNull(), F.lit(NOT_INITIALIZED))
         .when(F.col("n_markers") > 1, F.lit(MULTIPLE))
-        .otherwise(_label("marker"))
+        .otherwise(label)
     )
     return j.select("vs_id", "step", status.alias("status"),
                     F.coalesce("n_markers", F.lit(0)).cast("bigint").alias("n_markers"))

@@ -7,6 +7,7 @@ from provenant.plans import (  # noqa: F401
     function_queries,
     record_queries,
     source_queries,
+    stream_queries,
     study_queries,
 )
 from provenant.plans.registry import ORACLE_SQL, QUERIES
