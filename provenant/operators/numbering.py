@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.session import cut_lineage
+from provenant.session import materialize
 
 _LOW_BITS = (1 << 33) - 1
 
@@ -42,7 +42,7 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column],
         .sortWithinPartitions(*sort_exprs)
         .withColumn("_rn_mid", F.monotonically_increasing_id())
     )
-    ranged = cut_lineage(ranged)
+    ranged = materialize(ranged)
     ranged = ranged.withColumn("_rn_task", F.shiftright("_rn_mid", 33)).withColumn(
         "_rn_loc", F.col("_rn_mid").bitwiseAND(F.lit(_LOW_BITS))
     )

@@ -185,9 +185,17 @@ def rollup_digest_blake3(entries: DataFrame, group_cols: Sequence[str] = ("recor
     return out.select(*g, F.col("_n").alias("n_entries"), F.col("_cv").alias("digest"))
 
 
-def build_records(entries: DataFrame, fanout: int = ROLLUP_FANOUT) -> DataFrame:
+def rollup(entries: DataFrame, group_cols: Sequence[str] = ("record_id",), order_col: str = "entry_pos",
+           digest_col: str = "data_digest", algorithm: str = "sha256", fanout: int = ROLLUP_FANOUT) -> DataFrame:
+    """Roll-up with the Record's digest algorithm (see the two functions)."""
+    if algorithm == "blake3":
+        return rollup_digest_blake3(entries, group_cols, order_col, digest_col)
+    return rollup_digest(entries, group_cols, order_col, digest_col, fanout)
+
+
+def build_records(entries: DataFrame, fanout: int = ROLLUP_FANOUT, algorithm: str = "sha256") -> DataFrame:
     """#28: ``(record_id, n_entries, digest)`` from hashed entries."""
-    return rollup_digest(entries, ("record_id",), "entry_pos", "data_digest", fanout)
+    return rollup(entries, ("record_id",), "entry_pos", "data_digest", algorithm, fanout)
 
 
 def recalculate_record(entries: DataFrame, contents: DataFrame, strict: bool = False,
@@ -215,10 +223,11 @@ def verify_entries(entries: DataFrame, contents: DataFrame, algorithm: str = "sh
     )
 
 
-def verify_record(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT) -> DataFrame:
+def verify_record(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT,
+                  algorithm: str = "sha256") -> DataFrame:
     """#31: roll up the *present* digests and compare with the stored Record
     digest.  A Record with a missing entry cannot be rolled up: MISSING."""
-    new = rollup_digest(checked, ("record_id",), "entry_pos", "actual", fanout)
+    new = rollup(checked, ("record_id",), "entry_pos", "actual", algorithm, fanout)
     j = records.select("record_id", F.col("digest").alias("expected")).join(
         new.select("record_id", F.col("digest").alias("actual")), "record_id", "left"
     )
@@ -240,9 +249,10 @@ def verify_summary(checked: DataFrame) -> DataFrame:
     )
 
 
-def verify_many(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT) -> DataFrame:
+def verify_many(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT,
+                algorithm: str = "sha256") -> DataFrame:
     """#33: all Records in one job, one line each: status plus counts."""
-    return verify_record(checked, records, fanout).join(verify_summary(checked), "record_id", "left")
+    return verify_record(checked, records, fanout, algorithm).join(verify_summary(checked), "record_id", "left")
 
 
 def report_verify_compact(verified_records: DataFrame, label: Column | str = "record_id") -> DataFrame:

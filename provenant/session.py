@@ -76,3 +76,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         return df.checkpoint(eager=True)
     finally:
         df.unpersist(blocking=False)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing a parquet table into the shared checkpoint
+    folder and reading it back (one job; columnar, compressed).  Unlike
+    :func:`cut_lineage` the output partitioning is not kept."""
+    import uuid
+
+    base = ensure_checkpoint_dir(df.sparkSession).rstrip("/")
+    path = f"{base}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
