@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.session import cut_lineage
+from provenant.session import cut_lineage, materialize
 
 # The words of the template grammar.
 LOC_WORDS = ("inputs", "outputs")
@@ -122,15 +122,14 @@ def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int
     longest path.
 
     Iterative join to a fixpoint: round k finds the pairs joined by a path
-    of exactly k edges.  Frontiers are cached while in use and the lineage
-    is cut by a reliable checkpoint every few rounds; a graph that still has
-    paths after more rounds than it has steps has a cycle, which raises.
+    of exactly k edges (one job per round: its size and whether a step
+    reached itself, i.e. a cycle, which raises).  Frontiers are cached while
+    in use and the lineage is cut every few rounds and at the end.
     """
-    e = edges.select(F.col("step").alias("_via"), F.col("depends_on").alias("_next"))
-    frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth"))
+    e = edges.select(F.col("step").alias("_via"), F.col("depends_on").alias("_next")).persist()
+    frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).persist()
     found = [frontier]
-    n_steps = None
-    cached = []
+    cached = [e, frontier]
     for rnd in range(1, MAX_CLOSURE_ROUNDS + 1):
         nxt = (
             frontier.join(e, frontier.upstream == e._via)
@@ -139,18 +138,17 @@ def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int
         )
         nxt = cut_lineage(nxt) if rnd % checkpoint_every == 0 else nxt.persist()
         cached.append(nxt)
-        if nxt.isEmpty():
-            break
-        if n_steps is None:
-            n_steps = step_names.count()
-        if rnd > n_steps:
+        size, loops = nxt.agg(F.count(F.lit(1)), F.count_if(F.col("step") == F.col("upstream"))).first()
+        if loops:
             raise ValueError("step graph has a cycle")
+        if size == 0:
+            break
         found.append(nxt)
         frontier = nxt
     closure = found[0]
     for f in found[1:]:
         closure = closure.unionByName(f)
-    closure = cut_lineage(closure.groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
+    closure = materialize(closure.groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
     for c in cached:
         c.unpersist(blocking=False)
     return closure

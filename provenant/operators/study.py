@@ -40,6 +40,14 @@ def _config(df: DataFrame, what: str) -> DataFrame:
     return F.broadcast(df)
 
 
+def _config_rows(df: DataFrame, what: str) -> list:
+    """Collect a small configuration table, refusing one that is not small."""
+    rows = df.limit(MAX_CONFIG_ROWS + 1).collect()
+    if len(rows) > MAX_CONFIG_ROWS:
+        raise ValueError(f"{what} has more than {MAX_CONFIG_ROWS} rows; not a study configuration")
+    return rows
+
+
 def melt_design(design: DataFrame, variables: list[str], strict: bool = True) -> DataFrame:
     """#56: ``(variation_pos, variable, value)``, one row per used column.
 
@@ -107,7 +115,7 @@ def varstep_links(melted: DataFrame, upstream_vars: DataFrame, step_names: DataF
     )
     plain = step_names.select("step").join(upstream_vars.select("step"), "step", "left_anti").distinct()
     positions = melted.select("variation_pos").distinct()
-    plain_steps = [r["step"] for r in _config(plain, "steps").collect()]
+    plain_steps = [r["step"] for r in _config_rows(plain, "steps")]
     if not plain_steps:
         return with_vars
     no_vars = positions.select(

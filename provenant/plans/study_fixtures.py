@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from provenant.operators import steps as S
 from provenant.operators import study as ST
 from provenant.plans.fixtures import table
-from provenant.session import cut_lineage
+from provenant.session import materialize
 
 SHARED_DIR = "/study/shared"
 RUN_DIR = "/study/run"
@@ -112,7 +112,7 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     uvars = S.upstream_variables(closure, svars)
     used = sorted(r["variable"] for r in S.input_variables(tokens).collect())
     melted = ST.melt_design(design(spark, sf_dir), used)
-    links = cut_lineage(ST.varstep_links(melted, uvars, names, algorithm))
+    links = materialize(ST.varstep_links(melted, uvars, names, algorithm))
     vids = ST.variation_ids(melted, algorithm)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,
             "closure": closure, "uvars": uvars, "melted": melted, "links": links, "vids": vids,
