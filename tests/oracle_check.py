@@ -56,7 +56,8 @@ def check(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     srows = [tuple(r) for r in df.collect()]
     scols = df.columns
     t1 = time.time()
-    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
+    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2),
+           "plan": df._jdf.queryExecution().executedPlan().toString()}
     if sql is None:
         res["status"] = "rows-only"
         return res
@@ -95,6 +96,7 @@ def main(argv):
             r = {"name": name, "status": f"error {type(e).__name__}: {str(e)[:300]}"}
         if r["status"] not in ("ok", "rows-only"):
             bad += 1
+        r.pop("plan", None)
         print(r, flush=True)
     print(f"{len(names or qs)} checked, {bad} bad")
     return bad
