@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.paths import file_name
 from provenant.operators import records as R
+from provenant.operators import study as ST
 from provenant.plans.fixtures import (
     SQL_RECORD_ENTRIES,
     SQL_SNAPSHOT_B,
@@ -24,6 +25,8 @@ from provenant.plans.fixtures import (
     table,
 )
 from provenant.plans.registry import register
+from provenant.plans.study_fixtures import markers, study_model
+from provenant.plans.study_sql import STUDY_CTE
 from provenant.session import ensure_checkpoint_dir
 from provenant.sources import bundle as B
 from provenant.sources import design as DS
@@ -151,3 +154,14 @@ def q_bundle_manifest(spark, sf_dir):
 def q_bundle_collisions(spark, sf_dir):
     """#9: base names that would collide in the flat bundle."""
     return _bundle(spark, sf_dir)["collisions"]
+
+
+@register("status_scan", f"{STUDY_CTE} select vs_id, marker from markers")
+def q_status_scan(spark, sf_dir):
+    """#7: the study's status markers written as empty ``status.<state>``
+    files in per-VarStep folders by the executors, then found by scanning
+    the run folder."""
+    m = study_model(spark, sf_dir)
+    run = scratch_dir(spark, "run")
+    FS.write_status_markers(markers(ST.varsteps(m["links"])), run)
+    return FS.scan_status(spark, run)

@@ -123,3 +123,30 @@ def scan_status(spark: SparkSession, run_dir: str) -> DataFrame:
         F.regexp_extract("path", r"/([^/]+)/status\.[^/]+$", 1).alias("vs_id"),
         F.regexp_extract("path", r"/status\.([^/]+)$", 1).alias("marker"),
     )
+
+
+def write_status_markers(markers: DataFrame, run_dir: str) -> None:
+    """Create the empty marker files ``<run_dir>/<vs_id>/status.<marker>``.
+
+    Executors create the files themselves (``foreachPartition`` over the
+    markers, through ``pyarrow.fs``, which reaches local, HDFS and object
+    stores by URI); nothing goes through the driver.
+    """
+    root = run_dir.rstrip("/")
+    if "://" not in root and not root.startswith("file:"):
+        root = "file://" + root
+
+    def make(rows):
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        made = set()
+        for r in rows:
+            folder = f"{base}/{r['vs_id']}"
+            if folder not in made:
+                fs.create_dir(folder, recursive=True)
+                made.add(folder)
+            with fs.open_output_stream(f"{folder}/status.{r['marker']}"):
+                pass
+
+    markers.select("vs_id", "marker").foreachPartition(make)
