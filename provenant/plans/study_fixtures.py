@@ -23,7 +23,6 @@ from provenant.session import materialize
 
 SHARED_DIR = "/study/shared"
 RUN_DIR = "/study/run"
-DESIGN_COLUMNS = ("brand", "size", "type")
 
 STUDY_STEPS = [
     ("prep", 0, "{shared}/prep.sh"),
