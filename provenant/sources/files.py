@@ -125,6 +125,38 @@ def scan_status(spark: SparkSession, run_dir: str) -> DataFrame:
     )
 
 
+def _fs_uri(run_dir: str) -> str:
+    root = run_dir.rstrip("/")
+    if "://" not in root and not root.startswith("file:"):
+        root = "file://" + root
+    return root
+
+
+def probe_status(vsteps: DataFrame, run_dir: str) -> DataFrame:
+    """#7 by VarStep: ``(vs_id, marker)`` for the ``status.*`` files in each
+    VarStep's folder ``<run_dir>/<vs_id>/`` -- the reference's own lookup,
+    spread over the executors (each lists the folders of its VarSteps through
+    ``pyarrow.fs``); no listing of the whole run folder on the driver."""
+    root = _fs_uri(run_dir)
+
+    def probe(batches):
+        import pandas as pd
+        import pyarrow.fs as pafs
+
+        fs, base = pafs.FileSystem.from_uri(root)
+        for pdf in batches:
+            got_vs, got_m = [], []
+            for vs in pdf["vs_id"]:
+                sel = pafs.FileSelector(f"{base}/{vs}", allow_not_found=True)
+                for info in fs.get_file_info(sel):
+                    if info.type == pafs.FileType.File and info.base_name.startswith("status."):
+                        got_vs.append(vs)
+                        got_m.append(info.base_name[len("status."):])
+            yield pd.DataFrame({"vs_id": pd.Series(got_vs, dtype=object), "marker": pd.Series(got_m, dtype=object)})
+
+    return vsteps.select("vs_id").distinct().mapInPandas(probe, "vs_id string, marker string")
+
+
 def write_status_markers(markers: DataFrame, run_dir: str) -> None:
     """Create the empty marker files ``<run_dir>/<vs_id>/status.<marker>``.
 
@@ -132,9 +164,7 @@ def write_status_markers(markers: DataFrame, run_dir: str) -> None:
     markers, through ``pyarrow.fs``, which reaches local, HDFS and object
     stores by URI); nothing goes through the driver.
     """
-    root = run_dir.rstrip("/")
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
+    root = _fs_uri(run_dir)
 
     def make(rows):
         import pyarrow.fs as pafs

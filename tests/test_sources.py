@@ -59,6 +59,9 @@ def test_status_scan(spark, tmp):
     write(f"{tmp}/run/vs03/other.txt", "x")
     got = sorted(tuple(r) for r in FS.scan_status(spark, f"{tmp}/run").collect())
     assert got == [("vs01", "finished"), ("vs02", "error"), ("vs02", "running")]
+    vs = spark.createDataFrame([("vs01",), ("vs02",), ("vs03",), ("vs04",)], "vs_id string")
+    probed = sorted(tuple(r) for r in FS.probe_status(vs, f"{tmp}/run").collect())
+    assert probed == got
 
 
 def test_record_json_reference_layout(spark, tmp):
