@@ -46,3 +46,28 @@ def test_verify_long_and_compact(spark):
     line = R.report_verify_compact(verified).first().line
     assert line == LINE_2
     assert verified.count() == 1
+
+
+def test_compare_golden(spark):
+    """The reference's compare golden: two Record documents, one entry same
+    by digest, one left undetermined after the file-name tier."""
+    tmp = tempfile.mkdtemp(prefix="provenant-compare-")
+    r1 = {"metadata": None, "digest": RECORD_DIGEST,
+          "record_entries": [{"file": "tests/fixtures/foo.bar", "data_digest": FOO_DIGEST},
+                             {"file": "tests/fixtures/foo2.bar", "data_digest": FOO2_DIGEST}]}
+    r2 = {"metadata": None, "digest": "2ecb34d99efafac8531a93575adf640155b5c4650d7f530e669a59f146b252c0",
+          "record_entries": [{"file": "../foo.bar", "data_digest": FOO_DIGEST}]}
+    for name, doc in (("one", r1), ("two", r2)):
+        os.makedirs(f"{tmp}/{name}")
+        with open(f"{tmp}/{name}/record.json", "w") as f:
+            json.dump(doc, f)
+    from provenant.operators import compare as C
+
+    e1 = RS.scan_records(spark, f"{tmp}/one")["entries"]
+    e2 = RS.scan_records(spark, f"{tmp}/two")["entries"]
+    labels = C.diff_labels(C.diff_report_rows(C.record_diff(e1, e2))).orderBy("class", "row_num").collect()
+    got = [(r["class"], r.number_label, r.key_label, r.path_1, r.path_2, r.digest_label) for r in labels]
+    assert got == [
+        ("same", "[0000]", f"(Hash)  {FOO_DIGEST}", "tests/fixtures/foo.bar", "../foo.bar", FOO_DIGEST),
+        ("undetermined_1", "[0000]", "(FileName)  foo2.bar", "tests/fixtures/foo2.bar", None, FOO2_DIGEST),
+    ]
