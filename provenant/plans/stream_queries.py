@@ -38,13 +38,21 @@ def q_check_transitions_stream(spark, sf_dir):
         .parquet(src)
     )
     out = scratch_dir(spark, "status-verdicts")
-    q = (
-        transition_verdicts(stream, unit="user_id", ts="ts", tie="event_id", status="status")
-        .writeStream.format("parquet")
-        .option("checkpointLocation", out + "-checkpoint")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start(out)
-    )
+    # state partitions are fixed when a stream first starts: size them to
+    # the cluster's parallelism rather than the batch shuffle default
+    key = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        q = (
+            transition_verdicts(stream, unit="user_id", ts="ts", tie="event_id", status="status")
+            .writeStream.format("parquet")
+            .option("checkpointLocation", out + "-checkpoint")
+            .outputMode("append")
+            .trigger(availableNow=True)
+            .start(out)
+        )
+    finally:
+        spark.conf.set(key, before)
     q.awaitTermination()
     return spark.read.parquet(out).select("event_id", "user_id", "ts", "status", "prev_status", "verdict")

@@ -40,9 +40,41 @@ def local_session(cpus: int | str = 8, shuffle_partitions: int | None = None,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``provenant`` importable in the Python workers (UDFs refer to
+    its functions): zip the package once and add it to the session's Python
+    files.  A no-op when already done for this application."""
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:
+        app = str(id(spark))
+    if app in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="provenant-pkg-"), "provenant.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for base, _, files in os.walk(pkg_dir):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    z.write(full, os.path.relpath(full, root))
+    try:
+        spark.sparkContext.addPyFile(out)
+    except Exception:  # Spark Connect
+        spark.addArtifacts(out, pyfile=True)
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only if unset.
 
@@ -50,16 +82,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     wins.  Only when nothing is configured (local tests) a fresh scratch
     folder is made.
     """
-    sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    conf_dir = sc.getConf().get("spark.checkpoint.dir", None)
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the checkpoint folder
+        sc = None
+    if sc is not None:
+        current = sc.getCheckpointDir()
+        if current:
+            return current
+    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if conf_dir:
-        sc.setCheckpointDir(conf_dir)
+        if sc is not None:
+            sc.setCheckpointDir(conf_dir)
+            return sc.getCheckpointDir() or conf_dir
         return conf_dir
     scratch = tempfile.mkdtemp(prefix="provenant-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(scratch)
+    if sc is not None:
+        sc.setCheckpointDir(scratch)
+        return sc.getCheckpointDir() or scratch
     return scratch
 
 

@@ -84,7 +84,13 @@ def main(argv):
     import __spark_entry__ as E
     from provenant.session import local_session
 
-    spark = local_session(8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[8]").config("spark.ui.enabled", "false")
+                 .config("spark.ui.showConsoleProgress", "false").getOrCreate())
+    else:
+        spark = local_session(8)
     qs = E.queries()
     sqls = E.oracle_sql()
     con = duck(sf_dir)
