@@ -205,3 +205,55 @@ def realize_args(tokens: DataFrame, links: DataFrame, melted: DataFrame, shared_
 def evidence_includes(args: DataFrame, files: DataFrame) -> DataFrame:
     """#67: the realised arguments of each VarStep that exist as files."""
     return args.join(files.select(F.col("path").alias("arg")), "arg", "left_semi")
+
+
+def config_variables(upstream_vars: DataFrame) -> dict[str, list[str]]:
+    """``{step: sorted upstream variables}`` from the (checked-small) config."""
+    out: dict[str, list[str]] = {}
+    for r in _config_rows(upstream_vars.select("step", "variable"), "upstream variables"):
+        out.setdefault(r["step"], []).append(r["variable"])
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def _row_keyed_digest(prefix: str, variables: list[str], algorithm: str) -> F.Column:
+    """Keyed-set digest of one design row over known variables: the same
+    preimage as :func:`keyed_set_digest` (names in byte order), built as a
+    projection -- no grouping, no shuffle."""
+    parts = [F.lit(prefix)]
+    for v in sorted(variables):
+        parts += [F.lit(v), F.col(v)]
+    return string_digest(F.concat(*parts), ID_DIGEST_BYTES, algorithm)
+
+
+def _strict_values(design: DataFrame, variables: list[str]) -> DataFrame:
+    cols = []
+    for v in variables:
+        c = F.col(v).cast("string")
+        cols.append(F.when(c.isNull(), F.raise_error(F.lit(f"null design value in column {v}"))).otherwise(c).alias(v))
+    return design.select("variation_pos", *cols)
+
+
+def variation_ids_wide(design: DataFrame, variables: list[str], algorithm: str = "sha256") -> DataFrame:
+    """#58 as a projection of the design row (same ids as :func:`variation_ids`)."""
+    d = _strict_values(design, sorted(set(variables)))
+    return d.select("variation_pos",
+                    render_id("variation", _row_keyed_digest(VARIATION_PREFIX, sorted(set(variables)), algorithm))
+                    .alias("v_id"))
+
+
+def varstep_links_wide(design: DataFrame, step_vars: dict[str, list[str]], step_names: list[str],
+                       algorithm: str = "sha256") -> DataFrame:
+    """#61/#65 as a projection: every design row yields one
+    ``(variation_pos, step, vs_id)`` per step, the id computed from the row's
+    own values of the step's upstream variables (config known to the driver).
+    Same ids as :func:`varstep_links`; the design is scanned once and never
+    shuffled."""
+    used = sorted({v for vs in step_vars.values() for v in vs})
+    d = _strict_values(design, used)
+    items = [
+        F.struct(F.lit(s).alias("step"),
+                 render_id("varstep", _row_keyed_digest(s, step_vars.get(s, []), algorithm)).alias("vs_id"))
+        for s in sorted(step_names)
+    ]
+    return d.select("variation_pos", F.explode(F.array(*items)).alias("x")).select(
+        "variation_pos", "x.step", "x.vs_id")

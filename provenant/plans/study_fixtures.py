@@ -110,9 +110,14 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     closure = S.step_closure(names, edges)
     uvars = S.upstream_variables(closure, svars)
     used = sorted(r["variable"] for r in S.input_variables(tokens).collect())
-    melted = ST.melt_design(design(spark, sf_dir), used)
-    links = materialize(ST.varstep_links(melted, uvars, names, algorithm))
-    vids = ST.variation_ids(melted, algorithm)
+    d = design(spark, sf_dir)
+    melted = ST.melt_design(d, used)
+    # ids as projections of the wide design row: the step configuration is
+    # small (checked) and known to the driver, so nothing is grouped
+    step_vars = ST.config_variables(uvars)
+    step_list = [r["step"] for r in ST._config_rows(names, "steps")]
+    links = materialize(ST.varstep_links_wide(d, step_vars, step_list, algorithm))
+    vids = ST.variation_ids_wide(d, used, algorithm)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,
             "closure": closure, "uvars": uvars, "melted": melted, "links": links, "vids": vids,
             "levels": S.step_levels(closure)}
