@@ -68,13 +68,17 @@ def parse_include_line(line: str | Column) -> Column:
 
 
 def scan_includes(spark: SparkSession, location: str) -> DataFrame:
-    """#2: ``(source_file, entry_pos, file)``: one path per line, '#' starts
-    a comment, blank lines dropped; ``entry_pos`` counts kept lines from 0."""
+    """#2: ``(source_file, entry_pos, file, full_path)``: one path per line,
+    '#' starts a comment, blank lines dropped; ``entry_pos`` counts kept
+    lines from 0.  A relative path is completed with the includes file's own
+    folder (``full_path``), as documented for includes files."""
     lines = _ordered_lines(spark, location).select(
         "source_file", "_blk", "_mid", parse_include_line("value").alias("file")
     ).where(F.col("file").isNotNull())
     numbered = number_rows(lines, ["_blk", "_mid"], ["source_file"], out="entry_pos")
-    return numbered.select("source_file", "entry_pos", "file")
+    folder = F.regexp_replace("source_file", r"/[^/]*$", "")
+    full = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(folder, F.lit("/"), F.col("file")))
+    return numbered.select("source_file", "entry_pos", "file", full.alias("full_path"))
 
 
 def includes_from_text(df: DataFrame, text_col: str, key: str) -> DataFrame:

@@ -32,6 +32,7 @@ def test_includes_scan_keeps_order_and_drops_comments(spark, tmp):
     write(f"{tmp}/inc/record.includes", "# header\nb.txt  # second thought\n\n   \na.txt\n\t c/d.txt \r\n")
     got = FS.scan_includes(spark, f"{tmp}/inc").orderBy("entry_pos").collect()
     assert [(r.entry_pos, r.file) for r in got] == [(0, "b.txt"), (1, "a.txt"), (2, "c/d.txt")]
+    assert got[2].full_path == f"{tmp}/inc/c/d.txt"
 
 
 def test_path_lists(spark, tmp):
