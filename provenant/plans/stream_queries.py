@@ -42,7 +42,11 @@ def q_check_transitions_stream(spark, sf_dir):
     # the cluster's parallelism rather than the batch shuffle default
     key = "spark.sql.shuffle.partitions"
     before = spark.conf.get(key)
-    spark.conf.set(key, str(max(1, spark.sparkContext.defaultParallelism)))
+    try:
+        parallelism = spark.sparkContext.defaultParallelism
+    except Exception:  # Spark Connect: keep the session's setting
+        parallelism = int(before)
+    spark.conf.set(key, str(max(1, parallelism)))
     try:
         q = (
             transition_verdicts(stream, unit="user_id", ts="ts", tie="event_id", status="status")
