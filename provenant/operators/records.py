@@ -59,6 +59,22 @@ def build_record_entries(includes: DataFrame, contents: DataFrame, strict: bool
     return j.select("record_id", "entry_pos", "file", digest.alias("data_digest"))
 
 
+def build_record_entries_from_files(includes: DataFrame, strict: bool = True, algorithm: str = "sha256",
+                                    path_col: str = "file") -> DataFrame:
+    """#28 entries for files of any size: the listed files are digested in
+    pieces on the executors (see :mod:`provenant.sources.file_digests`)
+    instead of being loaded whole.  ``path_col`` holds the usable path."""
+    from provenant.sources.file_digests import file_digests
+
+    found = file_digests(includes.select(F.col(path_col).alias("path")), algorithm)
+    j = includes.join(found.select(F.col("path").alias(path_col), "data_digest"), path_col, "left")
+    digest = F.col("data_digest")
+    if strict:
+        digest = F.when(digest.isNull(), F.raise_error(F.concat(F.lit("missing file: "), F.col(path_col)))).otherwise(
+            digest)
+    return j.select("record_id", "entry_pos", "file", digest.alias("data_digest"))
+
+
 def _flat_rollup(entries: DataFrame, group_cols: list[str], order_col: str, digest_col: str) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct(F.col(order_col).alias("o"), F.col(digest_col).alias("d"))))
     return entries.groupBy(*group_cols).agg(
@@ -138,7 +154,7 @@ def rollup_digest_blake3(entries: DataFrame, group_cols: Sequence[str] = ("recor
     level by level until one root per group.  No group ever holds more than
     32 digests or ``MERGE_BLOCK`` nodes.  A null child digest gives null.
     """
-    from provenant.functions.blake3 import chunk_cv_udf, merge_udf
+    from provenant.functions.blake3 import chunk_cv_udf
 
     g = list(group_cols)
     ranked = number_rows(entries.select(*g, order_col, digest_col), [F.col(order_col)], g,
@@ -157,6 +173,22 @@ def rollup_digest_blake3(entries: DataFrame, group_cols: Sequence[str] = ("recor
         F.col("_n"),
         chunk_cv_udf(F.when(F.col("_full"), F.col("_bytes")), F.col("_blk"), n_chunks == 1).alias("_cv"),
     )
+    out = blake3_tree_merge(nodes, g)
+    return out.select(*g, F.col("_n").alias("n_entries"), F.col("_cv").alias("digest"))
+
+
+def blake3_tree_merge(nodes: DataFrame, group_cols: Sequence[str]) -> DataFrame:
+    """Merge BLAKE3 tree nodes to one root per group.
+
+    ``nodes``: ``(*group_cols, _idx, _m, _n, _cv)`` -- node position, number
+    of nodes of the group at this level, a carried value, node value (hex).
+    Aligned blocks of ``MERGE_BLOCK`` nodes are merged per level (the
+    left-balanced tree of the BLAKE3 specification); groups already at one
+    node pass through.  Returns ``(*group_cols, _n, _cv)``.
+    """
+    from provenant.functions.blake3 import merge_udf
+
+    g = list(group_cols)
     nodes = cut_lineage(nodes)
     max_m = nodes.agg(F.max("_m")).first()[0] or 1
     finals = [nodes.where(F.col("_m") <= 1)]
@@ -179,10 +211,10 @@ def rollup_digest_blake3(entries: DataFrame, group_cols: Sequence[str] = ("recor
             todo = todo.where(F.col("_m") > 1)
         else:
             finals.append(todo)
-    out = finals[0]
+    out = finals[0].select(*g, "_n", "_cv")
     for f in finals[1:]:
-        out = out.unionByName(f)
-    return out.select(*g, F.col("_n").alias("n_entries"), F.col("_cv").alias("digest"))
+        out = out.unionByName(f.select(*g, "_n", "_cv"))
+    return out
 
 
 def rollup(entries: DataFrame, group_cols: Sequence[str] = ("record_id",), order_col: str = "entry_pos",
