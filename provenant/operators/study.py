@@ -257,3 +257,96 @@ def varstep_links_wide(design: DataFrame, step_vars: dict[str, list[str]], step_
     ]
     return d.select("variation_pos", F.explode(F.array(*items)).alias("x")).select(
         "variation_pos", "x.step", "x.vs_id")
+
+
+# --- the step configuration compiled into column expressions -----------------
+#
+# A study's configuration (steps, their arguments, dependencies, variables) is
+# small and checked; the design is what grows.  Compiling the configuration
+# into expressions over one design row lets every per-(row, step) result be
+# computed in a single pass over the design -- no join between design-sized
+# tables -- followed by one ``distinct`` that combines map-side (a VarStep
+# shared by every row collapses before any shuffle).
+
+
+class StudyConfig:
+    """The configuration a design pass needs, collected once (bounded)."""
+
+    def __init__(self, tokens: DataFrame, edges: DataFrame, step_vars: DataFrame, upstream_vars: DataFrame,
+                 step_names: DataFrame):
+        self.steps = sorted(r["step"] for r in _config_rows(step_names, "steps"))
+        self.upstream = config_variables(upstream_vars)
+        self.direct: dict[str, list[str]] = {}
+        for r in _config_rows(step_vars, "step variables"):
+            self.direct.setdefault(r["step"], []).append(r["variable"])
+        self.deps: dict[str, list[str]] = {}
+        for r in _config_rows(edges, "step edges"):
+            self.deps.setdefault(r["step"], []).append(r["depends_on"])
+        self.args: dict[tuple[str, int], list] = {}
+        rows = _config_rows(tokens.select("step", "arg_pos", "tok_pos", "kind", "name", "loc", "token"), "templates")
+        for r in sorted(rows, key=lambda r: (r["step"], r["arg_pos"], r["tok_pos"])):
+            self.args.setdefault((r["step"], r["arg_pos"]), []).append(r)
+
+    def variables(self) -> list[str]:
+        return sorted({v for vs in self.upstream.values() for v in vs})
+
+    def vs_id(self, step: str, algorithm: str = "sha256") -> F.Column:
+        return render_id("varstep", _row_keyed_digest(step, self.upstream.get(step, []), algorithm))
+
+
+def varstep_deps_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """#64 in one design pass: per row, each step's VarStep and the VarStep
+    of each step it depends on (same row), then ``distinct``."""
+    d = _strict_values(design, cfg.variables())
+    items = [
+        F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(dep).alias("dep_step"),
+                 cfg.vs_id(dep, algorithm).alias("dep_vs_id"))
+        for s in cfg.steps for dep in sorted(set(cfg.deps.get(s, []))) if dep in cfg.steps
+    ]
+    if not items:
+        return design.sparkSession.createDataFrame([], "vs_id string, dep_step string, dep_vs_id string")
+    return d.select(F.explode(F.array(*items)).alias("x")).select("x.*").distinct()
+
+
+def varstep_branches_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """#63 in one design pass: the branches a VarStep's own step uses."""
+    d = _strict_values(design, cfg.variables())
+    items = [
+        F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(s).alias("step"), F.lit(v).alias("variable"),
+                 F.col(v).alias("value"))
+        for s in cfg.steps for v in sorted(set(cfg.direct.get(s, [])))
+    ]
+    out = d.select(F.explode(F.array(*items)).alias("x")).select("x.*").distinct()
+    return out.withColumn("br_id", branch_id("variable", "value", algorithm))
+
+
+def realize_args_wide(design: DataFrame, cfg: StudyConfig, shared_dir: str, run_dir: str,
+                      algorithm: str = "sha256", strict: bool = True) -> DataFrame:
+    """#66 in one design pass: every argument of every step realised from the
+    row's own values and the row's VarStep ids, then ``distinct`` (rows that
+    share a VarStep realise identical arguments)."""
+    d = _strict_values(design, cfg.variables())
+    run = run_dir.rstrip("/")
+    cols = set(design.columns)
+
+    def token(t) -> F.Column:
+        if t["kind"] == "literal":
+            return F.lit(t["token"])
+        if t["kind"] == "shared":
+            return F.lit(shared_dir)
+        if t["kind"] == "step" and t["name"] in cfg.steps:
+            return F.concat(F.lit(run + "/"), cfg.vs_id(t["name"], algorithm), F.lit("/" + t["loc"]))
+        if t["kind"] == "variable" and t["name"] in cols:
+            return F.col(t["name"]).cast("string")
+        bad = F.lit(None).cast("string")
+        return F.raise_error(F.lit(f"cannot realise token {t['token']}")).cast("string") if strict else bad
+
+    items = [
+        F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(s).alias("step"), F.lit(pos).alias("arg_pos"),
+                 F.concat(*[token(t) for t in toks]).alias("arg"))
+        for (s, pos), toks in sorted(cfg.args.items())
+    ]
+    extra = [v for v in {t["name"] for toks in cfg.args.values() for t in toks if t["kind"] == "variable"}
+             if v in cols and v not in cfg.variables()]
+    d = d.join(design.select("variation_pos", *extra), "variation_pos") if extra else d
+    return d.select(F.explode(F.array(*items)).alias("x")).select("x.*").distinct()

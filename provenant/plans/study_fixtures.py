@@ -118,9 +118,10 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     step_list = [r["step"] for r in ST._config_rows(names, "steps")]
     links = materialize(ST.varstep_links_wide(d, step_vars, step_list, algorithm))
     vids = ST.variation_ids_wide(d, used, algorithm)
+    cfg = ST.StudyConfig(tokens, edges, svars, uvars, names)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,
             "closure": closure, "uvars": uvars, "melted": melted, "links": links, "vids": vids,
-            "levels": S.step_levels(closure)}
+            "levels": S.step_levels(closure), "design": d, "config": cfg}
 
 
 def markers(vsteps: DataFrame) -> DataFrame:

@@ -176,14 +176,14 @@ join melted m on m.variation_pos = l.variation_pos and m.variable = s.variable""
 def q_varstep_branches(spark, sf_dir):
     """#63: the branches a VarStep uses directly."""
     m = study_model(spark, sf_dir)
-    return ST.varstep_branches(m["links"], m["melted"], m["svars"])
+    return ST.varstep_branches_wide(m["design"], m["config"])
 
 
 @register("varstep_deps", f"{STUDY_CTE} select vs_id, dep_step, dep_vs_id from deps")
 def q_varstep_deps(spark, sf_dir):
     """#64: direct VarStep dependencies, found within a variation."""
     m = study_model(spark, sf_dir)
-    return ST.varstep_deps(m["links"], m["edges"])
+    return ST.varstep_deps_wide(m["design"], m["config"])
 
 
 @register("varsteps_by_variation", f"""{STUDY_CTE}
@@ -196,7 +196,7 @@ def q_varsteps_by_variation(spark, sf_dir):
 
 def _args(spark, sf_dir):
     m = study_model(spark, sf_dir)
-    return m, ST.realize_args(m["tokens"], m["links"], m["melted"], SHARED_DIR, RUN_DIR)
+    return m, ST.realize_args_wide(m["design"], m["config"], SHARED_DIR, RUN_DIR)
 
 
 @register("realize_args", f"{STUDY_CTE} select vs_id, step, arg_pos, arg from args")
@@ -245,7 +245,7 @@ def q_resolve_status(spark, sf_dir):
 
 
 def _ready(m):
-    deps = ST.varstep_deps(m["links"], m["edges"])
+    deps = ST.varstep_deps_wide(m["design"], m["config"])
     return STS.readiness(deps, _status(m))
 
 
@@ -313,7 +313,7 @@ def q_status_step(spark, sf_dir):
     m = study_model(spark, sf_dir)
     ub = ST.upstream_branches(m["melted"], m["uvars"])
     up = m["links"].join(ub, ["variation_pos", "step"]).select("vs_id", "variable", "value").distinct()
-    deps = ST.varstep_deps(m["links"], m["edges"])
+    deps = ST.varstep_deps_wide(m["design"], m["config"])
     return STS.status_step(_status(m), up, deps)
 
 

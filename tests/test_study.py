@@ -46,3 +46,20 @@ def test_multiple_markers(spark):
     vs = spark.createDataFrame([("vs30", "s"), ("vs11", "s"), ("vs00", "s")], "vs_id string, step string")
     got = {r.vs_id: r.status for r in STS.resolve_status(vs, markers(vs)).collect()}
     assert got == {"vs30": "Multiple-Statuses", "vs11": "Not-Running", "vs00": "Not-Initialized"}
+
+
+def test_wide_pass_equals_join_plans(spark):
+    """The one-pass (configuration compiled into expressions) operators give
+    the same rows as the join-based ones."""
+    m = study_model(spark, SF_MID)
+
+    def same(a, b):
+        return a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+    assert same(ST.varstep_deps_wide(m["design"], m["config"]), ST.varstep_deps(m["links"], m["edges"]))
+    assert same(ST.varstep_branches_wide(m["design"], m["config"]),
+                ST.varstep_branches(m["links"], m["melted"], m["svars"]))
+    assert same(ST.realize_args_wide(m["design"], m["config"], "/s", "/r"),
+                ST.realize_args(m["tokens"], m["links"], m["melted"], "/s", "/r"))
+    generic_ids = ST.variation_ids(m["melted"])
+    assert same(m["vids"], generic_ids)
