@@ -10,8 +10,9 @@ Tables:
 
 Contents are reduced to ``(path, digest)`` *before* any join, so shuffles
 carry 64-character digests, never file bytes.  A path listed by very many
-records is a hot join key on the includes side only; AQE's skew-join split
-handles it (the digest side has one row per path).
+Records is a hot join key on the includes side only (the digest side has
+one row per path): such keys are split off and joined by a bounded
+broadcast (:mod:`provenant.operators.skew`).
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 
 from provenant.functions.digests import compact_hex, content_digest
 from provenant.operators.numbering import number_rows
+from provenant.operators.skew import hot_split_join
 from provenant.session import cut_lineage
 
 # Roll-up fan-in: a Record of at most this many entries is rolled up flat
@@ -50,7 +52,7 @@ def build_record_entries(includes: DataFrame, contents: DataFrame, strict: bool
     ``strict``: a listed file that is not present fails the job (the
     reference's behaviour); otherwise its digest is null.
     """
-    j = includes.join(present_digests(contents, algorithm=algorithm), "file", "left")
+    j = hot_split_join(includes, present_digests(contents, algorithm=algorithm), "file", "left")
     digest = F.col("present_digest")
     if strict:
         digest = F.when(digest.isNull(), F.raise_error(F.concat(F.lit("missing file: "), F.col("file")))).otherwise(
@@ -243,7 +245,7 @@ def verify_entries(entries: DataFrame, contents: DataFrame, algorithm: str = "sh
     ``status`` is VERIFIED / FAILED, or MISSING where the file is absent
     (the reference stops there; here the rest of the job goes on).
     """
-    j = entries.join(present_digests(contents, algorithm=algorithm), "file", "left")
+    j = hot_split_join(entries, present_digests(contents, algorithm=algorithm), "file", "left")
     status = (
         F.when(F.col("present_digest").isNull(), F.lit(MISSING))
         .when(F.col("present_digest") == F.col("data_digest"), F.lit(VERIFIED))

@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 from provenant.functions.digests import content_digest
 from provenant.functions.paths import file_name
+from provenant.operators.skew import hot_split_join
 
 
 def bundle_plan(includes: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
     """``includes(entry_pos, file)``, ``contents(path, content)`` ->
     ``selected``, ``collisions`` (base names used more than once) and
     ``manifest`` (entries of the bundle's Record: the base name as file)."""
-    sel = includes.join(
-        contents.select(F.col("path").alias("file"), content_digest("content").alias("data_digest")), "file"
-    ).withColumn("file_name", file_name("file"))
+    digests = contents.select(F.col("path").alias("file"), content_digest("content").alias("data_digest"))
+    sel = hot_split_join(includes, digests, "file").withColumn("file_name", file_name("file"))
     counts = sel.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_files"))
     collisions = counts.where(F.col("n_files") > 1)
-    manifest = sel.join(collisions.select("file_name"), "file_name", "left_anti").select(
+    # a base name shared by a third of all files is a hot key: split it off
+    manifest = hot_split_join(sel, collisions.select("file_name"), "file_name", "left_anti").select(
         "entry_pos", "file_name", "data_digest", F.col("file").alias("source_file"))
     return {"selected": sel, "collisions": collisions, "manifest": manifest}
 

@@ -58,3 +58,18 @@ def test_numbering_is_dense_and_ordered(spark):
     for rows in by.values():
         rows.sort()
         assert [rn for _, rn in rows] == list(range(len(rows)))
+
+
+def test_hot_split_join(spark):
+    from provenant.operators.skew import hot_split_join, hot_keys
+
+    big = spark.range(30000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
+        F.col("id"))
+    dim = spark.range(30000).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v")).union(
+        spark.createDataFrame([("hot", 7)], "k string, v int"))
+    assert [r.k for r in hot_keys(big, "k").collect()] == ["hot"]
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        a = hot_split_join(big, dim, "k", how)
+        b = big.join(dim, "k", how)
+        assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, how
