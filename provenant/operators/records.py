@@ -315,7 +315,7 @@ def verify_report_rows(checked: DataFrame, verified_records: DataFrame) -> DataF
         F.col("expected").alias("record_expected"),
         F.col("actual").alias("record_actual"),
     )
-    return rows.join(rec, "record_id", "left").select(
+    return hot_split_join(rows, rec, "record_id", "left").select(
         "record_id", "row_num", "file", "status", "expected", "actual",
         "record_status", "record_expected", "record_actual",
     )

@@ -22,12 +22,15 @@ MAX_HOT_KEYS = 100_000
 def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
     """Keys of ``big`` holding more than ``total / max_hot`` rows (at most
     ``max_hot`` of them); computed eagerly so the bound is checked."""
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull())
-    total = big.count()
-    threshold = max(1, total // max_hot)
-    hot = counts.where(F.col("_n") > threshold).select(key)
-    rows = hot.limit(max_hot + 1).collect()
-    if len(rows) > max_hot:  # cannot happen: sum of counts is at most total
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).persist()
+    try:
+        total = counts.agg(F.sum("_n")).first()[0] or 0
+        threshold = max(1, total // max_hot)
+        hot = counts.where((F.col("_n") > threshold) & F.col(key).isNotNull()).select(key)
+        rows = hot.limit(max_hot + 1).collect()
+    finally:
+        counts.unpersist(blocking=False)
+    if len(rows) > max_hot:  # cannot happen: the counts add up to total
         raise AssertionError("hot-key bound violated")
     return big.sparkSession.createDataFrame(rows, hot.schema)
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.operators.numbering import number_rows, with_previous
+from provenant.operators.skew import hot_split_join
 
 # Marker file suffixes and the state labels they map to.
 MARKERS = {
@@ -25,6 +26,7 @@ FINISHED = "Finished"
 ERROR = "Error"
 MULTIPLE = "Multiple-Statuses"  # more than one marker: the reference refuses to go on
 RUNNABLE = (NOT_INITIALIZED, NOT_RUNNING)
+MAX_STEPS = 1_000_000
 
 
 _CODES = {m: i for i, m in enumerate(MARKERS)}
@@ -57,7 +59,8 @@ def resolve_status(vsteps: DataFrame, markers: DataFrame) -> DataFrame:
 def readiness(deps: DataFrame, status: DataFrame) -> DataFrame:
     """#69: a VarStep is ready when every direct dependency is Finished."""
     st = status.select(F.col("vs_id").alias("dep_vs_id"), F.col("status").alias("dep_status"))
-    per = deps.join(st, "dep_vs_id", "left").groupBy("vs_id").agg(
+    # a VarStep many others depend on (shared by every variation) is a hot key
+    per = hot_split_join(deps, st, "dep_vs_id", "left").groupBy("vs_id").agg(
         F.count(F.lit(1)).alias("n_deps"),
         F.count_if(F.col("dep_status") == FINISHED).alias("n_deps_finished"),
     )
@@ -73,7 +76,10 @@ def run_order(links: DataFrame, levels: DataFrame) -> DataFrame:
     """#55: VarSteps parents first: by step level, then first design row,
     then step name and id; ``order_pos`` from 0."""
     vs = links.groupBy("vs_id", "step").agg(F.min("variation_pos").alias("first_pos"))
-    vs = vs.join(levels, "step", "left").withColumn("level", F.coalesce("level", F.lit(0)))
+    n_levels = levels.count()  # one row per step: configuration-sized, checked
+    if n_levels > MAX_STEPS:
+        raise ValueError(f"{n_levels} steps; more than {MAX_STEPS} is not a study configuration")
+    vs = vs.join(F.broadcast(levels), "step", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     return number_rows(vs, ["level", "first_pos", "step", "vs_id"], out="order_pos")
 
 
@@ -115,7 +121,7 @@ def status_step(status: DataFrame, upstream: DataFrame, deps: DataFrame) -> Data
     br = upstream.select("vs_id", F.lit("branch").alias("item"), F.col("variable").alias("name"), "value")
     st = status.select(F.col("vs_id").alias("dep_vs_id"), F.col("step").alias("dep_step"),
                        F.col("status").alias("dep_status"))
-    dp = deps.select("vs_id", "dep_vs_id").join(st, "dep_vs_id").select(
+    dp = hot_split_join(deps.select("vs_id", "dep_vs_id"), st, "dep_vs_id").select(
         "vs_id", F.lit("dependency").alias("item"), F.concat_ws(" ", "dep_step", "dep_vs_id").alias("name"),
         F.col("dep_status").alias("value"),
     )
@@ -137,7 +143,8 @@ def status_variation(vids: DataFrame, melted: DataFrame, links: DataFrame, statu
     first = vids.groupBy("v_id").agg(F.min("variation_pos").alias("variation_pos"))
     br = first.join(melted, "variation_pos").select(
         "v_id", F.lit("branch").alias("item"), F.col("variable").alias("name"), "value")
-    vs = first.join(links, "variation_pos").join(status.select("vs_id", "status"), "vs_id").select(
+    # a VarStep shared by every variation is a hot key of the link rows
+    vs = hot_split_join(first.join(links, "variation_pos"), status.select("vs_id", "status"), "vs_id").select(
         "v_id", F.lit("varstep").alias("item"), F.concat_ws(" ", "step", "vs_id").alias("name"),
         F.col("status").alias("value"))
     return br.unionByName(vs)

@@ -204,7 +204,10 @@ def realize_args(tokens: DataFrame, links: DataFrame, melted: DataFrame, shared_
 
 def evidence_includes(args: DataFrame, files: DataFrame) -> DataFrame:
     """#67: the realised arguments of each VarStep that exist as files."""
-    return args.join(files.select(F.col("path").alias("arg")), "arg", "left_semi")
+    from provenant.operators.skew import hot_split_join
+
+    # a shared script named by every VarStep is a hot key of the arguments
+    return hot_split_join(args, files.select(F.col("path").alias("arg")).distinct(), "arg", "left_semi")
 
 
 def config_variables(upstream_vars: DataFrame) -> dict[str, list[str]]:

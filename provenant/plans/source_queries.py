@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from provenant.functions.paths import file_name
 from provenant.operators import records as R
 from provenant.operators import study as ST
+from provenant.operators.skew import hot_split_join
 from provenant.plans.fixtures import (
     SQL_RECORD_ENTRIES,
     SQL_SNAPSHOT_B,
@@ -125,7 +126,7 @@ def q_record_scan(spark, sf_dir):
     folder, digests checked."""
     rt = _records_round_trip(spark, sf_dir)
     rec = rt["records"].select("record_path", "record_id")
-    return rt["entries"].join(rec, "record_path").select(
+    return hot_split_join(rt["entries"], rec, "record_path").select(
         "record_id", "entry_pos", file_name("full_path").alias("file_name"), "data_digest", "digest_ok")
 
 
