@@ -72,3 +72,12 @@ def test_report_numbering(spark):
     d = C.record_diff(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA))
     rows = C.diff_report_rows(d).where(F.col("class") == "undetermined_1").orderBy("row_num").collect()
     assert [(r.row_num, r.match_key) for r in rows] == [(0, "a.txt"), (1, "b.txt"), (2, "c.txt")]
+
+
+def test_group_by_filename(spark):
+    a = spark.createDataFrame([(0, "x/one.txt", "d1"), (1, "y/two.txt", "d2")], SCHEMA)
+    g = {r.group_key: r.n_entries for r in C.group_by_key(a, C.filename_tier()[1]).collect()}
+    assert g == {"one.txt": 1, "two.txt": 1}
+    b = spark.createDataFrame([(0, "x/same.txt", "d1"), (1, "y/same.txt", "d2")], SCHEMA)
+    g = {r.group_key: r.n_entries for r in C.group_by_key(b, C.filename_tier()[1]).collect()}
+    assert g == {"same.txt": 2}

@@ -117,3 +117,12 @@ def test_bundle_collisions(spark, tmp):
     assert [r.file_name for r in plan["manifest"].collect()] == ["y.txt"]
     with pytest.raises(ValueError):
         B.write_bundle(inc, con, f"{tmp}/bundle")
+
+
+@pytest.mark.parametrize("line,path", [
+    ("foobar", "foobar"), ("", None), ("# foobar comment", None), ("foobar # commented later", "foobar"),
+    ("   ", None), ("  a/b.txt\t", "a/b.txt"),
+])
+def test_include_line(spark, line, path):
+    df = spark.createDataFrame([(line,)], "l string")
+    assert df.select(FS.parse_include_line("l").alias("p")).first().p == path
