@@ -3,7 +3,7 @@ all entries, one base name shared by a third of all files).
 
 ``hot_split_join`` joins ``big`` to ``dim`` (at most one row per key) and
 splits the keys first: a key is *hot* when it holds more than
-``total / MAX_HOT_KEYS`` rows of ``big``.  There can be at most
+``max(MIN_HOT_ROWS, total / MAX_HOT_KEYS)`` rows of ``big``.  There can be at most
 ``MAX_HOT_KEYS`` such keys (their rows add up to at most ``total``), so the
 hot keys and their ``dim`` rows are a proven-bounded broadcast; hot rows of
 ``big`` are joined through it without a shuffle, the rest by an ordinary
@@ -17,17 +17,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 100_000
+# a key is never hot below this many rows: one task handles them easily
+MIN_HOT_ROWS = 10_000
 
 
 def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
     """Keys of ``big`` holding more than ``total / max_hot`` rows (at most
     ``max_hot`` of them); computed eagerly so the bound is checked."""
-    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).persist()
+    counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull()).persist()
     try:
-        total = counts.agg(F.sum("_n")).first()[0] or 0
-        threshold = max(1, total // max_hot)
-        hot = counts.where((F.col("_n") > threshold) & F.col(key).isNotNull()).select(key)
-        rows = hot.limit(max_hot + 1).collect()
+        total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
+        threshold = max(MIN_HOT_ROWS, (total or 0) // max_hot)
+        hot = counts.where(F.col("_n") > threshold).select(key)
+        rows = [] if (biggest or 0) <= threshold else hot.limit(max_hot + 1).collect()
     finally:
         counts.unpersist(blocking=False)
     if len(rows) > max_hot:  # cannot happen: the counts add up to total

@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from provenant.operators import steps as S
 from provenant.operators import study as ST
 from provenant.plans.fixtures import table
-from provenant.session import materialize
 
 SHARED_DIR = "/study/shared"
 RUN_DIR = "/study/run"
@@ -116,7 +115,8 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     # small (checked) and known to the driver, so nothing is grouped
     step_vars = ST.config_variables(uvars)
     step_list = [r["step"] for r in ST._config_rows(names, "steps")]
-    links = materialize(ST.varstep_links_wide(d, step_vars, step_list, algorithm))
+    # a projection of the design (no shuffle): cheaper to recompute than to store
+    links = ST.varstep_links_wide(d, step_vars, step_list, algorithm)
     vids = ST.variation_ids_wide(d, used, algorithm)
     cfg = ST.StudyConfig(tokens, edges, svars, uvars, names)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,

@@ -61,8 +61,10 @@ def test_numbering_is_dense_and_ordered(spark):
 
 
 def test_hot_split_join(spark):
+    from provenant.operators import skew
     from provenant.operators.skew import hot_split_join, hot_keys
 
+    skew.MIN_HOT_ROWS, old = 1, skew.MIN_HOT_ROWS
     big = spark.range(30000).select(
         F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.col("id").cast("string")).alias("k"),
         F.col("id"))
@@ -73,3 +75,4 @@ def test_hot_split_join(spark):
         a = hot_split_join(big, dim, "k", how)
         b = big.join(dim, "k", how)
         assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0, how
+    skew.MIN_HOT_ROWS = old
