@@ -212,19 +212,19 @@ def diff_summary(diff: DataFrame) -> DataFrame:
     )
 
 
-def diff_report_rows(diff: DataFrame, n_tiers: int = 2) -> DataFrame:
+def diff_report_rows(diff: DataFrame) -> DataFrame:
     """#44: number rows per class from 0.  Matched rows in (tier, key) order;
     unmatched rows by their keys from the last tier back to the first
-    (nulls last), then by entry position."""
+    (nulls last), then by entry position.  Works for any number of tiers."""
     matched = F.col("tier_idx").isNotNull()
-    sort_cols = [F.coalesce(F.col("tier_idx"), F.lit(0)).asc()]
-    for j in range(1, n_tiers + 1):
-        unmatched_key = F.try_element_at(F.col("tier_keys"), F.lit(n_tiers + 1 - j))
-        if j == 1:
-            sort_cols.append(F.when(matched, F.col("match_key")).otherwise(unmatched_key).asc_nulls_last())
-        else:
-            sort_cols.append(F.when(~matched, unmatched_key).asc_nulls_last())
-    sort_cols.append(F.coalesce(F.col("entry_pos_1"), F.col("entry_pos_2")).asc())
+    keys_back = F.transform(F.reverse(F.col("tier_keys")),
+                            lambda k: F.struct(k.isNull().alias("none"), k.alias("key")))
+    sort_cols = [
+        F.coalesce(F.col("tier_idx"), F.lit(0)).asc(),
+        F.when(matched, F.array(F.struct(F.lit(False).alias("none"), F.col("match_key").alias("key"))))
+        .otherwise(keys_back).asc(),
+        F.coalesce(F.col("entry_pos_1"), F.col("entry_pos_2")).asc(),
+    ]
     return number_rows(diff, sort_cols, partition_by=["class"], out="row_num")
 
 
