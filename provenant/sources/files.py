@@ -85,7 +85,8 @@ def includes_from_text(df: DataFrame, text_col: str, key: str) -> DataFrame:
     """#2 on a text column: every line of every (whole) text parsed as an
     includes line; ``entry_pos`` numbers the kept lines per ``key``."""
     lines = df.select(key, F.posexplode(F.split(F.col(text_col), "\n")).alias("line_no", "line"))
-    kept = lines.select(key, "line_no", parse_include_line("line").alias("file")).where(F.col("file").isNotNull())
+    kept = lines.select(key, F.col("line_no").cast("bigint").alias("line_no"),
+                        parse_include_line("line").alias("file")).where(F.col("file").isNotNull())
     return number_rows(kept, ["line_no"], [key], out="entry_pos").select(key, "entry_pos", "line_no", "file")
 
 
