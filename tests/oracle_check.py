@@ -26,6 +26,10 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
     return con
 
 
+_TYPES = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "boolean": "BOOLEAN", "double": "DOUBLE",
+          "timestamp_ntz": "TIMESTAMP", "float": "FLOAT", "date": "DATE"}
+
+
 def _norm(v):
     if v is None:
         return None
@@ -61,14 +65,18 @@ def check(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> dict:
     if sql is None:
         res["status"] = "rows-only"
         return res
-    cur = con.execute(sql)
-    dcols = [d[0] for d in cur.description]
-    drows = cur.fetchall()
+    rel = con.sql(sql)
+    dcols = list(rel.columns)
+    dtypes = {c: str(t) for c, t in zip(dcols, rel.types)}
+    drows = rel.fetchall()
     res["oracle_rows"] = len(drows)
+    stypes = {f.name: _TYPES.get(f.dataType.simpleString(), f.dataType.simpleString()) for f in df.schema.fields}
     a, ac = _rows(scols, srows)
     b, bc = _rows(dcols, drows)
     if ac != bc:
         res["status"] = f"schema {ac} vs {bc}"
+    elif stypes != dtypes:
+        res["status"] = f"types {stypes} vs {dtypes}"
     elif a != b:
         diff = [x for x in a if x not in set(b)][:3]
         diff2 = [x for x in b if x not in set(a)][:3]
