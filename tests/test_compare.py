@@ -81,3 +81,22 @@ def test_group_by_filename(spark):
     b = spark.createDataFrame([(0, "x/same.txt", "d1"), (1, "y/same.txt", "d2")], SCHEMA)
     g = {r.group_key: r.n_entries for r in C.group_by_key(b, C.filename_tier()[1]).collect()}
     assert g == {"same.txt": 2}
+
+
+def test_three_tiers_custom_key(spark):
+    """A user tier after the two built-in ones: the parent folder name."""
+    folder = ("Folder", F.regexp_extract("file", r"([^/]+)/[^/]+$", 1))
+    tiers = C.default_tiers() + [folder]
+    a = [(0, "p/one.txt", "d1"), (1, "q/two.txt", "d2"), (2, "r/x.txt", "d3"), (3, "s/y.txt", "d4")]
+    b = [(0, "p/uno.txt", "e1"), (1, "q/zwei.txt", "e2"), (2, "r/x.txt", "e3"), (3, "t/z.txt", "e4")]
+    d = C.record_diff(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), tiers)
+    got = sorted((r["class"], r.tier, r.entry_pos_1, r.entry_pos_2) for r in d.collect())
+    assert got == [
+        ("changed", "FileName", 2, 2),
+        ("changed", "Folder", 0, 0),
+        ("changed", "Folder", 1, 1),
+        ("undetermined_1", "Folder", 3, None),
+        ("undetermined_2", "Folder", None, 3),
+    ]
+    rows = C.diff_report_rows(d).where(F.col("class") == "changed").orderBy("row_num").collect()
+    assert [(r.tier, r.match_key) for r in rows] == [("FileName", "x.txt"), ("Folder", "p"), ("Folder", "q")]
