@@ -273,26 +273,46 @@ def varstep_links_wide(design: DataFrame, step_vars: dict[str, list[str]], step_
 
 
 class StudyConfig:
-    """The configuration a design pass needs, collected once (bounded)."""
+    """The configuration a design pass needs, collected once in one job
+    (bounded by ``MAX_CONFIG_ROWS``)."""
 
     def __init__(self, tokens: DataFrame, edges: DataFrame, step_vars: DataFrame, upstream_vars: DataFrame,
                  step_names: DataFrame):
-        self.steps = sorted(r["step"] for r in _config_rows(step_names, "steps"))
-        self.upstream = config_variables(upstream_vars)
+        parts = [
+            tokens.select(F.lit("token").alias("part"), "step", "arg_pos", "tok_pos", "kind", "name", "loc", "token"),
+            edges.select(F.lit("edge").alias("part"), "step", F.col("depends_on").alias("name")),
+            step_vars.select(F.lit("direct").alias("part"), "step", F.col("variable").alias("name")),
+            upstream_vars.select(F.lit("upstream").alias("part"), "step", F.col("variable").alias("name")),
+            step_names.select(F.lit("step").alias("part"), "step"),
+        ]
+        combined = parts[0]
+        for p in parts[1:]:
+            combined = combined.unionByName(p, allowMissingColumns=True)
+        rows = _config_rows(combined, "study configuration")
+        by_part: dict[str, list] = {}
+        for r in rows:
+            by_part.setdefault(r["part"], []).append(r)
+        self.steps = sorted(r["step"] for r in by_part.get("step", []))
+        self.upstream: dict[str, list[str]] = {}
+        for r in by_part.get("upstream", []):
+            self.upstream.setdefault(r["step"], []).append(r["name"])
+        self.upstream = {k: sorted(v) for k, v in self.upstream.items()}
         self.direct: dict[str, list[str]] = {}
-        for r in _config_rows(step_vars, "step variables"):
-            self.direct.setdefault(r["step"], []).append(r["variable"])
+        for r in by_part.get("direct", []):
+            self.direct.setdefault(r["step"], []).append(r["name"])
         self.deps: dict[str, list[str]] = {}
-        for r in _config_rows(edges, "step edges"):
-            self.deps.setdefault(r["step"], []).append(r["depends_on"])
+        for r in by_part.get("edge", []):
+            self.deps.setdefault(r["step"], []).append(r["name"])
         self.args: dict[tuple[str, int], list] = {}
-        rows = _config_rows(tokens.select("step", "arg_pos", "tok_pos", "kind", "name", "loc", "token"), "templates")
-        for r in sorted(rows, key=lambda r: (r["step"], r["arg_pos"], r["tok_pos"])):
+        for r in sorted(by_part.get("token", []), key=lambda r: (r["step"], r["arg_pos"], r["tok_pos"])):
             self.args.setdefault((r["step"], r["arg_pos"]), []).append(r)
 
     def variables(self) -> list[str]:
         return sorted({v for vs in self.upstream.values() for v in vs})
 
+    def input_variables(self) -> list[str]:
+        return sorted({v for vs in self.direct.values() for v in vs})
+
     def vs_id(self, step: str, algorithm: str = "sha256") -> F.Column:
         return render_id("varstep", _row_keyed_digest(step, self.upstream.get(step, []), algorithm))
 

@@ -108,17 +108,15 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     svars = S.step_variables(tokens)
     closure = S.step_closure(names, edges)
     uvars = S.upstream_variables(closure, svars)
-    used = sorted(r["variable"] for r in S.input_variables(tokens).collect())
+    cfg = ST.StudyConfig(tokens, edges, svars, uvars, names)  # one small collect
+    used = cfg.input_variables()
     d = design(spark, sf_dir)
     melted = ST.melt_design(d, used)
     # ids as projections of the wide design row: the step configuration is
-    # small (checked) and known to the driver, so nothing is grouped
-    step_vars = ST.config_variables(uvars)
-    step_list = [r["step"] for r in ST._config_rows(names, "steps")]
-    # a projection of the design (no shuffle): cheaper to recompute than to store
-    links = ST.varstep_links_wide(d, step_vars, step_list, algorithm)
+    # small (checked) and known to the driver, so nothing is grouped; the
+    # links are a projection too -- cheaper to recompute than to store
+    links = ST.varstep_links_wide(d, cfg.upstream, cfg.steps, algorithm)
     vids = ST.variation_ids_wide(d, used, algorithm)
-    cfg = ST.StudyConfig(tokens, edges, svars, uvars, names)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,
             "closure": closure, "uvars": uvars, "melted": melted, "links": links, "vids": vids,
             "levels": S.step_levels(closure), "design": d, "config": cfg}
