@@ -107,3 +107,40 @@ def test_check_id(spark):
     df = spark.createDataFrame(rows, "s string")
     got = [r.v for r in df.select(D.check_id("varstep", "s").alias("v")).collect()]
     assert got == ["ok", "missing_prefix", "invalid_length(expected=16, actual=15)", "invalid_hex", "ok"]
+
+
+def test_study_ids_like_the_reference(spark):
+    """The reference's example study (three chained steps, one variable)
+    expanded with BLAKE3 gives the ids its documentation shows."""
+    from provenant.operators import steps as S
+    from provenant.operators import study as ST
+
+    # The example study's step arguments and design.
+    steps = spark.createDataFrame([
+        ("Preprocess", 0, "{shared}/scripts/preprocess.sh"),
+        ("Preprocess", 1, "{variables.sleep_time}"),
+        ("Preprocess", 2, "{outputs}/subject.mesh"),
+        ("RunSolver", 0, "{shared}/scripts/solve.sh"),
+        ("RunSolver", 1, "{steps.Preprocess.outputs}/subject.mesh"),
+        ("RunSolver", 2, "{shared}/solver_settings.json"),
+        ("RunSolver", 3, "{outputs}/results.json"),
+        ("Postprocess_stress", 0, "{shared}/scripts/postprocess.sh"),
+        ("Postprocess_stress", 1, "{steps.RunSolver.outputs}/output_RunSolver.json"),
+        ("Postprocess_stress", 2, "{outputs}/report.md"),
+    ], "step string, arg_pos int, arg string")
+    design = spark.createDataFrame([(0, "1.2"), (1, "1.5"), (2, "10")], "variation_pos long, sleep_time string")
+    tokens = S.classify_tokens(S.template_tokens(steps))
+    names = steps.select("step").distinct()
+    edges = S.step_edges(tokens)
+    svars = S.step_variables(tokens)
+    uvars = S.upstream_variables(S.step_closure(names, edges), svars)
+    cfg = ST.StudyConfig(tokens, edges, svars, uvars, names)
+    vids = {r.variation_pos: r.v_id for r in ST.variation_ids_wide(design, ["sleep_time"], "blake3").collect()}
+    assert vids[2] == "V1b42bb03936edb68" and vids[1] == "V03f41d5e9f2c560b"
+    links = {(r.variation_pos, r.step): r.vs_id
+             for r in ST.varstep_links_wide(design, cfg.upstream, cfg.steps, "blake3").collect()}
+    assert links[(2, "Preprocess")] == "vsd7f88979d321342c"
+    assert links[(2, "RunSolver")] == "vs2d82b4a357a90634"
+    assert links[(2, "Postprocess_stress")] == "vs8e80463615a48d20"
+    assert links[(0, "RunSolver")] == "vs789bff3b753fb971"
+    assert links[(0, "Postprocess_stress")] == "vsa99d15d276a20b43"
