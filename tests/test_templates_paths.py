@@ -66,7 +66,7 @@ def test_file_name(spark, path, name):
 
 
 @pytest.mark.parametrize("path,dir_,rel", [
-    ("tests/fixtures/foo.bar", "tests/fixtures/expected", "../foo.bar"),
+    ("data/foo.bar", "data/expected", "../foo.bar"),
     ("/a/b/c", "/a/b", "c"),
     ("/a/b/c", "/a/x/y", "../../b/c"),
     ("a/b", "./", "a/b"),

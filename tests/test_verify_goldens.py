@@ -17,7 +17,8 @@ FOO2 = b"# dummy file #2\nanother file with different contents for testing"
 FOO_DIGEST = "9b61116853b99ee97b0ed5d499da7e486d77db52fbc60a2357e5cbf6183d418c"
 FOO2_DIGEST = "99ff9c6740efe27e636aa330624a28f19ee96f5f844d1eee0192590d07e6c245"
 RECORD_DIGEST = "c4f70b77e72ef1d87998a172b426336c82f5a9b80cc4869b19e29dae6647c737"
-LINE_2 = "tests/fixtures/foo_foo2_record.j VERIFIED c4f70b77e72ef1...9e29dae6647c737"
+LABEL = "evidence/records/foo_foo2_record.json"  # longer than 32: cut in the report
+LINE_2 = "evidence/records/foo_foo2_record VERIFIED c4f70b77e72ef1...9e29dae6647c737"
 
 
 def test_verify_long_and_compact(spark):
@@ -34,9 +35,9 @@ def test_verify_long_and_compact(spark):
         json.dump(doc, f)
     scanned = RS.scan_records(spark, f"{tmp}/rec")
     entries = scanned["entries"].select(
-        F.lit("tests/fixtures/foo_foo2_record.json").alias("record_id"), "entry_pos",
+        F.lit(LABEL).alias("record_id"), "entry_pos",
         F.regexp_replace("full_path", r"/rec/\.\./", "/").alias("file"), "data_digest")
-    records = scanned["records"].select(F.lit("tests/fixtures/foo_foo2_record.json").alias("record_id"), "digest")
+    records = scanned["records"].select(F.lit(LABEL).alias("record_id"), "digest")
     contents = FS.scan_contents(spark, tmp, glob="*.bar")
     checked = R.verify_entries(entries, contents, algorithm="blake3")
     assert sorted(r.status for r in checked.collect()) == ["VERIFIED", "VERIFIED"]
@@ -53,8 +54,8 @@ def test_compare_golden(spark):
     by digest, one left undetermined after the file-name tier."""
     tmp = tempfile.mkdtemp(prefix="provenant-compare-")
     r1 = {"metadata": None, "digest": RECORD_DIGEST,
-          "record_entries": [{"file": "tests/fixtures/foo.bar", "data_digest": FOO_DIGEST},
-                             {"file": "tests/fixtures/foo2.bar", "data_digest": FOO2_DIGEST}]}
+          "record_entries": [{"file": "data/foo.bar", "data_digest": FOO_DIGEST},
+                             {"file": "data/foo2.bar", "data_digest": FOO2_DIGEST}]}
     r2 = {"metadata": None, "digest": "2ecb34d99efafac8531a93575adf640155b5c4650d7f530e669a59f146b252c0",
           "record_entries": [{"file": "../foo.bar", "data_digest": FOO_DIGEST}]}
     for name, doc in (("one", r1), ("two", r2)):
@@ -68,6 +69,6 @@ def test_compare_golden(spark):
     labels = C.diff_labels(C.diff_report_rows(C.record_diff(e1, e2))).orderBy("class", "row_num").collect()
     got = [(r["class"], r.number_label, r.key_label, r.path_1, r.path_2, r.digest_label) for r in labels]
     assert got == [
-        ("same", "[0000]", f"(Hash)  {FOO_DIGEST}", "tests/fixtures/foo.bar", "../foo.bar", FOO_DIGEST),
-        ("undetermined_1", "[0000]", "(FileName)  foo2.bar", "tests/fixtures/foo2.bar", None, FOO2_DIGEST),
+        ("same", "[0000]", f"(Hash)  {FOO_DIGEST}", "data/foo.bar", "../foo.bar", FOO_DIGEST),
+        ("undetermined_1", "[0000]", "(FileName)  foo2.bar", "data/foo2.bar", None, FOO2_DIGEST),
     ]
