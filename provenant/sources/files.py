@@ -39,7 +39,9 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
     found = r.load(location).select(strip_scheme("path").alias("path"), "length", "content")
     if asked is None:
         return found
-    j = asked.select("path").join(found, "path", "left")
+    from provenant.operators.skew import hot_split_join
+
+    j = hot_split_join(asked.select("path"), found, "path", "left")
     present = F.col("length").isNotNull()
     if strict:
         present = F.when(present, F.lit(True)).otherwise(
