@@ -1,7 +1,8 @@
 """Joins whose big side may hold a hot key (one path listed by a third of
 all entries, one base name shared by a third of all files).
 
-``hot_split_join`` joins ``big`` to ``dim`` (at most one row per key) and
+``hot_split_join`` joins ``big`` to ``dim`` (at most one row per key, and
+rows of bounded width -- digests, ids, states; never file contents) and
 splits the keys first: a key is *hot* when it holds more than
 ``max(MIN_HOT_ROWS, total / MAX_HOT_KEYS)`` rows of ``big``.  There can be at most
 ``MAX_HOT_KEYS`` such keys (their rows add up to at most ``total``), so the
