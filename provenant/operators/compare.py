@@ -9,12 +9,14 @@ set aside for that tier without an attempt.
 
 Scale notes
 -----------
-* Uniqueness is found with ``groupBy(key).agg(count, min(pos))``: a partial
-  (map-side) aggregate, so a key that holds a third of all rows collapses to
-  one buffer per task before the shuffle; raw rows are never shuffled by key.
-* Both sides are hash-partitioned once by ``entry_pos`` (uniformly spread);
-  every later join is on ``entry_pos``, so the remaining entries keep their
-  partitioning across tiers and only the (small) matched pairs move.
+* Uniqueness is found with one ``groupBy(key)`` per tier computing both
+  sides' counts and smallest positions: a partial (map-side) aggregate, so a
+  key that holds a third of all rows collapses to one buffer per task before
+  the shuffle; raw rows are never shuffled by key.
+* Both sides live in one frame hash-partitioned once by ``(side,
+  entry_pos)`` (uniformly spread); every later join is on that pair, so the
+  remaining entries keep their partitioning across tiers and only the
+  matched positions move.
 """
 
 from __future__ import annotations
@@ -54,13 +56,15 @@ def default_tiers() -> list[tuple[str, Column]]:
     return [digest_tier(), filename_tier()]
 
 
-def _prepare(df: DataFrame) -> DataFrame:
-    # Materialised once (reliable checkpoint, partitioning by entry_pos kept):
-    # every tier reads the entries several times, and recomputing them could
-    # mean re-reading and re-digesting all contents.
+def _prepare(a: DataFrame, b: DataFrame) -> DataFrame:
+    # Both sides in one frame, hash-partitioned once by (side, entry_pos) and
+    # materialised with a reliable checkpoint (partitioning kept): every tier
+    # reads the entries several times, and recomputing them could mean
+    # re-reading and re-digesting all contents.
+    both = a.select(F.lit(1).alias("side"), POS, "file", "data_digest").unionByName(
+        b.select(F.lit(2).alias("side"), POS, "file", "data_digest"))
     return cut_lineage(
-        df.select(POS, "file", "data_digest")
-        .repartition(POS)
+        both.repartition("side", POS)
         .withColumn("attempts", F.array().cast(_ATTEMPT))
         .withColumn("tier_keys", F.array().cast("array<string>"))
     )
@@ -76,15 +80,6 @@ def group_by_key(entries: DataFrame, key: Column) -> DataFrame:
     )
 
 
-def _unique_keys(keyed: DataFrame, n: str, p: str) -> DataFrame:
-    return (
-        keyed.where(F.col("_key").isNotNull())
-        .groupBy("_key")
-        .agg(F.count(F.lit(1)).alias(n), F.min(POS).alias(p))
-        .where(F.col(n) == 1)
-    )
-
-
 def match_tiers(a: DataFrame, b: DataFrame,
                 tiers: Sequence[tuple[str, Column]] | None = None) -> dict[str, DataFrame]:
     """#40: run the tier chain.
@@ -93,58 +88,71 @@ def match_tiers(a: DataFrame, b: DataFrame,
     ``tier_idx``, ``match_key``, both sides' fields and side 1's attempt
     trail) and ``rest_1`` / ``rest_2`` (unmatched entries with their own
     trails and per-tier keys).
+
+    Per tier, one aggregation over the key gives both sides' counts and
+    smallest positions (map-side combined); a key is a match when it occurs
+    once on each side.  The matched positions are joined back on
+    ``(side, entry_pos)``, the partitioning the entries already have.
     """
     tiers = list(tiers) if tiers is not None else default_tiers()
-    ra, rb = _prepare(a), _prepare(b)
+    rest = _prepare(a, b)
     matched_parts = []
+    side = F.col("side")
     for idx, (name, key) in enumerate(tiers):
-        ka = ra.withColumn("_key", key.cast("string"))
-        kb = rb.withColumn("_key", key.cast("string"))
-        pairs = _unique_keys(ka, "_na", "_pa").join(_unique_keys(kb, "_nb", "_pb"), "_key")
+        keyed = rest.withColumn("_key", key.cast("string"))
+        stats = (
+            keyed.where(F.col("_key").isNotNull())
+            .groupBy("_key")
+            .agg(
+                F.count_if(side == 1).alias("_na"),
+                F.count_if(side == 2).alias("_nb"),
+                F.min(F.when(side == 1, F.col(POS))).alias("_pa"),
+                F.min(F.when(side == 2, F.col(POS))).alias("_pb"),
+            )
+            .where((F.col("_na") == 1) & (F.col("_nb") == 1))
+        )
+        hits = stats.select(F.lit(1).alias("side"), F.col("_pa").alias(POS), F.col("_pb").alias("_partner")) \
+            .unionByName(stats.select(F.lit(2).alias("side"), F.col("_pb").alias(POS), F.col("_pa").alias("_partner")))
+        tagged = keyed.join(hits, ["side", POS], "left")
         attempt = F.struct(F.lit(name).alias("tier"), F.col("_key").alias("key"))
 
-        ta = ka.join(pairs.select(F.col("_pa").alias(POS), "_pb"), POS, "left")
-        tb = kb.join(pairs.select(F.col("_pb").alias(POS), F.lit(True).alias("_hit")), POS, "left")
-
-        side2 = kb.select(
-            F.col(POS).alias("_pb"),
+        side2 = tagged.where(side == 2).select(
+            F.col(POS).alias("_partner"),
             F.col("file").alias("file_2"),
             F.col("data_digest").alias("digest_2"),
         )
-        m = ta.where(F.col("_pb").isNotNull()).join(side2, "_pb").select(
+        m = tagged.where((side == 1) & F.col("_partner").isNotNull()).join(side2, "_partner").select(
             F.lit(name).alias("tier"),
             F.lit(idx).alias("tier_idx"),
             F.col("_key").alias("match_key"),
             F.col(POS).alias("entry_pos_1"),
             F.col("file").alias("file_1"),
             F.col("data_digest").alias("digest_1"),
-            F.col("_pb").alias("entry_pos_2"),
+            F.col("_partner").alias("entry_pos_2"),
             "file_2",
             "digest_2",
             F.array_append("attempts", attempt).alias("attempts"),
         )
         matched_parts.append(m)
-
-        def advance(t: DataFrame, unmatched: Column) -> DataFrame:
-            return t.where(unmatched).select(
-                POS,
-                "file",
-                "data_digest",
-                F.when(F.col("_key").isNotNull(), F.array_append("attempts", attempt))
-                .otherwise(F.col("attempts"))
-                .alias("attempts"),
-                F.array_append("tier_keys", F.col("_key")).alias("tier_keys"),
-            )
-
-        ra = advance(ta, F.col("_pb").isNull())
-        rb = advance(tb, F.col("_hit").isNull())
+        rest = tagged.where(F.col("_partner").isNull()).select(
+            "side",
+            POS,
+            "file",
+            "data_digest",
+            F.when(F.col("_key").isNotNull(), F.array_append("attempts", attempt))
+            .otherwise(F.col("attempts"))
+            .alias("attempts"),
+            F.array_append("tier_keys", F.col("_key")).alias("tier_keys"),
+        )
         if idx + 1 < len(tiers):
-            ra, rb = cut_lineage(ra), cut_lineage(rb)
+            rest = cut_lineage(rest)
 
     matched = matched_parts[0]
     for m in matched_parts[1:]:
         matched = matched.unionByName(m)
-    return {"matched": matched, "rest_1": ra, "rest_2": rb, "n_tiers": len(tiers)}
+    cols = [POS, "file", "data_digest", "attempts", "tier_keys"]
+    return {"matched": matched, "rest_1": rest.where(side == 1).select(*cols),
+            "rest_2": rest.where(side == 2).select(*cols), "n_tiers": len(tiers)}
 
 
 def unique_match(a: DataFrame, b: DataFrame, key: Column, name: str = "key") -> DataFrame:
