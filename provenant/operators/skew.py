@@ -22,9 +22,7 @@ MAX_HOT_KEYS = 100_000
 MIN_HOT_ROWS = 10_000
 
 
-def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
-    """Keys of ``big`` holding more than ``total / max_hot`` rows (at most
-    ``max_hot`` of them); computed eagerly so the bound is checked."""
+def _hot_rows(big: DataFrame, key: str, max_hot: int):
     counts = big.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).where(F.col(key).isNotNull()).persist()
     try:
         total, biggest = counts.agg(F.sum("_n"), F.max("_n")).first()
@@ -35,7 +33,15 @@ def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame
         counts.unpersist(blocking=False)
     if len(rows) > max_hot:  # cannot happen: the counts add up to total
         raise AssertionError("hot-key bound violated")
-    return big.sparkSession.createDataFrame(rows, hot.schema)
+    return rows, hot.schema
+
+
+def hot_keys(big: DataFrame, key: str, max_hot: int = MAX_HOT_KEYS) -> DataFrame:
+    """Keys of ``big`` holding more than ``max(MIN_HOT_ROWS, total /
+    max_hot)`` rows (at most ``max_hot`` of them); computed eagerly so the
+    bound is checked."""
+    rows, schema = _hot_rows(big, key, max_hot)
+    return big.sparkSession.createDataFrame(rows, schema)
 
 
 def hot_split_join(big: DataFrame, dim: DataFrame, key: str, how: str = "inner",
@@ -44,10 +50,10 @@ def hot_split_join(big: DataFrame, dim: DataFrame, key: str, how: str = "inner",
     left_anti, with hot keys of ``big`` joined by broadcast."""
     if how not in ("inner", "left", "left_outer", "left_semi", "left_anti"):
         raise ValueError(f"unsupported join type {how!r}")
-    hot = hot_keys(big, key, max_hot)
-    if hot.isEmpty():
+    rows, schema = _hot_rows(big, key, max_hot)
+    if not rows:
         return big.join(dim, key, how)
-    hot_b = F.broadcast(hot)
+    hot_b = F.broadcast(big.sparkSession.createDataFrame(rows, schema))
     big_hot = big.join(hot_b, key, "left_semi")
     big_cold = big.join(hot_b, key, "left_anti")
     dim_hot = F.broadcast(dim.join(hot_b, key, "left_semi"))
