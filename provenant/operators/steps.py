@@ -31,6 +31,7 @@ TOKEN_PATTERN = r"(\{[^{}]*\}|[^{}]+)"
 UNOPENED, NESTED, UNCLOSED, UNKNOWN = "unopened_close", "nested_open", "unclosed_open", "unknown_word"
 
 MAX_CLOSURE_ROUNDS = 10_000
+MAX_BROADCAST_EDGES = 1_000_000
 
 
 def template_tokens(steps: DataFrame) -> DataFrame:
@@ -127,12 +128,14 @@ def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int
     in use and the lineage is cut every few rounds and at the end.
     """
     e = edges.select(F.col("step").alias("_via"), F.col("depends_on").alias("_next")).persist()
+    # the edge list is joined every round: broadcast it when it is provably small
+    e_join = F.broadcast(e) if e.count() <= MAX_BROADCAST_EDGES else e
     frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).persist()
     found = [frontier]
     cached = [e, frontier]
     for rnd in range(1, MAX_CLOSURE_ROUNDS + 1):
         nxt = (
-            frontier.join(e, frontier.upstream == e._via)
+            frontier.join(e_join, frontier.upstream == e_join._via)
             .select("step", F.col("_next").alias("upstream"), F.lit(rnd).alias("depth"))
             .distinct()
         )
