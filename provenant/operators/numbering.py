@@ -5,8 +5,9 @@ into one task; with four report classes that is the whole table in four
 tasks.  Here the rows are range-partitioned and sorted by ``(p, o)``; each
 task numbers its own rows (``monotonically_increasing_id`` carries the task
 index in its upper bits), a tiny per-(task, p) count table gives the offsets,
-and a join adds them.  The sorted frame is checkpointed once so both uses
-see the same partition layout (and a lost executor cannot reshuffle it).
+and a join adds them.  The numbered frame is written once as a table in the
+shared checkpoint folder, so both uses see the same numbers (and a lost
+executor cannot make a recomputation disagree).
 """
 
 from __future__ import annotations
