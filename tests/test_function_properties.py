@@ -42,3 +42,52 @@ def test_tokens_reassemble_the_text(spark, args):
         joined[t.arg_pos] = joined.get(t.arg_pos, "") + t.token
     assert [joined[i] for i in range(len(args))] == args
     assert S.template_faults(df).count() == 0
+
+
+def _check_model(s, n=8):
+    if not s.startswith("vs"):
+        return "missing_prefix"
+    h = s[2:]
+    if len(h.encode()) != 2 * n:
+        return f"invalid_length(expected={2 * n}, actual={len(h.encode())})"
+    for i in range(0, len(h), 2):
+        pair = h[i:i + 2]
+        try:
+            int(pair, 16) if not pair.startswith("+") else int(pair[1:], 16)
+        except ValueError:
+            return "invalid_hex"
+        if pair.startswith("+") and not pair[1:]:
+            return "invalid_hex"
+    return "ok"
+
+
+@settings(max_examples=N, deadline=None)
+@given(st.lists(st.text(alphabet="vs0123456789abcdefABCDEFxz+", min_size=0, max_size=20), min_size=1, max_size=30))
+def test_check_id_matches_model(spark, ids):
+    from provenant.functions.digests import check_id
+
+    df = spark.createDataFrame([(i,) for i in ids], "s string")
+    got = [r.v for r in df.select(check_id("varstep", "s").alias("v")).collect()]
+    assert got == [_check_model(i) for i in ids]
+
+
+@settings(max_examples=N, deadline=None)
+@given(st.lists(st.tuples(st.text(alphabet="0123456789abcdef", min_size=0, max_size=70),
+                          st.integers(min_value=0, max_value=80)), min_size=1, max_size=20))
+def test_compact_hex_matches_model(spark, cases):
+    from pyspark.sql import functions as F
+
+    from provenant.functions.digests import compact_hex
+
+    def model(h, w):
+        if len(h) <= w:
+            return h
+        if w < 5:
+            return h[:w]
+        front = (w - 3) // 2
+        return h[:front] + "..." + h[len(h) - (w - 3 - front):]
+
+    df = spark.createDataFrame(cases, "h string, w int")
+    for w in sorted({w for _, w in cases}):
+        got = [r.c for r in df.where(F.col("w") == w).select(compact_hex("h", w).alias("c")).collect()]
+        assert got == [model(h, w) for h, ww in cases if ww == w]
