@@ -38,3 +38,17 @@ def test_state_across_batches_and_late_events(spark):
         5: (None, "late"),
         6: ("Running", "bad_start"),
     }
+
+
+def test_stream_equals_batch_on_events(spark):
+    """The ``events`` status log in time slices through the stream gives
+    the batch verdicts (the registered query, whole table)."""
+    from provenant.plans.catalog import QUERIES
+
+    from conftest import SF_SMALL
+
+    stream = {r.event_id: (r.prev_status, r.verdict)
+              for r in QUERIES["check_transitions_stream"](spark, SF_SMALL).collect()}
+    batch = {r.event_id: (r.prev_status, r.verdict)
+             for r in QUERIES["check_transitions"](spark, SF_SMALL).collect()}
+    assert stream == batch and len(batch) > 0
