@@ -41,6 +41,7 @@ def q_keyed_set_digest(spark, sf_dir):
     """#21: keyed-set digest per order over (line number -> part); orders
     whose line numbers repeat get none."""
     li = table(spark, sf_dir, "lineitem")
+    D.check_keyed_set_sizes(li, ["l_orderkey"])  # every group below is bounded
     return li.groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n_items"),
         D.keyed_set_digest("order", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
