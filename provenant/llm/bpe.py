@@ -8,8 +8,8 @@ token ``s`` such that BPE keeps ``s t`` apart; so a node needs only the states
 of its ancestors, and a prefix shared by many words is encoded once.  A word's
 tokens are read back from the last-token states.
 
-Encodings of words are kept per task, at most ``MAX_CACHED`` of them (the cache
-is then begun anew, which changes time, not results).  The vocabulary (a file
+Encodings of words are kept per task, about twice ``MAX_CACHED`` of them (those not met
+lately go, which changes time, not results).  The vocabulary (a file
 of bounded size, path given) is read by the driver and broadcast.  Nothing is
 shuffled.
 
@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from provenant.llm.common import sha, text_slices
 
-MAX_CACHED = 300_000
+MAX_CACHED = 250_000
 MAX_VOCABULARY_BYTES = 64 << 20
 
 # Fixed pattern of byte-level pre-tokenisation.
@@ -61,6 +61,14 @@ def read_vocabulary(path: str) -> dict:
             "merges": [(raw(a), raw(b)) for a, b in pairs], "special": special}
 
 
+class _Texts(dict):
+    """Decimal text of numbers, made once each."""
+
+    def __missing__(self, key: int) -> str:
+        value = self[key] = str(key)
+        return value
+
+
 _NEVER = (1 << 60, -1)
 _ONE = (1,)
 
@@ -87,7 +95,11 @@ class TrieEncoder:
         self.pairs = {k: [2, 1] for k in tails if len(k) == 2}
         self.tails = {k: sorted({*v, *self.pairs.get(k[1:], [1])}, reverse=True) for k, v in tails.items() if len(k) == 3}
         self.apart: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[str, bytes]] = {}
+        # words seen lately, and those of the generation before: ids as text
+        self.words: dict[str, str] = {}
+        self.before: dict[str, str] = {}
+        self.decimal = _Texts()
+        self.unlike: set[str] = set()  # words that do not decode to themselves
         self.split = regex.compile(WORDS).findall
         self.cut = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
 
@@ -113,7 +125,7 @@ class TrieEncoder:
         """Does BPE of the two tokens' bytes give just these two tokens?"""
         known = self.apart.get((s, t))
         if known is None:
-            if len(self.apart) > 2 * MAX_CACHED:
+            if len(self.apart) > 3 * MAX_CACHED:
                 self.apart.clear()
             known = self.apart[s, t] = self.merge(self.token_bytes[s] + self.token_bytes[t]) == [s, t]
         return known
@@ -163,13 +175,24 @@ class TrieEncoder:
         return [done[w] for w in words]
 
     def learn(self, words: set[str]) -> None:
-        """Put the words' encodings into the cache: ids as text, number, bytes."""
-        if len(self.words) + len(words) > MAX_CACHED:
-            self.words = {}
-        new = [w for w in words if w not in self.words]
+        """Put the words' encodings into the cache."""
+        if len(self.words) > MAX_CACHED:
+            self.words, self.before, self.unlike = {}, self.words, set()
+        now, old = self.words, self.before
+        new = []
+        for w in words:
+            if w not in now:
+                ids = old.get(w)
+                if ids is None or w in self.unlike:
+                    new.append(w)
+                else:
+                    now[w] = ids
         raw = [w.encode() for w in new]
-        for w, ids in zip(new, self.encode_words(raw)):
-            self.words[w] = (",".join(map(str, ids)), b"".join(map(self.token_bytes.__getitem__, ids)))
+        text, part = self.decimal.__getitem__, self.token_bytes.__getitem__
+        for w, r, ids in zip(new, raw, self.encode_words(raw)):
+            now[w] = ",".join(map(text, ids))
+            if b"".join(map(part, ids)) != r:
+                self.unlike.add(w)
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
@@ -180,16 +203,21 @@ class TrieEncoder:
     def encode_texts(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Per text: its ids (decimal, comma-joined) and the decoded text."""
         parts = [self.pieces(t) if t else [] for t in texts]
-        distinct = {w for p in parts for w in p}
+        distinct = set().union(*parts)
         specials = distinct & self.special.keys()
         self.learn(distinct - specials)
-        known = self.words if not specials else self.words | {s: (str(self.special[s]), s.encode()) for s in specials}
+        known = self.words if not specials else self.words | {s: str(self.special[s]) for s in specials}
         out = []
-        for p in parts:
-            both = [known[w] for w in p]
-            out.append((",".join([b[0] for b in both]), b"".join([b[1] for b in both]).decode("utf-8", "replace")))
+        for t, p in zip(texts, parts):
+            ids = ",".join(map(known.__getitem__, p))
+            # words that decode to themselves decode to the text
+            same = not self.unlike or self.unlike.isdisjoint(p)
+            out.append((ids, (t or "") if same else self.decode(ids)))
         return out
 
+    def decode(self, ids: str) -> str:
+        return b"".join(self.token_bytes[int(i)] for i in ids.split(",") if i).decode("utf-8", "replace")
+
 
 _ENCODERS: dict[str, TrieEncoder] = {}  # of a worker process: the last vocabulary's
 

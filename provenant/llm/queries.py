@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, decontaminate, lang_id, near_dups, secrets
+from provenant.llm import bpe, decontaminate, lang_id, near_dups, secrets, vp_tree
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -50,3 +50,25 @@ def op9_language_id(spark, sf_dir):
 def op10_decontaminate(spark, sf_dir):
     """Benchmark windows in every document by a suffix automaton."""
     return decontaminate.contamination_digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL["op6_vp_tree"] = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND vec_id IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.e, c.e) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(c.e) = len(q.e)
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@_query
+def op6_vp_tree(spark, sf_dir):
+    """The 20 nearest vectors of every twentieth vector."""
+    return vp_tree.search(table(spark, sf_dir, "embeddings"))
