@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, decontaminate, lang_id, near_dups, secrets, vp_tree
+from provenant.llm import bpe, chat, decontaminate, lang_id, near_dups, secrets, vp_tree
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -72,3 +72,9 @@ SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 def op6_vp_tree(spark, sf_dir):
     """The 20 nearest vectors of every twentieth vector."""
     return vp_tree.search(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op5_quote_links(spark, sf_dir):
+    """Every message without quotes, in reply order by its keys."""
+    return chat.link_quotes(table(spark, sf_dir, "conversations"))
