@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, chat, decontaminate, lang_id, near_dups, secrets, vp_tree
+from provenant.llm import bpe, chat, decontaminate, html_text, lang_id, near_dups, secrets, vp_tree
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -78,3 +78,9 @@ def op6_vp_tree(spark, sf_dir):
 def op5_quote_links(spark, sf_dir):
     """Every message without quotes, in reply order by its keys."""
     return chat.link_quotes(table(spark, sf_dir, "conversations"))
+
+
+@_query
+def op2_wrapper_text(spark, sf_dir):
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
