@@ -11,7 +11,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, decontaminate, lang_id, near_dups, secrets
+from provenant.llm import bpe, decontaminate, lang_id, near_dups, secret_scan
 from provenant.llm.common import prepare, table
 from provenant.session import materialize
 
@@ -37,7 +37,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their secrets blotted out."""
     prepare(spark)
-    return secrets.redact_secrets(docs)
+    return secret_scan.redact_secrets(docs)
 
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, chat, decontaminate, html_text, lang_id, near_dups, secrets, vp_tree
+from provenant.llm import bpe, chat, decontaminate, html_text, lang_id, near_dups, secret_scan, suffix_model, vp_tree
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -37,7 +37,7 @@ def op4_bpe_trie(spark, sf_dir):
 @_query
 def op8_secret_scan(spark, sf_dir):
     """Strong and linked secret spans of every document."""
-    return secrets.secret_digest(table(spark, sf_dir, "documents"))
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
 
 @_query
@@ -84,3 +84,9 @@ def op5_quote_links(spark, sf_dir):
 def op2_wrapper_text(spark, sf_dir):
     """Main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op7_suffix_tree_lm(spark, sf_dir):
+    """Log-probability of every document."""
+    return suffix_model.score_texts(table(spark, sf_dir, "documents"))
