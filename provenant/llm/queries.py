@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, chat, decontaminate, html_text, lang_id, near_dups, secret_scan, suffix_model, vp_tree
+from provenant.llm import bpe, bwt_dedup, chat, decontaminate, html_text, lang_id, near_dups, secret_scan, suffix_model, vp_tree
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -90,3 +90,9 @@ def op2_wrapper_text(spark, sf_dir):
 def op7_suffix_tree_lm(spark, sf_dir):
     """Log-probability of every document."""
     return suffix_model.score_texts(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op3_bwt_dedup(spark, sf_dir):
+    """Every document without byte strings that an earlier one has."""
+    return bwt_dedup.repeat_digest(table(spark, sf_dir, "documents"))
