@@ -55,6 +55,7 @@ BUCKET_BYTES = 4 << 20
 RUN = 64
 BROADCAST_IDS = 1_000_000
 _HASH_BITS = 47
+_PIECE = 1 << 19  # bytes hashed at once
 
 
 def _squeeze(data: bytes) -> bytes:
@@ -89,30 +90,33 @@ class ShardText:
         self.sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1])).astype(np.int64)
         self.data = b"".join(texts)
-        if len(self.data) >= LENGTH:
-            anchors = window_anchors(self.data)
-            inside = np.ones(len(self.data), bool)
-            ends = self.starts + self.sizes
-            step = np.zeros(len(self.data) + 1, np.int32)  # windows that reach over a text's end
-            np.add.at(step, np.maximum(ends - LENGTH + 1, self.starts), 1)
-            np.add.at(step, ends, -1)
-            inside = (np.cumsum(step[:-1]) == 0)[:len(anchors)]
-        else:
-            anchors, inside = np.zeros(0, np.uint64), np.zeros(0, bool)
-        # runs of windows with one anchor, inside one text
-        at = np.flatnonzero(inside)
-        value = anchors[at]
-        owner = np.repeat(np.arange(len(self.ids)), self.sizes)[at] if len(at) else np.zeros(0, np.int64)
-        new = np.ones(len(at), bool)
-        new[1:] = (value[1:] != value[:-1]) | (owner[1:] != owner[:-1])
-        first = np.flatnonzero(new)
-        length = np.diff(np.append(first, len(at)))
+        inside = np.ones(len(self.data), bool)  # does a window of one text begin here?
+        tails = (self.starts + self.sizes)[:, None] - np.arange(1, LENGTH)[None, :]
+        inside[tails[tails >= self.starts[:, None]]] = False
+        # runs of windows with one anchor, a piece of the shard at a time;
+        # between texts there are places without a window, so no run crosses
+        at, length, value = [], [], []
+        for a in range(0, len(self.data), _PIECE):
+            own = inside[a:a + _PIECE]
+            if not own.any():
+                continue
+            anchors = window_anchors(self.data[a:a + _PIECE + LENGTH - 1])
+            own = own[:len(anchors)]
+            new = own.copy()
+            new[1:] &= ~own[:-1] | (anchors[1:] != anchors[:-1])
+            edge = np.append(np.flatnonzero(new | ~own), len(own))
+            first = np.flatnonzero(new[edge[:-1]])
+            at.append(edge[first] + a)
+            length.append(edge[first + 1] - edge[first])
+            value.append(anchors[edge[first]])
+        at, length = (np.concatenate(x).astype(np.int64) if x else np.zeros(0, np.int64) for x in (at, length))
+        value = np.concatenate(value) if value else np.zeros(0, np.uint64)
         pieces = -(-length // RUN)
         part = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        self.run_at = at[np.repeat(first, pieces)] + part * RUN if len(first) else np.zeros(0, np.int64)
+        self.run_at = np.repeat(at, pieces) + part * RUN
         self.run_len = np.minimum(np.repeat(length, pieces) - part * RUN, RUN)
-        self.run_anchor = np.repeat(value[first], pieces)
-        self.run_doc = np.repeat(owner[first], pieces)
+        self.run_anchor = np.repeat(value, pieces)
+        self.run_doc = np.searchsorted(self.starts, self.run_at, side="right") - 1
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct anchors, sorted, and whether two texts here have it."""
@@ -199,7 +203,10 @@ def shard_strings(shard: ShardText, runs: np.ndarray, buckets: int):
 
 
 class Transform:
-    """BWT of a collection of strings over symbols 1.., each ended by 0."""
+    """BWT of a collection of strings over symbols 1.., each ended by 0.
+
+    ``order``: position of every row's suffix; ``symbols``: the symbol before
+    it; ``back``: the row of the suffix one symbol longer."""
 
     def __init__(self, symbols: np.ndarray, to_end: np.ndarray):
         n = len(symbols)
@@ -211,53 +218,71 @@ class Transform:
             take[:n - k] = symbols[k:]
             take[to_end < k] = 0
             key |= take
-        _, rank = np.unique(key, return_inverse=True)
-        longest = int(to_end.max()) + 1
-        while h < longest:
-            follow = np.zeros(n, np.int64)
-            follow[:n - h] = rank[h:] + 1
-            follow[to_end < h] = 0
-            _, rank = np.unique(rank * np.int64(n + 2) + follow, return_inverse=True)
+        order = np.argsort(key)
+        rank, open_ = self._ranks(order, key[order], np.arange(n), n)
+        # doubling, only for suffixes that are not yet alone
+        while len(open_):
+            follow = np.zeros(len(open_), np.int64)
+            far = to_end[open_] >= h
+            follow[far] = rank[open_[far] + h] + 1
+            own = rank[open_]
+            by = np.argsort(own * np.int64(n + 2) + follow)
+            open_, follow, own = open_[by], follow[by], own[by]
+            start = np.append(True, own[1:] != own[:-1])
+            edge = start | np.append(True, follow[1:] != follow[:-1])
+            at = np.arange(len(open_))
+            first = np.maximum.accumulate(np.where(edge, at, 0))
+            group = np.maximum.accumulate(np.where(start, at, 0))
+            rank[open_] = own + first - group
+            alone = edge & np.append(edge[1:], True)
+            # what reached its end is equal to its like for good
+            open_ = open_[~alone & (to_end[open_] >= h)]
             h *= 2
-        self.order = np.argsort(rank, kind="stable")  # equal suffixes by place
+        self.order = np.argsort(rank * np.int64(n) + np.arange(n))  # equal suffixes by place
         before = symbols[self.order - 1]
         starts = np.zeros(n, bool)
         starts[0] = True
         starts[1:] = symbols[:-1] == 0
         before[starts[self.order]] = 0
         self.symbols = before
+        self.back = np.empty(n, np.int64)
+        self.back[np.argsort(before, kind="stable")] = np.arange(n)
+
+    @staticmethod
+    def _ranks(order, key, at, n):
+        edge = np.append(True, key[1:] != key[:-1])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.maximum.accumulate(np.where(edge, at, 0))
+        return rank, order[~(edge & np.append(edge[1:], True))]
 
 
-def merge_transforms(parts: list[Transform], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+def merge_transforms(parts: list[Transform], wanted: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement.
 
-    Returns, in merged order, the row numbers (rows of the parts end to end)
-    and the block each row is in; rows of one block share their first
-    ``rounds`` symbols."""
-    sizes = [len(p.symbols) for p in parts]
-    n = sum(sizes)
-    narrow = np.uint8 if len(parts) <= 256 else np.uint16 if len(parts) <= 65_536 else np.uint32
+    The interleave lists the parts' rows, each part's in its own order; a round
+    steps every row back by one symbol and buckets stably by that symbol, which
+    orders the interleave by one symbol more.  Only rows that can step back
+    ``rounds`` times matter (``wanted``, by row over the parts end to end), and
+    a row alone in its block stays alone in all longer ones, so it leaves the
+    interleave.  Returned are the rows left and their blocks: rows of one block
+    share their first ``rounds`` symbols."""
+    offset = np.cumsum([0] + [len(p.symbols) for p in parts])
+    kind = np.int32 if offset[-1] < 1 << 31 else np.int64
     bwt = np.concatenate([p.symbols for p in parts])
-    z = np.repeat(np.arange(len(parts)), sizes).astype(narrow)  # whose row stands here
-    block = np.zeros(n, np.int32)
-    ends = int(np.count_nonzero(bwt == 0))
-    # the rows that begin with an end mark, in the order of the parts
-    head = np.repeat(np.arange(len(parts)), [int(np.count_nonzero(p.symbols == 0)) for p in parts]).astype(narrow)
-    symbol = np.empty(n, bwt.dtype)
+    back = np.concatenate([(p.back + o).astype(kind) for p, o in zip(parts, offset)])
+    rows = np.flatnonzero(wanted).astype(kind)
+    block = np.zeros(len(rows), np.int32)
     for _ in range(rounds):
-        # the k-th place of a part reads the k-th symbol of its transform
-        symbol[np.argsort(z, kind="stable")] = bwt
-        move = np.argsort(symbol, kind="stable")[ends:]
-        came, sym = block[move], symbol[move]
-        z = np.concatenate((head, z[move]))
-        edge = np.empty(n, bool)
-        edge[:ends] = False
-        edge[ends:ends + 1] = True
-        edge[ends + 1:] = (sym[1:] != sym[:-1]) | (came[1:] != came[:-1])
-        edge[0] = False
-        block = np.cumsum(edge, dtype=np.int32)
-    rows = np.empty(n, np.int64)
-    rows[:] = np.argsort(np.argsort(z, kind="stable"), kind="stable")
+        symbol = bwt[rows]
+        move = np.argsort(symbol, kind="stable")
+        symbol, came, rows = symbol[move], block[move], back[rows[move]]
+        edge = np.empty(len(rows) + 1, bool)
+        edge[:1] = edge[-1:] = True
+        edge[1:-1] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
+        block = np.cumsum(edge[:-1], dtype=np.int32)
+        alone = edge[:-1] & edge[1:]
+        if alone.any():
+            rows, block = rows[~alone], block[~alone]
     return rows, block
 
 
@@ -268,7 +293,7 @@ def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np
     used, dense = np.unique(joined, return_inverse=True)
     kind = np.uint8 if len(used) < 255 else np.uint16
     dense = (dense + 1).astype(kind)
-    parts, docs, windows, at = [], [], [], 0
+    parts, docs, windows, after, at = [], [], [], [], 0
     for size, low in zip(sizes, least):
         size = size.astype(np.int64)
         total = int(size.sum())
@@ -283,14 +308,16 @@ def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np
         parts.append(Transform(symbols, to_end))
         docs.append(low[owner])
         windows.append(to_end >= LENGTH)
-    rows, block = merge_transforms(parts, LENGTH)
+        after.append(np.repeat(size, size + 1) - to_end)  # symbols before each place
+    # by row, over the parts end to end: its position and suffix length
     place = np.concatenate([p.order + o for p, o in zip(parts, np.cumsum([0] + [len(p.order) for p in parts[:-1]]))])
-    where = place[rows]  # position, in the strings end to end, of each merged row
-    doc = np.concatenate(docs)[where]
-    first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
-    smallest = np.minimum.reduceat(doc, first)
-    answer = np.empty(len(doc), np.int64)
-    answer[where] = np.repeat(smallest, np.diff(np.append(first, len(doc))))
+    doc = np.concatenate(docs)
+    rows, block = merge_transforms(parts, np.concatenate(after)[place] >= LENGTH, LENGTH)
+    answer = doc.copy()  # a window that is alone has its own document
+    if len(rows):
+        where = place[rows]
+        first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+        answer[where] = np.repeat(np.minimum.reduceat(doc[where], first), np.diff(np.append(first, len(rows))))
     cuts = np.cumsum([len(w) for w in windows])[:-1]
     return [a[w] for a, w in zip(np.split(answer, cuts), windows)]
 
