@@ -21,17 +21,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.functions.digests import compact_hex, content_digest
 from provenant.operators.numbering import number_rows
 from provenant.operators.skew import hot_split_join
 from provenant.session import cut_lineage
 
-# Roll-up fan-in: a Record of at most this many entries is rolled up flat
-# (digest of all raw child digests in entry order, the reference's rule);
-# larger Records are rolled up as a tree of such groups, so no group ever
-# holds more than ROLLUP_FANOUT digests (32 KiB of preimage).
-ROLLUP_FANOUT = 1024
+# Groups up to this size are rolled up in one expression, larger ones by a
+# stream over their sorted entries; both give the same value.
+GROUP_IN_ROW = 1024
 
 VERIFIED, FAILED, MISSING = "VERIFIED", "FAILED", "MISSING"
 
@@ -86,24 +85,65 @@ def _flat_rollup(entries: DataFrame, group_cols: list[str], order_col: str, dige
     )
 
 
+def _streamed_rollup(entries: DataFrame, g: list[str], order_col: str, digest_col: str) -> DataFrame:
+    """The same value for groups of any size: a group's entries pass one task
+    in order, which holds only the hash state."""
+    rows = entries.select(*g, order_col, digest_col).repartition(*g).sortWithinPartitions(
+        *g, order_col, F.col(digest_col).asc_nulls_last())
+    schema = T.StructType([*(rows.schema[c] for c in g), T.StructField("n_entries", T.LongType()), T.StructField("digest", T.StringType())])
+
+    def run(batches):
+        import hashlib
+
+        import pyarrow as pa
+
+        key, state, n, whole, out = None, None, 0, True, []
+
+        def close():
+            if state is not None:
+                out.append((*key, n, state.hexdigest() if whole else None))
+
+        kinds = None
+        for batch in batches:
+            kinds = [batch.schema.field(c).type for c in g]
+            cols = [batch.column(c).to_pylist() for c in g]
+            for *k, d in zip(*cols, batch.column(digest_col).to_pylist()):
+                if state is None or k != key:
+                    close()
+                    key, state, n, whole = k, hashlib.sha256(), 0, True
+                n += 1
+                if d is None:
+                    whole = False
+                else:
+                    state.update(bytes.fromhex(d))
+        close()
+        if out:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(zip(*out), [*kinds, pa.int64(), pa.string()])], names=[*g, "n_entries", "digest"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def rollup_digest(entries: DataFrame, group_cols: Sequence[str] = ("record_id",),
                   order_col: str = "entry_pos", digest_col: str = "data_digest",
-                  fanout: int = ROLLUP_FANOUT) -> DataFrame:
+                  fanout: int | None = None) -> DataFrame:
     """#23: one digest per group over its child digests in ``order_col`` order.
 
-    Groups of at most ``fanout`` entries: SHA-256 of the concatenated raw
-    digests (exactly the reference's roll-up, with SHA-256).  Larger groups:
-    the same rule applied to consecutive blocks of ``fanout`` entries, then
-    to blocks of those digests, up to one root -- bounded work per task.
+    SHA-256 of the concatenated raw digests, for groups of every size.  Only
+    if a ``fanout`` is asked for, the digest is a tree: the rule applied to
+    consecutive blocks of ``fanout`` entries, then to blocks of those digests,
+    up to one root (groups of at most ``fanout`` entries have the flat value).
     A null child digest makes the group's digest null.
     Returns ``(*group_cols, n_entries, digest)``.
     """
     g = list(group_cols)
     sizes = entries.groupBy(*g).agg(F.count(F.lit(1)).alias("_n"))
     max_n = sizes.agg(F.max("_n")).first()[0] or 0
-    if max_n <= fanout:
+    if max_n <= (fanout or GROUP_IN_ROW):
         flat = _flat_rollup(entries, g, order_col, digest_col)
         return flat.select(*g, "n_entries", F.when(F.col("_n_digests") == F.col("n_entries"), F.col("digest")).alias("digest"))
+    if fanout is None:
+        return _streamed_rollup(entries, g, order_col, digest_col)
 
     ranked = number_rows(entries.select(*g, order_col, digest_col), [F.col(order_col)], g, out="_idx", count_out="_n")
     levels, cap = 1, fanout
@@ -220,14 +260,14 @@ def blake3_tree_merge(nodes: DataFrame, group_cols: Sequence[str]) -> DataFrame:
 
 
 def rollup(entries: DataFrame, group_cols: Sequence[str] = ("record_id",), order_col: str = "entry_pos",
-           digest_col: str = "data_digest", algorithm: str = "sha256", fanout: int = ROLLUP_FANOUT) -> DataFrame:
+           digest_col: str = "data_digest", algorithm: str = "sha256", fanout: int | None = None) -> DataFrame:
     """Roll-up with the Record's digest algorithm (see the two functions)."""
     if algorithm == "blake3":
         return rollup_digest_blake3(entries, group_cols, order_col, digest_col)
     return rollup_digest(entries, group_cols, order_col, digest_col, fanout)
 
 
-def build_records(entries: DataFrame, fanout: int = ROLLUP_FANOUT, algorithm: str = "sha256") -> DataFrame:
+def build_records(entries: DataFrame, fanout: int | None = None, algorithm: str = "sha256") -> DataFrame:
     """#28: ``(record_id, n_entries, digest)`` from hashed entries."""
     return rollup(entries, ("record_id",), "entry_pos", "data_digest", algorithm, fanout)
 
@@ -257,7 +297,7 @@ def verify_entries(entries: DataFrame, contents: DataFrame, algorithm: str = "sh
     )
 
 
-def verify_record(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT,
+def verify_record(checked: DataFrame, records: DataFrame, fanout: int | None = None,
                   algorithm: str = "sha256") -> DataFrame:
     """#31: roll up the *present* digests and compare with the stored Record
     digest.  A Record with a missing entry cannot be rolled up: MISSING."""
@@ -283,7 +323,7 @@ def verify_summary(checked: DataFrame) -> DataFrame:
     )
 
 
-def verify_many(checked: DataFrame, records: DataFrame, fanout: int = ROLLUP_FANOUT,
+def verify_many(checked: DataFrame, records: DataFrame, fanout: int | None = None,
                 algorithm: str = "sha256") -> DataFrame:
     """#33: all Records in one job, one line each: status plus counts."""
     return verify_record(checked, records, fanout, algorithm).join(verify_summary(checked), "record_id", "left")

@@ -40,7 +40,8 @@ def resolve_status(vsteps: DataFrame, markers: DataFrame) -> DataFrame:
     code = F.lit(None).cast("int")
     for m, i in _CODES.items():
         code = F.when(F.col("marker") == m, F.lit(i)).otherwise(code)
-    per = markers.groupBy("vs_id").agg(
+    # other files named status.* are no markers
+    per = markers.where(F.col("marker").isin(*MARKERS)).groupBy("vs_id").agg(
         F.count(F.lit(1)).alias("n_markers"), F.min(code).alias("_code")
     )
     label = F.lit(None).cast("string")
@@ -83,8 +84,11 @@ def run_order(links: DataFrame, levels: DataFrame) -> DataFrame:
     return number_rows(vs, ["level", "first_pos", "step", "vs_id"], out="order_pos")
 
 
-def ready_set(order: DataFrame, ready: DataFrame) -> DataFrame:
-    """#71: every VarStep that can start now, in run order."""
+def ready_set(order: DataFrame, ready: DataFrame, subset: DataFrame | None = None) -> DataFrame:
+    """#71: every VarStep that can start now, in run order; of ``subset``
+    (a frame of ``vs_id``) if given."""
+    if subset is not None:
+        ready = ready.join(subset.select("vs_id").distinct(), "vs_id", "left_semi")
     r = ready.where(F.col("ready") & F.col("status").isin(*RUNNABLE)).select("vs_id", "status")
     return order.join(r, "vs_id").select("order_pos", "vs_id", "step", "level", "status")
 

@@ -14,6 +14,8 @@ Token grammar (what may stand between braces):
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +32,6 @@ TOKEN_PATTERN = r"(\{[^{}]*\}|[^{}]+)"
 # Fault kinds, in the order a left-to-right scan meets them.
 UNOPENED, NESTED, UNCLOSED, UNKNOWN = "unopened_close", "nested_open", "unclosed_open", "unknown_word"
 
-MAX_CLOSURE_ROUNDS = 10_000
 MAX_BROADCAST_EDGES = 1_000_000
 
 
@@ -133,7 +134,7 @@ def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int
     frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).persist()
     found = [frontier]
     cached = [e, frontier]
-    for rnd in range(1, MAX_CLOSURE_ROUNDS + 1):
+    for rnd in itertools.count(1):  # ends: a cycle raises, else paths run out
         nxt = (
             frontier.join(e_join, frontier.upstream == e_join._via)
             .select("step", F.col("_next").alias("upstream"), F.lit(rnd).alias("depth"))

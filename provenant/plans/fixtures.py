@@ -35,9 +35,17 @@ def snapshot_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def snapshot_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Snapshot 2: some documents removed, moved, renamed or edited, plus
     the benchmark passages as new files."""
-    d = table(spark, sf_dir, "documents").where(F.col("doc_id") % 13 != 0)
+    return _second(spark, sf_dir, table(spark, sf_dir, "documents").where(F.col("doc_id") % 13 != 0))
+
+
+def snapshot_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Snapshot 2 without removals: every document and benchmark passage."""
+    return _second(spark, sf_dir, table(spark, sf_dir, "documents"))
+
+
+def _second(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
     docs = d.select(
-        F.col("doc_id").alias("entry_pos"),
+        (F.col("doc_id") * 2).alias("entry_pos"),  # even; new files are odd
         F.concat(
             F.when(F.col("doc_id") % 5 == 0, F.lit("moved/")).otherwise(F.lit("docs/")),
             "source",
@@ -49,7 +57,7 @@ def snapshot_b(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")).alias("content"),
     )
     bench = table(spark, sf_dir, "benchmark").select(
-        (F.lit(1000000) + F.col("item_id")).alias("entry_pos"),
+        (F.col("item_id") * 2 + 1).alias("entry_pos"),
         F.concat(F.lit("bench/"), F.col("item_id").cast("string"), F.lit(".txt")).alias("file"),
         F.col("text").alias("content"),
     )
@@ -78,16 +86,18 @@ SQL_SNAPSHOT_A = """
     from documents"""
 
 SQL_SNAPSHOT_B = """
-    select doc_id as entry_pos,
+    select doc_id * 2 as entry_pos,
            concat(case when doc_id % 5 = 0 then 'moved/' else 'docs/' end, source, '/',
                   case when doc_id % 11 = 0 then 'renamed_' else '' end,
                   cast(doc_id as varchar), '.txt') as file,
            case when doc_id % 7 = 0 then concat(text, ' edited') else text end as content
     from documents where doc_id % 13 <> 0
     union all
-    select 1000000 + item_id, concat('bench/', cast(item_id as varchar), '.txt'), text
+    select item_id * 2 + 1, concat('bench/', cast(item_id as varchar), '.txt'), text
     from benchmark"""
 
+SQL_SNAPSHOT_ALL = SQL_SNAPSHOT_B.replace(" where doc_id % 13 <> 0", "")
+
 SQL_ENTRIES_A = f"select entry_pos, file, sha256(content) as data_digest from ({SQL_SNAPSHOT_A})"
 SQL_ENTRIES_B = f"select entry_pos, file, sha256(content) as data_digest from ({SQL_SNAPSHOT_B})"
 
@@ -129,11 +139,14 @@ SQL_RECORD_ENTRIES = """
 SQL_PRESENT_NOW = f"select file, sha256(content) as present_digest from ({SQL_SNAPSHOT_B})"
 
 
-def sql_rollup(source: str, group: str, order: str, digest: str, fanout: int, name: str = "roll",
+def sql_rollup(source: str, group: str, order: str, digest: str, fanout: int | None, name: str = "roll",
                levels: int = 3) -> str:
     """DuckDB CTE text ``<name>(group, n_entries, digest)`` for the tree
     roll-up of :func:`provenant.operators.records.rollup_digest` (exact for
-    groups up to ``fanout ** levels`` entries)."""
+    groups up to ``fanout ** levels`` entries); without a fan-out the flat rule."""
+    if fanout is None:
+        return (f"{name} as (select {group}, count(*) as n_entries, case when count({digest}) = count(*) "
+                f"then sha256(unhex(string_agg({digest}, '' order by {order}))) end as digest from {source} group by {group})")
     f = fanout
     parts = [
         f"{name}_0 as (select {group} as g, {digest} as d, "

@@ -18,7 +18,7 @@ from provenant.plans.fixtures import (
 from provenant.plans.registry import register
 from provenant.session import cut_lineage
 
-F_REC = R.ROLLUP_FANOUT
+F_REC = None  # flat: one rule for every size
 F_SMALL = 16  # fan-in of the tree check: exercises 2-3 levels on the test data
 
 _CHECKED = f"""

@@ -17,10 +17,10 @@ from provenant.operators import study as ST
 from provenant.operators.skew import hot_split_join
 from provenant.plans.fixtures import (
     SQL_RECORD_ENTRIES,
-    SQL_SNAPSHOT_B,
+    SQL_SNAPSHOT_ALL,
     contents_then,
     record_includes,
-    snapshot_b,
+    snapshot_all,
     sql_file_name,
     sql_rollup,
     table,
@@ -61,19 +61,19 @@ def q_includes_scan(spark, sf_dir):
     return FS.includes_from_text(d, "text", "doc_id")
 
 
-@register("path_list_lines", f"select file as path from ({SQL_SNAPSHOT_B})")
+@register("path_list_lines", f"select file as path from ({SQL_SNAPSHOT_ALL})")
 def q_path_list_lines(spark, sf_dir):
     """#3: a newline-separated path list written and read back."""
     out = scratch_dir(spark, "paths-nl")
-    snapshot_b(spark, sf_dir).select("file").write.text(out)
+    snapshot_all(spark, sf_dir).select("file").write.text(out)
     return FS.scan_path_list(spark, out, "\n").select("path")
 
 
-@register("path_list_nul", f"select file as path from ({SQL_SNAPSHOT_B})")
+@register("path_list_nul", f"select file as path from ({SQL_SNAPSHOT_ALL})")
 def q_path_list_nul(spark, sf_dir):
     """#4: a NUL-separated path list written and read back."""
     out = scratch_dir(spark, "paths-nul")
-    snapshot_b(spark, sf_dir).select("file").write.option("lineSep", "\u0000").text(out)
+    snapshot_all(spark, sf_dir).select("file").write.option("lineSep", "\u0000").text(out)
     return FS.scan_path_list(spark, out, "\u0000").select("path")
 
 
@@ -109,7 +109,7 @@ def _records_round_trip(spark, sf_dir):
     return RS.scan_records(spark, out)
 
 
-_ROLL = sql_rollup(f"({SQL_RECORD_ENTRIES})", "record_id", "entry_pos", "data_digest", R.ROLLUP_FANOUT)
+_ROLL = sql_rollup(f"({SQL_RECORD_ENTRIES})", "record_id", "entry_pos", "data_digest", None)
 
 
 @register("record_sink", f"with {_ROLL} select record_id, n_entries, digest from roll")
@@ -142,13 +142,13 @@ def q_design_scan(spark, sf_dir):
     return DS.scan_design(spark, out, ["p_partkey", "brand", "size", "type"]).drop("variation_pos")
 
 
-_BUNDLE = f"""with b as ({SQL_SNAPSHOT_B}),
+_BUNDLE = f"""with b as ({SQL_SNAPSHOT_ALL}),
 sel as (select entry_pos, file, sha256(content) as data_digest, {sql_file_name('file')} as file_name from b),
 counts as (select file_name, count(*) as n_files from sel group by file_name)"""
 
 
 def _bundle(spark, sf_dir):
-    b = snapshot_b(spark, sf_dir)
+    b = snapshot_all(spark, sf_dir)
     return B.bundle_plan(b.select("entry_pos", "file"), b.select(F.col("file").alias("path"), "content"))
 
 

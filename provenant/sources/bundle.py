@@ -20,7 +20,10 @@ def bundle_plan(includes: DataFrame, contents: DataFrame) -> dict[str, DataFrame
     ``selected``, ``collisions`` (base names used more than once) and
     ``manifest`` (entries of the bundle's Record: the base name as file)."""
     digests = contents.select(F.col("path").alias("file"), content_digest("content").alias("data_digest"))
-    sel = hot_split_join(includes, digests, "file").withColumn("file_name", file_name("file"))
+    sel = hot_split_join(includes, digests, "file", "left").withColumn("file_name", file_name("file"))
+    # a listed file that is not there fails the bundle
+    gone = F.raise_error(F.concat(F.lit("missing file: "), F.col("file"))).cast("string")
+    sel = sel.withColumn("data_digest", F.when(F.col("data_digest").isNull(), gone).otherwise(F.col("data_digest")))
     counts = sel.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_files"))
     collisions = counts.where(F.col("n_files") > 1)
     # a base name shared by a third of all files is a hot key: split it off

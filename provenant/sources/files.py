@@ -41,10 +41,13 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
         return found
     j = asked.select("path").join(found, "path", "left")
     present = F.col("length").isNotNull()
-    if strict:
-        present = F.when(present, F.lit(True)).otherwise(
-            F.raise_error(F.concat(F.lit("missing file: "), F.col("path"))))
-    return j.select("path", "length", "content", present.alias("present"))
+    if not strict:
+        return j.select("path", "length", "content", present.alias("present"))
+    # inside every value, so that column pruning cannot drop the check
+    missing = F.raise_error(F.concat(F.lit("missing file: "), F.col("path")))
+    checked = lambda c, kind: F.when(present, c).otherwise(missing.cast(kind))
+    return j.select("path", checked(F.col("length"), "bigint").alias("length"), checked(F.col("content"), "binary").alias("content"),
+                    checked(F.lit(True), "boolean").alias("present"))
 
 
 def _ordered_lines(spark: SparkSession, location: str, line_sep: str | None = None) -> DataFrame:

@@ -59,15 +59,20 @@ def scan_records(spark: SparkSession, location: str, strict: bool = True) -> dic
     )
     ent = raw.select("record_path", rdir.alias("record_dir"), F.posexplode("record_entries").alias("entry_pos", "e"))
     ok = F.coalesce(F.col("e.data_digest").rlike(HEX64), F.lit(False))
+    digest = F.lower(F.col("e.data_digest"))
+    own = F.col("digest")
     if strict:
-        ok = F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(
-            F.lit("bad data_digest in "), F.col("record_path"))))
+        # inside the values, so that column pruning cannot drop the check
+        bad = lambda what: F.raise_error(F.concat(F.lit(f"bad {what} in "), F.col("record_path"))).cast("string")
+        digest = F.when(ok, digest).otherwise(bad("data_digest"))
+        own = F.when(own.isNull() | own.rlike(HEX64), own).otherwise(bad("digest"))
+    records = records.withColumn("digest", own)
     file = F.col("e.file")
     entries = ent.select(
         "record_path",
         F.col("entry_pos").cast("bigint").alias("entry_pos"),
         file.alias("file"),
-        F.lower(F.col("e.data_digest")).alias("data_digest"),
+        digest.alias("data_digest"),
         F.when(file.startswith("/"), file).otherwise(join_dir(F.col("record_dir"), file)).alias("full_path"),
         ok.alias("digest_ok"),
     )

@@ -33,10 +33,13 @@ def record(spark: SparkSession, includes: str, out_dir: str, algorithm: str = "b
     return records
 
 
-def verify(spark: SparkSession, records: str, algorithm: str = "blake3") -> dict[str, DataFrame]:
+def verify(spark: SparkSession, records: str, algorithm: str | None = None) -> dict[str, DataFrame]:
     """Record documents -> per-entry and per-Record verification with
-    counts, and the one-line report; all Records in one job."""
+    counts, and the one-line report; all Records in one job.  The digest
+    algorithm is the one the Records' metadata name, unless given."""
     scanned = RS.scan_records(spark, records)
+    if algorithm is None:
+        algorithm = _algorithm(scanned["records"])
     recs = scanned["records"].select(F.col("record_path").alias("record_id"), "digest")
     entries = scanned["entries"].select(F.col("record_path").alias("record_id"), "entry_pos",
                                         F.col("full_path").alias("file"), "data_digest")
@@ -55,6 +58,15 @@ def verify(spark: SparkSession, records: str, algorithm: str = "blake3") -> dict
             "report": R.report_verify_compact(verified)}
 
 
+def _algorithm(records: DataFrame) -> str:
+    """The one digest algorithm that the Records' metadata name."""
+    known = {"BLAKE3": "blake3", "SHA-256": "sha256"}
+    named = [r[0] for r in records.select("metadata.digest_algorithm").distinct().limit(3).collect()]
+    if len(named) != 1 or named[0] not in known:
+        raise ValueError(f"Records name the digest algorithms {named}; verify them apart, with algorithm=")
+    return known[named[0]]
+
+
 def compare(spark: SparkSession, record_1: str, record_2: str) -> dict[str, DataFrame]:
     """Two Record documents -> diff (same / changed / undetermined), summary
     and numbered report rows with labels."""
