@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from provenant.llm.common import sha, text_slices
 
-MAX_CACHED = 250_000
+MAX_CACHED = 150_000
 MAX_VOCABULARY_BYTES = 64 << 20
 
 # Fixed pattern of byte-level pre-tokenisation.
@@ -194,6 +194,10 @@ class TrieEncoder:
             if b"".join(map(part, ids)) != r:
                 self.unlike.add(w)
 
+    def forget(self) -> None:
+        self.words, self.before, self.unlike, self.apart = {}, {}, set(), {}
+        self.decimal.clear()
+
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens of a text, in order."""
         if self.cut is None or not any(s in text for s in self.special):
@@ -270,8 +274,11 @@ def _encoded(rows: DataFrame, path: str, text_col: str, keep: list[str], columns
 
     def run(batches):
         encoder = _encoder(shared.value)
-        for batch in text_slices(batches, text_col, 2 << 20):
-            both = encoder.encode_texts(batch.column(text_col).to_pylist())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns(both)], names=names)
+        try:
+            for batch in text_slices(batches, text_col, 2 << 20):
+                both = encoder.encode_texts(batch.column(text_col).to_pylist())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns(both)], names=names)
+        finally:
+            encoder.forget()  # an idle worker keeps the vocabulary only
 
     return rows.mapInArrow(run, schema)
