@@ -7,6 +7,7 @@ text makes a slice of its own).
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 from collections.abc import Iterable, Iterator
 
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from provenant.session import ensure_checkpoint_dir, ship_package
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 
 def prepare(spark: SparkSession) -> None:
@@ -33,17 +34,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def text_slices(batches: Iterable[pa.RecordBatch], column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into row ranges holding at most ``max_bytes`` of ``column``."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(sizes)
-        start, before = 0, 0
-        while start < batch.num_rows:
-            stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
-            yield batch.slice(start, stop - start)
-            before = int(ends[stop - 1])
-            start = stop
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            ends = np.cumsum(sizes)
+            start, before = 0, 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, before + max_bytes, side="right")))
+                yield batch.slice(start, stop - start)
+                before = int(ends[stop - 1])
+                start = stop
+    finally:
+        release_memory()
+
+
+def release_memory() -> None:
+    """Give freed memory back: Spark keeps idle Python workers between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
 
 
 def sha(data: bytes) -> str:
