@@ -8,8 +8,10 @@ token ``s`` such that BPE keeps ``s t`` apart; so a node needs only the states
 of its ancestors, and a prefix shared by many words is encoded once.  A word's
 tokens are read back from the last-token states.
 
-Encodings of words are kept per task, about twice ``MAX_CACHED`` of them (those not met
-lately go, which changes time, not results).  The vocabulary (a file
+Texts are cut ``PART`` characters at a time, so a very long one is never held
+as a list of all its words.  Encodings of words are kept per task, about twice
+``MAX_CACHED`` of them (those not met lately go, which changes time, not
+results).  The vocabulary (a file
 of bounded size, path given) is read by the driver and broadcast.  Nothing is
 shuffled.
 
@@ -21,8 +23,9 @@ token, as in the library; very long texts and words are encoded whole.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +34,9 @@ from pyspark.sql import types as T
 
 from provenant.llm.common import sha, text_slices
 
-MAX_CACHED = 150_000
+MAX_CACHED = 120_000
+SLICE = 512 << 10
+PART = 256 << 10
 MAX_VOCABULARY_BYTES = 64 << 20
 
 # Fixed pattern of byte-level pre-tokenisation.
@@ -198,27 +203,70 @@ class TrieEncoder:
         self.words, self.before, self.unlike, self.apart = {}, {}, set(), {}
         self.decimal.clear()
 
-    def pieces(self, text: str) -> list[str]:
-        """Words and special tokens of a text, in order."""
+    def words_of(self, text: str) -> Iterator[list[str]]:
+        """The words of a text without special tokens, in order, in lists.
+
+        A word that ends close to the end of a part may go on after it (the
+        pattern looks at most two characters past a word), so it is cut again
+        with the next part."""
+        at, size = 0, PART
+        while at < len(text):
+            stop = at + size
+            found = self.split(text, at, stop)
+            if stop < len(text):
+                end = stop
+                while found and end > stop - 3:
+                    end -= len(found.pop())
+                size = PART if found else 2 * size
+                stop = end if found else at
+            at = stop
+            if found:
+                yield found
+
+    def pieces(self, text: str) -> Iterator[list[str]]:
+        """Words and special tokens of a text, in order, in lists."""
         if self.cut is None or not any(s in text for s in self.special):
-            return self.split(text)
-        return [w for k, part in enumerate(self.cut.split(text)) for w in ([part] if k % 2 else self.split(part))]
+            yield from self.words_of(text)
+            return
+        for k, part in enumerate(self.cut.split(text)):
+            if k % 2:
+                yield [part]
+            else:
+                yield from self.words_of(part)
 
     def encode_texts(self, texts: list[str | None]) -> list[tuple[str, str]]:
         """Per text: its ids (decimal, comma-joined) and the decoded text."""
-        parts = [self.pieces(t) if t else [] for t in texts]
-        distinct = set().union(*parts)
-        specials = distinct & self.special.keys()
-        self.learn(distinct - specials)
-        known = self.words if not specials else self.words | {s: str(self.special[s]) for s in specials}
+        done: list[list[str]] = [[] for _ in texts]
+        alike = [True] * len(texts)
+        for group in self._groups(texts):
+            distinct = set().union(*(p for _, p in group))
+            specials = distinct & self.special.keys()
+            self.learn(distinct - specials)
+            known = self.words if not specials else self.words | {s: str(self.special[s]) for s in specials}
+            for k, p in group:
+                done[k].append(",".join(map(known.__getitem__, p)))
+                # words that decode to themselves decode to the text
+                if self.unlike and not self.unlike.isdisjoint(p):
+                    alike[k] = False
         out = []
-        for t, p in zip(texts, parts):
-            ids = ",".join(map(known.__getitem__, p))
-            # words that decode to themselves decode to the text
-            same = not self.unlike or self.unlike.isdisjoint(p)
+        for t, parts, same in zip(texts, done, alike):
+            ids = ",".join(parts)
             out.append((ids, (t or "") if same else self.decode(ids)))
         return out
 
+    def _groups(self, texts: list[str | None]) -> Iterator[list[tuple[int, list[str]]]]:
+        """(number of the text, its next words), in groups of about ``PART``."""
+        group, size = [], 0
+        for k, t in enumerate(texts):
+            for words in self.pieces(t) if t else ():
+                group.append((k, words))
+                size += sum(map(len, words))
+                if size >= PART:
+                    yield group
+                    group, size = [], 0
+        if group:
+            yield group
+
     def decode(self, ids: str) -> str:
         return b"".join(self.token_bytes[int(i)] for i in ids.split(",") if i).decode("utf-8", "replace")
 
@@ -257,8 +305,8 @@ def token_digest(docs: DataFrame, vocabulary_path: str) -> DataFrame:
         "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
-def _numbers(ids: str) -> list[int]:
-    return list(map(int, ids.split(","))) if ids else []
+def _numbers(ids: str) -> np.ndarray:
+    return np.fromstring(ids, np.int32, sep=",")
 
 
 def _count(ids: str) -> int:
@@ -275,7 +323,7 @@ def _encoded(rows: DataFrame, path: str, text_col: str, keep: list[str], columns
     def run(batches):
         encoder = _encoder(shared.value)
         try:
-            for batch in text_slices(batches, text_col):
+            for batch in text_slices(batches, text_col, SLICE):
                 both = encoder.encode_texts(batch.column(text_col).to_pylist())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *columns(both)], names=names)
         finally:

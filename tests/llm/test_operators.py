@@ -127,6 +127,21 @@ def test_bpe_equals_library(spark):
     assert all(digest[i].ids_sha256 == hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() and digest[i].n_tokens == len(x) for i, x in want.items())
 
 
+@pytest.mark.parametrize("part", [1, 4, 7, 64])
+def test_bpe_parts_of_long_texts(monkeypatch, part):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "PART", part)
+    encoder = bpe.TrieEncoder(bpe.read_vocabulary(VOCABULARY))
+    known = Tokenizer.from_file(VOCABULARY)
+    texts = ["we're  they'll   I'd 'r 've'", "a   \n\n  b\t c    ", "x" * 300 + " " * 90 + "9" * 50 + "!?" * 40, "don't" * 30,
+             "\u00e9t\u00e9 \u4f60\u597d 'll'll  s' 's", None, "", "  ", "end <|endoftext|> 're<|endoftext|>"]
+    for text, (ids, decoded) in zip(texts, encoder.encode_texts(texts)):
+        expected = known.encode(text or "", add_special_tokens=False).ids
+        assert [int(i) for i in ids.split(",") if i] == expected
+        assert decoded == known.decode(expected, skip_special_tokens=False)
+
+
 def test_bpe_cache_generations(monkeypatch):
     monkeypatch.setattr(bpe, "MAX_CACHED", 20)
     encoder = bpe.TrieEncoder(bpe.read_vocabulary(VOCABULARY))
