@@ -23,7 +23,7 @@ token, as in the library; very long texts and words are encoded whole.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,18 +51,27 @@ def byte_letters() -> dict[str, int]:
     return letters | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def read_vocabulary(path: str) -> dict:
-    """Ranks of merges and ids of tokens, as bytes, from a tokenizer file."""
+def vocabulary_file(path: str) -> bytes:
+    """A tokenizer file's bytes, their number checked."""
     with open(path, "rb") as f:
         data = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(data) > MAX_VOCABULARY_BYTES:
         raise ValueError("vocabulary file too large to broadcast")
+    return data
+
+
+def read_vocabulary(path: str) -> dict:
+    """Merges and ids of tokens, as bytes, from a tokenizer file."""
+    return parse_vocabulary(vocabulary_file(path))
+
+
+def parse_vocabulary(data: bytes) -> dict:
     spec = json.loads(data)
     model, letters = spec["model"], byte_letters()
     raw = lambda token: bytes(letters[c] for c in token)
     special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
     pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
-    return {"key": sha(data), "ids": {raw(t): i for t, i in model["vocab"].items() if t not in special},
+    return {"ids": {raw(t): i for t, i in model["vocab"].items() if t not in special},
             "merges": [(raw(a), raw(b)) for a, b in pairs], "special": special}
 
 
@@ -99,7 +108,7 @@ class TrieEncoder:
             tails.setdefault(b[-3:], []).append(len(b))
         self.pairs = {k: [2, 1] for k in tails if len(k) == 2}
         self.tails = {k: sorted({*v, *self.pairs.get(k[1:], [1])}, reverse=True) for k, v in tails.items() if len(k) == 3}
-        self.apart: dict[tuple[int, int], bool] = {}
+        self.apart: dict[int, bool] = {}  # by both tokens in one number, smaller than a pair
         # words seen lately, and those of the generation before: ids as text
         self.words: dict[str, str] = {}
         self.before: dict[str, str] = {}
@@ -128,11 +137,11 @@ class TrieEncoder:
 
     def stay_apart(self, s: int, t: int) -> bool:
         """Does BPE of the two tokens' bytes give just these two tokens?"""
-        known = self.apart.get((s, t))
+        known = self.apart.get(s << 32 | t)
         if known is None:
             if len(self.apart) > 3 * MAX_CACHED:
                 self.apart.clear()
-            known = self.apart[s, t] = self.merge(self.token_bytes[s] + self.token_bytes[t]) == [s, t]
+            known = self.apart[s << 32 | t] = self.merge(self.token_bytes[s] + self.token_bytes[t]) == [s, t]
         return known
 
     def encode_words(self, words: Iterable[bytes]) -> list[list[int]]:
@@ -164,7 +173,7 @@ class TrieEncoder:
                     if n == end:
                         break
                     s = last[end - n - 1]
-                    ok = apart((s, t))
+                    ok = apart(s << 32 | t)
                     if ok is None:
                         ok = stay(s, t)
                     if ok:
@@ -274,11 +283,10 @@ class TrieEncoder:
 _ENCODERS: dict[str, TrieEncoder] = {}  # of a worker process: the last vocabulary's
 
 
-def _encoder(vocabulary: dict) -> TrieEncoder:
-    key = vocabulary["key"]
+def _encoder(key: str, vocabulary: Callable[[], bytes]) -> TrieEncoder:
     if key not in _ENCODERS:
         _ENCODERS.clear()
-        _ENCODERS[key] = TrieEncoder(vocabulary)
+        _ENCODERS[key] = TrieEncoder(parse_vocabulary(vocabulary()))
     return _ENCODERS[key]
 
 
@@ -316,12 +324,14 @@ def _count(ids: str) -> int:
 def _encoded(rows: DataFrame, path: str, text_col: str, keep: list[str], columns, added: str) -> DataFrame:
     """``keep`` columns of the rows, then what ``columns`` makes of each
     text's (ids, decoded)."""
-    shared = rows.sparkSession.sparkContext.broadcast(read_vocabulary(path))
+    # the file itself: its parsed form would stay in every worker beside the encoder
+    vocabulary = vocabulary_file(path)
+    key, shared = sha(vocabulary), rows.sparkSession.sparkContext.broadcast(vocabulary)
     schema = T.StructType([*(rows.schema[c] for c in keep), *T.StructType.fromDDL(added).fields])
     names = schema.names
 
     def run(batches):
-        encoder = _encoder(shared.value)
+        encoder = _encoder(key, lambda: shared.value)
         try:
             for batch in text_slices(batches, text_col, SLICE):
                 both = encoder.encode_texts(batch.column(text_col).to_pylist())

@@ -20,18 +20,22 @@ from pyspark.sql import functions as F
 from provenant.session import ensure_checkpoint_dir, ship_package
 
 SLICE_BYTES = 1 << 20
-#: rows of an Arrow batch, where the session has Spark's own default: texts are
-#: long rows, and a batch is held by the JVM and by its Python worker
-BATCH_ROWS = 2_000
-_ROWS_SETTING, _ROWS_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Texts are long rows, and a batch is held by the JVM and by its Python worker:
+#: limits of batches (rows, bytes), set where the session has Spark's own default
+BATCH_LIMITS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", str(2 << 20)),
+    "spark.sql.parquet.columnarReaderBatchSize": ("4096", "512"),
+}
 
 
 def prepare(spark: SparkSession) -> None:
-    """Checkpoint folder, package for the workers, and smaller Arrow batches."""
+    """Checkpoint folder, package for the workers, and smaller batches."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    if spark.conf.get(_ROWS_SETTING, _ROWS_DEFAULT) == _ROWS_DEFAULT:
-        spark.conf.set(_ROWS_SETTING, str(BATCH_ROWS))
+    for setting, (default, ours) in BATCH_LIMITS.items():
+        if spark.conf.get(setting, default) == default:
+            spark.conf.set(setting, ours)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
