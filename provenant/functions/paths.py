@@ -78,6 +78,18 @@ def join_dir(base: str | Column, rel: str | Column) -> Column:
     return F.when(b.endswith("/"), F.concat(b, r)).otherwise(F.concat(b, F.lit("/"), r))
 
 
+def path_resolve(path: str | Column) -> Column:
+    """An absolute path with its '.' and '..' taken away by the text alone
+    ('/..' is '/'); other paths as they are."""
+    s = _c(path)
+    kept = F.aggregate(
+        components(s), F.array().cast("array<string>"),
+        lambda acc, c: F.when(c == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))))
+        .otherwise(F.concat(acc, F.array(c))),
+    )
+    return F.when(s.startswith("/"), F.concat(F.lit("/"), F.array_join(kept, "/"))).otherwise(s)
+
+
 def path_full(p: str | Column) -> Column:
     """#12: the usable path: absolute as is, relative = base joined with rel.
     Null for incomplete/invalid paths."""

@@ -141,14 +141,13 @@ def status_list(status: DataFrame) -> DataFrame:
     )
 
 
-def status_variation(vids: DataFrame, melted: DataFrame, links: DataFrame, status: DataFrame) -> DataFrame:
-    """#76: per distinct variation its branches and its VarSteps with states:
-    rows ``(v_id, item, name, value)``."""
-    first = vids.groupBy("v_id").agg(F.min("variation_pos").alias("variation_pos"))
-    br = first.join(melted, "variation_pos").select(
-        "v_id", F.lit("branch").alias("item"), F.col("variable").alias("name"), "value")
+def status_variation(branches: DataFrame, varsteps: DataFrame, status: DataFrame) -> DataFrame:
+    """#76: per distinct variation its branches ``(v_id, variable, value)``
+    and its VarSteps ``(v_id, step, vs_id)`` with states: rows
+    ``(v_id, item, name, value)``."""
+    br = branches.select("v_id", F.lit("branch").alias("item"), F.col("variable").alias("name"), "value")
     # a VarStep shared by every variation is a hot key of the link rows
-    vs = hot_split_join(first.join(links, "variation_pos"), status.select("vs_id", "status"), "vs_id").select(
+    vs = hot_split_join(varsteps, status.select("vs_id", "status"), "vs_id").select(
         "v_id", F.lit("varstep").alias("item"), F.concat_ws(" ", "step", "vs_id").alias("name"),
         F.col("status").alias("value"))
     return br.unionByName(vs)

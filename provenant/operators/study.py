@@ -373,3 +373,41 @@ def realize_args_wide(design: DataFrame, cfg: StudyConfig, shared_dir: str, run_
              if v in cols and v not in cfg.variables()]
     d = d.join(design.select("variation_pos", *extra), "variation_pos") if extra else d
     return d.select(F.explode(F.array(*items)).alias("x")).select("x.*").distinct()
+
+
+def _variations_once(design: DataFrame, cfg: StudyConfig, algorithm: str) -> DataFrame:
+    """One row per distinct variation: ``v_id`` and the used variables, on
+    which all its design rows agree (map-side combined)."""
+    used = cfg.input_variables()
+    d = _strict_values(design, cfg.variables()).select(F.lit(1).alias("_one"), *used).distinct()
+    return d.withColumn("v_id", render_id("variation", _row_keyed_digest(VARIATION_PREFIX, used, algorithm)))
+
+
+def varsteps_by_variation_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """#65 in one design pass, without a join: the VarStep ids are computed
+    from the variation's own values."""
+    items = [F.struct(F.lit(s).alias("step"), cfg.vs_id(s, algorithm).alias("vs_id")) for s in cfg.steps]
+    return _variations_once(design, cfg, algorithm).select("v_id", F.explode(F.array(*items)).alias("x")).select(
+        "v_id", "x.step", "x.vs_id")
+
+
+def variation_branches_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """``(v_id, variable, value)`` of each distinct variation, in one pass."""
+    items = [F.struct(F.lit(v).alias("variable"), F.col(v).alias("value")) for v in cfg.input_variables()]
+    if not items:
+        return design.sparkSession.createDataFrame([], "v_id string, variable string, value string")
+    return _variations_once(design, cfg, algorithm).select("v_id", F.explode(F.array(*items)).alias("x")).select(
+        "v_id", "x.variable", "x.value")
+
+
+def varstep_upstream_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """``(vs_id, variable, value)``: all upstream branches of each VarStep
+    (#60 by VarStep), in one design pass."""
+    items = [
+        F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(v).alias("variable"), F.col(v).alias("value"))
+        for s in cfg.steps for v in cfg.upstream.get(s, [])
+    ]
+    if not items:
+        return design.sparkSession.createDataFrame([], "vs_id string, variable string, value string")
+    d = _strict_values(design, cfg.variables())
+    return d.select(F.explode(F.array(*items)).alias("x")).select("x.*").distinct()

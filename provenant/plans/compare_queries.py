@@ -117,12 +117,12 @@ def q_match_filename(spark, sf_dir):
 
 @register("unique_match", f"""with a as ({SQL_ENTRIES_A}), b as ({SQL_ENTRIES_B})
 select x.k as match_key, x.p as entry_pos_1, y.p as entry_pos_2
-from {_UNIQUE.format(k="regexp_extract(file, '^[^/]+/([^/]+)/', 1)", t='a')} x
-join {_UNIQUE.format(k="regexp_extract(file, '^[^/]+/([^/]+)/', 1)", t='b')} y on x.k = y.k""")
+from {_UNIQUE.format(k="regexp_extract(file, '^[^/]+/([^/]+)/', 1) || '/' || left(data_digest, 3)", t='a')} x
+join {_UNIQUE.format(k="regexp_extract(file, '^[^/]+/([^/]+)/', 1) || '/' || left(data_digest, 3)", t='b')} y on x.k = y.k""")
 def q_unique_match(spark, sf_dir):
-    """#37 with a user key (the source folder): few keys, all repeated, so
-    nothing matches -- the n:m case at scale."""
-    key = F.regexp_extract("file", r"^[^/]+/([^/]+)/", 1)
+    """#37 with a user key (source folder and the digest's first digits):
+    keys of one entry on either side match, repeated ones (1:n, n:m) do not."""
+    key = F.concat(F.regexp_extract("file", r"^[^/]+/([^/]+)/", 1), F.lit("/"), F.substring("data_digest", 1, 3))
     m = C.unique_match(entries_a(spark, sf_dir), entries_b(spark, sf_dir), key, "source")
     return m.select("match_key", "entry_pos_1", "entry_pos_2")
 

@@ -16,7 +16,7 @@ from provenant.plans.fixtures import (
     table,
 )
 from provenant.plans.registry import register
-from provenant.session import cut_lineage
+from provenant.session import cut_lineage, materialize
 
 F_REC = None  # flat: one rule for every size
 F_SMALL = 16  # fan-in of the tree check: exercises 2-3 levels on the test data
@@ -153,7 +153,8 @@ from chk c left join vrec v on v.record_id = c.record_id""")
 def q_verify_report_rows(spark, sf_dir):
     """#35: per entry in Record order, beside the Record's own result."""
     entries = _entries(spark, sf_dir)
-    checked = R.verify_entries(entries, contents_now(spark, sf_dir))
+    # stored once: the rows are numbered and rolled up, the contents read one time
+    checked = materialize(R.verify_entries(entries, contents_now(spark, sf_dir)))
     verified = R.verify_record(checked, R.build_records(entries))
     return R.verify_report_rows(checked, verified)
 

@@ -19,6 +19,7 @@ from provenant.plans.study_fixtures import (
     transition_log,
 )
 from provenant.plans.study_sql import GRAPH_CTE, STUDY_CTE, TRANSITIONS_SQL
+from provenant.session import materialize
 
 # --- templates and the step graph (derived graph steps) --------------------
 
@@ -191,7 +192,7 @@ select distinct v.v_id, l.step, l.vs_id from links l join vids v on v.variation_
 def q_varsteps_by_variation(spark, sf_dir):
     """#65: VarSteps of each variation."""
     m = study_model(spark, sf_dir)
-    return ST.varsteps_by_variation(m["links"], m["vids"])
+    return ST.varsteps_by_variation_wide(m["design"], m["config"])
 
 
 def _args(spark, sf_dir):
@@ -206,7 +207,9 @@ def q_realize_args(spark, sf_dir):
 
 
 def _status(m):
-    vs = ST.varsteps(m["links"])
+    # stored once: markers, states and what is joined to them start from the
+    # distinct VarSteps, not from the design
+    vs = materialize(ST.varsteps(m["links"]))
     return STS.resolve_status(vs, markers(vs))
 
 
@@ -311,8 +314,7 @@ from status s left join items i on i.vs_id = s.vs_id""")
 def q_status_step(spark, sf_dir):
     """#74: per VarStep its upstream branches and dependencies' states."""
     m = study_model(spark, sf_dir)
-    ub = ST.upstream_branches(m["melted"], m["uvars"])
-    up = m["links"].join(ub, ["variation_pos", "step"]).select("vs_id", "variable", "value").distinct()
+    up = ST.varstep_upstream_wide(m["design"], m["config"])
     deps = ST.varstep_deps_wide(m["design"], m["config"])
     return STS.status_step(_status(m), up, deps)
 
@@ -335,7 +337,8 @@ from first f join links l on l.variation_pos = f.variation_pos join status s on
 def q_status_variation(spark, sf_dir):
     """#76: per variation its branches and VarSteps with states."""
     m = study_model(spark, sf_dir)
-    return STS.status_variation(m["vids"], m["melted"], m["links"], _status(m))
+    d, cfg = m["design"], m["config"]
+    return STS.status_variation(ST.variation_branches_wide(d, cfg), ST.varsteps_by_variation_wide(d, cfg), _status(m))
 
 
 @register("status_study", f"""{STUDY_CTE}

@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 
 from provenant.functions.digests import content_digest
 from provenant.functions.paths import file_name
+from provenant.operators.records import build_records
 from provenant.operators.skew import hot_split_join
+from provenant.sources.records import write_records
 
 
 def bundle_plan(includes: DataFrame, contents: DataFrame) -> dict[str, DataFrame]:
@@ -41,3 +43,16 @@ def write_bundle(includes: DataFrame, contents: DataFrame, out_dir: str, strict:
     keep = plan["manifest"].select(F.col("source_file").alias("path"), "file_name")
     contents.join(keep, "path").select("file_name", "content").write.mode("overwrite").parquet(out_dir)
     return plan["manifest"]
+
+
+def write_bundle_record(manifest: DataFrame, out_dir: str, record_id: str = "bundle") -> DataFrame:
+    """The bundle's own list, ``<out_dir>/includes`` (a base name a line, in
+    include order), and its Record under ``<out_dir>/record``, for files
+    written to ``<out_dir>/files``.  Returns ``(record_id, n_entries, digest)``."""
+    out = out_dir.rstrip("/")
+    manifest.orderBy("entry_pos").select("file_name").write.mode("overwrite").text(f"{out}/includes")
+    entries = manifest.select(F.lit(record_id).alias("record_id"), "entry_pos",
+                              F.concat(F.lit(f"{out}/files/"), F.col("file_name")).alias("file"), "data_digest")
+    records = build_records(entries)
+    write_records(entries, records, f"{out}/record")
+    return records

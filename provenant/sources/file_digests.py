@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from provenant.session import materialize
+
 SEGMENT_BYTES = 64 << 20  # 64 MiB = 2**16 BLAKE3 chunks per segment
 _READ_BYTES = 1 << 20
 
@@ -118,12 +120,13 @@ def _blake3_files(stats: DataFrame, segment_bytes: int) -> DataFrame:
 
 
 def file_digests(paths: DataFrame, algorithm: str = "sha256", segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """``(path, exists, size, data_digest)`` for each asked ``path``."""
+    """``(path, exists, size, data_digest)`` for each asked ``path``, stored
+    once: whatever is built from it, every file is read one time."""
     if segment_bytes < 1024 or segment_bytes & (segment_bytes - 1):
         raise ValueError("segment_bytes must be a power of two of at least 1024")
     stats = stat_files(paths.select("path").distinct())
     if algorithm == "sha256":
-        return _sha256_files(stats)
+        return materialize(_sha256_files(stats))
     if algorithm == "blake3":
-        return _blake3_files(stats, segment_bytes)
+        return materialize(_blake3_files(stats, segment_bytes))
     raise ValueError(f"unknown digest algorithm {algorithm!r}")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from provenant import __version__
 from provenant.functions.digests import metadata_digest
-from provenant.functions.paths import join_dir, path_relativize
+from provenant.functions.paths import join_dir, path_relativize, path_resolve
 from provenant.sources.files import strip_scheme
 
 RECORD_SCHEMA = (
@@ -36,7 +36,8 @@ def scan_records(spark: SparkSession, location: str, strict: bool = True) -> dic
     """#5: Record documents to ``records`` and ``entries`` frames.
 
     ``entries``: ``(record_path, entry_pos, file, data_digest, full_path)``;
-    a relative ``file`` gets the Record's folder as base.  Every digest must
+    a relative ``file`` gets the Record's folder as base, and '..' is resolved,
+    so ``full_path`` joins with listed contents.  Every digest must
     be exactly 64 hex characters (an entry without ``data_digest`` -- an
     older layout -- fails too); ``strict`` fails the job, otherwise the
     column ``digest_ok`` tells.
@@ -73,7 +74,7 @@ def scan_records(spark: SparkSession, location: str, strict: bool = True) -> dic
         F.col("entry_pos").cast("bigint").alias("entry_pos"),
         file.alias("file"),
         digest.alias("data_digest"),
-        F.when(file.startswith("/"), file).otherwise(join_dir(F.col("record_dir"), file)).alias("full_path"),
+        path_resolve(F.when(file.startswith("/"), file).otherwise(join_dir(F.col("record_dir"), file))).alias("full_path"),
         ok.alias("digest_ok"),
     )
     return {"records": records, "entries": entries}

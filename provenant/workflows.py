@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from provenant.operators import compare as C
 from provenant.operators import records as R
 from provenant.operators.skew import hot_split_join
+from provenant.session import materialize
 from provenant.sources import bundle as B
 from provenant.sources import files as FS
 from provenant.sources import records as RS
@@ -53,6 +54,7 @@ def verify(spark: SparkSession, records: str, algorithm: str | None = None) -> d
     )
     checked = j.select("record_id", "entry_pos", "file", status.alias("status"),
                        F.col("data_digest").alias("expected"), F.col("present_digest").alias("actual"))
+    checked = materialize(checked)
     verified = R.verify_record(checked, recs, algorithm=algorithm)
     return {"entries": checked, "records": verified.join(R.verify_summary(checked), "record_id", "left"),
             "report": R.report_verify_compact(verified)}
@@ -78,7 +80,11 @@ def compare(spark: SparkSession, record_1: str, record_2: str) -> dict[str, Data
 
 def bundle(spark: SparkSession, includes: str, contents: str, out_dir: str) -> DataFrame:
     """Files listed in includes file(s), found under ``contents``, gathered
-    flat by base name into a dataset under ``out_dir``; equal base names
-    fail.  Returns the manifest."""
+    flat by base name into a dataset under ``out_dir/files``, with the
+    bundle's own list and Record beside it; equal base names and missing
+    files fail.  Returns the manifest."""
     inc = FS.scan_includes(spark, includes).select("entry_pos", F.col("full_path").alias("file"))
-    return B.write_bundle(inc, FS.scan_contents(spark, contents), out_dir)
+    out = out_dir.rstrip("/")
+    manifest = materialize(B.write_bundle(inc, FS.scan_contents(spark, contents), out + "/files"))
+    B.write_bundle_record(manifest, out)
+    return manifest
