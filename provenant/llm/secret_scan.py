@@ -3,9 +3,11 @@
 Strong spans (assignments, access identifiers, long hex) are found by pattern
 and always reported.  Weak candidates -- account names, bare high-entropy
 strings, service endpoints -- say nothing alone.  Within a scope (a run of
-lines without a blank line between them) the parts are joined by interval: two
-parts are linked when at most ``MAX_GAP`` code points lie between them, and a
-weak candidate is reported only when a complementary part is linked to it:
+lines without a blank line between them) the parts are joined: any two parts of
+a scope are linked, however far apart, except that a bare string (a weak secret
+that does not follow ``=`` or ``:``) is linked only to parts with at most
+``MAX_GAP`` code points between them.  A weak candidate is reported only when a
+complementary part is linked to it:
 
 * a weak secret needs an identifier (access id or account) or an endpoint;
 * an account needs a secret (assignment, hex or weak secret);
@@ -48,8 +50,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")  # a run is matched whole, so short runs can
 # Weak parts.
 ACCOUNT = re.compile(
     r"\b(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii][Dd]|[Aa]ccess_?[Kk]ey_?[Ii][Dd])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{3,})")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[^\s\"'<>]+|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?")
+NAMED = re.compile(r"[:=]\x20*[\"']?\Z")  # before a value
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
 BASE_KINDS = ("assign", "access", "hex")
@@ -108,17 +111,23 @@ def weak_candidates(text: str, strong: list[Span]) -> list[Span]:
 
 
 class _Near:
-    """Is any of these intervals at most ``gap`` away from another one?"""
+    """How many of these parts of a scope are linked to another one?"""
 
-    def __init__(self, spans: list[Span], gap: int):
-        self.gap = gap
-        self.starts = sorted(a for _, a, _ in spans)
-        self.ends = sorted(b for _, _, b in spans)
+    def __init__(self, spans: list[Span], gap: int, bare: set[Span]):
+        self.gap, self.bare = gap, bare
+        self.starts, self.ends = sorted(s[1] for s in spans), sorted(s[2] for s in spans)
+        loose = [s for s in spans if s in bare]
+        self.named = len(spans) - len(loose)
+        self.bare_starts, self.bare_ends = sorted(s[1] for s in loose), sorted(s[2] for s in loose)
 
-    def count(self, a: int, b: int) -> int:
-        """Intervals meeting [a - gap, b + gap]: all but those that end
-        before it or start after it."""
-        return bisect_right(self.starts, b + self.gap) - bisect_left(self.ends, a - self.gap)
+    def count(self, span: Span) -> int:
+        """A bare string's are near it; another's are all but far bare ones.
+        Intervals meeting [a - gap, b + gap] are all but those that end before
+        it or start after it."""
+        _, a, b = span
+        if span in self.bare:
+            return bisect_right(self.starts, b + self.gap) - bisect_left(self.ends, a - self.gap)
+        return self.named + bisect_right(self.bare_starts, b + self.gap) - bisect_left(self.bare_ends, a - self.gap)
 
 
 def link_parts(text: str, strong: list[Span], weak: list[Span], gap: int = MAX_GAP) -> list[Span]:
@@ -136,21 +145,22 @@ def link_parts(text: str, strong: list[Span], weak: list[Span], gap: int = MAX_G
             continue
         identifiers = by["access"] + by["account"]
         secrets = by["assign"] + by["hex"] + by["weak_secret"]
-        near_id, near_end = _Near(identifiers, gap), _Near(by["endpoint"], gap)
-        near_secret = _Near(secrets, gap)
-        # secrets that have an identifier near: what an endpoint completes
-        full_secret = _Near([s for s in secrets if near_id.count(s[1], s[2])], gap)
-        for kind, a, b in parts:
-            if kind == "weak_secret":
-                ok = near_id.count(a, b) or near_end.count(a, b)
-            elif kind == "account":
-                ok = near_secret.count(a, b)
-            elif kind == "endpoint":
-                ok = full_secret.count(a, b) or (near_secret.count(a, b) and near_id.count(a, b))
+        bare = {p for p in by["weak_secret"] if not NAMED.search(text, max(0, p[1] - 16), p[1])}
+        near_id, near_end = _Near(identifiers, gap, bare), _Near(by["endpoint"], gap, bare)
+        near_secret = _Near(secrets, gap, bare)
+        # secrets that have an identifier linked: what an endpoint completes
+        full_secret = _Near([s for s in secrets if near_id.count(s)], gap, bare)
+        for part in parts:
+            if part[0] == "weak_secret":
+                ok = near_id.count(part) or near_end.count(part)
+            elif part[0] == "account":
+                ok = near_secret.count(part)
+            elif part[0] == "endpoint":
+                ok = full_secret.count(part) or (near_secret.count(part) and near_id.count(part))
             else:
                 continue
             if ok:
-                kept.append((kind, a, b))
+                kept.append(part)
     return kept
 
 
