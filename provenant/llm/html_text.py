@@ -11,8 +11,9 @@ equals the pivot's are copies of it and have no vote, so copies never turn an
 article into template.
 
 What HTML itself names as not being the article (menus, headers, footers,
-asides, forms, scripts, comments, adverts ... by element, role, class or id) is
-left out as well, and where a page marks its article (or main part), only that
+asides, forms, scripts, comments, adverts ... by element, role, or a whole class
+name or id) is left out as well, unless it is around the article or most of the
+varying text; and where a page marks its article (or main part), only that
 counts.
 
 The pivots are joined to the pages by host: broadcast when their bytes are
@@ -62,61 +63,64 @@ _HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
           "thead": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": set()}
 _CHROME = frozenset(
     "nav navbar navigation menu sidebar footer header masthead ad ads advert adverts advertisement sponsored sponsor banner promo cookie cookies consent notice popup modal overlay comment comments reply replies disqus share sharing social related breadcrumb breadcrumbs newsletter subscribe signup login widget pagination pager skip".split())
+_COMMENTS = frozenset("comment comments reply replies disqus".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
 _MARKUP = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_TOKENS = re.compile(r"[a-z]+")
+# How firm a mark is: by class, id or form; by element or role; hidden, head or comments.
+_SOFT, _NAMED, _FIRM = 1, 2, 3
 
 
 class Node:
     """A block element, or a run of text (label ``#``)."""
 
-    __slots__ = ("label", "children", "text", "shape", "size", "chrome", "region", "index")
+    __slots__ = ("label", "children", "text", "shape", "size", "mark", "chrome", "region", "index")
 
-    def __init__(self, label: str, chrome: bool, region: int):
+    def __init__(self, label: str, mark: int, region: int):
         self.label = label
         self.children: list[Node] = []
         self.text: str | None = None
         self.shape = 0
         self.size = 1
-        self.chrome = chrome
+        self.mark = mark      # this element is named as not being the article
+        self.chrome = False   # left out, see judge()
         self.region = region  # 2 inside an article, 1 inside main, else 0
         self.index = -1       # of a text node, in page order
 
 
-def _is_chrome(tag: str, attributes: str, inside: int) -> tuple[bool, int, str]:
-    """(left out, region this opens, class for the label)."""
+def _mark(tag: str, attributes: str, inside: int) -> tuple[int, int, str]:
+    """(how firmly it is left out, region this opens, class for the label)."""
     region = 2 if tag == "article" else 1 if tag == "main" else 0
+    mark, classes = 0, ""
     if tag in LEFT_OUT and not (tag == "header" and inside == 2):
-        return True, region, ""
-    if not attributes or attributes.isspace():
-        return False, region, ""
-    classes, names = "", ""
-    for m in _ATTRIBUTE.finditer(attributes):
+        mark = _FIRM if tag == "head" else _SOFT if tag in ("form", "fieldset") else _NAMED
+    names: set[str] = set()
+    for m in _ATTRIBUTE.finditer(attributes or ""):
         key = m[1].lower()
         value = m[2] or m[3] or m[4] or ""
         if key == "class":
             classes = value
-            names += " " + value
+            names.update(value.lower().split())
         elif key == "id":
-            names += " " + value
+            names.add(value.strip().lower())
         elif key == "role":
             if value.lower() in _CHROME_ROLES:
-                return True, region, classes
+                mark = max(mark, _SOFT if value.lower() == "form" else _NAMED)
             if value.lower() == "main":
                 region = max(region, 1)
         elif key == "hidden" or (key == "aria-hidden" and value == "true") or (key == "style" and "display:none" in value.replace(" ", "").lower()):
-            return True, region, classes
-    found = _CHROME.intersection(_TOKENS.findall(names.lower())) if names else ()
+            mark = _FIRM
+    found = _CHROME & names
     # the header of an article holds its title
-    left = bool(found) and tag not in ("body", "html", "article", "main") and not (inside == 2 and found == {"header"})
-    return left, region, classes
+    if found and tag not in ("body", "html", "article", "main") and not (inside == 2 and found == {"header"}):
+        mark = max(mark, _FIRM if found & _COMMENTS else _SOFT)
+    return mark, region, "" if tag in LEFT_OUT and mark else classes
 
 
 def parse(page: str) -> tuple[Node, list[Node]]:
     """The block-level tree and its text nodes in page order."""
-    root = Node("", False, 0)
+    root = Node("", 0, 0)
     path = [root]
     run: list[str] = []
     texts: list[Node] = []
@@ -127,7 +131,7 @@ def parse(page: str) -> tuple[Node, list[Node]]:
             run.clear()
             if text:
                 top = path[-1]
-                leaf = Node("#", top.chrome, top.region)
+                leaf = Node("#", 0, top.region)
                 leaf.text, leaf.index = text, len(texts)
                 top.children.append(leaf)
                 texts.append(leaf)
@@ -182,8 +186,8 @@ def parse(page: str) -> tuple[Node, list[Node]]:
                     break
         flush()
         top = path[-1]
-        chrome, region, classes = _is_chrome(tag, m[3], top.region)
-        node = Node(f"{tag}.{classes}" if classes else tag, chrome or top.chrome, max(region, top.region))
+        mark, region, classes = _mark(tag, m[3], top.region)
+        node = Node(f"{tag}.{classes}" if classes else tag, mark, max(region, top.region))
         top.children.append(node)
         if len(path) < MAX_DEPTH:
             path.append(node)
@@ -204,6 +208,43 @@ def _shape(root: Node) -> None:
         node.size = 1 + sum(c.size for c in node.children)
 
 
+def judge(root: Node, template: set[int] | frozenset[int] = frozenset()) -> None:
+    """Set ``chrome`` of every node.  A mark holds for the whole subtree, but
+    not where that has the page's main part, an article of at least the free
+    text, or (soft marks) most of the text on a page without a free article.
+    ``template`` are text nodes that do not count, being the wrapper's."""
+    order, todo = [], [(root, 0)]
+    while todo:
+        node, firm = todo.pop()  # firm: the firmest mark around it
+        firm = max(firm, node.mark)
+        order.append((node, firm))
+        todo += [(c, firm) for c in node.children]
+    text: dict[int, int] = {}
+    articles: dict[int, int] = {}
+    main: dict[int, int] = {}
+    total = free = free_articles = free_main = 0
+    for node, firm in reversed(order):
+        key = id(node)
+        if node.text is not None:
+            n = len(node.text) if node.index not in template and firm < _FIRM else 0
+            text[key], articles[key], main[key] = n, n * (node.region == 2), n * (node.region > 0)
+            total += n
+            if not firm:
+                free, free_articles, free_main = free + n, free_articles + articles[key], free_main + main[key]
+        else:
+            text[key], articles[key], main[key] = (sum(d[id(c)] for c in node.children) for d in (text, articles, main))
+    root.chrome = False
+    for node, _ in order:
+        for c in node.children:
+            key, lifted = id(c), False
+            if c.mark and c.mark < _FIRM and text[key]:
+                outside = c.region == 0 or node.region == 0
+                lifted = (outside and main[key] > articles[key] and not free_main
+                          or outside and articles[key] and articles[key] >= (free_main or free)
+                          or c.mark == _SOFT and not free_main and 2 * text[key] >= total)
+            c.chrome = node.chrome or bool(c.mark) and not lifted
+
+
 class Matcher:
     """Simple tree matching of pages with one pivot."""
 
@@ -302,7 +343,8 @@ class Matcher:
 def votes(pivot: Matcher, page: str) -> list[tuple[int, bool]]:
     """(pivot text node, says the same) of a page; none from a copy."""
     root, _ = parse(page)
-    pairs = [(a, b) for a, b in pivot.align(root) if not a.chrome]
+    judge(root)
+    pairs = [(a, b) for a, b in pivot.align(root) if not b.chrome]
     same = sum(len(a.text) for a, b in pairs if a.text == b.text)
     if 2 * same >= sum(len(b.text) for _, b in pairs):
         return []
@@ -314,13 +356,14 @@ def main_text(page: str | None, pivot: Matcher | None = None, template: frozense
     if not page:
         return ""
     root, texts = parse(page)
+    drop: set[int] = set()
+    if template and pivot is not None:
+        drop = {b.index for a, b in pivot.align(root) if a.index in template and a.text == b.text}
+    judge(root, drop)
     blocks = [t for t in texts if not t.chrome]
     region = max((t.region for t in blocks), default=0)
     blocks = [t for t in blocks if t.region == region]
-    if template and pivot is not None:
-        drop = {b.index for a, b in pivot.align(root) if a.index in template and a.text == b.text}
-        blocks = [t for t in blocks if t.index not in drop]
-    return "\n\n".join(t.text for t in blocks)
+    return "\n\n".join(t.text for t in blocks if t.index not in drop)
 
 
 class _Pivots:

@@ -186,6 +186,24 @@ def test_pages(spark):
     assert got[104].text == "plain text <x>\n\ndeep"
 
 
+@pytest.mark.parametrize("opening", [
+    "<div id=page class='has-sidebar'>", "<div class='layout no-banner'>", "<div class='share-enabled'>", "<form action=/x>",
+    "<div class='sidebar'>", "<form><div class='content widget'>"])
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+def test_a_mark_around_the_article_does_not_hold(opening, tag):
+    article = " ".join(_words(11, 40))
+    page = (f"<body>{opening}<nav>menu</nav><div class=sidebar>side</div><{tag}><p>{article}</{tag}><div id=comments><p>{article} {article}</div>"
+            "</div></form><footer>foot</footer>")
+    assert html_text.main_text(page) == article
+
+
+def test_marks_beside_the_article_hold():
+    article = " ".join(_words(11, 40))
+    page = f"<div class='post'><p>{article}</div><aside class=related><article>teaser</article></aside><div class='ad big'>{article}</div>"
+    assert html_text.main_text(page.replace("div class='post'", "article").replace("</div><aside", "</article><aside")) == article
+    assert html_text.main_text(page.replace(f"'ad big'>{article}", "'ad big'>buy")) == article
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(k, "http://h.example/1", _page(1, "the same article " * 9)) for k in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
