@@ -13,8 +13,8 @@ article into template.
 What HTML itself names as not being the article (menus, headers, footers,
 asides, forms, scripts, comments, adverts ... by element, role, or a whole class
 name or id) is left out as well, unless it is around the article or most of the
-varying text; and where a page marks its article (or main part), only that
-counts.
+varying text; and where at least half of what then varies is marked as article
+or main part, only the marked text (both) counts.
 
 The pivots are joined to the pages by host: broadcast when their bytes are
 checked to be small, else by an ordinary shuffle join, which splits a host with
@@ -360,10 +360,12 @@ def main_text(page: str | None, pivot: Matcher | None = None, template: frozense
     if template and pivot is not None:
         drop = {b.index for a, b in pivot.align(root) if a.index in template and a.text == b.text}
     judge(root, drop)
-    blocks = [t for t in texts if not t.chrome]
-    region = max((t.region for t in blocks), default=0)
-    blocks = [t for t in blocks if t.region == region]
-    return "\n\n".join(t.text for t in blocks if t.index not in drop)
+    blocks = [t for t in texts if not t.chrome and t.index not in drop]
+    marked = [t for t in blocks if t.region]
+    # a few marked teasers beside the text do not make it less of the page
+    if 2 * sum(len(t.text) for t in marked) >= sum(len(t.text) for t in blocks):
+        blocks = marked
+    return "\n\n".join(t.text for t in blocks)
 
 
 class _Pivots:

@@ -204,6 +204,14 @@ def test_marks_beside_the_article_hold():
     assert html_text.main_text(page.replace(f"'ad big'>{article}", "'ad big'>buy")) == article
 
 
+def test_teasers_do_not_hide_the_text():
+    article, teaser = " ".join(_words(11, 40)), "a teaser"
+    card = f"<div><article>{teaser}</article></div>"
+    assert html_text.main_text(f"<div><p>{article}</div>{card}") == f"{article}\n\n{teaser}"
+    assert html_text.main_text(f"<main><h1>title</h1><p>{article}</main>{card}") == f"title\n\n{article}\n\n{teaser}"
+    assert html_text.main_text(f"<main><h1>title</h1><article>{article}</article><p>more</main><div>else</div>") == f"title\n\n{article}\n\nmore"
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(k, "http://h.example/1", _page(1, "the same article " * 9)) for k in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
