@@ -6,9 +6,8 @@ if their labels are equal, and their children are matched in order so that the
 number of matched nodes is largest.  For every text node of the pivot the pages
 count how often their aligned node says the same.  Nodes that say the same on
 nearly all pages (``CONSTANT`` of at least ``MIN_PAGES`` that vote) are the
-wrapper's template; the varying slots are content.  Pages most of whose text
-equals the pivot's are copies of it and have no vote, so copies never turn an
-article into template.
+wrapper's template; the varying slots are content.  Pages with the same text
+have one vote together, so copies never turn an article into template.
 
 What HTML itself names as not being the article (menus, headers, footers,
 asides, forms, scripts, comments, adverts ... by element, role, or a whole class
@@ -30,10 +29,10 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -340,15 +339,20 @@ class Matcher:
         return row
 
 
-def votes(pivot: Matcher, page: str) -> list[tuple[int, bool]]:
-    """(pivot text node, says the same) of a page; none from a copy."""
-    root, _ = parse(page)
+def content_key(root: Node, texts: list[Node]) -> int:
+    """Hash of a page's text without its chrome: copies have the same."""
     judge(root)
-    pairs = [(a, b) for a, b in pivot.align(root) if not b.chrome]
-    same = sum(len(a.text) for a, b in pairs if a.text == b.text)
-    if 2 * same >= sum(len(b.text) for _, b in pairs):
-        return []
-    return [(a.index, a.text == b.text) for a, b in pairs]
+    return xxhash.xxh3_64_intdigest("\n".join(t.text for t in texts if not t.chrome).encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def votes(pivot: Matcher, page: str) -> tuple[int, bytes, bytes]:
+    """(content key, bits of the pivot's text nodes that a page has, bits of
+    those that say the same there)."""
+    root, texts = parse(page)
+    seen, same = np.zeros((2, len(pivot.texts)), bool)
+    for a, b in pivot.align(root):
+        seen[a.index], same[a.index] = True, a.text == b.text
+    return content_key(root, texts), np.packbits(seen).tobytes(), np.packbits(same).tobytes()
 
 
 def main_text(page: str | None, pivot: Matcher | None = None, template: frozenset[int] = frozenset()) -> str:
@@ -390,24 +394,31 @@ def induce(rows: DataFrame) -> DataFrame:
     hosted = rows.where("host is not null and html is not null and html != ''").select("host", "html", F.xxhash64("html").alias("h"))
     least = hosted.groupBy("host").agg(F.min("h").alias("h"), F.count("*").alias("pages")).where(F.col("pages") > MIN_PAGES)
     pivots = materialize(hosted.join(least, ["host", "h"]).groupBy("host").agg(F.min("html").alias("pivot")))
-    paired = rows.select("host", "html").join(_small(pivots), "host")
+    paired = hosted.join(_small(pivots), "host")
 
     def run(batches):
         parsed = _Pivots()
         for batch in text_slices(batches, "html"):
-            count: dict[tuple[str, int], list[int]] = defaultdict(lambda: [0, 0])
-            for host, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "html", "pivot"))):
-                for index, same in votes(parsed.get(pivot), page) if page else ():
-                    seen = count[host, index]
-                    seen[0] += 1
-                    seen[1] += same
-            keys = list(count)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()),
-                 pa.array([count[k][0] for k in keys], pa.int64()), pa.array([count[k][1] for k in keys], pa.int64())],
-                names=["host", "node", "seen", "same"])
-
-    voted = paired.mapInArrow(run, "host string, node int, seen long, same long").groupBy("host", "node").agg(
+            got = [(host, h, *votes(parsed.get(pivot), page))
+                   for host, h, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "h", "html", "pivot"))) if page]
+            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(
+                (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["host", "h", "copy", "seen", "same"])
+
+    # one vote for each distinct text
+    ballots = paired.mapInArrow(run, "host string, h long, copy long, seen binary, same binary").groupBy("host", "copy").agg(
+        F.min(F.struct("h", "seen", "same")).alias("vote")).select("host", "vote.seen", "vote.same")
+
+    def tally(batches):
+        for batch in batches:
+            count: dict[str, np.ndarray] = {}
+            for host, *bits in zip(*(batch.column(c).to_pylist() for c in ("host", "seen", "same"))):
+                vote = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in bits]).astype(np.int64)
+                count[host] = count[host] + vote if host in count else vote
+            found = [(host, int(k), int(c[0, k]), int(c[1, k])) for host, c in count.items() for k in np.flatnonzero(c[0])]
+            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(
+                (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "seen", "same"])
+
+    voted = ballots.mapInArrow(tally, "host string, node int, seen long, same long").groupBy("host", "node").agg(
         F.sum("seen").alias("seen"), F.sum("same").alias("same"))
     constant = voted.where((F.col("seen") >= MIN_PAGES) & (F.col("same") >= CONSTANT * F.col("seen")))
     # at most the text nodes of one page for each host

@@ -212,6 +212,17 @@ def test_teasers_do_not_hide_the_text():
     assert html_text.main_text(f"<main><h1>title</h1><article>{article}</article><p>more</main><div>else</div>") == f"title\n\n{article}\n\nmore"
 
 
+def test_long_boilerplate_is_template(spark):
+    """Plain boilerplate longer than the articles; copies have one vote."""
+    legal = " ".join(_words(77, 200))
+    texts = [" ".join(_words(800 + k, 30)) for k in range(9)]
+    rows = [(k, f"http://h.example/{k}", f"<body><div>{legal}</div><div class=t{k}><p>{t}</div><div>{legal} again</div>") for k, t in enumerate(texts)]
+    rows += [(100 + k, f"http://h.example/c{k}", rows[0][2] + f"<nav>{k}</nav>") for k in range(200)]
+    rows = [(i, u, h.replace("class=t", "id=t")) for i, u, h in rows]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == t for k, t in enumerate(texts)) and all(got[100 + k] == texts[0] for k in range(200))
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(k, "http://h.example/1", _page(1, "the same article " * 9)) for k in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
