@@ -1,13 +1,16 @@
 """Operator 2: main text of web pages by wrapper induction.
 
-Pages of a host are aligned with one page of that host (the pivot, the page of
-least hash) by simple tree matching over their block-level DOM: two nodes match
-if their labels are equal, and their children are matched in order so that the
+A host's pages are grouped by layout (the label paths of their containers), and
+each page is aligned with one page of its group (the pivot, the page of least
+hash) by simple tree matching over their block-level DOM: two nodes match if
+their labels are equal, and their children are matched in order so that the
 number of matched nodes is largest.  For every text node of the pivot the pages
 count how often their aligned node says the same.  Nodes that say the same on
 nearly all pages (``CONSTANT`` of at least ``MIN_PAGES`` that vote) are the
 wrapper's template; the varying slots are content.  Pages with the same text
-have one vote together, so copies never turn an article into template.
+have one vote together, so copies never turn an article into template.  A page
+alone with its layout is taken to the largest group with the same upper layout,
+else of the host, and votes there only if that group has no votes of its own.
 
 What HTML itself names as not being the article (menus, headers, footers,
 asides, forms, scripts, comments, adverts ... by element, role, or a whole class
@@ -15,9 +18,9 @@ name or id) is left out as well, unless it is around the article or most of the
 varying text; and where at least half of what then varies is marked as article
 or main part, only the marked text (both) counts.
 
-The pivots are joined to the pages by host: broadcast when their bytes are
-checked to be small, else by an ordinary shuffle join, which splits a host with
-very many pages.  Votes are summed per task before the shuffle.
+Groups are joined to the pages by host and page hash, pivots (packed) by group:
+broadcast when their bytes are checked to be small, else by an ordinary shuffle
+join.  Votes are bit sets, summed per batch before the shuffle.
 
 Defined results: null or empty html gives "" and 0; a page without a readable
 host has no wrapper and is taken alone; repeated rows are each reported;
@@ -29,6 +32,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,10 @@ from pyspark.sql import functions as F
 from provenant.llm.common import text_slices
 from provenant.session import materialize
 
-MIN_PAGES = 5
+MIN_PAGES = 2
+#: votes that make text inside a marked article or main part template: two pages
+#: may be near copies
+MIN_MARKED = 5
 CONSTANT = 0.9
 MAX_DEPTH = 200
 #: pivots up to this many bytes in all may be broadcast
@@ -65,6 +72,10 @@ _CHROME = frozenset(
 _COMMENTS = frozenset("comment comments reply replies disqus".split())
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 
+# What articles consist of: no part of a page's layout.
+_CONTENT = frozenset(
+    "p h1 h2 h3 h4 h5 h6 hgroup ul ol dir dl dt dd li table thead tbody tfoot tr td th caption colgroup col blockquote pre figure figcaption hr address center details summary menu option".split())
+_DIGITS = re.compile(r"\d+")
 _MARKUP = re.compile(r"<(?:!--.*?(?:--!?>|\Z)|[!?][^>]*>?|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+|[^>]*)(?:>|\Z))", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 # How firm a mark is: by class, id or form; by element or role; hidden, head or comments.
@@ -345,14 +356,29 @@ def content_key(root: Node, texts: list[Node]) -> int:
     return xxhash.xxh3_64_intdigest("\n".join(t.text for t in texts if not t.chrome).encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
-def votes(pivot: Matcher, page: str) -> tuple[int, bytes, bytes]:
-    """(content key, bits of the pivot's text nodes that a page has, bits of
-    those that say the same there)."""
-    root, texts = parse(page)
+def layout(root: Node) -> tuple[int, int]:
+    """Hashes of the page's skeleton, the label paths of its containers, and of
+    the upper part of it.  What an article consists of is no part of it."""
+    paths, todo = set(), [(root, "", 0)]
+    while todo:
+        node, path, depth = todo.pop()
+        for c in node.children:
+            if c.text is None and c.mark < _FIRM and c.label.partition(".")[0] not in _CONTENT:
+                own = f"{path}/{_DIGITS.sub('', c.label)}"
+                paths.add((depth, own))
+                todo.append((c, own, depth + 1))
+    form, upper = (xxhash.xxh3_64_intdigest("\n".join(sorted(p for d, p in paths if d < most)).encode("utf-8", "surrogatepass")) - (1 << 63)
+                   for most in (MAX_DEPTH, 3))
+    return form, upper
+
+
+def votes(pivot: Matcher, page: str) -> tuple[bytes, bytes]:
+    """Bits of the pivot's text nodes that a page has, and of those that say
+    the same there."""
     seen, same = np.zeros((2, len(pivot.texts)), bool)
-    for a, b in pivot.align(root):
+    for a, b in pivot.align(parse(page)[0]):
         seen[a.index], same[a.index] = True, a.text == b.text
-    return content_key(root, texts), np.packbits(seen).tobytes(), np.packbits(same).tobytes()
+    return np.packbits(seen).tobytes(), np.packbits(same).tobytes()
 
 
 def main_text(page: str | None, pivot: Matcher | None = None, template: frozenset[int] = frozenset()) -> str:
@@ -362,7 +388,7 @@ def main_text(page: str | None, pivot: Matcher | None = None, template: frozense
     root, texts = parse(page)
     drop: set[int] = set()
     if template and pivot is not None:
-        drop = {b.index for a, b in pivot.align(root) if a.index in template and a.text == b.text}
+        drop = {b.index for a, b in pivot.align(root) if a.text == b.text and (a.index in template or not b.region and -1 - a.index in template)}
     judge(root, drop)
     blocks = [t for t in texts if not t.chrome and t.index not in drop]
     marked = [t for t in blocks if t.region]
@@ -378,57 +404,104 @@ class _Pivots:
     def __init__(self, most: int = 256):
         self.most, self.kept = most, {}
 
-    def get(self, page: str | None) -> Matcher | None:
+    def get(self, page: bytes | None) -> Matcher | None:
         if page is None:
             return None
-        found = self.kept.pop(page, None) or Matcher(page)
+        found = self.kept.pop(page, None) or Matcher(zlib.decompress(page).decode("utf-8", "surrogatepass"))
         self.kept[page] = found
         if len(self.kept) > self.most:
             self.kept.pop(next(iter(self.kept)))
         return found
 
 
-def induce(rows: DataFrame) -> DataFrame:
-    """(host, pivot, template): per host its pivot page and the numbers of the
-    pivot's text nodes that belong to the wrapper."""
-    hosted = rows.where("host is not null and html is not null and html != ''").select("host", "html", F.xxhash64("html").alias("h"))
-    least = hosted.groupBy("host").agg(F.min("h").alias("h"), F.count("*").alias("pages")).where(F.col("pages") > MIN_PAGES)
-    pivots = materialize(hosted.join(least, ["host", "h"]).groupBy("host").agg(F.min("html").alias("pivot")))
-    paired = hosted.join(_small(pivots), "host")
+def _batch(rows: list[tuple], **columns: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(columns.values())], names=list(columns))
+
+
+def assign(hosted: DataFrame) -> DataFrame:
+    """(host, h, copy, grp, pivot_h, voter): per distinct page of the hosts with
+    two distinct texts its group, the group's pivot, and if it votes there."""
+
+    def run(batches):
+        for batch in text_slices(batches, "html"):
+            got = []
+            for host, h, page in zip(*(batch.column(c).to_pylist() for c in ("host", "h", "html"))):
+                root, texts = parse(page)
+                got.append((host, h, content_key(root, texts), *layout(root)))
+            yield _batch(got, host=pa.string(), h=pa.int64(), copy=pa.int64(), form=pa.int64(), upper=pa.int64())
+
+    found = hosted.mapInArrow(run, "host string, h long, copy long, form long, upper long")
+    found = materialize(found.groupBy("host", "h").agg(*(F.min(c).alias(c) for c in ("copy", "form", "upper"))))
+    # copies count for the layout of the one with the least hash
+    texts = found.groupBy("host", "copy").agg(F.min(F.struct("h", "form", "upper")).alias("one")).select("host", "one.*")
+    forms = texts.groupBy("host", "form").agg(F.min("upper").alias("upper"), F.count("*").alias("n"), F.min("h").alias("pivot_h"))
+    largest = F.max(F.struct("n", "form", "pivot_h")).alias("most")
+    by_upper = forms.groupBy("host", "upper").agg(largest, F.sum("n").alias("pages"))
+    by_host = forms.groupBy("host").agg(largest, F.sum("n").alias("pages")).where("pages >= 2")
+    own, upper = F.col("f.n") >= 2, F.col("u.pages") >= 2
+    pick = lambda name: F.when(own, F.col(f"f.{name}")).when(upper, F.col(f"u.most.{name}")).otherwise(F.col(f"w.most.{name}"))
+    every = found.select("host", "form", "upper").distinct()  # also layouts that only copies have
+    groups = every.alias("e").join(by_host.alias("w"), "host").join(
+        by_upper.alias("u"), (F.col("u.host") == F.col("e.host")) & (F.col("u.upper") == F.col("e.upper")), "left").join(
+        forms.alias("f"), (F.col("f.host") == F.col("e.host")) & (F.col("f.form") == F.col("e.form")), "left")
+    groups = groups.select(F.col("e.host").alias("host"), F.col("e.form").alias("form"), pick("form").alias("grp"), pick("pivot_h").alias("pivot_h"),
+                           (F.coalesce(own, F.lit(False)) | (pick("n") < 2)).alias("voter"))
+    return materialize(found.join(groups, ["host", "form"]).select("host", "h", "copy", "grp", "pivot_h", "voter"))
+
+
+def induce(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, h, grp) of the pages, and (host, grp, pivot, template): per group
+    its pivot page, packed, and the numbers of the pivot's text nodes that
+    belong to the wrapper."""
+    hosted = rows.where("host is not null and html is not null and html != ''").select("host", "h", "html")
+    pages = assign(hosted)
+
+    def pack(batches):
+        for batch in text_slices(batches, "html"):
+            got = [(host, grp, zlib.compress(page.encode("utf-8", "surrogatepass"))) for host, grp, page in zip(
+                *(batch.column(c).to_pylist() for c in ("host", "grp", "html")))]
+            yield _batch(got, host=pa.string(), grp=pa.int64(), pivot=pa.binary())
+
+    chosen = pages.where("h = pivot_h").select("host", "h").distinct().join(
+        pages.select("host", "grp", F.col("pivot_h").alias("h")).distinct(), ["host", "h"])
+    pivots = materialize(hosted.join(_small(chosen), ["host", "h"]).mapInArrow(pack, "host string, grp long, pivot binary").groupBy(
+        "host", "grp").agg(F.min("pivot").alias("pivot")))
+    voters = pages.where("voter").select("host", "h", "copy", "grp")
+    paired = hosted.join(_small(voters), ["host", "h"]).join(_small(pivots), ["host", "grp"])
 
     def run(batches):
         parsed = _Pivots()
         for batch in text_slices(batches, "html"):
-            got = [(host, h, *votes(parsed.get(pivot), page))
-                   for host, h, page, pivot in zip(*(batch.column(c).to_pylist() for c in ("host", "h", "html", "pivot"))) if page]
-            yield pa.RecordBatch.from_arrays([pa.array([g[k] for g in got], t) for k, t in enumerate(
-                (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["host", "h", "copy", "seen", "same"])
+            yield _batch([(host, grp, copy, h, *votes(parsed.get(pivot), page)) for host, grp, copy, h, page, pivot in zip(
+                *(batch.column(c).to_pylist() for c in ("host", "grp", "copy", "h", "html", "pivot")))],
+                host=pa.string(), grp=pa.int64(), copy=pa.int64(), h=pa.int64(), seen=pa.binary(), same=pa.binary())
 
     # one vote for each distinct text
-    ballots = paired.mapInArrow(run, "host string, h long, copy long, seen binary, same binary").groupBy("host", "copy").agg(
-        F.min(F.struct("h", "seen", "same")).alias("vote")).select("host", "vote.seen", "vote.same")
+    ballots = paired.mapInArrow(run, "host string, grp long, copy long, h long, seen binary, same binary").groupBy("host", "grp", "copy").agg(
+        F.min(F.struct("h", "seen", "same")).alias("vote")).select("host", "grp", "vote.seen", "vote.same")
 
     def tally(batches):
         for batch in batches:
-            count: dict[str, np.ndarray] = {}
-            for host, *bits in zip(*(batch.column(c).to_pylist() for c in ("host", "seen", "same"))):
+            count: dict[tuple[str, int], np.ndarray] = {}
+            for host, grp, *bits in zip(*(batch.column(c).to_pylist() for c in ("host", "grp", "seen", "same"))):
                 vote = np.stack([np.unpackbits(np.frombuffer(b, np.uint8)) for b in bits]).astype(np.int64)
-                count[host] = count[host] + vote if host in count else vote
-            found = [(host, int(k), int(c[0, k]), int(c[1, k])) for host, c in count.items() for k in np.flatnonzero(c[0])]
-            yield pa.RecordBatch.from_arrays([pa.array([f[k] for f in found], t) for k, t in enumerate(
-                (pa.string(), pa.int32(), pa.int64(), pa.int64()))], names=["host", "node", "seen", "same"])
+                count[host, grp] = count[host, grp] + vote if (host, grp) in count else vote
+            yield _batch([(*key, int(k), int(c[0, k]), int(c[1, k])) for key, c in count.items() for k in np.flatnonzero(c[0])],
+                         host=pa.string(), grp=pa.int64(), node=pa.int32(), seen=pa.int64(), same=pa.int64())
 
-    voted = ballots.mapInArrow(tally, "host string, node int, seen long, same long").groupBy("host", "node").agg(
+    voted = ballots.mapInArrow(tally, "host string, grp long, node int, seen long, same long").groupBy("host", "grp", "node").agg(
         F.sum("seen").alias("seen"), F.sum("same").alias("same"))
     constant = voted.where((F.col("seen") >= MIN_PAGES) & (F.col("same") >= CONSTANT * F.col("seen")))
-    # at most the text nodes of one page for each host
-    template = constant.groupBy("host").agg(F.collect_list("node").alias("template"))
-    return materialize(pivots.join(template, "host"))
+    # at most the text nodes of one page for each group; of few votes as -1 - number
+    template = constant.groupBy("host", "grp").agg(F.collect_list(F.when(F.col("seen") >= MIN_MARKED, F.col("node")).otherwise(-1 - F.col("node"))).alias("template"))
+    return pages.select("host", "h", "grp"), materialize(pivots.join(template, ["host", "grp"]))
 
 
-def _small(pivots: DataFrame) -> DataFrame:
-    size = pivots.agg(F.sum(F.octet_length("pivot") + F.octet_length("host"))).first()[0] or 0
-    return F.broadcast(pivots) if size <= BROADCAST_BYTES else pivots
+def _small(rows: DataFrame) -> DataFrame:
+    size = F.lit(0)
+    for name, kind in rows.dtypes:
+        size = size + (F.coalesce(F.octet_length(name), F.lit(0)) if kind in ("string", "binary") else F.size(name) * 4 if kind.startswith("array") else F.lit(8))
+    return F.broadcast(rows) if (rows.agg(F.sum(size)).first()[0] or 0) <= BROADCAST_BYTES else rows
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -436,7 +509,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
     rows = rows.withColumn("host", F.when(host != "", host))
-    wrapped = rows.join(_small(induce(rows)), "host", "left")
+    rows = rows.withColumn("h", F.xxhash64("html"))
+    grouped, wrappers = induce(rows)
+    wrapped = rows.join(_small(grouped.join(wrappers.select("host", "grp"), ["host", "grp"])), ["host", "h"], "left").join(
+        _small(wrappers), ["host", "grp"], "left")
     kind = rows.schema["page_id"].dataType.simpleString()
 
     def run(batches):

@@ -223,6 +223,22 @@ def test_long_boilerplate_is_template(spark):
     assert all(got[k] == t for k, t in enumerate(texts)) and all(got[100 + k] == texts[0] for k in range(200))
 
 
+def test_layouts_of_a_host_have_their_own_wrapper(spark):
+    """Two layouts, an error page, and hosts of two pages."""
+    old = lambda t: f"<body><div class=top><p>welcome</div><div class=text><p>{t}</div><div class=end><p>about us</div>"
+    new = lambda t: f"<body><section><div>new design</div></section><section class=body><p>{t}</section><section><div>all rights</div></section>"
+    texts = [" ".join(_words(900 + k, 30)) for k in range(20)]
+    rows = [(k, f"http://h.example/{k}", (old if k % 3 else new)(t)) for k, t in enumerate(texts)]
+    rows += [(200 + k, "http://h.example/e", f"<body><p>error {k}") for k in range(1)]
+    rows += [(300 + k, f"http://two.example/{k}", old(t)) for k, t in enumerate(texts[:2])]
+    got = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == t for k, t in enumerate(texts)) and got[200] == "error 0"
+    assert [got[300], got[301]] == texts[:2]
+    near = [(k, "http://near.example/", f"<body><div>{texts[5]}</div><article><h1>title {k}</h1><p>{texts[0]}</article>") for k in range(2)]
+    got = html_text.extract(spark.createDataFrame(near, "page_id long, url string, html string")).collect()
+    assert sorted(r.text for r in got) == [f"title {k}\n\n{texts[0]}" for k in range(2)]
+
+
 def test_copies_of_a_page_are_no_template(spark):
     rows = [(k, "http://h.example/1", _page(1, "the same article " * 9)) for k in range(20)]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
