@@ -1,8 +1,9 @@
 """Operator 9: language identification with bit-sliced Bloom filters.
 
 Training: n-grams of four bytes of the normalised text are counted per
-language over a bounded, hash-chosen sample of labelled rows
-(``SAMPLE_BYTES`` of text per language).  An n-gram belongs to a language if it
+language over a bounded, hash-chosen sample of the distinct labelled texts, cut
+into pieces (about ``SAMPLE_BYTES`` of text per language, of as many texts as
+there are).  An n-gram belongs to a language if it
 makes up at least ``MIN_SHARE`` of that language's n-grams, so a language has
 at most ``1 / MIN_SHARE`` of them and the filter's size is bounded by its
 parameters.  All languages share one Bloom filter of machine words: the word at
@@ -32,6 +33,7 @@ from pyspark.sql import types as T
 from provenant.llm.common import mix, text_slices
 
 SAMPLE_BYTES = 4 << 20
+PIECE = 2048
 MIN_SHARE = 2e-5
 HASHES = 3
 SLOTS = 1 << 18
@@ -132,18 +134,24 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
           min_share: float = MIN_SHARE) -> LanguageFilter:
     """Build the filter from labelled rows.
 
-    One aggregate finds each language's bytes; rows are then chosen by a hash
-    of their text so that a language's sample holds about ``sample_bytes``."""
+    One aggregate finds the bytes of each language's distinct texts; pieces of
+    at most ``PIECE`` code points are then chosen by a hash of their text and
+    number so that a language's sample holds about ``sample_bytes``.  A piece
+    of a copied text counts once."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where(
-        F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = {r["lang"]: (int(r["b"]), int(r["n"])) for r in rows.groupBy("lang").agg(
-        F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).collect()}
+        F.col("text").isNotNull() & F.col("lang").isNotNull()).withColumn("key", F.xxhash64("text"))
+    distinct = rows.groupBy("lang", "key").agg(F.max(F.octet_length("text")).cast("long").alias("b"), F.count("*").alias("n"))
+    sizes = {r["lang"]: (int(r["b"]), int(r["n"])) for r in distinct.groupBy("lang").agg(
+        F.sum("b").alias("b"), F.sum("n").alias("n")).collect()}
     if not sizes:
         return LanguageFilter({}, {})
-    # keep a row if its hash, in [0, 1), is below the language's share
+    # keep a piece if its hash, in [0, 1), is below the language's share
     share = F.create_map(*[x for k, (b, _) in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_bytes / max(1, b))))])
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    sample = rows.where(place < share[F.col("lang")])
+    here = share[F.col("lang")]
+    chosen = F.filter(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / PIECE).cast("int")),
+                      lambda k: F.pmod(F.xxhash64("key", k), F.lit(1 << 30)) / F.lit(float(1 << 30)) < here)
+    cut = F.transform(chosen, lambda k: F.struct(k.alias("piece"), F.substring("text", k * PIECE + 1, F.lit(PIECE)).alias("text")))
+    sample = rows.where(F.length("text") > 0).select("lang", "key", F.explode(cut).alias("part")).select("lang", "key", "part.*").distinct().select("lang", "text")
 
     def count(batches):
         for batch in text_slices(batches, "text"):

@@ -395,6 +395,20 @@ def test_language_filter(spark):
     assert {r.lang_pred for r in nothing} == {"und"}
 
 
+def test_language_sample_of_few_long_or_copied_texts(spark):
+    """Each language has a sample, whatever its texts' lengths and copies."""
+    rnd = random.Random(5)
+    word = lambda letters: "".join(rnd.choices(letters, k=4))
+    long = {f"l{k}": "abcdefghijklmnopqrst"[2 * k:2 * k + 3] for k in range(8)}
+    rows = [(" ".join(word(letters) for _ in range(20_000)), lang) for lang, letters in long.items() for _ in range(2)]
+    rows += [("wxwx " * 3000, "copied")] * 60 + [(" ".join(word("yz") for _ in range(200)), "copied") for _ in range(60)]
+    model = lang_id.train(spark.createDataFrame(rows, "text string, lang string"), sample_bytes=20_000)
+    for lang, letters in long.items():
+        assert model.decide([" ".join(word(letters) for _ in range(50))])[0] == [lang]
+    name, _, cover = model.decide([" ".join(word("yz") for _ in range(50))])
+    assert name == ["copied"] and cover[0] > 0.8
+
+
 def _plain_hits(text, items, w=10):
     split = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().lower())
     words, hit, found = split(text), set(), set()
