@@ -5,7 +5,10 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from provenant.llm import bpe, bwt_dedup, chat, decontaminate, html_text, lang_id, near_dups, secret_scan, suffix_model, vp_tree
+from provenant.llm import (
+    bpe, bwt_dedup, chat, decontaminate, fim_cut, html_text, lang_id, near_dups, periodic_runs, secret_scan, simhash_tree,
+    suffix_model, vp_tree,
+)
 from provenant.llm.common import prepare, table
 
 QUERIES = {}
@@ -96,3 +99,49 @@ def op7_suffix_tree_lm(spark, sf_dir):
 def op3_bwt_dedup(spark, sf_dir):
     """Every document without byte strings that an earlier one has."""
     return bwt_dedup.repeat_digest(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL["op11_rank_index_fim"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || CAST(doc_id AS VARCHAR)) AS h FROM documents
+), u AS (
+  SELECT doc_id, t, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS units,
+    CAST('0x' || substr(h, 1, 8) AS BIGINT) AS h1, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS h2,
+    CAST('0x' || substr(h, 17, 8) AS BIGINT) AS h3, CAST('0x' || substr(h, 25, 8) AS BIGINT) AS h4
+  FROM d
+), c AS (
+  SELECT *, len(units) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+    greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM u
+), p AS (
+  SELECT doc_id, t, n, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+    array_to_string(units[b + 1:n], '') AS suffix,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain'
+      WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+  FROM c
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@_query
+def op11_rank_index_fim(spark, sf_dir):
+    """Every document prepared for filling in its middle."""
+    return fim_cut.fim_digest(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_tiled_runs(spark, sf_dir):
+    """Periodic runs of every document, every tenth with a repeating tail."""
+    return periodic_runs.run_digest(periodic_runs.repeat_tails(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op13_simhash_tree(spark, sf_dir):
+    """Near-duplicate component of every document by its fingerprint."""
+    return simhash_tree.near_fingerprints(table(spark, sf_dir, "documents"))

@@ -1,0 +1,273 @@
+"""Operators 11 to 13 against brute force, and the results of odd input."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from provenant.llm import fim_cut, periodic_runs, simhash_tree
+
+SCHEMA = "doc_id long, text string, n string, runs string, fp string, component_id long, form string"
+
+
+def _docs(spark, texts, ids=None):
+    """Documents with extra columns whose names clash with outputs."""
+    ids = range(len(texts)) if ids is None else ids
+    return spark.createDataFrame([(i, t, "x", "y", "z", -1, "w") for i, t in zip(ids, texts)], SCHEMA)
+
+
+def _words(seed, n, size=400):
+    rnd = random.Random(seed)
+    vocabulary = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.randint(2, 6))) for _ in range(size)]
+    return [rnd.choice(vocabulary) for _ in range(n)]
+
+
+# -- 11 ---------------------------------------------------------------------
+
+def _plain_fim(doc_id, text):
+    text = text or ""
+    units, rest = [], text
+    while rest:
+        cut = rest.find("\n") + 1 or len(rest)
+        units.append(rest[:cut])
+        rest = rest[cut:]
+    digest = hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h = [int(digest[8 * k:8 * k + 8], 16) for k in range(4)]
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return len(units), "plain", None, None, text
+    a, b = sorted((h[0] % (len(units) + 1), h[1] % (len(units) + 1)))
+    p, m, s = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    if h[3] % 100 < 50:
+        return len(units), "spm", len(p), len(m), f"<S>{s}<P>{p}<M>{m}"
+    return len(units), "psm", len(p), len(m), f"<P>{p}<S>{s}<M>{m}"
+
+
+def test_fim_equals_plain_cuts(spark):
+    rnd = random.Random(3)
+    texts = ["\n".join(" ".join(_words(i * 50 + j, rnd.randint(0, 40))) for j in range(rnd.randint(1, 60))) for i in range(60)]
+    texts += [None, "", "\n", "\n\n\n", "a", "a\n", "é€\U0001f600\nß\r\nx\n", "a <P> b\nc", "<S>\n", "x\n<M", "<\nP>\n<S\n", "x" * 300_000 + "\ny\n" * 5000]
+    ids = list(range(len(texts))) + [7, None]
+    texts += [texts[7], "a\nb\nc"]
+    got = fim_cut.fill_in_middle(_docs(spark, texts, ids)).collect()
+    want = [(i, *_plain_fim(i, t)) for i, t in zip(ids, texts)]
+    key = lambda r: (r[0] is None, r[0] or 0, r[5])
+    assert sorted((tuple(r) for r in got), key=key) == sorted(want, key=key)
+    digests = fim_cut.fim_digest(_docs(spark, texts, ids)).collect()
+    back = sorted(hashlib.sha256((t or "").encode()).hexdigest() for t in texts)
+    assert sorted(r.restored_sha256 for r in digests) == back
+    assert sorted(r.output_sha256 for r in digests) == sorted(hashlib.sha256(w[5].encode()).hexdigest() for w in want)
+    assert fim_cut.fim_digest(_docs(spark, texts).limit(0)).count() == 0
+    shares = fim_cut.fill_in_middle(_docs(spark, texts[:60]), fim_percent=0).groupBy("form").count().collect()
+    assert [tuple(r) for r in shares] == [("plain", 60)]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(0, 5000), max_size=300), st.sampled_from([0, 3, 120, 1000]))
+def test_rank_index_is_exact_and_bounded(steps, epsilon):
+    offsets = np.cumsum([0, *steps])
+    index = fim_cut.RankIndex(offsets, epsilon)
+    ranks = np.arange(len(offsets))
+    assert np.array_equal(index.offsets(ranks), offsets)
+    assert np.abs(index.residuals.astype(int)).max() <= epsilon + 1
+    assert len(index.first) <= len(offsets)
+
+
+# -- 12 ---------------------------------------------------------------------
+
+def _plain_runs(words):
+    n, found = len(words), []
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            start, length = i, j - i + q
+            if length >= max(6, 4 * q) and j > i:
+                if not any(q % d == 0 and all(words[x] == words[x + d] for x in range(start, start + length - d)) for d in range(1, q)):
+                    found.append((start, q, length))
+            i = j + 1
+    return sorted(found)
+
+
+def _plain_tail(doc_id, text):
+    words = (text or "").encode().split()
+    words = [w.decode() for w in words]
+    h = zlib.crc32(str(doc_id).encode())
+    g, n = h // 10, len(words)
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+
+
+def _periodic_texts():
+    rnd = random.Random(4)
+    texts = []
+    for i in range(80):
+        words = _words(i, rnd.randint(0, 120), size=rnd.choice([1, 2, 3, 50]))
+        for _ in range(rnd.randint(0, 3)):
+            at, p, times = rnd.randint(0, len(words)), rnd.randint(1, 20), rnd.randint(2, 9)
+            unit = _words(i + 1000, p, size=rnd.choice([2, 60]))
+            words[at:at] = (unit * times)[:p * times - rnd.randint(0, p - 1)]
+        texts.append(" ".join(words))
+    texts += [None, "", " \n\t", "a", "a a a a a", "a a a a a a", "é é é é é é é", "a a a a"]
+    return texts
+
+
+def test_runs_equal_brute_force(spark):
+    texts = _periodic_texts()
+    ids = list(range(len(texts))) + [3, None]
+    texts += [texts[3], texts[5]]
+    for tile in (4096, 16):
+        old, periodic_runs.TILE = periodic_runs.TILE, tile
+        try:
+            got = periodic_runs.find_runs(_docs(spark, texts, ids)).collect()
+        finally:
+            periodic_runs.TILE = old
+        want = []
+        for i, t in zip(ids, texts):
+            words = [w.decode() for w in (t or "").encode().split()]
+            runs = _plain_runs(words)
+            gone = {k for s, q, n in runs for k in range(s + q, s + n)}
+            want.append((i, len(words), runs, " ".join(w for k, w in enumerate(words) if k not in gone)))
+        key = lambda r: (r[0] is None, r[0] or 0)
+        assert sorted(((r.doc_id, r.n, [tuple(x) for x in r.runs], r.collapsed) for r in got), key=key) == sorted(want, key=key)
+
+
+def test_run_digest_of_repeating_tails(spark):
+    texts = _periodic_texts() + [" ".join(_words(5000 + i, 200)) for i in range(60)] + [" ".join(_words(9, 3000, 900)), " ".join(["a", "b"] * 3000)]
+    docs = _docs(spark, texts)
+    got = {r.doc_id: r for r in periodic_runs.run_digest(periodic_runs.repeat_tails(docs)).collect()}
+    some = 0
+    for i, t in enumerate(texts):
+        words, r = _plain_tail(i, t), got[i]
+        if len(words) < 400:
+            runs = _plain_runs(words)
+        elif i == len(texts) - 1 and zlib.crc32(str(i).encode()) % 10:
+            runs = [(0, 2, 6000)]
+        else:
+            continue
+        gone = {k for s, q, n in runs for k in range(s + q, s + n)}
+        some += bool(runs) and zlib.crc32(str(i).encode()) % 10 == 0
+        assert r.n_runs == len(runs)
+        assert r.runs_sha256 == hashlib.sha256("".join(f"{s},{n},{q}\n" for s, q, n in runs).encode()).hexdigest()
+        assert r.collapsed_sha256 == hashlib.sha256(" ".join(w for k, w in enumerate(words) if k not in gone).encode()).hexdigest()
+        if runs:
+            s, q, n = min(runs, key=lambda x: (-x[2], x[0], x[1]))
+            assert (r.start, r.length, r.period, r.exponent_milli) == (s, n, q, 1000 * n // q)
+        else:
+            assert (r.start, r.length, r.period, r.exponent_milli) == (None,) * 4
+    assert some > 3
+    assert periodic_runs.run_digest(periodic_runs.repeat_tails(docs.limit(0))).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("ab"), max_size=90), st.integers(1, 9), st.integers(0, 40), st.integers(0, 3))
+def test_tiles_find_every_run(noise, period, length, shift):
+    """Marks, tiles of one boundary each, and stitching, without Spark."""
+    words = noise + ["abcdefghi"[(i + shift) % period] for i in range(length)] + noise[:5]
+    coded = np.unique(words, return_inverse=True)[1] if words else np.zeros(0, int)
+    pieces = {}
+    for octave, marks in periodic_runs.marked_boundaries(coded):
+        s = 2 << octave
+        for c in marks.tolist():
+            a, b = max(0, c - s), min(len(words), c + 3 * s)
+            for p, x, y in periodic_runs.solve_tile(coded[a:b].tolist(), octave, [c - a]):
+                pieces.setdefault(p, []).append((a + x, a + y))
+    found = []
+    for p, parts in pieces.items():
+        whole = []
+        for x, y in sorted(parts):
+            if whole and x <= whole[-1][1] - p:
+                whole[-1][1] = max(whole[-1][1], y)
+            else:
+                whole.append([x, y])
+        found += [(x, p, y - x) for x, y in whole if y - x >= max(6, 4 * p)]
+    assert sorted(found) == _plain_runs(words)
+
+
+# -- 13 ---------------------------------------------------------------------
+
+def _plain_print(text, k=3):
+    words = (text or "").encode().lower().split()
+    grams = [b" ".join(words[i:i + k]) for i in range(len(words) - k + 1)] if len(words) >= k else ([b" ".join(words)] if words else [])
+    h = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def _plain_components(ids, prints, radius):
+    root = {i: i for i in ids}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in ids:
+        for j in ids:
+            if i < j and (prints[i] ^ prints[j]).bit_count() <= radius:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_components_equal_brute_force(spark):
+    texts = [" ".join(_words(i, 60)) for i in range(40)]
+    for i in range(8):  # near copies of a long text, and a chain of them
+        words = _words(77, 900)
+        words[10 * i:10 * i + 1 + i % 3] = ["changed"]
+        texts.append(" ".join(words))
+    texts += [None, "", " \n", "one", "ONE", "one two", "é x y z", texts[0].upper(), texts[1], " ".join(_words(7, 20000))]
+    extra = [(None, texts[2]), (5, texts[2]), (5, "a text of its own")]  # no id; a repeated row; an id with two texts
+    docs = _docs(spark, texts, [*range(3, len(texts) + 3)]).unionByName(_docs(spark, [t for _, t in extra], [i for i, _ in extra]))
+    prints = {i: _plain_print(t) for i, t in enumerate(texts, 3)}
+    parts = _plain_components(list(prints), prints, 3)
+    assert len({c for i, c in parts.items() if c != i}) > 2
+    for shard_rows in (simhash_tree.SHARD, 8):
+        got = simhash_tree.near_fingerprints(docs, shard_rows=shard_rows).collect()
+        assert len(got) == len(texts) + 3
+        for r in got:
+            if r.doc_id is None:
+                assert (r.fingerprint, r.component_id) == (f"{_plain_print(texts[2]):016x}", None)
+            elif r.fingerprint == f"{_plain_print(extra[2][1]):016x}":
+                assert r.component_id == 5
+            else:
+                assert (r.fingerprint, r.component_id) == (f"{prints[r.doc_id]:016x}", parts[r.doc_id])
+    assert simhash_tree.near_fingerprints(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("spread", [0, 2, 9, 32])
+def test_shards_and_leaves_lose_no_link(spark, spread):
+    """Random prints, and clusters of prints some bits apart, over many shards."""
+    rng = np.random.default_rng(spread)
+    centres = rng.integers(0, 1 << 63, 6, dtype=np.uint64) * np.uint64(2)
+    prints = []
+    for i in range(700):
+        x = int(centres[rng.integers(0, 6)])
+        for b in rng.integers(0, 64, int(rng.integers(0, spread + 1))):
+            x ^= 1 << int(b)
+        prints.append(x)
+    prints = sorted(set(prints))
+    want = _plain_components(range(len(prints)), prints, 3)
+    root = simhash_tree.link_prints(np.array(prints, np.uint64), 3, leaf=8)
+    assert {i: int(r) for i, r in enumerate(root)} == want
+    if spread != 9:
+        return
+    signed = np.array(prints, np.uint64).view(np.int64).tolist()
+    points = spark.createDataFrame([(p,) for p in signed], "fp long")
+    old, simhash_tree.SAMPLE_LEAF = simhash_tree.SAMPLE_LEAF, 8
+    try:
+        shards = simhash_tree.deal_shards(points, 3, 60, sample=200)
+    finally:
+        simhash_tree.SAMPLE_LEAF = old
+    assert shards.select("shard").distinct().count() > 5
+    tied = simhash_tree.components(simhash_tree.shard_links(shards, 3)).collect()
+    got = dict(zip(signed, signed)) | {r.node: r.component for r in tied}
+    assert len({(got[p], want[i]) for i, p in enumerate(signed)}) == len(set(want.values())) == len(set(got.values()))
