@@ -264,10 +264,10 @@ def test_shards_and_leaves_lose_no_link(spark, spread):
     points = spark.createDataFrame([(p,) for p in signed], "fp long")
     old, simhash_tree.SAMPLE_LEAF = simhash_tree.SAMPLE_LEAF, 8
     try:
-        shards = simhash_tree.deal_shards(points, 3, 60, sample=200)
+        shards, count = simhash_tree.deal_shards(points, 3, 60, sample=200)
     finally:
         simhash_tree.SAMPLE_LEAF = old
-    assert shards.select("shard").distinct().count() > 5
-    tied = simhash_tree.components(simhash_tree.shard_links(shards, 3)).collect()
+    assert shards.select("shard").distinct().count() == count > 5
+    tied = simhash_tree.components(simhash_tree.shard_links(shards, count, 3)).collect()
     got = dict(zip(signed, signed)) | {r.node: r.component for r in tied}
     assert len({(got[p], want[i]) for i, p in enumerate(signed)}) == len(set(want.values())) == len(set(got.values()))
