@@ -17,6 +17,8 @@ Scale notes
   entry_pos)`` (uniformly spread); every later join is on that pair, so the
   remaining entries keep their partitioning across tiers and only the
   matched positions move.
+* Positions must be unique on each side; repeated ones raise (entries of
+  several Records are numbered through by ``workflows.compare``).
 """
 
 from __future__ import annotations
@@ -60,14 +62,21 @@ def _prepare(a: DataFrame, b: DataFrame) -> DataFrame:
     # Both sides in one frame, hash-partitioned once by (side, entry_pos) and
     # materialised with a reliable checkpoint (partitioning kept): every tier
     # reads the entries several times, and recomputing them could mean
-    # re-reading and re-digesting all contents.
+    # re-reading and re-digesting all contents.  A position names one entry of
+    # its side: that is counted here, on rows that lie together already.
     both = a.select(F.lit(1).alias("side"), POS, "file", "data_digest").unionByName(
         b.select(F.lit(2).alias("side"), POS, "file", "data_digest"))
-    return cut_lineage(
+    stored = cut_lineage(
         both.repartition("side", POS)
         .withColumn("attempts", F.array().cast(_ATTEMPT))
         .withColumn("tier_keys", F.array().cast("array<string>"))
     )
+    repeated = stored.groupBy("side", POS).agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) | F.col(POS).isNull())
+    wrong = repeated.limit(1).collect()
+    if wrong:
+        raise ValueError(f"entry_pos must name one entry of its side; side {wrong[0]['side']} has {wrong[0]['n']} "
+                         f"entries at {wrong[0][POS]}")
+    return stored
 
 
 def group_by_key(entries: DataFrame, key: Column) -> DataFrame:

@@ -68,7 +68,7 @@ def build_record_entries_from_files(includes: DataFrame, strict: bool = True, al
     from provenant.sources.file_digests import file_digests
 
     found = file_digests(includes.select(F.col(path_col).alias("path")), algorithm)
-    j = includes.join(found.select(F.col("path").alias(path_col), "data_digest"), path_col, "left")
+    j = hot_split_join(includes, found.select(F.col("path").alias(path_col), "data_digest"), path_col, "left")
     digest = F.col("data_digest")
     if strict:
         digest = F.when(digest.isNull(), F.raise_error(F.concat(F.lit("missing file: "), F.col(path_col)))).otherwise(

@@ -100,12 +100,12 @@ def q_content_scan(spark, sf_dir):
     )
 
 
-def _records_round_trip(spark, sf_dir):
+def _records_round_trip(spark, sf_dir, **sizes):
     includes = record_includes(spark, sf_dir).withColumn("file", F.concat(F.lit("/data/"), "file"))
     contents = contents_then(spark, sf_dir).withColumn("path", F.concat(F.lit("/data/"), "path"))
     entries = R.build_record_entries(includes, contents)
     out = _local(scratch_dir(spark, "records"))
-    RS.write_records(entries, R.build_records(entries), out, generated_at_utc="2026-01-01T00:00:00Z")
+    RS.write_records(entries, R.build_records(entries), out, generated_at_utc="2026-01-01T00:00:00Z", **sizes)
     return RS.scan_records(spark, out)
 
 
@@ -130,6 +130,18 @@ def q_record_scan(spark, sf_dir):
         "record_id", "entry_pos", file_name("full_path").alias("file_name"), "data_digest", "digest_ok")
 
 
+@register("record_parts", """select record_id, row_number() over (partition by record_id order by entry_pos) - 1
+  as entry_pos, '/data/' || file as full_path, data_digest,
+  cast(count(*) over (partition by record_id) as bigint) as n_entries
+from (""" + SQL_RECORD_ENTRIES + ")")
+def q_record_parts(spark, sf_dir):
+    """#5/#8 for Records of any size: Records of more than eight entries kept
+    as a head and parts of seven, read back with full paths, in order."""
+    rt = _records_round_trip(spark, sf_dir, inline_entries=8, part_entries=7)
+    rec = rt["records"].select("record_path", "record_id", "n_entries")
+    return hot_split_join(rt["entries"], rec, "record_path").select("record_id", "entry_pos", "full_path", "data_digest", "n_entries")
+
+
 @register("design_scan", """select cast(p_partkey as varchar) as p_partkey, p_brand as brand,
   cast(p_size as varchar) as size, p_type as type from part""")
 def q_design_scan(spark, sf_dir):

@@ -80,8 +80,20 @@ def scan_includes(spark: SparkSession, location: str) -> DataFrame:
     ).where(F.col("file").isNotNull())
     numbered = number_rows(lines, ["_blk", "_mid"], ["source_file"], out="entry_pos")
     folder = F.regexp_replace("source_file", r"/[^/]*$", "")
-    full = F.when(F.col("file").startswith("/"), F.col("file")).otherwise(F.concat(folder, F.lit("/"), F.col("file")))
-    return numbered.select("source_file", "entry_pos", "file", full.alias("full_path"))
+    return numbered.select("source_file", "entry_pos", "file", complete_path("file", folder).alias("full_path"))
+
+
+def complete_path(path: str | Column, folder: Column) -> Column:
+    """A relative path below ``folder``; absolute ones and URIs as they are."""
+    c = F.col(path) if isinstance(path, str) else path
+    return F.when(c.startswith("/") | c.rlike("^[A-Za-z][A-Za-z0-9+.-]*:/"), c).otherwise(F.concat(folder, F.lit("/"), c))
+
+
+def listed_files(spark: SparkSession, location: str) -> DataFrame:
+    """``(source_file)`` of the files that a text scan of ``location`` reads;
+    names only, from their metadata (files without any byte give no row)."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location).select(
+        strip_scheme("path").alias("source_file"))
 
 
 def includes_from_text(df: DataFrame, text_col: str, key: str) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from provenant.operators import compare as C
 from provenant.operators import records as R
+from provenant.operators.numbering import number_rows
 from provenant.operators.skew import hot_split_join
 from provenant.session import materialize
 from provenant.sources import bundle as B
@@ -20,15 +21,30 @@ from provenant.sources.file_digests import file_digests
 
 
 def record(spark: SparkSession, includes: str, out_dir: str, algorithm: str = "blake3",
-           record_id: str | None = None) -> DataFrame:
-    """Includes file(s) -> Record documents under ``out_dir`` (one Record per
-    includes file, named after it, unless ``record_id`` is given).  Files are
-    digested in pieces on the executors; a listed file that is missing fails
-    the job.  Returns ``(record_id, n_entries, digest)``."""
-    inc = FS.scan_includes(spark, includes)
+           record_id: str | None = None, listing: str = "includes") -> DataFrame:
+    """Lists of files -> Records under ``out_dir``: one Record per list, named
+    after it, unless ``record_id`` is given.  ``listing`` tells what a list
+    is: an ``includes`` file, or a path list of ``lines`` or ``nul``-separated.
+    Files are digested in pieces on the executors; a listed file that is
+    missing fails the job, and so does a list without files.  Returns
+    ``(record_id, n_entries, digest)``."""
+    if listing == "includes":
+        inc = FS.scan_includes(spark, includes).select("source_file", "entry_pos", "full_path")
+    elif listing in ("lines", "nul"):
+        inc = FS.scan_path_list(spark, includes, "\n" if listing == "lines" else "\0").where("path != ''")
+        folder = F.regexp_replace("source_file", r"/[^/]*$", "")
+        inc = inc.select("source_file", "entry_pos", FS.complete_path("path", folder).alias("full_path"))
+    else:
+        raise ValueError(f"unknown listing {listing!r}: includes, lines or nul")
     rid = F.lit(record_id) if record_id else F.regexp_extract("source_file", r"([^/]+?)(\.[^./]*)?$", 1)
-    inc = inc.select(rid.alias("record_id"), "entry_pos", F.col("full_path").alias("file"))
-    entries = R.build_record_entries_from_files(inc, strict=True, algorithm=algorithm)
+    inc = materialize(inc.select("source_file", rid.alias("record_id"), "entry_pos", F.col("full_path").alias("file")))
+    # a list of blanks and comments only leaves no row: its file is still listed
+    empty = FS.listed_files(spark, includes).join(inc.select("source_file").distinct(), "source_file", "left_anti").limit(5).collect()
+    if empty or inc.isEmpty():
+        raise ValueError(f"no files to record in {sorted(r[0] for r in empty) or includes}")
+    if record_id:  # several lists make one Record: numbered through
+        inc = number_rows(inc.withColumnRenamed("entry_pos", "_pos"), ["source_file", "_pos"], out="entry_pos")
+    entries = materialize(R.build_record_entries_from_files(inc.select("record_id", "entry_pos", "file"), strict=True, algorithm=algorithm))
     records = R.build_records(entries, algorithm=algorithm)
     RS.write_records(entries, records, out_dir, digest_algorithm="BLAKE3" if algorithm == "blake3" else "SHA-256")
     return records
@@ -70,11 +86,14 @@ def _algorithm(records: DataFrame) -> str:
 
 
 def compare(spark: SparkSession, record_1: str, record_2: str) -> dict[str, DataFrame]:
-    """Two Record documents -> diff (same / changed / undetermined), summary
-    and numbered report rows with labels."""
-    e1 = RS.scan_records(spark, record_1)["entries"]
-    e2 = RS.scan_records(spark, record_2)["entries"]
-    diff = C.record_diff(e1, e2)
+    """Two Records, or two folders of Records -> diff (same / changed /
+    undetermined), summary and numbered report rows with labels.  The entries
+    of a folder's Records are numbered through, Record by Record."""
+    def entries(location: str) -> DataFrame:
+        rows = RS.scan_records(spark, location)["entries"].withColumnRenamed("entry_pos", "pos_in_record")
+        return number_rows(rows, ["record_path", "pos_in_record"], out="entry_pos")
+
+    diff = C.record_diff(entries(record_1), entries(record_2))
     return {"diff": diff, "summary": C.diff_summary(diff), "report": C.diff_labels(C.diff_report_rows(diff))}
 
 
