@@ -157,31 +157,27 @@ def path_relativize(path: str | Column, directory: str | Column) -> Column:
     """
     p = _c(path)
     d = _c(directory)
-    pc = components(p)
-    dc = components(d)
-    # length of the common prefix
-    common = F.aggregate(
-        F.sequence(F.lit(1), F.least(F.size(pc), F.size(dc))),
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("run")),
-        lambda acc, i: F.struct(
-            F.when(acc["run"] & (F.try_element_at(pc, i) == F.try_element_at(dc, i)), acc["n"] + 1)
-            .otherwise(acc["n"]).alias("n"),
-            (acc["run"] & (F.try_element_at(pc, i) == F.try_element_at(dc, i))).alias("run"),
-        ),
-    )["n"]
-    common = F.when(F.least(F.size(pc), F.size(dc)) == 0, F.lit(0)).otherwise(common)
-    up = F.size(dc) - common
-    rest_dir = F.slice(dc, common + 1, F.greatest(up, F.lit(1)))
-    ups = F.array_repeat(F.lit(".."), up)
-    rest = F.slice(pc, common + 1, F.greatest(F.size(pc) - common, F.lit(1)))
-    rest = F.when(F.size(pc) > common, rest).otherwise(F.array().cast("array<string>"))
-    rel = F.array_join(F.concat(ups, rest), "/")
+
+    def relative(x: Column) -> Column:
+        pc, dc = x["p"], x["d"]
+        shortest = F.least(F.size(pc), F.size(dc))
+        # length of the common prefix: up to the first component that differs
+        differs = F.transform(F.arrays_zip(F.slice(pc, F.lit(1), shortest).alias("p"), F.slice(dc, F.lit(1), shortest).alias("d")),
+                              lambda c: c["p"] != c["d"])
+        first = F.array_position(differs, True)
+        common = F.when(first > 0, first - 1).otherwise(shortest).cast("int")
+        up = F.size(dc) - common
+        rest_dir = F.slice(dc, common + 1, F.greatest(up, F.lit(0)))
+        rest = F.slice(pc, common + 1, F.greatest(F.size(pc) - common, F.lit(0)))
+        return F.when(~F.array_contains(rest_dir, ".."), F.array_join(F.concat(F.array_repeat(F.lit(".."), up), rest), "/"))
+
+    # both splits bound to a variable, so that each is made once for a row
+    rel = F.get(F.transform(F.array(F.struct(components(p).alias("p"), components(d).alias("d"))), relative), F.lit(0))
     p_abs = p.startswith("/")
     d_abs = d.startswith("/")
     return (
         F.when(p.isNull() | d.isNull(), F.lit(None))
         .when(p_abs & ~d_abs, p)
         .when(~p_abs & d_abs, F.lit(None))
-        .when((up > 0) & F.array_contains(rest_dir, ".."), F.lit(None))
         .otherwise(rel)
     )
