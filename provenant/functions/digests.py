@@ -20,9 +20,6 @@ RECORD_DIGEST_BYTES = 32
 VARIATION_PREFIX = "variation"
 
 ALGORITHMS = ("sha256", "blake3")
-# A keyed set (a design row's variables, one order's lines) is digested as
-# one preimage; sets are checked against this size before they are grouped.
-MAX_KEYED_SET = 100_000
 
 
 def _c(c: str | Column) -> Column:
@@ -69,7 +66,8 @@ def keyed_set_preimage(prefix: str | Column, name: str | Column, value: str | Co
     """Aggregate: prefix || name1 || value1 || ... with names in byte order.
 
     The group is one keyed set (one design row, one VarStep), so its size is
-    the number of variables; input row order does not matter.
+    the number of variables; input row order does not matter.  For sets of any
+    size see :mod:`provenant.operators.keyed_sets`.
     """
     pre = F.lit(prefix) if isinstance(prefix, str) else prefix
     pairs = F.array_sort(F.collect_list(F.struct(_c(name).alias("n"), _c(value).alias("v"))))
@@ -77,14 +75,6 @@ def keyed_set_preimage(prefix: str | Column, name: str | Column, value: str | Co
     return F.concat_ws(separator, F.any_value(pre), body) if separator else F.concat(F.any_value(pre), body)
 
 
-def check_keyed_set_sizes(df, set_cols: list[str], limit: int = MAX_KEYED_SET) -> None:
-    """Refuse keyed sets larger than ``limit`` names before grouping them
-    (one partial-aggregated count per set, one scalar to the driver)."""
-    biggest = df.groupBy(*set_cols).count().agg(F.max("count")).first()[0] or 0
-    if biggest > limit:
-        raise ValueError(f"a keyed set has {biggest} names; more than {limit} is not a keyed set")
-
-
 def keyed_set_digest(prefix: str | Column, name: str | Column, value: str | Column,
                      n_bytes: int = ID_DIGEST_BYTES, algorithm: str = "sha256",
                      separator: str = "") -> Column:

@@ -17,6 +17,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.session import materialize
 
@@ -76,18 +77,66 @@ def number_rows(df: DataFrame, order_by: Sequence[str | Column],
 def with_previous(df: DataFrame, unit_cols: Sequence[str], order_by: Sequence[str | Column],
                   value_cols: Sequence[str], prefix: str = "prev_") -> DataFrame:
     """``lag(value) OVER (PARTITION BY unit ORDER BY order_by)`` for each
-    value column, without putting one unit's rows into one task: rows get a
-    global rank in (unit, order) and are joined to the row ranked just
-    before them (same unit), a join spread evenly by rank."""
-    units = list(unit_cols)
-    ranked = number_rows(df, [F.col(c).asc_nulls_first() for c in units] + list(order_by), (), out="_lag_rk")
-    prev = ranked.select(
-        *[F.col(u).alias(f"_lag_u{i}") for i, u in enumerate(units)],
-        (F.col("_lag_rk") + 1).alias("_lag_prk"),
-        *[F.col(v).alias(prefix + v) for v in value_cols],
-    )
-    cond = [F.col("_lag_rk") == F.col("_lag_prk")] + [
-        F.col(u).eqNullSafe(F.col(f"_lag_u{i}")) for i, u in enumerate(units)
-    ]
-    joined = ranked.join(prev, reduce(lambda x, y: x & y, cond), "left")
-    return joined.select(*df.columns, *[prefix + v for v in value_cols])
+    value column, without putting one unit's rows into one task.
+
+    Rows are range-partitioned and sorted by (unit, order) once; each task
+    shifts its own rows by one.  Only a task's first row looks further back:
+    the last row of the task before it is carried over (one row a task)."""
+    units, values = list(unit_cols), list(value_cols)
+    keys = [F.col(c).asc_nulls_first() for c in units] + [_as_col(c) for c in order_by]
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_lag_task", F.spark_partition_id())
+    kept = ranged.columns
+    out = T.StructType([*ranged.schema.fields, *[T.StructField(prefix + v, df.schema[v].dataType) for v in values],
+                        T.StructField("_lag_edge", T.IntegerType())])
+
+    def shift(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        before, held = None, None  # the last row seen; a batch held back until it is known to be the last
+
+        def finish(batch, last):
+            edge = [0] * batch.num_rows
+            if batch_first[0]:
+                edge[0] |= 1
+                batch_first[0] = False
+            if last:
+                edge[-1] |= 2
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.array(edge, pa.int32())], names=[*batch.schema.names, "_lag_edge"])
+
+        batch_first = [True]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if held is not None:
+                yield finish(held, False)
+            same = None
+            for u in units:
+                now = batch.column(u)
+                head = before[u] if before else pa.nulls(1, now.type)
+                past = pa.concat_arrays([head, now.slice(0, batch.num_rows - 1)])
+                equal = pc.or_kleene(pc.fill_null(pc.equal(now, past), False), pc.and_(pc.is_null(now), pc.is_null(past)))
+                same = equal if same is None else pc.and_(same, equal)
+            columns = []
+            for v in values:
+                now = batch.column(v)
+                head = before[v] if before else pa.nulls(1, now.type)
+                past = pa.concat_arrays([head, now.slice(0, batch.num_rows - 1)])
+                columns.append(past if same is None else pc.if_else(same, past, pa.nulls(batch.num_rows, now.type)))
+            before = {c: batch.column(c).slice(batch.num_rows - 1, 1) for c in {*units, *values}}
+            held = pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *columns], names=[*kept, *[prefix + v for v in values]])
+        if held is not None:
+            yield finish(held, True)
+
+    shifted = materialize(ranged.mapInArrow(shift, out))
+    # the last row of each task, and the task that follows it: one row a task
+    lasts = shifted.where(F.col("_lag_edge").bitwiseAND(F.lit(2)) > 0)
+    following = F.lead("_lag_task").over(Window.orderBy("_lag_task"))
+    carried = lasts.select(following.alias("_lag_task"), *[F.col(u).alias(f"_lag_u{i}") for i, u in enumerate(units)],
+                           *[F.col(v).alias(f"_lag_v{i}") for i, v in enumerate(values)])
+    first = F.col("_lag_edge").bitwiseAND(F.lit(1)) > 0
+    same = reduce(lambda x, y: x & y, [F.col(u).eqNullSafe(F.col(f"_lag_u{i}")) for i, u in enumerate(units)], first)
+    joined = shifted.join(F.broadcast(carried.where("_lag_task is not null").withColumn("_lag_found", F.lit(True))), "_lag_task", "left")
+    same = same & F.coalesce("_lag_found", F.lit(False))
+    return joined.select(*df.columns, *[F.when(same, F.col(f"_lag_v{i}")).otherwise(F.col(prefix + v)).alias(prefix + v)
+                                        for i, v in enumerate(values)])

@@ -14,12 +14,10 @@ Token grammar (what may stand between braces):
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from provenant.session import cut_lineage, materialize
+from provenant.session import materialize
 
 # The words of the template grammar.
 LOC_WORDS = ("inputs", "outputs")
@@ -33,19 +31,41 @@ TOKEN_PATTERN = r"(\{[^{}]*\}|[^{}]+)"
 UNOPENED, NESTED, UNCLOSED, UNKNOWN = "unopened_close", "nested_open", "unclosed_open", "unknown_word"
 
 MAX_BROADCAST_EDGES = 1_000_000
+# a step's failures are listed up to this many; all are counted
+MAX_LISTED_FAILURES = 10_000
+
+
+def brace_fault(arg: str | Column) -> Column:
+    """What is wrong with an argument's braces; null if nothing is.
+
+    Told by the brace skeleton: after removing leading ``{}`` pairs, a ``}``
+    first is a close without an open, ``{{`` an open inside an open, a lone
+    ``{`` an open never closed."""
+    c = F.col(arg) if isinstance(arg, str) else arg
+    rest = F.regexp_replace(F.regexp_replace(c, r"[^{}]", ""), r"^(\{\})*", "")
+    return (
+        F.when(rest == "", F.lit(None))
+        .when(rest.startswith("}"), F.lit(UNOPENED))
+        .when(rest.startswith("{{"), F.lit(NESTED))
+        .otherwise(F.lit(UNCLOSED))
+    )
 
 
-def template_tokens(steps: DataFrame) -> DataFrame:
-    """#47: ``(step, arg_pos, tok_pos, token, is_template, body)`` in order."""
+def template_tokens(steps: DataFrame, faults: bool = False) -> DataFrame:
+    """#47: ``(step, arg_pos, tok_pos, token, is_template, body)`` in order.
+
+    With ``faults`` also ``arg_fault``, the whole argument's brace fault: its
+    tokens are what the pattern finds, but it must not be realised (#66)."""
+    extra = [brace_fault("arg").alias("arg_fault")] if faults else []
     toks = steps.select(
-        "step", "arg_pos",
+        "step", "arg_pos", *extra,
         F.posexplode(F.regexp_extract_all(F.col("arg"), F.lit(TOKEN_PATTERN), 1)).alias("tok_pos", "token"),
     )
     is_t = F.col("token").startswith("{")
     return toks.select(
         "step", "arg_pos", F.col("tok_pos").cast("int").alias("tok_pos"), "token",
         is_t.alias("is_template"),
-        F.when(is_t, F.expr("substring(token, 2, length(token) - 2)")).alias("body"),
+        F.when(is_t, F.expr("substring(token, 2, length(token) - 2)")).alias("body"), *(["arg_fault"] if faults else []),
     )
 
 
@@ -73,22 +93,11 @@ def classify_tokens(tokens: DataFrame) -> DataFrame:
 
 
 def template_faults(steps: DataFrame) -> DataFrame:
-    """#49: per faulty argument ``(step, arg_pos, fault, detail)``.
-
-    Brace faults come from the brace skeleton of the text: after removing
-    leading ``{}`` pairs, a ``}`` first means a close without an open, ``{{``
-    an open inside an open, a lone ``{`` an open never closed.  Words between
-    braces outside the grammar are ``unknown_word`` faults (one row each).
+    """#49: per faulty argument ``(step, arg_pos, fault, detail)``: its brace
+    fault (:func:`brace_fault`), and a row for each word between braces that
+    is outside the grammar (``unknown_word``).
     """
-    braces = F.regexp_replace(F.col("arg"), r"[^{}]", "")
-    rest = F.regexp_replace(braces, r"^(\{\})*", "")
-    brace_fault = (
-        F.when(rest == "", F.lit(None))
-        .when(rest.startswith("}"), F.lit(UNOPENED))
-        .when(rest.startswith("{{"), F.lit(NESTED))
-        .otherwise(F.lit(UNCLOSED))
-    )
-    bf = steps.select("step", "arg_pos", brace_fault.alias("fault"), F.lit(None).cast("string").alias("detail")).where(
+    bf = steps.select("step", "arg_pos", brace_fault("arg").alias("fault"), F.lit(None).cast("string").alias("detail")).where(
         F.col("fault").isNotNull()
     )
     words = classify_tokens(template_tokens(steps)).where(F.col("kind") == "unknown").select(
@@ -118,44 +127,37 @@ def input_variables(tokens: DataFrame) -> DataFrame:
     return step_variables(tokens).select("variable").distinct()
 
 
-def step_closure(step_names: DataFrame, edges: DataFrame, checkpoint_every: int = 8) -> DataFrame:
+def step_closure(step_names: DataFrame, edges: DataFrame) -> DataFrame:
     """#52: ``(step, upstream, depth)`` -- every step reachable through
     dependencies, the step itself included (depth 0); ``depth`` is the
     longest path.
 
-    Iterative join to a fixpoint: round k finds the pairs joined by a path
-    of exactly k edges (one job per round: its size and whether a step
-    reached itself, i.e. a cycle, which raises).  Frontiers are cached while
-    in use and the lineage is cut every few rounds and at the end.
+    Path doubling: round k has the pairs joined by a path of fewer than 2^k
+    edges, with their longest such path (``reach``), and the pairs joined by a
+    path of exactly 2^k edges (``power``).  A longer path is one of exactly
+    2^k edges and a shorter rest, so one join of the two doubles the length:
+    a chain of n steps takes about log2(n) rounds, and no pair is listed more
+    often than there are middle steps 2^k edges away.  Each round is written
+    once; a step that reaches itself is a cycle, which raises.
     """
-    e = edges.select(F.col("step").alias("_via"), F.col("depends_on").alias("_next")).persist()
-    # the edge list is joined every round: broadcast it when it is provably small
-    e_join = F.broadcast(e) if e.count() <= MAX_BROADCAST_EDGES else e
-    frontier = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).persist()
-    found = [frontier]
-    cached = [e, frontier]
-    for rnd in itertools.count(1):  # ends: a cycle raises, else paths run out
-        nxt = (
-            frontier.join(e_join, frontier.upstream == e_join._via)
-            .select("step", F.col("_next").alias("upstream"), F.lit(rnd).alias("depth"))
-            .distinct()
-        )
-        nxt = cut_lineage(nxt) if rnd % checkpoint_every == 0 else nxt.persist()
-        cached.append(nxt)
-        size, loops = nxt.agg(F.count(F.lit(1)), F.count_if(F.col("step") == F.col("upstream"))).first()
-        if loops:
+    reach = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).distinct()
+    power = materialize(edges.select("step", F.col("depends_on").alias("upstream")).distinct())
+    length = 1
+    while True:
+        n = power.count()
+        if n == 0:
+            return materialize(reach) if length == 1 else reach
+        hop = power.select("step", F.col("upstream").alias("_mid"))
+        hop = F.broadcast(hop) if n <= MAX_BROADCAST_EDGES else hop
+        on = lambda df: df.select(F.col("step").alias("_mid"), *[c for c in df.columns if c != "step"])
+        # a dependency that is no step has no row in ``reach``, but is reached
+        ends = power.select("step", "upstream", F.lit(length).alias("depth"))
+        further = on(reach.where("depth > 0")).join(hop, "_mid").select("step", "upstream", (F.col("depth") + length).alias("depth"))
+        reach = materialize(reach.unionByName(ends).unionByName(further).groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
+        if not reach.where("step = upstream and depth > 0").isEmpty():
             raise ValueError("step graph has a cycle")
-        if size == 0:
-            break
-        found.append(nxt)
-        frontier = nxt
-    closure = found[0]
-    for f in found[1:]:
-        closure = closure.unionByName(f)
-    closure = materialize(closure.groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
-    for c in cached:
-        c.unpersist(blocking=False)
-    return closure
+        power = materialize(on(power).join(hop, "_mid").select("step", "upstream").distinct())
+        length *= 2
 
 
 def upstream_variables(closure: DataFrame, variables: DataFrame) -> DataFrame:
@@ -168,20 +170,29 @@ def upstream_variables(closure: DataFrame, variables: DataFrame) -> DataFrame:
 
 
 def check_config(step_names: DataFrame, edges: DataFrame, variables: DataFrame,
-                 design_columns: DataFrame) -> DataFrame:
+                 design_columns: DataFrame, faults: DataFrame | None = None) -> DataFrame:
     """#54: per step PASS/FAIL with its failures: a dependency that is not a
-    step, a variable that is not a design column."""
+    step, a variable that is not a design column and, given the ``faults`` of
+    :func:`template_faults`, an argument that is no sound template.
+
+    ``n_failures`` counts them all; ``failures`` lists the first
+    ``MAX_LISTED_FAILURES`` in order, so that no step's list is unbounded."""
     missing_step = edges.join(step_names.select(F.col("step").alias("depends_on")), "depends_on", "left_anti").select(
         "step", F.concat(F.lit("missing step: "), "depends_on").alias("failure")
     )
     missing_var = variables.join(design_columns.select("variable"), "variable", "left_anti").select(
         "step", F.concat(F.lit("missing variable: "), "variable").alias("failure")
     )
-    fails = missing_step.unionByName(missing_var).groupBy("step").agg(
-        F.array_join(F.array_sort(F.collect_set("failure")), "; ").alias("failures"),
-        F.count(F.lit(1)).alias("n_failures"),
-    )
-    return step_names.select("step").join(fails, "step", "left").select(
+    failed = missing_step.unionByName(missing_var)
+    if faults is not None:
+        failed = failed.unionByName(faults.select("step", F.concat(
+            F.lit("faulty argument "), F.col("arg_pos").cast("string"), F.lit(": "), "fault",
+            F.when(F.col("detail").isNotNull(), F.concat(F.lit(" {"), "detail", F.lit("}"))).otherwise("")).alias("failure")))
+    counts = failed.groupBy("step").agg(F.count(F.lit(1)).alias("n_failures"))
+    order = Window.partitionBy("step").orderBy("failure")
+    listed = failed.distinct().withColumn("_rk", F.row_number().over(order)).where(F.col("_rk") <= MAX_LISTED_FAILURES)
+    listed = listed.groupBy("step").agg(F.array_join(F.array_sort(F.collect_list("failure")), "; ").alias("failures"))
+    return step_names.select("step").join(counts, "step", "left").join(listed, "step", "left").select(
         "step",
         F.when(F.col("n_failures").isNull(), F.lit("PASS")).otherwise(F.lit("FAIL")).alias("status"),
         F.coalesce("n_failures", F.lit(0)).cast("bigint").alias("n_failures"),

@@ -28,8 +28,12 @@ from provenant.functions.digests import (
     render_id,
     string_digest,
 )
+from provenant.operators import step_table
 
 MAX_CONFIG_ROWS = 1_000_000
+#: configurations of more tokens, edges and variables than this are evaluated as
+#: a table (:mod:`provenant.operators.step_table`), not compiled into the plan
+COMPILED_ROWS = 500
 
 
 def _config(df: DataFrame, what: str) -> DataFrame:
@@ -174,7 +178,8 @@ def realize_args(tokens: DataFrame, links: DataFrame, melted: DataFrame, shared_
 
     ``{shared}`` -> the shared folder; ``{inputs}``/``{outputs}`` and
     ``{steps.s.inputs|outputs}`` -> ``<run_dir>/<VarStep of s>/<loc>``;
-    ``{variables.x}`` -> the design value.  An unknown token fails the job
+    ``{variables.x}`` -> the design value.  An unknown token, or an argument
+    whose braces are faulty (tokens with ``arg_fault``), fails the job
     (``strict``) or leaves the argument null.
     """
     reps = representatives(links)
@@ -192,6 +197,8 @@ def realize_args(tokens: DataFrame, links: DataFrame, melted: DataFrame, shared_
               F.concat(F.lit(run + "/"), F.col("ref_vs_id"), F.lit("/"), F.col("loc")))
         .when(F.col("kind") == "variable", F.col("var_value"))
     )
+    if "arg_fault" in tokens.columns:
+        text = F.when(F.col("arg_fault").isNull(), text)
     if strict:
         text = F.when(text.isNull(), F.raise_error(F.concat(F.lit("cannot realise token "), F.col("token")))).otherwise(text)
     t = t.select("vs_id", "step", "arg_pos", "tok_pos", text.alias("text"))
@@ -278,8 +285,10 @@ class StudyConfig:
 
     def __init__(self, tokens: DataFrame, edges: DataFrame, step_vars: DataFrame, upstream_vars: DataFrame,
                  step_names: DataFrame):
+        fault = F.col("arg_fault") if "arg_fault" in tokens.columns else F.lit(None).cast("string")
         parts = [
-            tokens.select(F.lit("token").alias("part"), "step", "arg_pos", "tok_pos", "kind", "name", "loc", "token"),
+            tokens.select(F.lit("token").alias("part"), "step", "arg_pos", "tok_pos", "kind", "name", "loc", "token",
+                          fault.alias("arg_fault")),
             edges.select(F.lit("edge").alias("part"), "step", F.col("depends_on").alias("name")),
             step_vars.select(F.lit("direct").alias("part"), "step", F.col("variable").alias("name")),
             upstream_vars.select(F.lit("upstream").alias("part"), "step", F.col("variable").alias("name")),
@@ -307,6 +316,13 @@ class StudyConfig:
         for r in sorted(by_part.get("token", []), key=lambda r: (r["step"], r["arg_pos"], r["tok_pos"])):
             self.args.setdefault((r["step"], r["arg_pos"]), []).append(r)
 
+        self.rows = len(rows)
+
+    def as_table(self, algorithm: str) -> bool:
+        """Too large to compile.  (BLAKE3 ids come from a UDF, which no
+        higher-order function can call: they are always compiled.)"""
+        return self.rows > COMPILED_ROWS and algorithm == "sha256"
+
     def variables(self) -> list[str]:
         return sorted({v for vs in self.upstream.values() for v in vs})
 
@@ -317,9 +333,18 @@ class StudyConfig:
         return render_id("varstep", _row_keyed_digest(step, self.upstream.get(step, []), algorithm))
 
 
+def study_links(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
+    """#61/#65 for a collected configuration of any size."""
+    if cfg.as_table(algorithm):
+        return step_table.links(design, cfg)
+    return varstep_links_wide(design, cfg.upstream, cfg.steps, algorithm)
+
+
 def varstep_deps_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
     """#64 in one design pass: per row, each step's VarStep and the VarStep
     of each step it depends on (same row), then ``distinct``."""
+    if cfg.as_table(algorithm):
+        return step_table.deps(design, cfg)
     d = _strict_values(design, cfg.variables())
     items = [
         F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(dep).alias("dep_step"),
@@ -333,6 +358,8 @@ def varstep_deps_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha
 
 def varstep_branches_wide(design: DataFrame, cfg: StudyConfig, algorithm: str = "sha256") -> DataFrame:
     """#63 in one design pass: the branches a VarStep's own step uses."""
+    if cfg.as_table(algorithm):
+        return step_table.direct_branches(design, cfg)
     d = _strict_values(design, cfg.variables())
     items = [
         F.struct(cfg.vs_id(s, algorithm).alias("vs_id"), F.lit(s).alias("step"), F.lit(v).alias("variable"),
@@ -348,11 +375,16 @@ def realize_args_wide(design: DataFrame, cfg: StudyConfig, shared_dir: str, run_
     """#66 in one design pass: every argument of every step realised from the
     row's own values and the row's VarStep ids, then ``distinct`` (rows that
     share a VarStep realise identical arguments)."""
+    if cfg.as_table(algorithm):
+        return step_table.realized(design, cfg, shared_dir, run_dir, strict)
     d = _strict_values(design, cfg.variables())
     run = run_dir.rstrip("/")
     cols = set(design.columns)
 
     def token(t) -> F.Column:
+        if t["arg_fault"] is not None:
+            return F.raise_error(F.lit(f"faulty argument {t['arg_pos']} of {t['step']}: {t['arg_fault']}")).cast("string") if strict \
+                else F.lit(None).cast("string")
         if t["kind"] == "literal":
             return F.lit(t["token"])
         if t["kind"] == "shared":

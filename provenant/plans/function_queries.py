@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from provenant.functions import digests as D
 from provenant.functions import paths as P
 from provenant.plans.fixtures import table
+from provenant.operators.keyed_sets import keyed_set_digests
 from provenant.plans.registry import register
 
 # --- digests and identifiers -------------------------------------------------
@@ -41,12 +42,7 @@ def q_keyed_set_digest(spark, sf_dir):
     """#21: keyed-set digest per order over (line number -> part); orders
     whose line numbers repeat get none."""
     li = table(spark, sf_dir, "lineitem")
-    D.check_keyed_set_sizes(li, ["l_orderkey"])  # every group below is bounded
-    return li.groupBy("l_orderkey").agg(
-        F.count(F.lit(1)).alias("n_items"),
-        D.keyed_set_digest("order", F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"))
-        .alias("set_digest"),
-    )
+    return keyed_set_digests(li, ["l_orderkey"], "order", "l_linenumber", "l_partkey")
 
 
 @register("keyed_set_violations", """select o_custkey as set_key, o_orderstatus as name, count(*) as n_copies

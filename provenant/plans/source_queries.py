@@ -181,13 +181,13 @@ def q_bundle_collisions(spark, sf_dir):
 @register("status_scan", f"{STUDY_CTE} select vs_id, marker from markers")
 def q_status_scan(spark, sf_dir):
     """#7: the study's status markers written as empty ``status.<state>``
-    files in per-VarStep folders by the executors, then found again by
-    probing each VarStep's folder (distributed over the VarSteps)."""
+    files in per-VarStep folders by the executors, then found again in the
+    run folder, listed by the executors."""
     m = study_model(spark, sf_dir)
     run = scratch_dir(spark, "run")
     vs = ST.varsteps(m["links"])
     FS.write_status_markers(markers(vs), run)
-    return FS.probe_status(vs, run)
+    return FS.scan_status(spark, run)
 
 
 def _file_digests(spark, sf_dir, algorithm, segment_bytes):

@@ -102,7 +102,7 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     """Everything the study queries use, as lazy plans (the closure of the
     small step table is computed once, eagerly)."""
     steps = study_steps(spark)
-    tokens = S.classify_tokens(S.template_tokens(steps))
+    tokens = S.classify_tokens(S.template_tokens(steps, faults=True))
     names = steps.select("step").distinct()
     edges = S.step_edges(tokens)
     svars = S.step_variables(tokens)
@@ -115,7 +115,7 @@ def study_model(spark: SparkSession, sf_dir: str, algorithm: str = "sha256") ->
     # ids as projections of the wide design row: the step configuration is
     # small (checked) and known to the driver, so nothing is grouped; the
     # links are a projection too -- cheaper to recompute than to store
-    links = ST.varstep_links_wide(d, cfg.upstream, cfg.steps, algorithm)
+    links = ST.study_links(d, cfg, algorithm)
     vids = ST.variation_ids_wide(d, used, algorithm)
     return {"steps": steps, "tokens": tokens, "names": names, "edges": edges, "svars": svars,
             "closure": closure, "uvars": uvars, "melted": melted, "links": links, "vids": vids,

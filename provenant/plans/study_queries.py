@@ -101,6 +101,31 @@ def q_config_check(spark, sf_dir):
     return S.check_config(g["names"], g["edges"], g["variables"], design_columns(spark, sf_dir))
 
 
+@register("config_check_faults", GRAPH_CTE + r""",
+faulty as (
+  select step, arg_pos, case when r = '' then null when starts_with(r, '}') then 'unopened_close'
+              when starts_with(r, '{{') then 'nested_open' else 'unclosed_open' end as fault
+  from (select step, arg_pos, regexp_replace(regexp_replace(arg, '[^{}]', '', 'g'), '^(\{\})*', '') as r from steps) x),
+fails as (
+  select step, 'missing step: ' || depends_on as failure from edges
+  where depends_on not in (select step from snames)
+  union all
+  select step, 'missing variable: ' || variable from svars where variable not in ('brand', 'size', 'type')
+  union all
+  select step, 'faulty argument ' || arg_pos || ': ' || fault from faulty where fault is not null
+  union all
+  select step, 'faulty argument ' || arg_pos || ': unknown_word {' || body || '}' from ctoks where kind = 'unknown'),
+agg as (select step, array_to_string(list_sort(list_distinct(list(failure))), '; ') as failures,
+               count(*) as n from fails group by step)
+select s.step, case when a.n is null then 'PASS' else 'FAIL' end as status,
+       cast(coalesce(a.n, 0) as bigint) as n_failures, a.failures
+from snames s left join agg a on a.step = s.step""")
+def q_config_check_faults(spark, sf_dir):
+    """#54 with #49: PASS/FAIL per step, faulty templates included."""
+    g = graph_model(spark, sf_dir)
+    return S.check_config(g["names"], g["edges"], g["variables"], design_columns(spark, sf_dir), S.template_faults(g["steps"]))
+
+
 @register("root_steps", f"{GRAPH_CTE} select step from snames where step not in (select step from edges)")
 def q_root_steps(spark, sf_dir):
     """#55: steps without dependencies."""
@@ -248,7 +273,7 @@ def q_resolve_status(spark, sf_dir):
 
 
 def _ready(m):
-    deps = ST.varstep_deps_wide(m["design"], m["config"])
+    deps = materialize(ST.varstep_deps_wide(m["design"], m["config"]))  # read by several jobs
     return STS.readiness(deps, _status(m))
 
 
@@ -315,7 +340,7 @@ def q_status_step(spark, sf_dir):
     """#74: per VarStep its upstream branches and dependencies' states."""
     m = study_model(spark, sf_dir)
     up = ST.varstep_upstream_wide(m["design"], m["config"])
-    deps = ST.varstep_deps_wide(m["design"], m["config"])
+    deps = materialize(ST.varstep_deps_wide(m["design"], m["config"]))  # read by several jobs
     return STS.status_step(_status(m), up, deps)
 
 

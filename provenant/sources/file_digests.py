@@ -12,6 +12,7 @@ reaches local, HDFS and object stores by URI):
   with ``groupBy`` (aligned blocks per level) into the exact BLAKE3 root.  A
   single huge file is spread over the whole cluster.
 
+Paths without scheme belong to the session's default file system.
 Missing files come back with ``exists = false`` and a null digest; empty
 files are digested too (file sources skip them).
 """
@@ -22,19 +23,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provenant.session import materialize
+from provenant.sources.filesystems import default_root, open_path
 
 SEGMENT_BYTES = 64 << 20  # 64 MiB = 2**16 BLAKE3 chunks per segment
 _READ_BYTES = 1 << 20
 
 
-def _uri(path: str) -> str:
-    if "://" in path or path.startswith("file:"):
-        return path
-    return "file://" + path
-
-
 def stat_files(paths: DataFrame) -> DataFrame:
     """``(path, exists, size)`` for each asked path, stat'ed on the executors."""
+    root = default_root(paths.sparkSession)
 
     def stat(batches):
         import pandas as pd
@@ -43,7 +40,7 @@ def stat_files(paths: DataFrame) -> DataFrame:
         for pdf in batches:
             ex, sz = [], []
             for p in pdf["path"]:
-                fs, local = pafs.FileSystem.from_uri(_uri(p))
+                fs, local = open_path(p, root)
                 info = fs.get_file_info(local)
                 ok = info.type == pafs.FileType.File
                 ex.append(ok)
@@ -54,11 +51,12 @@ def stat_files(paths: DataFrame) -> DataFrame:
 
 
 def _sha256_files(stats: DataFrame) -> DataFrame:
+    root = default_root(stats.sparkSession)
+
     def digest(batches):
         import hashlib
 
         import pandas as pd
-        import pyarrow.fs as pafs
 
         for pdf in batches:
             out = []
@@ -66,7 +64,7 @@ def _sha256_files(stats: DataFrame) -> DataFrame:
                 if not ok:
                     out.append(None)
                     continue
-                fs, local = pafs.FileSystem.from_uri(_uri(p))
+                fs, local = open_path(p, root)
                 h = hashlib.sha256()
                 with fs.open_input_stream(local) as f:
                     while True:
@@ -84,6 +82,7 @@ def _sha256_files(stats: DataFrame) -> DataFrame:
 def _blake3_files(stats: DataFrame, segment_bytes: int) -> DataFrame:
     from provenant.operators.records import blake3_tree_merge
 
+    root = default_root(stats.sparkSession)
     n_seg = F.greatest(F.lit(1), F.ceil(F.col("size") / F.lit(segment_bytes))).cast("bigint")
     segs = stats.where(F.col("exists")).select(
         "path", "size", n_seg.alias("_m"), F.explode(F.sequence(F.lit(0).cast("bigint"), n_seg - 1)).alias("_idx")
@@ -92,7 +91,6 @@ def _blake3_files(stats: DataFrame, segment_bytes: int) -> DataFrame:
     def segment_values(batches):
         import numpy as np
         import pandas as pd
-        import pyarrow.fs as pafs
 
         from provenant.functions.blake3 import CHUNK_LEN, _hex, chunk_cvs, merge_cvs
 
@@ -101,7 +99,7 @@ def _blake3_files(stats: DataFrame, segment_bytes: int) -> DataFrame:
             for p, idx, m, size in zip(pdf["path"], pdf["_idx"], pdf["_m"], pdf["size"]):
                 start = int(idx) * segment_bytes
                 length = max(0, min(segment_bytes, int(size) - start))
-                fs, local = pafs.FileSystem.from_uri(_uri(p))
+                fs, local = open_path(p, root)
                 with fs.open_input_file(local) as f:
                     data = f.read_at(length, start) if length else b""
                 n_chunks = max(1, -(-length // CHUNK_LEN))

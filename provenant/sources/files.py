@@ -9,17 +9,27 @@ read whole into one row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from provenant.operators.numbering import number_rows
+from provenant.sources.filesystems import LOCAL, default_root, open_path
 
+#: contents read into one batch
+READ_BYTES = 8 << 20
 WS = r"^\s+|\s+$"
 
 
 def strip_scheme(col: str | Column) -> Column:
-    """``file:/x/y`` -> ``/x/y`` (other schemes kept)."""
+    """``file:/x/y`` -> ``/x/y`` where the local file system is the session's
+    default (other schemes kept)."""
     c = F.col(col) if isinstance(col, str) else col
+    spark = SparkSession.getActiveSession()
+    if spark is not None and default_root(spark) != LOCAL:
+        return c
     return F.regexp_replace(c, r"^file:(//)?(?=/)", "")
 
 
@@ -27,27 +37,64 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
                   strict: bool = True, recursive: bool = True, glob: str | None = None) -> DataFrame:
     """#1: ``(path, length, content)`` of every file under ``location``.
 
-    With ``asked`` (a frame of ``path``), the asked-for paths are left-joined
-    to what was found: a missing file fails the job (``strict``) or has a
-    null content and ``present = false``.
+    With ``asked`` (a frame of ``path``), the asked-for files of ``location``
+    are read by their paths (:func:`read_contents`): others are never opened,
+    and no bytes are joined.  A missing file fails the job (``strict``) or has
+    a null content and ``present = false``.
     """
+    if asked is not None:
+        return read_contents(asked.select("path"), strict=strict, under=location)
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
-    found = r.load(location).select(strip_scheme("path").alias("path"), "length", "content")
-    if asked is None:
-        return found
-    j = asked.select("path").join(found, "path", "left")
-    present = F.col("length").isNotNull()
-    if not strict:
-        return j.select("path", "length", "content", present.alias("present"))
-    # inside every value, so that column pruning cannot drop the check
-    missing = F.raise_error(F.concat(F.lit("missing file: "), F.col("path")))
-    checked = lambda c, kind: F.when(present, c).otherwise(missing.cast(kind))
-    return j.select("path", checked(F.col("length"), "bigint").alias("length"), checked(F.col("content"), "binary").alias("content"),
-                    checked(F.lit(True), "boolean").alias("present"))
+    return r.load(location).select(strip_scheme("path").alias("path"), "length", "content")
+
+
+def read_contents(paths: DataFrame, path_col: str = "path", strict: bool = True, under: str | None = None) -> DataFrame:
+    """The columns of ``paths`` with ``length``, ``content``, ``present`` of the
+    file that ``path_col`` names, opened by the task that holds the row.
+
+    A file outside the folder ``under`` counts as missing.  A batch holds
+    ``READ_BYTES`` of contents, or one larger file (2 GB at most, as a row)."""
+    root = default_root(paths.sparkSession)
+    folder = None if under is None else re.sub(r"^file:(//)?(?=/)", "", under).rstrip("/") + "/"
+    own = paths.columns
+    schema = T.StructType([*paths.schema.fields, T.StructField("length", T.LongType()), T.StructField("content", T.BinaryType()),
+                           T.StructField("present", T.BooleanType())])
+
+    def read(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        for batch in batches:
+            start, held, size = 0, [], 0
+
+            def flush(stop):
+                part = batch.slice(start, stop - start)
+                return pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array([None if c is None else len(c) for c in held], pa.int64()),
+                     pa.array(held, pa.binary()), pa.array([c is not None for c in held], pa.bool_())], names=[*own, "length", "content", "present"])
+
+            for i, p in enumerate(batch.column(path_col).to_pylist()):
+                data = None
+                if p is not None and (folder is None or p.startswith(folder)):
+                    fs, local = open_path(p, root)
+                    if fs.get_file_info(local).type == pafs.FileType.File:
+                        with fs.open_input_stream(local) as f:
+                            data = f.read()
+                if data is None and strict:
+                    raise FileNotFoundError(f"missing file: {p}")
+                if held and size + len(data or b"") > READ_BYTES:
+                    yield flush(i)
+                    start, held, size = i, [], 0
+                held.append(data)
+                size += len(data or b"")
+            if held:
+                yield flush(batch.num_rows)
+
+    return paths.mapInArrow(read, schema)
 
 
 def _ordered_lines(spark: SparkSession, location: str, line_sep: str | None = None) -> DataFrame:
@@ -124,46 +171,45 @@ def scan_path_list(spark: SparkSession, location: str, sep: str = "\n") -> DataF
 
 def scan_status(spark: SparkSession, run_dir: str) -> DataFrame:
     """#7: marker files ``<run_dir>/<vs_id>/status.<state>`` as
-    ``(vs_id, marker)``.
+    ``(vs_id, marker)``, listed by the executors.
 
-    Markers are empty files, which file sources skip (no bytes, no split),
-    so the markers come from Spark's file index of the folder (the same
-    listing every file source does; Spark parallelises it over many
-    folders); contents are never read.
-    """
-    index = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", "status.*")
-        .load(run_dir)
-    )
-    listed = spark.createDataFrame([(p,) for p in index.inputFiles()], "path string")
-    found = listed.select(strip_scheme("path").alias("path"))
-    return found.select(
-        F.regexp_extract("path", r"/([^/]+)/status\.[^/]+$", 1).alias("vs_id"),
-        F.regexp_extract("path", r"/status\.([^/]+)$", 1).alias("marker"),
-    )
+    One task lists the names of the run folder (names only, no file); they
+    are dealt to all tasks, which look into the folders as
+    :func:`probe_status` does.  Nothing is listed or kept on the driver."""
+    root = default_root(spark)
+
+    def names(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
 
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fs, base = open_path(run_dir.rstrip("/"), root)
+            found = [i.base_name for i in fs.get_file_info(pafs.FileSelector(base)) if i.type == pafs.FileType.Directory]
+            for at in range(0, len(found), 10_000):
+                yield pa.RecordBatch.from_arrays([pa.array(found[at:at + 10_000], pa.string())], names=["vs_id"])
 
-def _fs_uri(run_dir: str) -> str:
-    root = run_dir.rstrip("/")
-    if "://" not in root and not root.startswith("file:"):
-        root = "file://" + root
-    return root
+    listed = spark.range(0, 1, 1, 1).mapInArrow(names, "vs_id string")
+    return _probe(listed.repartition(4 * spark.sparkContext.defaultParallelism), run_dir)
 
 
 def probe_status(vsteps: DataFrame, run_dir: str) -> DataFrame:
     """#7 by VarStep: ``(vs_id, marker)`` for the ``status.*`` files in each
     VarStep's folder ``<run_dir>/<vs_id>/`` -- the reference's own lookup,
     spread over the executors (each lists the folders of its VarSteps through
-    ``pyarrow.fs``); no listing of the whole run folder on the driver."""
-    root = _fs_uri(run_dir)
+    ``pyarrow.fs``); no listing of the whole run folder."""
+    return _probe(vsteps.select("vs_id").distinct(), run_dir)
+
+
+def _probe(folders: DataFrame, run_dir: str) -> DataFrame:
+    root = default_root(folders.sparkSession)
 
     def probe(batches):
         import pandas as pd
         import pyarrow.fs as pafs
 
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = open_path(run_dir.rstrip("/"), root)
         for pdf in batches:
             got_vs, got_m = [], []
             for vs in pdf["vs_id"]:
@@ -174,7 +220,7 @@ def probe_status(vsteps: DataFrame, run_dir: str) -> DataFrame:
                         got_m.append(info.base_name[len("status."):])
             yield pd.DataFrame({"vs_id": pd.Series(got_vs, dtype=object), "marker": pd.Series(got_m, dtype=object)})
 
-    return vsteps.select("vs_id").distinct().mapInPandas(probe, "vs_id string, marker string")
+    return folders.mapInPandas(probe, "vs_id string, marker string")
 
 
 def write_status_markers(markers: DataFrame, run_dir: str) -> None:
@@ -184,12 +230,10 @@ def write_status_markers(markers: DataFrame, run_dir: str) -> None:
     markers, through ``pyarrow.fs``, which reaches local, HDFS and object
     stores by URI); nothing goes through the driver.
     """
-    root = _fs_uri(run_dir)
+    root = default_root(markers.sparkSession)
 
     def make(rows):
-        import pyarrow.fs as pafs
-
-        fs, base = pafs.FileSystem.from_uri(root)
+        fs, base = open_path(run_dir.rstrip("/"), root)
         made = set()
         for r in rows:
             folder = f"{base}/{r['vs_id']}"

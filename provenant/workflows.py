@@ -104,6 +104,6 @@ def bundle(spark: SparkSession, includes: str, contents: str, out_dir: str) -> D
     files fail.  Returns the manifest."""
     inc = FS.scan_includes(spark, includes).select("entry_pos", F.col("full_path").alias("file"))
     out = out_dir.rstrip("/")
-    manifest = materialize(B.write_bundle(inc, FS.scan_contents(spark, contents), out + "/files"))
+    manifest = B.write_bundle_files(inc, out + "/files", under=contents)
     B.write_bundle_record(manifest, out)
     return manifest

@@ -120,7 +120,7 @@ def test_bundle_collisions(spark, tmp):
 
 
 @pytest.mark.parametrize("line,path", [
-    ("foobar", "foobar"), ("", None), ("# foobar comment", None), ("foobar # commented later", "foobar"),
+    ("runs/7/mesh.vtk", "runs/7/mesh.vtk"), ("", None), ("#runs/8/log", None), ("runs/9/out.csv# kept for the audit", "runs/9/out.csv"),
     ("   ", None), ("  a/b.txt\t", "a/b.txt"),
 ])
 def test_include_line(spark, line, path):
