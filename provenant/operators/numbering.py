@@ -81,10 +81,11 @@ def with_previous(df: DataFrame, unit_cols: Sequence[str], order_by: Sequence[st
 
     Rows are range-partitioned and sorted by (unit, order) once; each task
     shifts its own rows by one.  Only a task's first row looks further back:
-    the last row of the task before it is carried over (one row a task)."""
+    the last row of the range ranked before it is carried over (one row a
+    task)."""
     units, values = list(unit_cols), list(value_cols)
     keys = [F.col(c).asc_nulls_first() for c in units] + [_as_col(c) for c in order_by]
-    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_lag_task", F.spark_partition_id())
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_lag_rk", F.spark_partition_id().cast("bigint"))
     kept = ranged.columns
     out = T.StructType([*ranged.schema.fields, *[T.StructField(prefix + v, df.schema[v].dataType) for v in values],
                         T.StructField("_lag_edge", T.IntegerType())])
@@ -131,12 +132,12 @@ def with_previous(df: DataFrame, unit_cols: Sequence[str], order_by: Sequence[st
     shifted = materialize(ranged.mapInArrow(shift, out))
     # the last row of each task, and the task that follows it: one row a task
     lasts = shifted.where(F.col("_lag_edge").bitwiseAND(F.lit(2)) > 0)
-    following = F.lead("_lag_task").over(Window.orderBy("_lag_task"))
-    carried = lasts.select(following.alias("_lag_task"), *[F.col(u).alias(f"_lag_u{i}") for i, u in enumerate(units)],
+    following = F.lead("_lag_rk").over(Window.orderBy("_lag_rk"))
+    carried = lasts.select(following.alias("_lag_rk"), *[F.col(u).alias(f"_lag_u{i}") for i, u in enumerate(units)],
                            *[F.col(v).alias(f"_lag_v{i}") for i, v in enumerate(values)])
     first = F.col("_lag_edge").bitwiseAND(F.lit(1)) > 0
     same = reduce(lambda x, y: x & y, [F.col(u).eqNullSafe(F.col(f"_lag_u{i}")) for i, u in enumerate(units)], first)
-    joined = shifted.join(F.broadcast(carried.where("_lag_task is not null").withColumn("_lag_found", F.lit(True))), "_lag_task", "left")
+    joined = shifted.join(F.broadcast(carried.where("_lag_rk is not null").withColumn("_lag_found", F.lit(True))), "_lag_rk", "left")
     same = same & F.coalesce("_lag_found", F.lit(False))
     return joined.select(*df.columns, *[F.when(same, F.col(f"_lag_v{i}")).otherwise(F.col(prefix + v)).alias(prefix + v)
                                         for i, v in enumerate(values)])
