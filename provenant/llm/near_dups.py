@@ -11,9 +11,13 @@
    by signature, then on the full sets.
 4. Verified links go through connected components.  Buckets whose members are
    now one component need no more work.  In the others only pairs *between*
-   components are open; they are compared in bounded blocks (signatures, then
-   full sets), again without listing pairs, and the links found are joined to
-   the components in a second, smaller run.
+   components are open.  They are compared in bounded blocks, without listing
+   pairs: first by a byte of each minimum, which leaves the rows that have a
+   possible partner at all, then on the full sets of these rows.  The links
+   found are joined to the components in a second, smaller run.
+
+Full sets are the wide rows here: they meet others by sort-merge joins at every
+size, and only rows that passed a narrow test carry them.
 
 All thresholds are integer comparisons on full sets, so links are exact; the
 only approximation is ``MISS``.
@@ -32,7 +36,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,7 +46,8 @@ from provenant.session import materialize
 
 ROWS = 6
 MISS = 1e-6
-BLOCK = 128
+#: rows of one side of a block
+BLOCK = 512
 #: ids up to this number may be broadcast to pick texts (16 MB at most)
 BROADCAST_IDS = 1_000_000
 
@@ -145,31 +150,33 @@ def _band_table(rows: DataFrame, k: int, model: MinHash) -> DataFrame:
 
 
 def _set_table(rows: DataFrame, k: int, model: MinHash) -> DataFrame:
-    """id, sig, elements (sorted 64-bit values) of candidate texts."""
+    """id, n, low (a byte of each minimum), elements (sorted 64-bit values) of
+    candidate texts."""
 
     def run(batches):
         for batch in text_slices(batches, "text"):
             sets = shingle_sets(batch.column("text").to_pylist(), k)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([model.signature(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "sig", "elements"])
+                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array([model.signature(s).astype(np.uint8).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "low", "elements"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, sig binary, elements binary")
+    return rows.mapInArrow(run, f"id {kind}, n long, low binary, elements binary")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, model: MinHash, percent: int) -> DataFrame:
     """The pairs (a, b) that are links: by signature, then on full sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("sig").alias("sig_a"), F.col("elements").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("sig").alias("sig_b"), F.col("elements").alias("set_b"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "sig_a", "set_a", "sig_b", "set_b")
+    one = sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("elements").alias("set_a"))
+    two = sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("elements").alias("set_b"))
+    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "low_a", "set_a", "low_b", "set_b")
 
     def run(batches):
         for batch in text_slices(batches, "set_a"):
-            cols = [batch.column(c).to_pylist() for c in ("sig_a", "set_a", "sig_b", "set_b")]
+            cols = [batch.column(c).to_pylist() for c in ("low_a", "set_a", "low_b", "set_b")]
             ok = []
             for sa, ea, sb, eb in zip(*cols):
-                near = np.count_nonzero(np.frombuffer(sa, np.uint32) == np.frombuffer(sb, np.uint32)) >= model.least
+                near = np.count_nonzero(np.frombuffer(sa, np.uint8) == np.frombuffer(sb, np.uint8)) >= model.least
                 ok.append(near and similar(np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64), percent))
             yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -177,7 +184,8 @@ def _verify(pairs: DataFrame, sets: DataFrame, model: MinHash, percent: int) ->
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
-    """Bucket members (key, id, comp) dealt into bounded comparison blocks.
+    """Bucket members (key, id, comp) dealt into bounded comparison blocks:
+    (block, id, comp, left, right), narrow rows.
 
     Only buckets of several components are given.  The members outside the
     bucket's largest component (side 0) meet each other and those of the
@@ -203,14 +211,60 @@ def _open_blocks(members: DataFrame) -> DataFrame:
         F.when(F.col("block.across"), F.col("side") == 1).otherwise(F.col("own") == F.col("block.y")).alias("right"))
 
 
+def _by_block(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
+    """``work(columns of one block)`` -> output tuples, block by block."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    names, arrow = rows.columns, to_arrow_schema(schema)
+    rows = rows.repartition("block").sortWithinPartitions("block")
+
+    def run(batches):
+        group, now = [], None
+        for batch in text_slices(batches, names[-1], 16 << 20):
+            found: list = []
+            for row in zip(*(batch.column(c).to_pylist() for c in names)):
+                if row[0] != now:
+                    if len(group) > 1:
+                        found += work(*zip(*group))
+                    group, now = [], row[0]
+                group.append(row)
+            yield found
+        if len(group) > 1:
+            yield work(*zip(*group))
+
+    def out(batches):
+        for found in run(batches):
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), arrow)], schema=arrow)
+
+    return rows.mapInArrow(out, schema)
+
+
 def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent: int) -> DataFrame:
     """Links (a, b) between components found inside the blocks; at most one
     link for each two components of a block."""
-    kind = blocks.schema["comp"].dataType
-    rows = blocks.join(sets, "id").select("block", "comp", "left", "right", "sig", "elements")
-    rows = rows.repartition("block").sortWithinPartitions("block")
 
-    def links(rows):
+    def partners(i, right, codes, sizes, low):
+        """Rows on the right that may be similar to row i, of another component."""
+        near = right & (codes != codes[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
+        at = np.flatnonzero(near)
+        return at[np.count_nonzero(low[at] == low[i], axis=1) >= model.least]
+
+    def arrays(comp, right, n, low):
+        names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
+        return (np.array(right), np.array([names[c] for c in comp]), np.array(n),
+                np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1))
+
+    def possible(block, id_, comp, left, right, n, low):
+        right_, codes, sizes, low_ = arrays(comp, right, n, low)
+        keep = np.zeros(len(id_), bool)
+        for i in np.flatnonzero(left).tolist():
+            found = partners(i, right_, codes, sizes, low_)
+            keep[found] = True
+            keep[i] |= len(found) > 0
+        return [(block[i], id_[i], comp[i], left[i], right[i]) for i in np.flatnonzero(keep).tolist()]
+
+    def links(block, comp, left, right, n, low, elements):
         parent: dict = {}
 
         def root(x):
@@ -218,42 +272,22 @@ def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent:
                 x = parent[x]
             return x
 
-        sigs = np.stack([np.frombuffer(r[3], np.uint32) for r in rows])
-        sets_ = [np.frombuffer(r[4], np.uint64) for r in rows]
-        sizes = np.array([len(s) for s in sets_])
-        right = np.array([r[2] for r in rows])
-        for i, r in enumerate(rows):
-            if not r[1]:
-                continue
-            near = right & (np.count_nonzero(sigs == sigs[i], axis=1) >= model.least)
-            near &= 100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])
-            for j in np.flatnonzero(near).tolist():
-                x, y = root(r[0]), root(rows[j][0])
+        right_, codes, sizes, low_ = arrays(comp, right, n, low)
+        sets_ = [np.frombuffer(e, np.uint64) for e in elements]
+        found = []
+        for i in np.flatnonzero(left).tolist():
+            for j in partners(i, right_, codes, sizes, low_).tolist():
+                x, y = root(comp[i]), root(comp[j])
                 if x != y and similar(sets_[i], sets_[j], percent):
                     parent[x] = y
-                    yield r[0], rows[j][0]
-
-    def run(batches):
-        group, now = [], None
-        for batch in batches:
-            found = []
-            cols = [batch.column(c).to_pylist() for c in ("comp", "left", "right", "sig", "elements")]
-            for block, *row in zip(batch.column("block").to_pylist(), *cols):
-                if block != now:
-                    found += links(group) if len(group) > 1 else []
-                    group, now = [], block
-                group.append(row)
-            yield found
-        yield list(links(group)) if len(group) > 1 else []
-
-    def out(batches):
-        for found in run(text_slices(batches, "elements", 16 << 20)):
-            yield pa.RecordBatch.from_pylist([{"a": a, "b": b} for a, b in found], schema=pa.schema([("a", arrow), ("b", arrow)]))
-
-    from pyspark.sql.pandas.types import to_arrow_type
+                    found.append((comp[i], comp[j]))
+        return found
 
-    arrow = to_arrow_type(kind)
-    return rows.mapInArrow(out, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
+    narrow = blocks.join(sets.select("id", "n", "low").hint("merge"), "id").select("block", "id", "comp", "left", "right", "n", "low")
+    some = materialize(_by_block(narrow, possible, blocks.select("block", "id", "comp", "left", "right").schema))
+    wide = some.join(sets.hint("merge"), "id").select("block", "comp", "left", "right", "n", "low", "elements")
+    kind = blocks.schema["comp"].dataType
+    return _by_block(wide, links, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,13 +337,17 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each component, the one of smallest doc_id, with all
-    its columns; rows that repeat a doc_id count as one document, rows without
-    a doc_id stay."""
+    its columns; rows that repeat a doc_id count as one document, of which the
+    row with the smallest text stays; rows without a doc_id stay."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
     kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n"))
     kept = materialize(kept)
     repeats = kept.where("n > 1").limit(1).count() > 0
     chosen = docs.join(kept.select(id_col), id_col, "left_semi")
     if repeats:
-        chosen = chosen.dropDuplicates([id_col])
+        again = kept.where("n > 1").select(id_col)
+        twice = chosen.join(again, id_col, "left_semi")
+        order = Window.partitionBy(id_col).orderBy(F.col(text_col).asc_nulls_last(), F.xxhash64(*[F.col(c) for c in docs.columns]))
+        first = twice.withColumn("_rk", F.row_number().over(order)).where("_rk = 1").drop("_rk")
+        chosen = chosen.join(again, id_col, "left_anti").select(docs.columns).unionByName(first.select(docs.columns))
     return chosen.select(docs.columns).unionByName(docs.where(F.col(id_col).isNull()))

@@ -2,24 +2,22 @@
 
 Strong spans (assignments, access identifiers, long hex) are found by pattern
 and always reported.  Weak candidates -- account names, bare high-entropy
-strings, service endpoints -- say nothing alone.  Within a scope (a run of
-lines without a blank line between them) the parts are joined: any two parts of
-a scope are linked, however far apart, except that a bare string (a weak secret
-that does not follow ``=`` or ``:``) is linked only to parts with at most
-``MAX_GAP`` code points between them.  A weak candidate is reported only when a
-complementary part is linked to it:
+strings, service endpoints -- say nothing alone.  A scope is an interval: a run
+of lines without a blank line between them.  Every part is joined to the scope
+that holds its start, and the parts of a scope are linked to each other,
+however far apart.  A weak candidate is reported only when a complementary part
+is in its scope:
 
 * a weak secret needs an identifier (access id or account) or an endpoint;
 * an account needs a secret (assignment, hex or weak secret);
-* an endpoint needs a secret, and an identifier linked to that secret or to
-  itself, so a plain link beside a hash is not enough.
+* an endpoint needs a secret and an identifier, so a plain link beside a hash
+  is not enough.
 
 Scopes never cross documents, so the join is a sweep over one document's
-sorted parts: nothing is shuffled and memory is one text.  Whether a
-complementary part is near is decided by binary search over its end and start
-positions; pairs are never listed.
+sorted parts and scope ends: nothing is shuffled, pairs are never listed, and
+memory is one text.
 
-Defined results: null or empty text has no spans; repeated rows are each
+Defined results: null or empty text has no spans; an empty table gives no rows; repeated rows are each
 reported; a very long text is scanned whole; extra columns are ignored by
 :func:`find_secrets` and kept by :func:`redact_secrets`.
 """
@@ -37,7 +35,6 @@ from pyspark.sql import functions as F
 
 from provenant.llm.common import text_slices
 
-MAX_GAP = 200
 MIN_ENTROPY = 3.5
 
 # Fixed patterns of the base kinds.
@@ -52,11 +49,11 @@ ACCOUNT = re.compile(
     r"\b(?:[Uu]ser(?:name)?|[Ll]ogin|[Aa]ccount|[Cc]lient_?[Ii][Dd]|[Aa]ccess_?[Kk]ey_?[Ii][Dd])[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.@-]{3,})")
 OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{24,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(r"(?:https?|ftp|amqps?|postgres(?:ql)?|mysql|mongodb|redis)://[^\s\"'<>]+|\b(?:host|endpoint|server)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]+(?::\d+)?")
-NAMED = re.compile(r"[:=]\x20*[\"']?\Z")  # before a value
 BREAK = re.compile(r"\n[\x20\t\r]*\n")
 
 BASE_KINDS = ("assign", "access", "hex")
 WEAK_KINDS = ("weak_secret", "account", "endpoint")
+IDENTIFIERS, SECRETS = {"access", "account"}, {"assign", "hex", "weak_secret"}
 _RANK = {k: i for i, k in enumerate(BASE_KINDS + WEAK_KINDS)}
 Span = tuple[str, int, int]
 
@@ -110,57 +107,22 @@ def weak_candidates(text: str, strong: list[Span]) -> list[Span]:
     return free
 
 
-class _Near:
-    """How many of these parts of a scope are linked to another one?"""
-
-    def __init__(self, spans: list[Span], gap: int, bare: set[Span]):
-        self.gap, self.bare = gap, bare
-        self.starts, self.ends = sorted(s[1] for s in spans), sorted(s[2] for s in spans)
-        loose = [s for s in spans if s in bare]
-        self.named = len(spans) - len(loose)
-        self.bare_starts, self.bare_ends = sorted(s[1] for s in loose), sorted(s[2] for s in loose)
-
-    def count(self, span: Span) -> int:
-        """A bare string's are near it; another's are all but far bare ones.
-        Intervals meeting [a - gap, b + gap] are all but those that end before
-        it or start after it."""
-        _, a, b = span
-        if span in self.bare:
-            return bisect_right(self.starts, b + self.gap) - bisect_left(self.ends, a - self.gap)
-        return self.named + bisect_right(self.bare_starts, b + self.gap) - bisect_left(self.bare_ends, a - self.gap)
-
-
-def link_parts(text: str, strong: list[Span], weak: list[Span], gap: int = MAX_GAP) -> list[Span]:
+def link_parts(text: str, strong: list[Span], weak: list[Span]) -> list[Span]:
     """The weak candidates whose complementary parts co-occur in scope."""
     if not weak:
         return []
     breaks = [m.start() for m in BREAK.finditer(text)]
-    scopes: dict[int, list[Span]] = {}
-    for span in in_order(strong + weak):
-        scopes.setdefault(bisect_right(breaks, span[1]), []).append(span)
+    scope = lambda span: bisect_right(breaks, span[1])
+    found: dict[int, set[str]] = {}
+    for span in strong + weak:
+        found.setdefault(scope(span), set()).add(span[0])
     kept: list[Span] = []
-    for parts in scopes.values():
-        by = {k: [p for p in parts if p[0] == k] for k in _RANK}
-        if not any(by[k] for k in WEAK_KINDS):
-            continue
-        identifiers = by["access"] + by["account"]
-        secrets = by["assign"] + by["hex"] + by["weak_secret"]
-        bare = {p for p in by["weak_secret"] if not NAMED.search(text, max(0, p[1] - 16), p[1])}
-        near_id, near_end = _Near(identifiers, gap, bare), _Near(by["endpoint"], gap, bare)
-        near_secret = _Near(secrets, gap, bare)
-        # secrets that have an identifier linked: what an endpoint completes
-        full_secret = _Near([s for s in secrets if near_id.count(s)], gap, bare)
-        for part in parts:
-            if part[0] == "weak_secret":
-                ok = near_id.count(part) or near_end.count(part)
-            elif part[0] == "account":
-                ok = near_secret.count(part)
-            elif part[0] == "endpoint":
-                ok = full_secret.count(part) or (near_secret.count(part) and near_id.count(part))
-            else:
-                continue
-            if ok:
-                kept.append(part)
+    for span in weak:
+        kinds = found[scope(span)]
+        identifier, secret = not kinds.isdisjoint(IDENTIFIERS), not kinds.isdisjoint(SECRETS)
+        ok = {"weak_secret": identifier or "endpoint" in kinds, "account": secret, "endpoint": identifier and secret}
+        if ok[span[0]]:
+            kept.append(span)
     return kept
 
 
