@@ -48,6 +48,8 @@ ROWS = 6
 MISS = 1e-6
 #: rows of one side of a block
 BLOCK = 512
+#: the lowest bits of a bucket's key are its band
+BAND = 0xFFF
 #: ids up to this number may be broadcast to pick texts (16 MB at most)
 BROADCAST_IDS = 1_000_000
 
@@ -97,6 +99,8 @@ class MinHash:
         self.bands = max(1, math.ceil(math.log(miss) / math.log1p(-min(s ** rows, 1 - 1e-9))))
         rng = np.random.default_rng(seed)
         n = self.bands * rows
+        if self.bands > BAND:
+            raise ValueError(f"{percent} % needs {self.bands} bands; at most {BAND} are supported")
         self.a = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
         self.b = rng.integers(0, 1 << 63, n, dtype=np.uint64)
         self.mul = rng.integers(0, 1 << 63, rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,7 +117,9 @@ class MinHash:
 
     def band_keys(self, signature: np.ndarray) -> np.ndarray:
         m = signature.astype(np.uint64).reshape(self.bands, self.rows)
-        return mix((m * self.mul[None, :]).sum(axis=1, dtype=np.uint64) + np.arange(self.bands, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.int64)
+        band = np.arange(self.bands, dtype=np.uint64)
+        key = mix((m * self.mul[None, :]).sum(axis=1, dtype=np.uint64) + band * np.uint64(0x9E3779B97F4A7C15))
+        return (key & ~np.uint64(BAND) | band).astype(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -185,7 +191,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, model: MinHash, percent: int) ->
 
 def _open_blocks(members: DataFrame) -> DataFrame:
     """Bucket members (key, id, comp) dealt into bounded comparison blocks:
-    (block, id, comp, left, right), narrow rows.
+    (block, band, id, comp, left, right), narrow rows.
 
     Only buckets of several components are given.  The members outside the
     bucket's largest component (side 0) meet each other and those of the
@@ -205,7 +211,8 @@ def _open_blocks(members: DataFrame) -> DataFrame:
     inside = F.transform(F.sequence(F.lit(0).cast("long"), F.col("p0") - 1), lambda j: name(j, i1, True))
     return m.select("key", "id", "comp", "side", F.when(F.col("side") == 0, i0).otherwise(i1).alias("own"),
                     F.explode(F.when(F.col("side") == 0, outside).otherwise(inside)).alias("block")).select(
-        F.xxhash64("key", "block.x", "block.y", "block.across").alias("block"), "id", "comp",
+        F.xxhash64("key", "block.x", "block.y", "block.across").alias("block"), F.col("key").bitwiseAND(F.lit(BAND)).cast("int").alias("band"),
+        "id", "comp",
         # the two parts that meet in this block; equal where a part meets itself
         F.when(F.col("block.across"), F.col("side") == 0).otherwise(F.col("own") == F.col("block.x")).alias("left"),
         F.when(F.col("block.across"), F.col("side") == 1).otherwise(F.col("own") == F.col("block.y")).alias("right"))
@@ -242,29 +249,37 @@ def _by_block(rows: DataFrame, work, schema: T.StructType) -> DataFrame:
 
 def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent: int) -> DataFrame:
     """Links (a, b) between components found inside the blocks; at most one
-    link for each two components of a block."""
+    link for each two components of a block.
 
-    def partners(i, right, codes, sizes, low):
-        """Rows on the right that may be similar to row i, of another component."""
+    Two rows that share several buckets are compared in that of the first band
+    they share.  (It is open as well, for they are of two components; of
+    buckets with the same members that of the first band is kept.)"""
+
+    def partners(i, band, right, codes, sizes, low):
+        """Rows on the right that may be similar to row i, of another
+        component, and share no earlier band with it."""
         near = right & (codes != codes[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i]))
         at = np.flatnonzero(near)
-        return at[np.count_nonzero(low[at] == low[i], axis=1) >= model.least]
+        equal = low[at] == low[i]
+        enough = np.count_nonzero(equal, axis=1) >= model.least
+        at, equal = at[enough], equal[enough]
+        return at[equal.reshape(len(at), model.bands, model.rows).all(axis=2).argmax(axis=1) == band]
 
     def arrays(comp, right, n, low):
         names = {c: k for k, c in enumerate(dict.fromkeys(comp))}
         return (np.array(right), np.array([names[c] for c in comp]), np.array(n),
                 np.frombuffer(b"".join(low), np.uint8).reshape(len(low), -1))
 
-    def possible(block, id_, comp, left, right, n, low):
+    def possible(block, band, id_, comp, left, right, n, low):
         right_, codes, sizes, low_ = arrays(comp, right, n, low)
         keep = np.zeros(len(id_), bool)
         for i in np.flatnonzero(left).tolist():
-            found = partners(i, right_, codes, sizes, low_)
+            found = partners(i, band[0], right_, codes, sizes, low_)
             keep[found] = True
             keep[i] |= len(found) > 0
-        return [(block[i], id_[i], comp[i], left[i], right[i]) for i in np.flatnonzero(keep).tolist()]
+        return [(block[i], band[i], id_[i], comp[i], left[i], right[i]) for i in np.flatnonzero(keep).tolist()]
 
-    def links(block, comp, left, right, n, low, elements):
+    def links(block, band, comp, left, right, n, low, elements):
         parent: dict = {}
 
         def root(x):
@@ -276,16 +291,16 @@ def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent:
         sets_ = [np.frombuffer(e, np.uint64) for e in elements]
         found = []
         for i in np.flatnonzero(left).tolist():
-            for j in partners(i, right_, codes, sizes, low_).tolist():
+            for j in partners(i, band[0], right_, codes, sizes, low_).tolist():
                 x, y = root(comp[i]), root(comp[j])
                 if x != y and similar(sets_[i], sets_[j], percent):
                     parent[x] = y
                     found.append((comp[i], comp[j]))
         return found
 
-    narrow = blocks.join(sets.select("id", "n", "low").hint("merge"), "id").select("block", "id", "comp", "left", "right", "n", "low")
-    some = materialize(_by_block(narrow, possible, blocks.select("block", "id", "comp", "left", "right").schema))
-    wide = some.join(sets.hint("merge"), "id").select("block", "comp", "left", "right", "n", "low", "elements")
+    narrow = blocks.join(sets.select("id", "n", "low").hint("merge"), "id").select("block", "band", "id", "comp", "left", "right", "n", "low")
+    some = materialize(_by_block(narrow, possible, blocks.select("block", "band", "id", "comp", "left", "right").schema))
+    wide = some.join(sets.hint("merge"), "id").select("block", "band", "comp", "left", "right", "n", "low", "elements")
     kind = blocks.schema["comp"].dataType
     return _by_block(wide, links, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
@@ -319,8 +334,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     h = F.xxhash64("id")
     open_keys = named.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c"),
                                          F.sum(F.shiftright(h, 20)).alias("s"), F.bit_xor(h).alias("h"))
-    # buckets of the same members need one comparison
-    open_keys = open_keys.where("x != y").groupBy("c", "s", "h").agg(F.min("key").alias("key")).select("key")
+    # buckets of the same members need one comparison, in their first band
+    first_band = F.min_by("key", F.col("key").bitwiseAND(F.lit(BAND)))
+    open_keys = open_keys.where("x != y").groupBy("c", "s", "h").agg(first_band.alias("key")).select("key")
     blocks = _open_blocks(materialize(named.join(open_keys, "key", "left_semi")))
     second = components(_compare_blocks(blocks, sets, model, percent))
 
