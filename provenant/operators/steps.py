@@ -31,6 +31,8 @@ TOKEN_PATTERN = r"(\{[^{}]*\}|[^{}]+)"
 UNOPENED, NESTED, UNCLOSED, UNKNOWN = "unopened_close", "nested_open", "unclosed_open", "unknown_word"
 
 MAX_BROADCAST_EDGES = 1_000_000
+# closure rounds of paths up to this length are cached, longer ones written
+WRITTEN_FROM = 16
 # a step's failures are listed up to this many; all are counted
 MAX_LISTED_FAILURES = 10_000
 
@@ -137,27 +139,41 @@ def step_closure(step_names: DataFrame, edges: DataFrame) -> DataFrame:
     path of exactly 2^k edges (``power``).  A longer path is one of exactly
     2^k edges and a shorter rest, so one join of the two doubles the length:
     a chain of n steps takes about log2(n) rounds, and no pair is listed more
-    often than there are middle steps 2^k edges away.  Each round is written
-    once; a step that reaches itself is a cycle, which raises.
+    often than there are middle steps 2^k edges away.  One job a round gives
+    its size and whether a step reached itself, a cycle, which raises.  The
+    first rounds are cached (most step graphs need no more), later ones written.
     """
-    reach = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).distinct()
-    power = materialize(edges.select("step", F.col("depends_on").alias("upstream")).distinct())
+    cached: list[DataFrame] = []
+
+    def store(df: DataFrame) -> DataFrame:
+        if length >= WRITTEN_FROM:
+            return materialize(df)
+        cached.append(df.persist())
+        return cached[-1]
+
     length = 1
-    while True:
-        n = power.count()
-        if n == 0:
-            return materialize(reach) if length == 1 else reach
+    reach = step_names.select("step", F.col("step").alias("upstream"), F.lit(0).alias("depth")).distinct()
+    power = store(edges.select("step", F.col("depends_on").alias("upstream")).distinct())
+    n = power.count()
+    while n:
         hop = power.select("step", F.col("upstream").alias("_mid"))
         hop = F.broadcast(hop) if n <= MAX_BROADCAST_EDGES else hop
         on = lambda df: df.select(F.col("step").alias("_mid"), *[c for c in df.columns if c != "step"])
         # a dependency that is no step has no row in ``reach``, but is reached
         ends = power.select("step", "upstream", F.lit(length).alias("depth"))
         further = on(reach.where("depth > 0")).join(hop, "_mid").select("step", "upstream", (F.col("depth") + length).alias("depth"))
-        reach = materialize(reach.unionByName(ends).unionByName(further).groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
-        if not reach.where("step = upstream and depth > 0").isEmpty():
-            raise ValueError("step graph has a cycle")
-        power = materialize(on(power).join(hop, "_mid").select("step", "upstream").distinct())
+        reach = store(reach.unionByName(ends).unionByName(further).groupBy("step", "upstream").agg(F.max("depth").alias("depth")))
+        power = store(on(power).join(hop, "_mid").select("step", "upstream").distinct())
         length *= 2
+        told = power.select(F.lit(False).alias("loop")).unionByName(
+            reach.where("step = upstream and depth > 0").select(F.lit(True).alias("loop")))
+        n, loops = told.agg(F.count_if(~F.col("loop")), F.count_if("loop")).first()
+        if loops:
+            raise ValueError("step graph has a cycle")
+    closure = materialize(reach)
+    for c in cached:
+        c.unpersist(blocking=False)
+    return closure
 
 
 def upstream_variables(closure: DataFrame, variables: DataFrame) -> DataFrame:
