@@ -476,7 +476,8 @@ def test_queries_with_sql(spark):
     from provenant.llm.queries import ORACLE_SQL, QUERIES
 
     con = duckdb.connect()
-    con.execute("create view embeddings as select * from read_parquet('/root/testdata/sf0.001/embeddings.parquet')")
+    for name in ("embeddings", "documents"):
+        con.execute(f"create view {name} as select * from read_parquet('/root/testdata/sf0.001/{name}.parquet')")
     for name, sql in ORACLE_SQL.items():
         got = QUERIES[name](spark, "/root/testdata/sf0.001")
         want = con.execute(sql)
