@@ -4,6 +4,12 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame, which is
 written as Parquet and read again as the next stage's ``docs``.  All but the
 last return the columns of ``documents``; the last returns, per kept document,
 its id, language, source and token ids.
+
+Defined results: a null, empty or letterless text has no language, so its row
+goes in the first stage; of rows that repeat a doc_id one stays, that with the
+smallest text; rows without a doc_id are never duplicates and stay; equal texts
+of different ids keep the smallest id; an empty table, or an empty benchmark,
+passes through every stage; extra columns are kept up to the last stage.
 """
 
 from __future__ import annotations
