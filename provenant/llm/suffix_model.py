@@ -1,42 +1,43 @@
-"""Operator 7: scoring texts with a probabilistic suffix tree.
-
-A text is its lower-cased words and an end token; spelled out, every word is
-its bytes and a space, the end one line feed.  The model predicts bytes from
-contexts of up to ``DEPTH`` preceding bytes:
-
-* a context is retained as a state of the tree if its next-byte distribution
-  diverges from that of its longest retained suffix: the log-likelihood gain
-  over the training text must exceed the description length of the
-  distribution, half of ``ln(total)`` nats for each distinct next byte;
+"""Operator 7: scoring texts with a probabilistic suffix tree over tokens.
+
+A text is its lower-cased words and an end token.  A token is predicted from
+the up to ``DEPTH`` tokens before it; the end token stands before the first:
+
+* without context, one of the ``V`` training tokens has ``(1 - u) * c / N`` and
+  unknown, one symbol as in the base score, ``u = (once + 1) / (N + 2)``, the
+  share of tokens that training saw once;
+* a context is retained as a state if its next-token distribution diverges
+  from that of its longest retained suffix: predicting each training
+  occurrence from the context's *other* occurrences must gain likelihood over
+  the suffix, ``sum of n * ln((n - 1) / p) over tokens seen n > 1 times
+  + n1 * ln(kinds) > total * ln(total - 1 + kinds)`` (``p`` in the suffix, ``n1``
+  tokens seen once).  So contexts grow only where the corpus supports them;
 * a state's distribution is smoothed with that of its longest retained suffix
-  (Witten-Bell), down to the uniform distribution;
-* a byte is scored in the longest suffix of its past that is a state.
-
-A token is one of the ``V`` training tokens or unknown, ``V + 1`` symbols as in
-the base score.  Unknown has the share ``u = (once + 1) / (N + 2)`` of tokens
-that training saw once; a known token's probability mixes its count with how
-the tree spells it in its context, ``(1 - u) * (c + V * spelled) / (N + V)``.
-Spellings of different tokens exclude each other, so the symbols' probabilities
-sum to at most one.
-
-Texts are hashed into shards of about ``SHARD_BYTES``.  A shard sends each
-distinct word and each distinct ``DEPTH + 1``-gram once, with its training
-count, packed by bucket; a bucket (grams by their last two context bytes, words
-by hash) sums all shards, tests and smooths its contexts and answers every
-shard with the values of exactly its entries.  So a frequent word or context
-costs one entry a shard, no model is broadcast, and tasks hold one shard or one
-bucket.  Only the table of byte pairs (at most 65,536 rows) goes through the
-driver.
+  (Witten-Bell), ``(n + kinds * p) / (total + kinds)``;
+* a token is scored in the longest suffix of its past that is a state.
+
+In every context the probabilities of the ``V + 1`` symbols sum to one, and the
+weight of a state depends on its own counts, not on the size of the corpus.
+
+Texts are cut into shards of about ``SHARD_BYTES`` (a longer text is one of its
+own), stored once as token numbers.  Depth by depth a shard sends each distinct
+context and gram (context and token) once, with its training count, packed by
+bucket; a bucket sums all shards, tests its contexts and answers every shard
+with the values of exactly its entries.  Grams of one context share a bucket,
+but a context seen ``HOT_COUNT`` times or more is dealt by gram over all
+buckets, and its sums are added up by a grouping.  A context seen once is never
+a state, so longer contexts are only sent where the shorter one repeats.  No
+model is broadcast; tasks hold one shard or one bucket, and the driver gets
+the numbers N, V and ``once``.  Words and grams are named by 64-bit hashes.
 
 Defined results: null text is empty (one end token); repeated rows are each
 scored and, unless held out, each learned from; a null id is not held out;
-with no training rows the counts are 0 and the tree is uniform; extra columns
-are ignored.
+with no training rows the counts are 0 and every token is unknown; no rows give
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import zlib
 
 import numpy as np
@@ -46,15 +47,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import mix, text_slices, total_bytes
+from provenant.llm.common import mix, text_slices
 from provenant.session import materialize
 
-DEPTH = 4
+DEPTH = 2
 SHARD_BYTES = 8 << 20
+HOT_COUNT = 1 << 18
 HELD_OUT = (7, 2)
 
-_PAD = b"\n" * DEPTH
-_WORD, _GRAM = 0, 1
+END = b"\n"
+_END_NAME = np.uint64(xxhash.xxh3_64_intdigest(END))
+_WORDS, _PARTIAL, _ASK = 0, -1, -2  # kinds of rows; grams have their depth
+_ASKED = "shard long, kind int, bucket int, contexts binary, runs binary, keys binary, counts binary, logs binary"
+_ANSWER = "shard long, kind int, bucket int, values binary, states binary, context long, n long, kinds long, ones long, gain double"
 
 
 def is_held_out(key) -> bool:
@@ -62,224 +67,298 @@ def is_held_out(key) -> bool:
     return key is not None and zlib.crc32(str(key).encode()) % mod == rest
 
 
-def spelled(texts: list[str | None]) -> tuple[bytes, list[int], list[list[bytes]]]:
-    """All texts spelled one after the other, where each ends, their words."""
-    parts, ends, words, at = [], [], [], 0
-    for t in texts:
-        own = t.encode().lower().split() if t else []
-        own.append(b"\n")
-        part = _PAD + b" ".join(own)
-        parts.append(part)
-        words.append(own)
-        at += len(part)
-        ends.append(at)
-    return b"".join(parts), ends, words
-
+def token_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
+    """One row per shard: ids, and as arrays in binary form the hashes of its
+    words, its tokens as places among them, tokens per text, texts held out."""
+    kind = rows.schema["id"].dataType.simpleString()
 
-class Shard:
-    """The distinct words and grams of a shard's texts, in a fixed order."""
-
-    def __init__(self, ids: list, texts: list[str | None], buckets: int):
-        data, ends, words = spelled(texts)
-        self.held = np.array([is_held_out(i) for i in ids])
-        self.n_tokens = np.array([len(w) for w in words], np.int64)
-        ends = np.asarray(ends, np.int64)
-        # every window of DEPTH + 1 bytes inside a text, in order
-        raw = np.frombuffer(data + b"\0" * 8, np.uint8)
-        codes = np.ndarray((len(data),), "<u8", buffer=raw, strides=(1,))
-        inside = np.ones(len(data), bool)
-        for k in range(1, DEPTH + 1):
-            inside[ends - k] = False
-        codes = codes[inside] & np.uint64((1 << (8 * (DEPTH + 1))) - 1)
-        self.lengths = np.diff(np.concatenate(([0], ends))) - DEPTH
-        self.token_end = np.flatnonzero(np.isin((codes >> np.uint64(8 * DEPTH)).astype(np.uint8), np.frombuffer(b" \n", np.uint8)))
-        self.gram_at, grams = pd.factorize(codes)
+    def pack(ids: pa.Array, texts: list[str | None]) -> pa.RecordBatch:
+        words = [(t.encode().lower().split() if t else []) + [END] for t in texts]
         coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
-        self.word_at = coded.indices.to_numpy()
         names = np.fromiter(map(xxhash.xxh3_64_intdigest, coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
-        self.keys = {_WORD: names, _GRAM: grams}
-        self.bucket = {_WORD: (names >> np.uint64(8)) % np.uint64(buckets),
-                       _GRAM: mix((grams >> np.uint64(8 * (DEPTH - 2))) & np.uint64(0xFFFF)) % np.uint64(buckets)}
-        # order of the answers: by bucket, then key
-        self.order = {k: np.lexsort((self.keys[k], self.bucket[k])) for k in self.keys}
-
-    def counts(self, kind: int) -> np.ndarray:
-        """Occurrences of each key in training texts."""
-        at, per_text = (self.word_at, self.n_tokens) if kind == _WORD else (self.gram_at, self.lengths)
-        learned = np.repeat(~self.held, per_text)
-        return np.bincount(at[learned], minlength=len(self.keys[kind]))
-
-    def packed(self):
-        """(kind, bucket, keys, counts) for each bucket with entries."""
-        for kind, order in self.order.items():
-            keys, counts, bucket = self.keys[kind][order], self.counts(kind)[order].astype(np.uint32), self.bucket[kind][order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            for k, c, b in zip(np.split(keys, cuts), np.split(counts, cuts), np.split(bucket, cuts)):
-                if len(k):
-                    yield kind, int(b[0]), k.tobytes(), c.tobytes()
-
-    def values(self, kind: int, answers: dict[int, bytes], dtype) -> np.ndarray:
-        """The answers, in the order of the keys."""
-        flat = np.frombuffer(b"".join(answers[b] for b in sorted(answers)), dtype)
-        if len(flat) != len(self.keys[kind]):
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        held = np.fromiter(map(is_held_out, ids.to_pylist()), bool, len(ids))
+        blobs = {"names": names, "tokens": coded.indices.to_numpy().astype(np.int32), "sizes": sizes, "held": held}
+        return pa.RecordBatch.from_pydict({"ids": pa.array([ids.to_pylist()], pa.list_(ids.type))} | {
+            n: pa.array([b.tobytes()], pa.binary()) for n, b in blobs.items()})
+
+    def run(batches):
+        ids, texts, size = [], [], 0
+        for piece in text_slices(batches, "text", shard_bytes):
+            more = piece.column("text").nbytes
+            if texts and size + more > shard_bytes:
+                yield pack(pa.concat_arrays(ids), texts)
+                ids, texts, size = [], [], 0
+            ids.append(piece.column("id"))
+            texts += piece.column("text").to_pylist()
+            size += more
+        if texts:
+            yield pack(pa.concat_arrays(ids), texts)
+
+    packed = rows.mapInArrow(run, f"ids array<{kind}>, names binary, tokens binary, sizes binary, held binary")
+    return materialize(packed.withColumn("shard", F.monotonically_increasing_id()))
+
+
+class Entries:
+    """The distinct keys of a shard at one depth, each under its context, in
+    the order in which they are sent: by bucket, context, key."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int, contexts: np.ndarray | None = None,
+                 hot: np.ndarray | None = None, logs: np.ndarray | None = None):
+        self.contexts = keys if contexts is None else contexts
+        spread = keys if hot is None else np.where(hot, keys, self.contexts)
+        bucket = mix(spread ^ (spread >> np.uint64(7))) % np.uint64(buckets)
+        self.given = keys
+        self.order = np.lexsort((keys, self.contexts, bucket))
+        self.keys, self.counts, self.bucket = keys[self.order], counts[self.order].astype(np.uint32), bucket[self.order]
+        self.contexts = self.contexts[self.order]
+        self.logs = None if logs is None else logs[self.order].astype(np.float16)
+        self.is_hot = np.zeros(len(keys), bool) if hot is None else hot[self.order]
+        new = np.ones(len(keys), bool)
+        new[1:] = (self.contexts[1:] != self.contexts[:-1]) | (self.bucket[1:] != self.bucket[:-1])
+        self.run_starts = np.flatnonzero(new)  # a context's keys within a bucket
+
+    def packed(self, shard: int, kind: int):
+        """Rows of ``_ASKED``: one per bucket (the runs of hot contexts are
+        negative), and one per hot context."""
+        cuts = np.flatnonzero(np.diff(self.bucket)) + 1
+        for a, b in zip(np.append(0, cuts), np.append(cuts, len(self.keys))):
+            if a == b:
+                continue
+            runs, contexts = None, None
+            if kind != _WORDS:
+                i, j = np.searchsorted(self.run_starts, (a, b))
+                at = self.run_starts[i:j]
+                runs = (np.diff(np.append(at, b)) * np.where(self.is_hot[at], -1, 1)).astype(np.int32).tobytes()
+                contexts = self.contexts[at].tobytes()
+            yield (shard, kind, int(self.bucket[a]), contexts, runs, self.keys[a:b].tobytes(), self.counts[a:b].tobytes(),
+                   None if self.logs is None else self.logs[a:b].tobytes())
+        for context in np.unique(self.contexts[self.is_hot]):
+            yield shard, _ASK, int(mix(np.array([context]))[0] % np.uint64(max(1, len(cuts) + 1))), context.tobytes(), None, None, None, None
+
+    def unsorted(self, values: np.ndarray) -> np.ndarray:
+        """Values in sending order, put into the order of the given keys."""
+        if len(values) != len(self.keys):
             raise ValueError("answers do not fit the shard")
-        out = np.empty(len(flat), dtype)
-        out[self.order[kind]] = flat
+        out = np.empty_like(values)
+        out[self.order] = values
         return out
 
 
-def byte_pairs(rows: DataFrame) -> DataFrame:
-    """(code, n): training counts of (byte, next byte), tokens as code -1."""
-
-    def run(batches):
-        total = np.zeros(1 << 16, np.int64)
-        tokens = 0
-        for batch in text_slices(batches, "text"):
-            held = [is_held_out(i) for i in batch.column("id").to_pylist()]
-            data, ends, words = spelled([t for t, h in zip(batch.column("text").to_pylist(), held) if not h])
-            tokens += sum(map(len, words))
-            if ends:
-                b = np.frombuffer(data, np.uint8).astype(np.uint16)
-                pair = b[:-1] | (b[1:] << np.uint16(8))
-                keep = np.ones(len(b), bool)
-                starts = np.concatenate(([0], ends[:-1])).astype(np.int64)
-                for k in range(DEPTH - 1):
-                    keep[starts + k] = False
-                keep[np.asarray(ends) - 1] = False
-                total += np.bincount(pair[keep[:-1]], minlength=1 << 16)
-        codes = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.append(codes, -1).astype(np.int64)), pa.array(np.append(total[codes], tokens).astype(np.int64))], names=["code", "n"])
-
-    return rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-
-
-class Tree:
-    """States of the suffix tree: depth 0 and 1 kept, deeper ones per bucket."""
-
-    def __init__(self, pairs: np.ndarray):
-        pairs = pairs.astype(np.float64)  # [context byte, next byte]
-        total = pairs.sum(axis=0)
-        kinds = np.count_nonzero(total)
-        root = (total + kinds / 256) / max(1.0, total.sum() + kinds) if kinds else np.full(256, 1 / 256)
-        n, k = pairs.sum(axis=1), np.count_nonzero(pairs, axis=1)
-        self.first = np.tile(root, (256, 1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain = np.where(pairs > 0, pairs * np.log(pairs / np.maximum(n, 1)[:, None] / root[None, :]), 0).sum(axis=1)
-        keep = _retained(gain, n, k)
-        self.first[keep] = (pairs[keep] + k[keep, None] * root[None, :]) / (n + k)[keep, None]
-
-    def logs(self, grams: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each distinct gram; all
-        grams with the same last two context bytes are given together."""
-        probability = self.first[((grams >> np.uint64(8 * (DEPTH - 1))) & np.uint64(0xFF)).astype(np.int64),
-                                 (grams >> np.uint64(8 * DEPTH)).astype(np.int64)]
-        for depth in range(2, DEPTH + 1):
-            part, which = np.unique(grams >> np.uint64(8 * (DEPTH - depth)), return_inverse=True)
-            n = np.bincount(which, weights=counts, minlength=len(part))
-            above = np.empty(len(part))
-            above[which] = probability
-            context, at = np.unique(part & np.uint64((1 << (8 * depth)) - 1), return_inverse=True)
-            total = np.bincount(at, weights=n, minlength=len(context))
-            kinds = np.bincount(at, weights=n > 0, minlength=len(context))
-            seen = np.maximum(n, 1e-300)
-            gain = np.bincount(at, weights=np.where(n > 0, n * np.log(seen / np.maximum(total, 1)[at] / above), 0.0), minlength=len(context))
-            keep = _retained(gain, total, kinds)[at]
-            own = np.where(keep, (n + kinds[at] * above) / np.maximum(1.0, total[at] + kinds[at]), above)
-            probability = own[which]
-        return np.log10(probability)
-
-
-def _retained(gain: np.ndarray, total: np.ndarray, kinds: np.ndarray) -> np.ndarray:
-    """The divergence test of contexts."""
-    return (total > 0) & (gain > 0.5 * kinds * np.log(np.maximum(total, 1) + 1))
-
-
-def _answer(groups, tree: Tree):
-    """Per bucket: what each shard asked for; and the sums of the words."""
-    for kind, bucket, shards, keys, counts in groups:
-        flat = np.frombuffer(b"".join(keys), np.uint64)
-        distinct, which = np.unique(flat, return_inverse=True)
-        n = np.bincount(which, weights=np.frombuffer(b"".join(counts), np.uint32), minlength=len(distinct))
-        value = (n.astype(np.int64) if kind == _WORD else tree.logs(distinct, n).astype(np.float32))[which]
-        cuts = np.cumsum([len(k) // 8 for k in keys])[:-1]
-        seen, once = (int(np.count_nonzero(n)), int(np.count_nonzero(n == 1))) if kind == _WORD else (0, 0)
-        for i, (shard, part) in enumerate(zip(shards, np.split(value, cuts))):
-            yield shard, kind, bucket, part.tobytes(), seen if i == 0 else 0, once if i == 0 else 0
-
-
-def _groups(batches):
-    now, shards, keys, counts = None, [], [], []
-    for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("kind", "bucket", "shard", "keys", "counts"))):
-            if row[:2] != now:
-                if now is not None:
-                    yield *now, shards, keys, counts
-                now, shards, keys, counts = row[:2], [], [], []
-            shards.append(row[2])
-            keys.append(row[3])
-            counts.append(row[4])
-    if now is not None:
-        yield *now, shards, keys, counts
-
-
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES) -> DataFrame:
+class Shard:
+    """A shard's tokens and, level by level, their probabilities."""
+
+    def __init__(self, row: dict, buckets: int, hot_count: int):
+        self.buckets, self.hot_count = buckets, hot_count
+        self.names = np.frombuffer(row["names"], np.uint64)
+        self.word_at = np.frombuffer(row["tokens"], np.int32)
+        self.sizes = np.frombuffer(row["sizes"], np.int64)
+        self.held = np.frombuffer(row["held"], bool)
+        self.learned = np.repeat(~self.held, self.sizes)
+        self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
+        self.entries = Entries(self.names, np.bincount(self.word_at[self.learned], minlength=len(self.names)), buckets)
+        self.depth = 0
+
+    def take_words(self, values: np.ndarray, n_train: int, v_train: int, once: int) -> None:
+        c = self.entries.unsorted(values).astype(np.int64)
+        at = c[self.word_at]
+        unknown = (once + 1) / (n_train + 2)
+        self.known = at > 0
+        self.base = np.log10((at + 1) / (n_train + v_train + 1))
+        self.p = np.where(self.known, (1 - unknown) * at / max(1, n_train), unknown)
+        self.key, self.n = self.names[self.word_at], at
+        self.end_n = int(c[self.names == _END_NAME][0])
+
+    def next_level(self) -> None:
+        """Contexts one token longer, each the gram that ends a token before."""
+        self.depth += 1
+        context, context_n = np.roll(self.key, 1), np.roll(self.n, 1)
+        context[self.starts], context_n[self.starts] = (_END_NAME, self.end_n) if self.depth == 1 else (0, 0)
+        self.live = np.flatnonzero(context_n >= 2)
+        context, context_n = context[self.live], context_n[self.live]
+        grams = mix(context * np.uint64(0x9E3779B97F4A7C15) + self.names[self.word_at[self.live]] + np.uint64(self.depth))
+        self.gram_at, keys = pd.factorize(grams)
+        first = np.empty(len(keys), np.int64)
+        first[self.gram_at[::-1]] = np.arange(len(grams) - 1, -1, -1)
+        counts = np.bincount(self.gram_at[self.learned[self.live]], minlength=len(keys))
+        self.entries = Entries(keys, counts, self.buckets, context[first], context_n[first] >= self.hot_count,
+                               np.log(self.p[self.live][first]))
+
+    def take_grams(self, n: np.ndarray, states: np.ndarray, hot: np.ndarray, hot_states: np.ndarray) -> None:
+        """``states``: (total, kinds) of each run of a context sent, 0 if it is
+        not a state or hot; ``hot`` and theirs: the hot contexts retained."""
+        e = self.entries
+        if len(states) != len(e.run_starts):
+            raise ValueError("answers do not fit the shard")
+        of_run = states.copy()
+        if len(hot):
+            by = np.argsort(hot)
+            at = by[np.minimum(np.searchsorted(hot, e.contexts[e.run_starts], sorter=by), len(hot) - 1)]
+            found = hot[at] == e.contexts[e.run_starts]
+            of_run[found] = hot_states[at[found]]
+        runs = np.diff(np.append(e.run_starts, len(e.keys)))
+        total, kinds = (e.unsorted(np.repeat(of_run[:, k], runs))[self.gram_at] for k in (0, 1))
+        n = e.unsorted(n)[self.gram_at].astype(np.int64)
+        p = self.p[self.live]
+        self.p = self.p.copy()
+        self.p[self.live] = np.where(total > 0, (n + kinds * p) / np.maximum(1, total + kinds), p)
+        key, count = np.zeros(len(self.p), np.uint64), np.zeros(len(self.p), np.int64)
+        key[self.live], count[self.live] = e.given[self.gram_at], n
+        self.key, self.n = key, count
+
+
+def _retained(total, kinds, ones, gain) -> np.ndarray:
+    """The divergence test; ``gain`` sums ``n * ln((n - 1) / p)`` over n > 1."""
+    rest = total * np.log(np.maximum(total - 1 + kinds, 1)) - ones * np.log(np.maximum(kinds, 1))
+    return (total > 1) & (gain > rest)
+
+
+def _sums(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray, logs: np.ndarray):
+    """Place of each row's key, counts of the distinct keys; the distinct
+    contexts and their total, kinds, ones, gain."""
+    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
+    n = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+    named, of_row = np.unique(contexts, return_inverse=True)
+    own, log = of_row[first], logs[first].astype(np.float64)
+
+    def add(values: np.ndarray) -> np.ndarray:
+        return np.bincount(own, weights=values, minlength=len(named))
+
+    gain = add(np.where(n > 1, n * (np.log(np.maximum(n - 1, 1)) - log), 0.0))
+    return which, n, named, add(n).astype(np.int64), add(n > 0).astype(np.int64), add(n == 1).astype(np.int64), gain
+
+
+def _answers(kind: int, bucket: int, rows: list[dict]):
+    """Rows of ``_ANSWER`` to the shards that asked one bucket."""
+    parts = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    cuts = np.cumsum([len(p) for p in parts])[:-1]
+    keys, counts = np.concatenate(parts), np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
+    if kind == _WORDS:
+        distinct, which = np.unique(keys, return_inverse=True)
+        n = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
+        sums = int(n.sum()), int(np.count_nonzero(n)), int(np.count_nonzero(n == 1))
+        for i, (r, part) in enumerate(zip(rows, np.split(n[which], cuts))):
+            yield r["shard"], kind, bucket, part.tobytes(), None, 0, *(sums if i == 0 else (0, 0, 0)), 0.0
+        return
+    signed = [np.frombuffer(r["runs"], np.int32) for r in rows]
+    runs, sent = np.concatenate(signed), np.frombuffer(b"".join(r["contexts"] for r in rows), np.uint64)
+    logs = np.frombuffer(b"".join(r["logs"] for r in rows), np.float16)
+    which, n, named, total, kinds, ones, gain = _sums(keys, np.repeat(sent, np.abs(runs)), counts, logs)
+    at = np.searchsorted(named, sent)
+    hot = np.zeros(len(named), bool)
+    hot[at[runs < 0]] = True
+    state = _retained(total, kinds, ones, gain) & ~hot
+    states = np.where(state[:, None], np.stack([total, kinds], axis=1), 0)[at]
+    run_cuts = np.cumsum([len(s) for s in signed])[:-1]
+    for r, values, own in zip(rows, np.split(n[which], cuts), np.split(states, run_cuts)):
+        yield r["shard"], kind, bucket, values.tobytes(), own.tobytes(), 0, 0, 0, 0, 0.0
+    for i in np.flatnonzero(hot):
+        yield -1, _PARTIAL, bucket, None, None, int(named[i].view(np.int64)), int(total[i]), int(kinds[i]), int(ones[i]), float(gain[i])
+
+
+def _reply(batches):
+    """Answers of a partition sorted by kind and bucket."""
+    names = [part.split()[0] for part in _ANSWER.split(", ")]
+    types = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}
+    kinds = [types[part.split()[1]] for part in _ANSWER.split(", ")]
+
+    def batch_of(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, t) for column, t in zip(zip(*rows), kinds)], names=names)
+
+    now, rows = None, []
+    for batch in text_slices(batches, "keys", 16 << 20):
+        passed = []
+        for r in batch.to_pylist():
+            if r["kind"] == _ASK:
+                passed.append((r["shard"], _ASK, r["bucket"], None, None, int(np.frombuffer(r["contexts"], np.int64)[0]), 0, 0, 0, 0.0))
+                continue
+            if (r["kind"], r["bucket"]) != now:
+                if rows:
+                    yield batch_of(list(_answers(*now, rows)))
+                now, rows = (r["kind"], r["bucket"]), []
+            rows.append(r)
+        if passed:
+            yield batch_of(passed)
+    if rows:
+        yield batch_of(list(_answers(*now, rows)))
+
+
+def _hot_states(answers: DataFrame) -> DataFrame:
+    """(shard, kind _ASK, context, n, kinds, ones, gain): sums of hot contexts
+    over all buckets, for each shard that has them."""
+    sums = answers.where(F.col("kind") == _PARTIAL).groupBy("context").agg(*(F.sum(c).alias(c) for c in ("n", "kinds", "ones", "gain")))
+    asked = answers.where(F.col("kind") == _ASK).select("shard", "context")
+    return materialize(asked.join(sums, "context"))
+
+
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard_bytes: int = SHARD_BYTES,
+                depth: int = DEPTH, hot_count: int = HOT_COUNT) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    shards = max(1, math.ceil(total_bytes(rows, "text") / shard_bytes))
-    rows_of = rows.withColumn("shard", F.pmod(F.xxhash64("id", "text"), F.lit(shards)).cast("int"))
-    pairs = np.zeros((256, 256), np.int64)
-    n_train = 0
-    for r in byte_pairs(rows).collect():  # at most 65,537 rows
-        if r["code"] < 0:
-            n_train += int(r["n"])
-        else:
-            pairs[r["code"] & 255, r["code"] >> 8] = r["n"]
-    buckets = max(16, shards)
-    tree = rows.sparkSession.sparkContext.broadcast(Tree(pairs))
-
-    def ask(group: pa.Table) -> pa.Table:
-        shard = group.column("shard")[0].as_py()
-        packed = list(Shard(group.column("id").to_pylist(), group.column("text").to_pylist(), buckets).packed())
-        return pa.table({"kind": pa.array([p[0] for p in packed], pa.int32()), "bucket": pa.array([p[1] for p in packed], pa.int32()),
-                         "shard": pa.array([shard] * len(packed), pa.int32()), "keys": pa.array([p[2] for p in packed], pa.binary()),
-                         "counts": pa.array([p[3] for p in packed], pa.binary())})
-
-    asked = rows_of.groupBy("shard").applyInArrow(ask, "kind int, bucket int, shard int, keys binary, counts binary")
-
-    def reply(batches):
-        for group in _groups(text_slices(batches, "keys", 16 << 20)):
-            out = list(_answer([group], tree.value))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.int32()),
-                 pa.array([o[3] for o in out], pa.binary()), pa.array([o[4] for o in out], pa.int64()), pa.array([o[5] for o in out], pa.int64())],
-                names=["shard", "kind", "bucket", "values", "seen", "once"])
-
-    answers = materialize(asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(
-        reply, "shard int, kind int, bucket int, values binary, seen long, once long"))
-    sums = answers.agg(F.sum("seen"), F.sum("once")).first()
-    v_train, once = int(sums[0] or 0), int(sums[1] or 0)
-    unknown = (once + 1) / (n_train + 2)
+    shards = token_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shard_bytes)
+    buckets = max(16, shards.count())
+    id_type = shards.schema["ids"].dataType.elementType.simpleString()
+
+    def table_of(rows) -> pa.Table:
+        columns = list(zip(*rows)) or [()] * 8
+        types = [pa.int64(), pa.int32(), pa.int32()] + [pa.binary()] * 5
+        return pa.table({part.split()[0]: pa.array(c, t) for part, c, t in zip(_ASKED.split(", "), columns, types)})
+
+    def answered(asked: DataFrame) -> DataFrame:
+        return materialize(asked.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket").mapInArrow(_reply, _ANSWER))
+
+    def ask_words(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                table = table_of(Shard(row, buckets, hot_count).entries.packed(row["shard"], _WORDS))
+                yield from table.to_batches()
+
+    words = answered(shards.drop("ids").mapInArrow(ask_words, _ASKED))
+    n_train, v_train, once = (int(x or 0) for x in words.agg(F.sum("n"), F.sum("kinds"), F.sum("ones")).first())
+
+    def level(row: dict, found: pa.Table) -> Shard:
+        """The shard after the answers of all levels so far."""
+        own = Shard(row, buckets, hot_count)
+        order = found.sort_by([("kind", "ascending"), ("bucket", "ascending")])
+        kinds = order.column("kind").to_numpy()
+        levels = order.column("level").to_numpy()
+        joined = lambda name, at: b"".join(order.column(name).take(pa.array(at)).to_pylist())
+        own.take_words(np.frombuffer(joined("values", np.flatnonzero(kinds == _WORDS)), np.int64), n_train, v_train, once)
+        for d in range(1, int(levels.max()) + 1):
+            own.next_level()
+            at = np.flatnonzero(kinds == d)
+            hot = order.filter(pa.array((kinds == _ASK) & (levels == d)))
+            n, k, ones, gain = (hot.column(c).to_numpy() for c in ("n", "kinds", "ones", "gain"))
+            state = _retained(n, k, ones, gain)
+            context = hot.column("context").to_numpy().view(np.uint64)
+            own.take_grams(np.frombuffer(joined("values", at), np.int64), np.frombuffer(joined("states", at), np.int64).reshape(-1, 2),
+                           context[state], np.stack([n, k], axis=1)[state])
+        return own
+
+    columns = ["shard", "kind", "bucket", "values", "states", "context", "n", "kinds", "ones", "gain"]
+    answers = words.select(*columns, F.lit(0).alias("level"))
+
+    def ask(texts: pa.Table, found: pa.Table) -> pa.Table:
+        row = texts.to_pylist()[0]
+        own = level(row, found)
+        own.next_level()
+        return table_of(own.entries.packed(row["shard"], own.depth))
+
+    for d in range(1, depth + 1):
+        asked = shards.drop("ids").groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(ask, _ASKED)
+        found = answered(asked)
+        hot = _hot_states(found).select("shard", F.lit(_ASK).alias("kind"), F.lit(0).alias("bucket"), F.lit(None).cast("binary").alias("values"),
+                                        F.lit(None).cast("binary").alias("states"), "context", "n", "kinds", "ones", "gain")
+        answers = answers.unionByName(found.where("kind > 0").select(*columns).unionByName(hot).withColumn("level", F.lit(d)))
 
     def score(texts: pa.Table, found: pa.Table) -> pa.Table:
-        own = Shard(texts.column("id").to_pylist(), texts.column("text").to_pylist(), buckets)
-        got: dict[int, dict[int, bytes]] = {_WORD: {}, _GRAM: {}}
-        for kind, bucket, values in zip(*(found.column(c).to_pylist() for c in ("kind", "bucket", "values"))):
-            got[kind][bucket] = values
-        c = own.values(_WORD, got[_WORD], np.int64)[own.word_at]
-        logs = own.values(_GRAM, got[_GRAM], np.float32).astype(np.float64)[own.gram_at]
-        spell = np.add.reduceat(logs, np.concatenate(([0], own.token_end[:-1] + 1)))
-        base = np.log10((c + 1) / (n_train + v_train + 1))
-        known = c > 0
-        mixed = (c + v_train * 10.0 ** spell) / max(1, n_train + v_train)
-        token = np.where(known, np.log10(np.maximum(mixed, 1e-300)) + math.log10(1 - unknown), math.log10(unknown))
-        at = np.concatenate(([0], np.cumsum(own.n_tokens)[:-1]))
+        row = texts.drop_columns(["ids"]).to_pylist()[0]
+        own = level(row, found)
+        add = lambda values: pa.array(np.add.reduceat(values, own.starts))
         return pa.table({
-            "doc_id": texts.column("id"), "held_out": pa.array(own.held), "n_tokens": pa.array(own.n_tokens),
-            "n_known": pa.array(np.add.reduceat(known.astype(np.int64), at)), "train_tokens": pa.array(np.full(len(at), n_train, np.int64)),
-            "base_score": pa.array(np.add.reduceat(base, at)), "score": pa.array(np.add.reduceat(token, at))})
+            "doc_id": texts.column("ids").combine_chunks().flatten(), "held_out": pa.array(own.held), "n_tokens": pa.array(own.sizes),
+            "n_known": add(own.known.astype(np.int64)), "train_tokens": pa.array(np.full(len(own.sizes), n_train, np.int64)),
+            "base_score": add(own.base), "score": add(np.log10(own.p))})
 
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows_of.groupBy("shard").cogroup(answers.drop("seen", "once").groupBy("shard")).applyInArrow(
-        score, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return shards.groupBy("shard").cogroup(answers.groupBy("shard")).applyInArrow(
+        score, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -312,23 +312,69 @@ def test_suffix_tree_scores(spark):
     assert suffix_model.score_texts(docs.limit(0)).count() == 0
 
 
-def test_states_are_distributions():
-    rng = np.random.default_rng(2)
-    data = bytes(rng.choice(list(b"abc "), 4000).tolist())
-    pairs = np.zeros((256, 256), np.int64)
-    for a, b in zip(data, data[1:]):
-        pairs[a, b] += 1
-    tree = suffix_model.Tree(pairs)
-    grams = {}
-    for i in range(4, len(data)):
-        code = int.from_bytes(data[i - 4:i + 1], "little")
-        grams[code] = grams.get(code, 0) + 1
-    context = int.from_bytes(b"ab ", "little") << 8 | ord("c")
-    codes = {(context | x << 32): grams.get(context | x << 32, 0) for x in range(256)}
-    group = {c: n for c, n in grams.items() if (c >> 16) & 0xFFFF == (context >> 16) & 0xFFFF} | codes
-    keys = np.array(sorted(group), np.uint64)
-    p = 10 ** tree.logs(keys, np.array([group[int(k)] for k in keys], float))
-    assert abs(p[np.isin(keys, np.array(list(codes), np.uint64))].sum() - 1) < 1e-9
+class _PlainTree:
+    """The token tree by dictionaries of whole contexts."""
+
+    def __init__(self, texts: list[list[bytes]], depth: int):
+        self.count, self.grams = {}, {}
+        for ws in texts:
+            for i, w in enumerate(ws):
+                self.count[w] = self.count.get(w, 0) + 1
+                for context in self.contexts(ws, i, depth):
+                    own = self.grams.setdefault(context, {})
+                    own[w] = own.get(w, 0) + 1
+        self.n = sum(self.count.values())
+        self.unknown = (sum(c == 1 for c in self.count.values()) + 1) / (self.n + 2)
+        self.states = {}
+        for context in sorted(self.grams, key=len):
+            own = self.grams[context]
+            total, kinds, ones = sum(own.values()), len(own), sum(c == 1 for c in own.values())
+            gain = sum(c * (np.log(c - 1) - float(np.float16(np.log(self.p(context[1:], w))))) for w, c in own.items() if c > 1)
+            if total > 1 and gain + ones * np.log(kinds) > total * np.log(total - 1 + kinds):
+                self.states[context] = (total, kinds)
+
+    @staticmethod
+    def contexts(ws, i, depth):
+        """Contexts of token i, shortest first; the end token stands before the first."""
+        return [(b"\n",)] if i == 0 and depth else [tuple(([b"\n"] + ws)[i + 1 - d:i + 1]) for d in range(1, depth + 1) if i + 1 - d >= 0]
+
+    def p(self, context, w):
+        if not context:
+            return (1 - self.unknown) * self.count[w] / self.n if w in self.count else self.unknown
+        below = self.p(context[1:], w)
+        if context not in self.states:
+            return below
+        total, kinds = self.states[context]
+        return (self.grams[context].get(w, 0) + kinds * below) / (total + kinds)
+
+
+def test_token_tree_equals_plain_contexts(spark):
+    rng = random.Random(11)
+    base = [[rng.choice("abcdefgh") for _ in range(40)] for _ in range(4)]
+    texts = [" ".join(rng.choice(base)[k % 7:] + [rng.choice(["x%d" % k, "a B", "c"])]) for k in range(60)] + [None, "", "a b c d", "zz zz zz zz"] * 2
+    docs = _docs(spark, texts)
+    tokens = [(t or "").encode().lower().split() + [b"\n"] for t in texts]
+    train = [ws for i, ws in enumerate(tokens) if zlib.crc32(str(i).encode()) % 7 != 2]
+    for depth, size, hot in ((2, 1 << 20, 1 << 18), (2, 300, 30), (3, 700, 10), (0, 300, 30)):
+        tree = _PlainTree(train, depth)
+        assert (len(tree.states) > 20) == (depth > 0)
+        got = {r.doc_id: r for r in suffix_model.score_texts(docs, shard_bytes=size, depth=depth, hot_count=hot).collect()}
+        assert len(got) == len(texts)
+        for i, ws in enumerate(tokens):
+            want = sum(np.log10(tree.p((tree.contexts(ws, j, depth) or [()])[-1], w)) for j, w in enumerate(ws))
+            assert abs(got[i].score - want) < 1e-6
+        for context in tree.states:
+            assert abs(sum(tree.p(context, w) for w in [*tree.count, None]) - 1) < 1e-9
+
+
+def test_token_tree_odd_rows(spark):
+    rows = [(None, "a b a b", 1), (4, "a b a b", 2), (4, "a b a b", 3), (5, None, 4), (None, None, 5)]
+    got = suffix_model.score_texts(spark.createDataFrame(rows, "doc_id long, text string, shard int")).collect()
+    assert sorted(r.n_tokens for r in got) == [1, 1, 5, 5, 5]  # repeated rows are each scored, null text is one end token
+    assert len({round(r.score, 9) for r in got if r.n_tokens == 5}) == 1 and not any(r.held_out for r in got if r.doc_id is None)
+    only_held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
+    r = suffix_model.score_texts(spark.createDataFrame([(only_held, "a b")], "doc_id long, text string")).first()
+    assert (r.n_known, r.train_tokens) == (0, 0) and abs(r.score - 3 * np.log10(0.5)) < 1e-9
 
 
 def test_secret_base_spans_equal_the_contract(spark):
