@@ -28,7 +28,8 @@ but a context seen ``HOT_COUNT`` times or more is dealt by gram over all
 buckets, and its sums are added up by a grouping.  A context seen once is never
 a state, so longer contexts are only sent where the shorter one repeats.  No
 model is broadcast; tasks hold one shard or one bucket, and the driver gets
-the numbers N, V and ``once``.  Words and grams are named by 64-bit hashes.
+the numbers N, V and ``once``.  Words and contexts are named by 64-bit hashes,
+a context's grams by 48 bits.
 
 Defined results: null text is empty (one end token); repeated rows are each
 scored and, unless held out, each learned from; a null id is not held out;
@@ -38,36 +39,50 @@ no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provenant.llm.common import mix, text_slices
-from provenant.session import materialize
+from provenant.llm.common import mix, text_slices, total_bytes
+from provenant.session import ensure_checkpoint_dir, materialize
 
 DEPTH = 2
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 16 << 20
 HOT_COUNT = 1 << 18
 HELD_OUT = (7, 2)
 
 END = b"\n"
 _END_NAME = np.uint64(xxhash.xxh3_64_intdigest(END))
+_LOG_STEPS = 8  # ln p is sent to the divergence test in eighths
 _WORDS, _PARTIAL, _ASK = 0, -1, -2  # kinds of rows; grams have their depth
 _ASKED = "shard long, kind int, bucket int, contexts binary, runs binary, keys binary, counts binary, logs binary"
 _ANSWER = "shard long, kind int, bucket int, values binary, states binary, context long, n long, kinds long, ones long, gain double"
 
 
+def _pack(values: np.ndarray) -> bytes:
+    """Values byte plane by byte plane, compressed: small numbers take little."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _unpack(blob: bytes, dtype) -> np.ndarray:
+    size = np.dtype(dtype).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
+
+
 def is_held_out(key) -> bool:
     mod, rest = HELD_OUT
     return key is not None and zlib.crc32(str(key).encode()) % mod == rest
 
 
-def token_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
+def token_shards(rows: DataFrame, shard_bytes: int, parts: int) -> DataFrame:
     """One row per shard: ids, and as arrays in binary form the hashes of its
     words, its tokens as places among them, tokens per text, texts held out."""
     kind = rows.schema["id"].dataType.simpleString()
@@ -80,7 +95,7 @@ def token_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
         held = np.fromiter(map(is_held_out, ids.to_pylist()), bool, len(ids))
         blobs = {"names": names, "tokens": coded.indices.to_numpy().astype(np.int32), "sizes": sizes, "held": held}
         return pa.RecordBatch.from_pydict({"ids": pa.array([ids.to_pylist()], pa.list_(ids.type))} | {
-            n: pa.array([b.tobytes()], pa.binary()) for n, b in blobs.items()})
+            n: pa.array([_pack(b)], pa.binary()) for n, b in blobs.items()})
 
     def run(batches):
         ids, texts, size = [], [], 0
@@ -96,7 +111,27 @@ def token_shards(rows: DataFrame, shard_bytes: int) -> DataFrame:
             yield pack(pa.concat_arrays(ids), texts)
 
     packed = rows.mapInArrow(run, f"ids array<{kind}>, names binary, tokens binary, sizes binary, held binary")
-    return materialize(packed.withColumn("shard", F.monotonically_increasing_id()))
+    numbered = packed.withColumn("shard", F.monotonically_increasing_id())
+    # dealt once and kept dealt, so that the levels only move their answers: a
+    # checkpoint knows its partitioning if the plan that made it was not adaptive
+    conf, adaptive = rows.sparkSession.conf, "spark.sql.adaptive.enabled"
+    before = conf.get(adaptive)
+    conf.set(adaptive, "false")
+    try:
+        return numbered.repartition(parts, "shard").checkpoint()
+    finally:
+        conf.set(adaptive, before)
+
+
+def _tails(keys: np.ndarray) -> bytes:
+    """The low six bytes of each key, which name a gram within its context."""
+    return np.ascontiguousarray(keys.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_tails(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.reshape(-1).view(np.uint64)
 
 
 class Entries:
@@ -112,7 +147,7 @@ class Entries:
         self.order = np.lexsort((keys, self.contexts, bucket))
         self.keys, self.counts, self.bucket = keys[self.order], counts[self.order].astype(np.uint32), bucket[self.order]
         self.contexts = self.contexts[self.order]
-        self.logs = None if logs is None else logs[self.order].astype(np.float16)
+        self.logs = None if logs is None else np.minimum(np.rint(logs[self.order] * -_LOG_STEPS), 255).astype(np.uint8)
         self.is_hot = np.zeros(len(keys), bool) if hot is None else hot[self.order]
         new = np.ones(len(keys), bool)
         new[1:] = (self.contexts[1:] != self.contexts[:-1]) | (self.bucket[1:] != self.bucket[:-1])
@@ -129,10 +164,10 @@ class Entries:
             if kind != _WORDS:
                 i, j = np.searchsorted(self.run_starts, (a, b))
                 at = self.run_starts[i:j]
-                runs = (np.diff(np.append(at, b)) * np.where(self.is_hot[at], -1, 1)).astype(np.int32).tobytes()
+                runs = _pack((np.diff(np.append(at, b)) * np.where(self.is_hot[at], -1, 1)).astype(np.int32))
                 contexts = self.contexts[at].tobytes()
-            yield (shard, kind, int(self.bucket[a]), contexts, runs, self.keys[a:b].tobytes(), self.counts[a:b].tobytes(),
-                   None if self.logs is None else self.logs[a:b].tobytes())
+            yield (shard, kind, int(self.bucket[a]), contexts, runs, self.keys[a:b].tobytes() if kind == _WORDS else _tails(self.keys[a:b]), _pack(self.counts[a:b]),
+                   None if self.logs is None else _pack(self.logs[a:b]))
         for context in np.unique(self.contexts[self.is_hot]):
             yield shard, _ASK, int(mix(np.array([context]))[0] % np.uint64(max(1, len(cuts) + 1))), context.tobytes(), None, None, None, None
 
@@ -150,10 +185,10 @@ class Shard:
 
     def __init__(self, row: dict, buckets: int, hot_count: int):
         self.buckets, self.hot_count = buckets, hot_count
-        self.names = np.frombuffer(row["names"], np.uint64)
-        self.word_at = np.frombuffer(row["tokens"], np.int32)
-        self.sizes = np.frombuffer(row["sizes"], np.int64)
-        self.held = np.frombuffer(row["held"], bool)
+        self.names = _unpack(row["names"], np.uint64)
+        self.word_at = _unpack(row["tokens"], np.int32)
+        self.sizes = _unpack(row["sizes"], np.int64)
+        self.held = _unpack(row["held"], bool)
         self.learned = np.repeat(~self.held, self.sizes)
         self.starts = np.concatenate(([0], np.cumsum(self.sizes)[:-1]))
         self.entries = Entries(self.names, np.bincount(self.word_at[self.learned], minlength=len(self.names)), buckets)
@@ -214,12 +249,17 @@ def _retained(total, kinds, ones, gain) -> np.ndarray:
 
 
 def _sums(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray, logs: np.ndarray):
-    """Place of each row's key, counts of the distinct keys; the distinct
+    """Place of each row's gram, counts of the distinct grams; the distinct
     contexts and their total, kinds, ones, gain."""
-    distinct, first, which = np.unique(keys, return_index=True, return_inverse=True)
-    n = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
     named, of_row = np.unique(contexts, return_inverse=True)
-    own, log = of_row[first], logs[first].astype(np.float64)
+    order = np.lexsort((keys, of_row))
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[order][1:] != keys[order][:-1]) | (of_row[order][1:] != of_row[order][:-1])
+    which = np.empty(len(keys), np.int64)
+    which[order] = np.cumsum(new) - 1
+    first = order[new]
+    n = np.bincount(which, weights=counts, minlength=len(first)).astype(np.int64)
+    own, log = of_row[first], logs[first]
 
     def add(values: np.ndarray) -> np.ndarray:
         return np.bincount(own, weights=values, minlength=len(named))
@@ -230,19 +270,19 @@ def _sums(keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray, logs: np.n
 
 def _answers(kind: int, bucket: int, rows: list[dict]):
     """Rows of ``_ANSWER`` to the shards that asked one bucket."""
-    parts = [np.frombuffer(r["keys"], np.uint64) for r in rows]
+    parts = [np.frombuffer(r["keys"], np.uint64) if kind == _WORDS else _from_tails(r["keys"]) for r in rows]
     cuts = np.cumsum([len(p) for p in parts])[:-1]
-    keys, counts = np.concatenate(parts), np.frombuffer(b"".join(r["counts"] for r in rows), np.uint32)
+    keys, counts = np.concatenate(parts), np.concatenate([_unpack(r["counts"], np.uint32) for r in rows])
     if kind == _WORDS:
         distinct, which = np.unique(keys, return_inverse=True)
         n = np.bincount(which, weights=counts, minlength=len(distinct)).astype(np.int64)
         sums = int(n.sum()), int(np.count_nonzero(n)), int(np.count_nonzero(n == 1))
         for i, (r, part) in enumerate(zip(rows, np.split(n[which], cuts))):
-            yield r["shard"], kind, bucket, part.tobytes(), None, 0, *(sums if i == 0 else (0, 0, 0)), 0.0
+            yield r["shard"], kind, bucket, _pack(part), None, 0, *(sums if i == 0 else (0, 0, 0)), 0.0
         return
-    signed = [np.frombuffer(r["runs"], np.int32) for r in rows]
+    signed = [_unpack(r["runs"], np.int32) for r in rows]
     runs, sent = np.concatenate(signed), np.frombuffer(b"".join(r["contexts"] for r in rows), np.uint64)
-    logs = np.frombuffer(b"".join(r["logs"] for r in rows), np.float16)
+    logs = np.concatenate([_unpack(r["logs"], np.uint8) for r in rows]) / -_LOG_STEPS
     which, n, named, total, kinds, ones, gain = _sums(keys, np.repeat(sent, np.abs(runs)), counts, logs)
     at = np.searchsorted(named, sent)
     hot = np.zeros(len(named), bool)
@@ -251,7 +291,7 @@ def _answers(kind: int, bucket: int, rows: list[dict]):
     states = np.where(state[:, None], np.stack([total, kinds], axis=1), 0)[at]
     run_cuts = np.cumsum([len(s) for s in signed])[:-1]
     for r, values, own in zip(rows, np.split(n[which], cuts), np.split(states, run_cuts)):
-        yield r["shard"], kind, bucket, values.tobytes(), own.tobytes(), 0, 0, 0, 0, 0.0
+        yield r["shard"], kind, bucket, _pack(values), _pack(own.reshape(-1)), 0, 0, 0, 0, 0.0
     for i in np.flatnonzero(hot):
         yield -1, _PARTIAL, bucket, None, None, int(named[i].view(np.int64)), int(total[i]), int(kinds[i]), int(ones[i]), float(gain[i])
 
@@ -295,8 +335,10 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 depth: int = DEPTH, hot_count: int = HOT_COUNT) -> DataFrame:
     """Per document row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score."""
-    shards = token_shards(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), shard_bytes)
-    buckets = max(16, shards.count())
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    buckets = max(16, math.ceil(total_bytes(rows, "text") / shard_bytes))
+    shards = token_shards(rows, shard_bytes, buckets)
     id_type = shards.schema["ids"].dataType.elementType.simpleString()
 
     def table_of(rows) -> pa.Table:
@@ -322,8 +364,12 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         order = found.sort_by([("kind", "ascending"), ("bucket", "ascending")])
         kinds = order.column("kind").to_numpy()
         levels = order.column("level").to_numpy()
-        joined = lambda name, at: b"".join(order.column(name).take(pa.array(at)).to_pylist())
-        own.take_words(np.frombuffer(joined("values", np.flatnonzero(kinds == _WORDS)), np.int64), n_train, v_train, once)
+        
+        def joined(name: str, at: np.ndarray) -> np.ndarray:
+            parts = [_unpack(b, np.int64) for b in order.column(name).take(pa.array(at)).to_pylist()]
+            return np.concatenate(parts) if parts else np.empty(0, np.int64)
+
+        own.take_words(joined("values", np.flatnonzero(kinds == _WORDS)), n_train, v_train, once)
         for d in range(1, int(levels.max()) + 1):
             own.next_level()
             at = np.flatnonzero(kinds == d)
@@ -331,8 +377,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             n, k, ones, gain = (hot.column(c).to_numpy() for c in ("n", "kinds", "ones", "gain"))
             state = _retained(n, k, ones, gain)
             context = hot.column("context").to_numpy().view(np.uint64)
-            own.take_grams(np.frombuffer(joined("values", at), np.int64), np.frombuffer(joined("states", at), np.int64).reshape(-1, 2),
-                           context[state], np.stack([n, k], axis=1)[state])
+            own.take_grams(joined("values", at), joined("states", at).reshape(-1, 2), context[state], np.stack([n, k], axis=1)[state])
         return own
 
     columns = ["shard", "kind", "bucket", "values", "states", "context", "n", "kinds", "ones", "gain"]

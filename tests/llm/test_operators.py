@@ -329,7 +329,7 @@ class _PlainTree:
         for context in sorted(self.grams, key=len):
             own = self.grams[context]
             total, kinds, ones = sum(own.values()), len(own), sum(c == 1 for c in own.values())
-            gain = sum(c * (np.log(c - 1) - float(np.float16(np.log(self.p(context[1:], w))))) for w, c in own.items() if c > 1)
+            gain = sum(c * (np.log(c - 1) - min(255, np.rint(-8 * np.log(self.p(context[1:], w)))) / -8) for w, c in own.items() if c > 1)
             if total > 1 and gain + ones * np.log(kinds) > total * np.log(total - 1 + kinds):
                 self.states[context] = (total, kinds)
 
