@@ -136,7 +136,7 @@ def _from_tails(blob: bytes) -> np.ndarray:
 
 class Entries:
     """The distinct keys of a shard at one depth, each under its context, in
-    the order in which they are sent: by bucket, context, key."""
+    the order in which they are sent: by bucket, then context."""
 
     def __init__(self, keys: np.ndarray, counts: np.ndarray, buckets: int, contexts: np.ndarray | None = None,
                  hot: np.ndarray | None = None, logs: np.ndarray | None = None):
@@ -144,7 +144,8 @@ class Entries:
         spread = keys if hot is None else np.where(hot, keys, self.contexts)
         bucket = mix(spread ^ (spread >> np.uint64(7))) % np.uint64(buckets)
         self.given = keys
-        self.order = np.lexsort((keys, self.contexts, bucket))
+        # one stable sort; contexts with equal high bits may mix, in more runs
+        self.order = np.argsort((bucket << np.uint64(40)) | (self.contexts >> np.uint64(24)), kind="stable")
         self.keys, self.counts, self.bucket = keys[self.order], counts[self.order].astype(np.uint32), bucket[self.order]
         self.contexts = self.contexts[self.order]
         self.logs = None if logs is None else np.minimum(np.rint(logs[self.order] * -_LOG_STEPS), 255).astype(np.uint8)
