@@ -202,22 +202,30 @@ def shard_strings(shard: ShardText, runs: np.ndarray, buckets: int):
 # ---- Burrows-Wheeler transforms and their merge -------------------------------------------
 
 
+def first_symbols(symbols: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first symbols of every suffix as one number, 0 after its end, and how
+    many they are: as many as 64 bits hold."""
+    key, held = symbols, 1
+    while key.itemsize < 8:
+        wide = key.astype(f"u{2 * key.itemsize}")
+        follow = np.zeros_like(wide)
+        follow[:-held] = wide[held:]
+        follow[(key & np.iinfo(symbols.dtype).max) == 0] = 0
+        key = (wide << (8 * key.itemsize)) | follow
+        held *= 2
+    return key, held
+
+
 class Transform:
     """BWT of a collection of strings over symbols 1.., each ended by 0.
 
-    ``order``: position of every row's suffix; ``symbols``: the symbol before
-    it; ``back``: the row of the suffix one symbol longer."""
+    ``order``: position of every row's suffix; ``prefix``: its first symbols;
+    ``symbols``: the symbol before it; ``back``: the row of the suffix one symbol
+    longer."""
 
     def __init__(self, symbols: np.ndarray, to_end: np.ndarray):
         n = len(symbols)
-        h = 7  # the first seven symbols of every suffix, 0 after its end
-        key = np.zeros(n, np.uint64)
-        for k in range(h):
-            key <<= np.uint64(9)
-            take = np.zeros(n, np.uint64)
-            take[:n - k] = symbols[k:]
-            take[to_end < k] = 0
-            key |= take
+        key, h = first_symbols(symbols)
         order = np.argsort(key)
         rank, open_ = self._ranks(order, key[order], np.arange(n), n)
         # doubling, only for suffixes that are not yet alone
@@ -239,6 +247,7 @@ class Transform:
             open_ = open_[~alone & (to_end[open_] >= h)]
             h *= 2
         self.order = np.argsort(rank * np.int64(n) + np.arange(n))  # equal suffixes by place
+        self.prefix = key[self.order]
         before = symbols[self.order - 1]
         starts = np.zeros(n, bool)
         starts[0] = True
@@ -259,41 +268,53 @@ class Transform:
 def merge_transforms(parts: list[Transform], wanted: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
     """Interleave refinement.
 
-    The interleave lists the parts' rows, each part's in its own order; a round
-    steps every row back by one symbol and buckets stably by that symbol, which
-    orders the interleave by one symbol more.  Only rows that can step back
-    ``rounds`` times matter (``wanted``, by row over the parts end to end), and
-    a row alone in its block stays alone in all longer ones, so it leaves the
-    interleave.  Returned are the rows left and their blocks: rows of one block
-    share their first ``rounds`` symbols."""
+    The interleave lists the parts' rows, each part's in its own order.  It
+    begins in the order of the first symbols that the transforms keep as one
+    number.  A round steps every row back by two symbols and buckets stably by
+    them, which orders the interleave by two symbols more.  ``wanted`` are the
+    rows, over the parts end to end, that have those first symbols and can step
+    back by the rest of ``rounds`` (an even number); a row alone in its block
+    stays alone in all longer ones, so it leaves the interleave.  Returned are
+    the rows left and their blocks: rows of one block share their first
+    ``rounds`` symbols."""
     offset = np.cumsum([0] + [len(p.symbols) for p in parts])
     kind = np.int32 if offset[-1] < 1 << 31 else np.int64
     bwt = np.concatenate([p.symbols for p in parts])
     back = np.concatenate([(p.back + o).astype(kind) for p, o in zip(parts, offset)])
+    two = (bwt[back].astype(f"u{2 * bwt.itemsize}") << (8 * bwt.itemsize)) | bwt  # the farther symbol orders first
+    back = back[back]
     rows = np.flatnonzero(wanted).astype(kind)
-    block = np.zeros(len(rows), np.int32)
-    for _ in range(rounds):
-        symbol = bwt[rows]
+    prefix = np.concatenate([p.prefix for p in parts])[rows]
+    move = np.argsort(prefix, kind="stable")
+    rows, block = _blocks(prefix[move], np.zeros(len(rows), np.int32), rows[move])
+    for _ in range((rounds - 8 // bwt.itemsize) // 2):
+        symbol = two[rows]
         move = np.argsort(symbol, kind="stable")
-        symbol, came, rows = symbol[move], block[move], back[rows[move]]
-        edge = np.empty(len(rows) + 1, bool)
-        edge[:1] = edge[-1:] = True
-        edge[1:-1] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
-        block = np.cumsum(edge[:-1], dtype=np.int32)
-        alone = edge[:-1] & edge[1:]
-        if alone.any():
-            rows, block = rows[~alone], block[~alone]
+        rows, block = _blocks(symbol[move], block[move], back[rows[move]])
     return rows, block
 
 
+def _blocks(symbol: np.ndarray, came: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order, parted where symbols or former blocks differ; rows alone
+    in their block left out."""
+    edge = np.empty(len(rows) + 1, bool)
+    edge[:1] = edge[-1:] = True
+    edge[1:-1] = (symbol[1:] != symbol[:-1]) | (came[1:] != came[:-1])
+    block = np.cumsum(edge[:-1], dtype=np.int32)
+    alone = edge[:-1] & edge[1:]
+    return (rows[~alone], block[~alone]) if alone.any() else (rows, block)
+
+
 def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
     """Per shard: for every window of its strings, in order, the smallest
     document in which the window occurs."""
     joined = np.frombuffer(b"".join(strings), np.uint8)
-    used, dense = np.unique(joined, return_inverse=True)
-    kind = np.uint8 if len(used) < 255 else np.uint16
-    dense = (dense + 1).astype(kind)
-    parts, docs, windows, after, at = [], [], [], [], 0
+    used = np.flatnonzero(np.bincount(joined, minlength=256))
+    kind = np.uint8 if len(used) < 256 else np.uint16  # 0 ends a string
+    code = np.zeros(256, kind)
+    code[used] = np.arange(1, len(used) + 1)
+    dense = code[joined]
+    parts, docs, windows, after, ahead, at = [], [], [], [], [], 0
     for size, low in zip(sizes, least):
         size = size.astype(np.int64)
         total = int(size.sum())
@@ -309,10 +330,13 @@ def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np
         docs.append(low[owner])
         windows.append(to_end >= LENGTH)
         after.append(np.repeat(size, size + 1) - to_end)  # symbols before each place
+        ahead.append(to_end)
     # by row, over the parts end to end: its position and suffix length
     place = np.concatenate([p.order + o for p, o in zip(parts, np.cumsum([0] + [len(p.order) for p in parts[:-1]]))])
     doc = np.concatenate(docs)
-    rows, block = merge_transforms(parts, np.concatenate(after)[place] >= LENGTH, LENGTH)
+    held = 8 // dense.itemsize
+    far = (np.concatenate(after) >= LENGTH - held) & (np.concatenate(ahead) >= held)
+    rows, block = merge_transforms(parts, far[place], LENGTH)
     answer = doc.copy()  # a window that is alone has its own document
     if len(rows):
         where = place[rows]
