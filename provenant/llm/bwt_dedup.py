@@ -10,22 +10,24 @@ document of smaller id.  All suffixes of the corpus are never sorted together:
    ``ANCHOR``-byte strings, which depends on the window's bytes alone.  Texts are
    hashed into shards; each shard sends its distinct anchors once (48 bits),
    packed by bucket, and learns which of them another document has too.
-   Windows whose anchor is unique cannot repeat and go no further.
+   Windows whose anchor is unique cannot repeat and go no further.  An anchor
+   with very many runs is hot; its windows are dealt by longer strings.
 3. Merging: neighbouring windows of one repeated anchor form a short string.  A
    shard's distinct strings go to the bucket of their anchor, so all
    occurrences of a window meet in one bucket.  There every shard's strings
    become a Burrows-Wheeler transform, and the transforms are merged by
    iterative interleave refinement: an interleave of shard numbers, refined
-   once a symbol by a stable bucketing along the transforms, is after
-   ``LENGTH`` rounds ordered by the first ``LENGTH`` symbols.  Where a round
-   parts two neighbours their common prefix ends, so the blocks that remain
-   are the repeated intervals.  A block's smallest document answers all its
+   two symbols a round by a stable bucketing along the transforms, is in the
+   end ordered by the first ``LENGTH`` symbols.  Where a round parts two
+   neighbours their common prefix ends, so the blocks that remain are the
+   repeated intervals.  A block's smallest document answers all its
    windows.
 4. Shards mark the windows whose answer is smaller than the document's own id
    and cut the covered bytes.
 
-Hot strings: a passage in a third of all documents is one entry per shard.
-Buckets and shards grow in number with the input, not in size.
+Hot strings: a passage in a third of all documents is one entry per shard; an
+anchor in very many contexts is spread over buckets.  Buckets, shards and tasks
+grow in number with the input, not in size.
 
 Defined results: null text is empty; texts shorter than ``LENGTH`` lose
 nothing; rows that repeat a doc_id are each reported and do not remove each
@@ -53,6 +55,10 @@ SHARD_BYTES = 8 << 20
 BUCKET_BYTES = 4 << 20
 #: windows of one string at most, so strings are short
 RUN = 64
+#: an anchor of this many runs, or of 255 in one shard, is hot: its windows are
+#: dealt by longer strings, common to ``STEP`` neighbouring windows
+HOT_RUNS = 8192
+STEP = 5
 BROADCAST_IDS = 1_000_000
 _HASH_BITS = 47
 _PIECE = 1 << 19  # bytes hashed at once
@@ -66,13 +72,22 @@ def _unsqueeze(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
-def window_anchors(data: bytes) -> np.ndarray:
-    """The anchor of the ``LENGTH``-byte window at every position."""
+def _words(data: bytes, n: int, at: int) -> np.ndarray:
+    """The eight bytes ``at`` places after each of the first ``n``, as a number."""
+    return np.ndarray((n,), "<u8", buffer=np.frombuffer(data, np.uint8)[at:], strides=(1,))
+
+
+def string_hashes(data: bytes) -> np.ndarray:
+    """Hash of the ``ANCHOR``-byte string at every position."""
     n = len(data) - ANCHOR + 1
-    raw = np.frombuffer(data, np.uint8)
-    word = lambda at: np.ndarray((n,), "<u8", buffer=raw[at:], strides=(1,))
+    word = lambda at: _words(data, n, at)
     low = mix(word(0) * np.uint64(0x9E3779B97F4A7C15) + (word(8) ^ (word(8) >> np.uint64(29))) * np.uint64(0xC2B2AE3D27D4EB4F))
-    low >>= np.uint64(64 - _HASH_BITS)
+    return low >> np.uint64(64 - _HASH_BITS)
+
+
+def window_anchors(data: bytes) -> np.ndarray:
+    """The anchor of the ``LENGTH``-byte window at every position."""
+    low = string_hashes(data)
     wide = LENGTH - ANCHOR + 1
     span = 1
     while span < wide:  # minimum over a window by doubling
@@ -118,70 +133,124 @@ class ShardText:
         self.run_anchor = np.repeat(value, pieces)
         self.run_doc = np.searchsorted(self.starts, self.run_at, side="right") - 1
 
-    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct anchors, sorted, and whether two texts here have it."""
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct anchors, sorted, whether two texts here have it, and its
+        runs (255 at most)."""
         order = np.argsort(self.run_anchor, kind="stable")
         value, doc = self.run_anchor[order], self.run_doc[order]
         first = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if len(value) else np.zeros(0, np.int64)
         if not len(first):
-            return value, np.zeros(0, bool)
+            return value, np.zeros(0, bool), np.zeros(0, np.uint8)
         many = np.minimum.reduceat(doc, first) != np.maximum.reduceat(doc, first)
-        return value[first], many
+        count = np.diff(np.append(first, len(value)))
+        return value[first], many, np.minimum(count, 255).astype(np.uint8)
 
 
 # ---- anchors: asked by shards, answered by buckets --------------------------------------
 
 
 def _pack_anchors(shard: ShardText, buckets: int):
-    values, many = shard.anchors()
+    values, many, count = shard.anchors()
     bucket = (mix(values) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    flagged = (values[order] << np.uint64(1)) | many[order]
+    packed = np.zeros((len(values), 8), np.uint8)
+    packed[:] = ((values[order] << np.uint64(1)) | many[order]).view(np.uint8).reshape(-1, 8)
+    packed[:, 6] = count[order]
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-    for part, b in zip(np.split(flagged, cuts), np.split(bucket[order], cuts)):
+    for part, b in zip(np.split(packed[:, :7], cuts), np.split(bucket[order], cuts)):
         if len(part):
-            yield int(b[0]), np.ascontiguousarray(part.view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+            yield int(b[0]), part.tobytes()
 
 
-def _unpack48(data: bytes) -> np.ndarray:
-    six = np.frombuffer(data, np.uint8).reshape(-1, 6)
-    out = np.zeros((len(six), 8), np.uint8)
-    out[:, :6] = six
-    return out.view(np.uint64).ravel()
+def _unpack_anchors(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(anchors with their flag, runs)."""
+    seven = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(seven), 8), np.uint8)
+    out[:, :6] = seven[:, :6]
+    return out.view(np.uint64).ravel(), seven[:, 6].astype(np.int64)
 
 
-def _shared_anchors(blobs: list[bytes]) -> list[bytes]:
-    """For each shard's anchors of a bucket, a bit: another text has it."""
-    parts = [_unpack48(b) for b in blobs]
-    flat = np.concatenate(parts)
+def _shared_anchors(blobs: list[bytes], hot_runs: int = HOT_RUNS) -> list[bytes]:
+    """For each shard's anchors of a bucket two bits, all the first before all
+    the second: another text has it; it is hot."""
+    parts = [_unpack_anchors(b) for b in blobs]
+    flat, count = (np.concatenate(x) for x in zip(*parts))
     value, many = flat >> np.uint64(1), (flat & np.uint64(1)).astype(np.int64)
     distinct, which = np.unique(value, return_inverse=True)
     shared = np.bincount(which, weights=1 + many, minlength=len(distinct)) > 1
-    cuts = np.cumsum([len(p) for p in parts])[:-1]
-    return [np.packbits(x).tobytes() for x in np.split(shared[which], cuts)]
+    count[count == 255] = hot_runs
+    hot = shared & (np.bincount(which, weights=count, minlength=len(distinct)) >= hot_runs)
+    cuts = np.cumsum([len(p) for p, _ in parts])[:-1]
+    return [np.packbits(x).tobytes() + np.packbits(y).tobytes() for x, y in zip(np.split(shared[which], cuts), np.split(hot[which], cuts))]
+
+
+class Runs:
+    """Runs of windows that may repeat: place, windows, text, and the number
+    whose bucket all occurrences of their windows meet in."""
 
+    def __init__(self, at, length, doc, key):
+        self.at, self.length, self.doc, self.key = at, length, doc, key
 
-def repeated_runs(shard: ShardText, buckets: int, answers: dict[int, bytes]) -> np.ndarray:
-    """Numbers of the runs whose anchor another text has too."""
-    values, _ = shard.anchors()
+
+def repeated_runs(shard: ShardText, buckets: int, answers: dict[int, bytes]) -> Runs:
+    """The runs whose anchor another text has too; those of hot anchors in
+    pieces."""
+    values, _, _ = shard.anchors()
     bucket = (mix(values) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    shared = np.zeros(len(values), bool)
+    bits = np.zeros((2, len(values)), bool)
     if len(values):
         ids, counts = np.unique(bucket, return_counts=True)
-        bits = [np.unpackbits(np.frombuffer(answers[int(b)], np.uint8))[:c] for b, c in zip(ids, counts)]
-        shared[order] = np.concatenate(bits).astype(bool)
-    if not len(shard.run_anchor):
-        return np.zeros(0, np.int64)
-    return np.flatnonzero(shared[np.searchsorted(values, shard.run_anchor)])
-
-
-def shard_strings(shard: ShardText, runs: np.ndarray, buckets: int):
+        raw = [np.frombuffer(answers[int(b)], np.uint8).reshape(2, -1) for b in ids]
+        bits[:, order] = np.concatenate([np.unpackbits(r, axis=1)[:, :c] for r, c in zip(raw, counts)], axis=1).astype(bool)
+    shared, hot = bits[:, np.searchsorted(values, shard.run_anchor)] if len(values) else np.zeros((2, 0), bool)
+    plain = np.flatnonzero(shared & ~hot)
+    own = Runs(shard.run_at[plain], shard.run_len[plain], shard.run_doc[plain], shard.run_anchor[plain] + np.uint64(1))
+    split = hot_pieces(shard, np.flatnonzero(hot))
+    both = [np.concatenate([getattr(own, c), getattr(split, c)]) for c in ("at", "length", "doc", "key")]
+    by = np.argsort(both[0], kind="stable")  # in text order
+    return Runs(*(x[by] for x in both))
+
+
+def hot_pieces(shard: ShardText, runs: np.ndarray) -> Runs:
+    """The runs cut into pieces of at most ``STEP`` windows.
+
+    A window's place relative to the first occurrence of its anchor in it, and
+    so the piece, depend on its bytes alone; all windows of a piece hold one
+    string of ``LENGTH - STEP + 1`` bytes, whose hash is the piece's number.
+    Equal windows thus meet in one bucket, and an anchor with very many
+    contexts is spread by them."""
+    at, length = shard.run_at[runs], shard.run_len[runs]
+    if not len(runs):
+        return Runs(at, length, shard.run_doc[runs], shard.run_anchor[runs])
+    size = length + LENGTH - 1
+    base = np.cumsum(size) - size
+    data = b"".join(shard.data[a:a + k] for a, k in zip(at.tolist(), size.tolist()))
+    run = np.repeat(np.arange(len(runs)), size)
+    here = np.arange(len(data))
+    held = string_hashes(data)
+    is_anchor = np.zeros(len(data), bool)
+    is_anchor[:len(held)] = held == shard.run_anchor[runs][run[:len(held)]]
+    following = np.minimum.accumulate(np.where(is_anchor, here, len(data))[::-1])[::-1]
+    window = here[here - base[run] < length[run]]
+    first, of = following[window], run[window]
+    common = first - (first - window) // STEP * STEP
+    new = np.append(True, (common[1:] != common[:-1]) | (of[1:] != of[:-1]))
+    start = np.flatnonzero(new)
+    place, wide = common[start], LENGTH - STEP + 1
+    key = np.zeros(len(start), np.uint64)
+    for k in [*range(0, wide - 8, 8), wide - 8]:
+        key = mix(key + _words(data, len(data) - wide + 1, k)[place])
+    of, window = of[start], window[start]
+    return Runs(at[of] + window - base[of], np.diff(np.append(start, len(new))), shard.run_doc[runs][of], key)
+
+
+def shard_strings(shard: ShardText, runs: Runs, buckets: int):
     """Distinct strings of the runs by bucket: (bucket, strings, sizes, least
     document) and, per run, its bucket and place there."""
-    data, at, n = shard.data, shard.run_at[runs].tolist(), shard.run_len[runs].tolist()
-    bucket = (mix(shard.run_anchor[runs] + np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-    ids = shard.ids[shard.run_doc[runs]].tolist()
+    data, at, n = shard.data, runs.at.tolist(), runs.length.tolist()
+    bucket = (mix(runs.key) % np.uint64(buckets)).astype(np.int64)
+    ids = shard.ids[runs.doc].tolist()
     by: dict[int, dict[bytes, int]] = {}
     least: dict[int, list[int]] = {}
     place = []
@@ -398,12 +467,15 @@ def _output(ids, texts, spans, digest: bool) -> pa.Table:
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False,
-                   shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
+                   shard_bytes: int = SHARD_BYTES, bucket_bytes: int = BUCKET_BYTES, hot_runs: int = HOT_RUNS) -> DataFrame:
     """Per document row: doc_id, n_bytes, spans (removed byte ranges) and kept
     (the remaining bytes, or with ``digest`` their SHA-256 in hex)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     size = total_bytes(rows, "text")
     shards, buckets = max(1, math.ceil(size / shard_bytes)), max(16, math.ceil(size / bucket_bytes))
+    least_parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    by_shard = lambda df: df.repartition(max(least_parts, shards), "shard").groupBy("shard")
+    by_bucket = lambda df, *keys: df.repartition(max(least_parts, buckets), "bucket").sortWithinPartitions("bucket", *keys)
 
     # copies: of equal texts the smallest id goes on
     prints = rows.where(F.col("id").isNotNull() & (F.octet_length("text") >= LENGTH)).select("id", F.sha2("text", 256).alias("h"))
@@ -459,13 +531,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def reply(batches):
         for (bucket,), group in _by(text_slices(batches, "anchors", 16 << 20), ["bucket", "shard", "anchors"], 1):
-            bits = _shared_anchors([g[1] for g in group])
+            bits = _shared_anchors([g[1] for g in group], hot_runs)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([g[0] for g in group], pa.int32()), pa.array([bucket] * len(group), pa.int32()), pa.array(bits, pa.binary())],
                 names=["shard", "bucket", "bits"])
 
-    asked = packed.groupBy("shard").applyInArrow(ask, "shard int, bucket int, anchors binary")
-    shared = materialize(asked.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(reply, "shard int, bucket int, bits binary"))
+    asked = by_shard(packed).applyInArrow(ask, "shard int, bucket int, anchors binary")
+    shared = materialize(by_bucket(asked).mapInArrow(reply, "shard int, bucket int, bits binary"))
 
     out_kind = "kept string" if digest else "kept binary"
     kept_type = pa.string() if digest else pa.binary()
@@ -482,7 +554,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         own = shard_of(ids, texts)
         runs = repeated_runs(own, buckets, dict(zip(bits.column("bucket").to_pylist(), bits.column("bits").to_pylist())))
         strings, bucket, place = shard_strings(own, runs, buckets)
-        touched = np.unique(own.run_doc[runs])
+        touched = np.unique(runs.doc)
         with_id = [t for i, t in zip(ids, texts) if i is not None]
         rest = sorted(set(range(len(own.ids))) - set(touched.tolist()))
         done_ids = [int(own.ids[k]) for k in rest] + [None for i in ids if i is None]
@@ -494,9 +566,9 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             "strings": pa.array([_squeeze(s[1]) for s in strings], pa.binary()), "sizes": pa.array([s[2].tobytes() for s in strings], pa.binary()),
             "least": pa.array([s[3].tobytes() for s in strings], pa.binary())}), plan_arrow))
         if len(touched):
-            doc = np.searchsorted(touched, own.run_doc[runs])
-            at = own.run_at[runs] - own.starts[own.run_doc[runs]]
-            runs_of = np.stack([doc, at, own.run_len[runs], bucket, place]).astype(np.int64)
+            doc = np.searchsorted(touched, runs.doc)
+            at = runs.at - own.starts[runs.doc]
+            runs_of = np.stack([doc, at, runs.length, bucket, place]).astype(np.int64)
             body = b"".join(with_id[k] for k in touched.tolist())
             heads = np.stack([own.ids[touched], own.sizes[touched]]).astype(np.int64)
             tables.append(_fill(pa.table({
@@ -504,7 +576,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 "runs": pa.array([_squeeze(len(touched).to_bytes(8, "little") + runs_of.tobytes())], pa.binary())}), plan_arrow))
         return pa.concat_tables(tables)
 
-    planned = materialize(packed.groupBy("shard").cogroup(shared.groupBy("shard")).applyInArrow(plan, plan_schema))
+    planned = materialize(by_shard(packed).cogroup(by_shard(shared)).applyInArrow(plan, plan_schema))
 
     def merge(batches):
         for (bucket,), group in _by(text_slices(batches, "strings", 16 << 20), ["bucket", "shard", "strings", "sizes", "least"], 1):
@@ -516,7 +588,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                 names=["shard", "bucket", "first", "sizes"])
 
     wanted = planned.where("strings is not null").select("bucket", "shard", "strings", "sizes", "least")
-    answered = materialize(wanted.repartition("bucket").sortWithinPartitions("bucket", "shard").mapInArrow(
+    answered = materialize(by_bucket(wanted, "shard").mapInArrow(
         merge, "shard int, bucket int, first binary, sizes binary"))
 
     def finish(table: pa.Table, found: pa.Table) -> pa.Table:
@@ -549,7 +621,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     schema = f"doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, {out_kind}"
     touched = planned.where("texts is not null").select("shard", "texts", "runs")
-    finished = touched.groupBy("shard").cogroup(answered.groupBy("shard")).applyInArrow(finish, schema)
+    finished = by_shard(touched).cogroup(by_shard(answered)).applyInArrow(finish, schema)
     untouched = planned.where("n_bytes is not null").select("doc_id", "n_bytes", "spans", "kept")
     return untouched.unionByName(finished).unionByName(copied)
 

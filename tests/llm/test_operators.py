@@ -115,6 +115,40 @@ def test_bwt_dedup_odd_rows(spark):
     assert bwt_dedup.remove_repeats(docs.limit(0)).count() == 0
 
 
+def _removed(docs, **how):
+    return {r.doc_id: (r.n_bytes, sum(s.end - s.start for s in r.spans), len(r.spans), r.kept)
+            for r in bwt_dedup.remove_repeats(docs, digest=True, **how).collect()}
+
+
+def test_hot_anchors_lose_no_repeat(spark):
+    """Every shared anchor hot, texts with several occurrences of an anchor too."""
+    texts = _corpus()[:20] + [None, "", "a" * 500, "xy" + "a" * 300, "ab" * 90 + "c", "é" * 60, "\0" * 70 + "q", "\0" * 60, "abc" * 40 + "ab" * 50]
+    docs = _docs(spark, texts)
+    plain = _plain_repeats([(i, (t or "").encode()) for i, t in enumerate(texts)])
+    for hot in (1, 3):
+        assert _removed(docs, shard_bytes=2000, bucket_bytes=500, hot_runs=hot) == plain
+
+
+def test_one_anchor_in_many_contexts(spark):
+    """The buckets stay bounded, and the result is that of brute force."""
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("abcdefghijklmnop", k=n))
+    middle = min((word(20) for _ in range(2000)), key=lambda m: int(bwt_dedup.string_hashes(m.encode()).min()))  # often the anchor
+    texts = [word(40) + middle + word(40) for _ in range(600)]
+    texts += [texts[k][k % 30:90] + word(20) for k in range(0, 600, 7)]  # some do repeat
+    docs = _docs(spark, texts)
+    assert _removed(docs, shard_bytes=4000, bucket_bytes=1000, hot_runs=50) == _plain_repeats([(i, t.encode()) for i, t in enumerate(texts)])
+
+    shard = bwt_dedup.ShardText(list(range(600)), [t.encode() for t in texts[:600]])
+    value = bwt_dedup.string_hashes(middle.encode()).min()
+    runs = np.flatnonzero(np.isin(shard.run_anchor, bwt_dedup.string_hashes(middle.encode())))
+    assert len(runs) >= 300 and value in shard.run_anchor
+    sizes = lambda r: sorted(len(s) for _, s, _, _ in bwt_dedup.shard_strings(shard, r, 64)[0])
+    whole = sizes(bwt_dedup.Runs(shard.run_at[runs], shard.run_len[runs], shard.run_doc[runs], shard.run_anchor[runs]))
+    spread = sizes(bwt_dedup.hot_pieces(shard, runs))
+    assert len(spread) == 64 and spread[-1] < 3 * sum(spread) / 64 and whole[-1] > 2 * spread[-1]
+
+
 def test_bpe_equals_library(spark):
     texts = [*_corpus(), "a<|endoftext|>b 's <|endoftext|>", "日本語 ①Ⅳ٣ é́ 🎉🎉", "\t x  \n\n y ", "ab" * 3000, "1234567890" * 9]
     docs = _docs(spark, texts)
