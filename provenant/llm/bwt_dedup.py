@@ -14,8 +14,8 @@ document of smaller id.  All suffixes of the corpus are never sorted together:
    with very many runs is hot; its windows are dealt by longer strings.
 3. Merging: neighbouring windows of one repeated anchor form a short string.  A
    shard's distinct strings go to the bucket of their anchor, so all
-   occurrences of a window meet in one bucket.  There every shard's strings
-   become a Burrows-Wheeler transform, and the transforms are merged by
+   occurrences of a window meet in one bucket.  There the strings, what shards
+   have alike once, become Burrows-Wheeler transforms, merged by
    iterative interleave refinement: an interleave of shard numbers, refined
    two symbols a round by a stable bucketing along the transforms, is in the
    end ordered by the first ``LENGTH`` symbols.  Where a round parts two
@@ -59,6 +59,8 @@ RUN = 64
 #: dealt by longer strings, common to ``STEP`` neighbouring windows
 HOT_RUNS = 8192
 STEP = 5
+#: strings of about this many bytes make one transform
+TRANSFORM_BYTES = 256 << 10
 BROADCAST_IDS = 1_000_000
 _HASH_BITS = 47
 _PIECE = 1 << 19  # bytes hashed at once
@@ -374,18 +376,38 @@ def _blocks(symbol: np.ndarray, came: np.ndarray, rows: np.ndarray) -> tuple[np.
     return (rows[~alone], block[~alone]) if alone.any() else (rows, block)
 
 
+def distinct_strings(strings: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray]):
+    """The shards' strings, each once: (strings, least documents) and, per
+    shard, the place of each of its own among them."""
+    place: dict[bytes, int] = {}
+    owner = []
+    for blob, size in zip(strings, sizes):
+        end = np.cumsum(size.astype(np.int64))
+        owner.append(np.array([place.setdefault(blob[a:z], len(place)) for a, z in zip((end - size).tolist(), end.tolist())], np.int64))
+    low = np.full(len(place), np.iinfo(np.int64).max)
+    for own, ids in zip(owner, least):  # a shard's strings are distinct
+        low[own] = np.minimum(low[own], ids)
+    return list(place), low, owner
+
+
 def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np.ndarray]) -> list[np.ndarray]:
     """Per shard: for every window of its strings, in order, the smallest
-    document in which the window occurs."""
-    joined = np.frombuffer(b"".join(strings), np.uint8)
+    document in which the window occurs.
+
+    What several shards have alike is one string of the first of them; small
+    shards share a transform, so that their number follows the bytes."""
+    every, low, owner = distinct_strings(strings, sizes, least)
+    lengths = np.array([len(x) for x in every], np.int64)
+    joined = np.frombuffer(b"".join(every), np.uint8)
     used = np.flatnonzero(np.bincount(joined, minlength=256))
     kind = np.uint8 if len(used) < 256 else np.uint16  # 0 ends a string
     code = np.zeros(256, kind)
     code[used] = np.arange(1, len(used) + 1)
     dense = code[joined]
     parts, docs, windows, after, ahead, at = [], [], [], [], [], 0
-    for size, low in zip(sizes, least):
-        size = size.astype(np.int64)
+    chunk = (np.cumsum(lengths) - lengths) // TRANSFORM_BYTES
+    cuts = np.flatnonzero(np.diff(chunk)) + 1
+    for size, ids in zip(np.split(lengths, cuts), np.split(low, cuts)):
         total = int(size.sum())
         symbols = np.zeros(total + len(size), kind)
         last = np.cumsum(size + 1) - 1
@@ -393,10 +415,10 @@ def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np
         body[last] = False
         symbols[body] = dense[at:at + total]
         at += total
-        owner = np.repeat(np.arange(len(size)), size + 1)
-        to_end = last[owner] - np.arange(len(symbols))
+        of = np.repeat(np.arange(len(size)), size + 1)
+        to_end = last[of] - np.arange(len(symbols))
         parts.append(Transform(symbols, to_end))
-        docs.append(low[owner])
+        docs.append(ids[of])
         windows.append(to_end >= LENGTH)
         after.append(np.repeat(size, size + 1) - to_end)  # symbols before each place
         ahead.append(to_end)
@@ -411,8 +433,14 @@ def bucket_answers(strings: list[bytes], sizes: list[np.ndarray], least: list[np
         where = place[rows]
         first = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         answer[where] = np.repeat(np.minimum.reduceat(doc[where], first), np.diff(np.append(first, len(rows))))
-    cuts = np.cumsum([len(w) for w in windows])[:-1]
-    return [a[w] for a, w in zip(np.split(answer, cuts), windows)]
+    answer = answer[np.concatenate(windows)]
+    wide = lengths - LENGTH + 1
+    first = np.cumsum(wide) - wide
+    out = []
+    for own in owner:
+        n = wide[own]
+        out.append(answer[np.repeat(first[own] - np.cumsum(n) + n, n) + np.arange(n.sum())])
+    return out
 
 
 # ---- the job ------------------------------------------------------------------------------
