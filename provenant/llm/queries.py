@@ -80,7 +80,7 @@ def op6_vp_tree(spark, sf_dir):
 @_query
 def op5_quote_links(spark, sf_dir):
     """Every message without quotes, in reply order by its keys."""
-    return chat.link_quotes(table(spark, sf_dir, "conversations"))
+    return chat.link_quotes(table(spark, sf_dir, "conversations"), keep_unlinked=True)
 
 
 @_query

@@ -200,6 +200,22 @@ def test_quotes(spark):
     assert len(got) == len(rows)
 
 
+def test_unlinked_quotes_stay(spark):
+    kept = "Like this:\n>>> 1 + 1\n2\n> a markdown quote\nend\u001e of \u001f1 it"
+    rows = [(1, 0, "u", kept), (1, 1, "a", "X wrote:\n> Like this:\n> never said before\n\nAnswer one, long enough."),
+            (1, 2, "u", "Y wrote:\n> Answer one, long enough.\n> not his words\n\nThanks."), (1, 3, "u", "Z writes:\n> nobody said so\nok"),
+            (1, 4, "a", "before\n> Thanks.\n\nafter"), (1, 4, "a", "> Thanks.\n>> Answer one, long enough.\n>\n> mine"), (2, 0, "u", "> Thanks."),
+            (None, 0, "u", "> q"), (3, None, None, None)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = sorted(((r.conv_id or 0, r.turn or 0, r.parent_turn, r.text) for r in chat.link_quotes(df, keep_unlinked=True).collect()), key=str)
+    assert got == sorted([
+        (1, 0, None, kept), (1, 1, None, "X wrote:\n> Like this:\n> never said before\n\nAnswer one, long enough."),
+        (1, 2, 1, "> not his words\n\nThanks."), (1, 3, None, "Z writes:\n> nobody said so\nok"), (1, 4, 2, "before\n\nafter"),
+        (1, 4, 2, "> mine"), (2, 0, None, "> Thanks."), (0, 0, None, "> q"), (3, 0, None, "")], key=str)
+    assert chat.link_quotes(df.limit(0), keep_unlinked=True).count() == 0
+    assert chat.link_quotes(df.withColumn("linked", df.text).withColumn("depth", df.turn), keep_unlinked=True).count() == len(rows)
+
+
 def _page(k, article):
     return (f"<html><head><title>t{k}</title><style>p{{}}</style></head><body><nav><ul><li><a href=/x>menu {k}</a></ul></nav>"
             f"<div class='ad'>buy {k}</div><article><h1>Title {k}</h1><p>Share this page<p>{article}<br>more &amp; more</article>"
