@@ -106,7 +106,8 @@ def _without_linked(blocks: Column, linked: Column) -> Column:
     hit = lambda t: F.array_contains(linked, F.xxhash64(_normal(content(t))))
     marked = F.transform(blocks, lambda b: F.struct(
         b["kind"].alias("kind"), b["lines"].alias("lines"),
-        F.when(b["kind"] <= 0, F.array().cast("array<string>")).when(F.array_contains(linked, whole(b)), b["lines"]).otherwise(F.filter(b["lines"], hit)).alias("gone")))
+        F.when(b["kind"] <= 0, F.array().cast("array<string>")).when(
+            F.array_contains(linked, whole(b)), F.filter(b["lines"], lambda t: F.trim(t) != "")).otherwise(F.filter(b["lines"], hit)).alias("gone")))
     kept = F.transform(marked, lambda b, i: F.when(b["kind"] < 0, F.when(F.size(F.get(marked, i + 1)["gone"]) > 0, F.array().cast("array<string>")).otherwise(
         b["lines"])).when(F.size(b["gone"]) > 0, F.filter(b["lines"], lambda t: ~F.array_contains(b["gone"], t))).otherwise(b["lines"]))
     return F.flatten(kept)
