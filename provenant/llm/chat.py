@@ -134,7 +134,11 @@ def linked_units(messages: DataFrame) -> DataFrame:
 def quote_links(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, level, source_turn, size, units): which message the
     quotes of each level come from."""
-    return linked_units(messages).groupBy("conv_id", "turn", "level", "source_turn").agg(F.sum("size").alias("size"), F.count("*").alias("units"))
+    return _counted(linked_units(messages))
+
+
+def _counted(linked: DataFrame) -> DataFrame:
+    return linked.groupBy("conv_id", "turn", "level", "source_turn").agg(F.sum("size").alias("size"), F.count("*").alias("units"))
 
 
 def parents(links: DataFrame) -> DataFrame:
@@ -167,9 +171,10 @@ def link_quotes(messages: DataFrame, conv_col: str = "conv_id", turn_col: str =
     quoted lines are left out."""
     rows = messages.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"),
                            F.col(text_col).alias("text"))
-    tree = roots(parents(quote_links(rows)))
+    links = materialize(linked_units(rows))
+    tree = roots(parents(_counted(links)))
     if keep_unlinked:  # a message's linked hashes: no more than it has lines
-        hashes = linked_units(rows).groupBy("conv_id", "turn").agg(F.collect_set("hash").alias("linked"))
+        hashes = links.groupBy("conv_id", "turn").agg(F.collect_set("hash").alias("linked"))
         tree = tree.join(hashes, ["conv_id", "turn"])
     found = parsed(rows).join(tree, ["conv_id", "turn"], "left")
     if keep_unlinked:
