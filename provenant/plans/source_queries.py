@@ -78,11 +78,23 @@ def q_path_list_nul(spark, sf_dir):
 
 
 def _document_files(spark, sf_dir) -> str:
+    """One file per document, ``task=<task>/<folder>/doc_id=<id>.txt``; a
+    doc_id that comes again in a task goes on in its file."""
     out = scratch_dir(spark, "contents")
-    table(spark, sf_dir, "documents").select("doc_id", "text").write.partitionBy("doc_id").text(out)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").sortWithinPartitions("doc_id")
+    name = F.concat(F.lit("doc_id="), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(".txt"))
+    FS.write_files(docs.select(name.alias("name"), "text"), out, "name", "text", spread=True)
     return out
 
 
+_DOC_ID = r"/doc_id=(-?\d+|null)\.txt$"
+
+
+def _doc_id_of(path):
+    found = F.regexp_extract(path, _DOC_ID, 1)
+    return F.when(found != "null", found).cast("bigint").alias("doc_id")
+
+
 _DOC_FILE_SQL = """select doc_id, cast(strlen(text) + 1 as bigint) as length,
   sha256(text || chr(10)) as data_digest from documents"""
 
@@ -94,7 +106,7 @@ def q_content_scan(spark, sf_dir):
     out = _document_files(spark, sf_dir)
     found = FS.scan_contents(spark, out, glob="*.txt")
     return found.select(
-        F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
+        _doc_id_of("path"),
         "length",
         F.sha2("content", 256).alias("data_digest"),
     )
@@ -192,11 +204,10 @@ def q_status_scan(spark, sf_dir):
 
 def _file_digests(spark, sf_dir, algorithm, segment_bytes):
     out = _document_files(spark, sf_dir)
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", "true") \
-        .option("pathGlobFilter", "*.txt").load(out).select("path")
-    got = FD.file_digests(listed, algorithm, segment_bytes)
+    listed = FS.list_files(spark, out, glob="*.txt").where("size > 0")
+    got = FD.file_digests(listed.select("path"), algorithm, segment_bytes)
     return got.select(
-        F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("bigint").alias("doc_id"),
+        _doc_id_of("path"),
         F.col("size").alias("length"),
         "data_digest",
     )

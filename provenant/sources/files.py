@@ -16,10 +16,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from provenant.operators.numbering import number_rows
+from provenant.session import materialize
 from provenant.sources.filesystems import LOCAL, default_root, open_path
 
 #: contents read into one batch
 READ_BYTES = 8 << 20
+#: bytes of files dealt to one task, where there are many
+TASK_BYTES = 128 << 20
+#: files written into one folder
+FOLDER_FILES = 1_000
 WS = r"^\s+|\s+$"
 
 
@@ -41,9 +46,16 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
     are read by their paths (:func:`read_contents`): others are never opened,
     and no bytes are joined.  A missing file fails the job (``strict``) or has
     a null content and ``present = false``.
+
+    A folder is listed by the executors (:func:`list_files`), and its files are
+    dealt to tasks by number and bytes.  Wildcards in ``location`` are left to
+    Spark's own listing.  Files without any byte give no row.
     """
     if asked is not None:
         return read_contents(asked.select("path"), strict=strict, under=location)
+    if recursive and not re.search(r"[*?\[{]", location):
+        files = list_files(spark, location, glob).where("size > 0")
+        return read_contents(dealt(files.select("path", "size"), "size").select("path")).drop("present")
     r = spark.read.format("binaryFile")
     if recursive:
         r = r.option("recursiveFileLookup", "true")
@@ -52,6 +64,179 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
     return r.load(location).select(strip_scheme("path").alias("path"), "length", "content")
 
 
+def _name_pattern(glob: str) -> str:
+    """A regular expression for a file name pattern with ``*``, ``?``,
+    ``[a-z]``, ``{one,other}`` and a backslash before a plain sign."""
+    out, depth = "", 0
+    for token in re.findall(r"\\.|\[[!^]?\]?[^\]]*\]|.", glob, re.DOTALL):
+        if token == "{":
+            out, depth = out + "(?:", depth + 1
+        elif token == "}" and depth:
+            out, depth = out + ")", depth - 1
+        elif token == "," and depth:
+            out += "|"
+        elif len(token) > 1 and token[0] == "[":
+            out += "[" + ("^" + token[2:] if token[1] in "!^" else token[1:])
+        else:
+            out += {"*": ".*", "?": "."}.get(token) or re.escape(token[-1])
+    return out
+
+
+def list_files(spark: SparkSession, location: str, glob: str | None = None) -> DataFrame:
+    """``(path, size)`` of every file at or below ``location`` whose name
+    matches ``glob``, stored once.
+
+    Folders are looked into level by level, those of a level dealt to all
+    tasks: nothing is listed or kept on the driver.  Names that Spark's file
+    sources pass over (``_x`` without ``=``, ``.x``) are passed over here too."""
+    root = default_root(spark)
+    name = re.compile(_name_pattern(glob) if glob else ".*", re.DOTALL)
+    schema = "path string, folder boolean, size bigint"
+
+    def look(batches):
+        import pyarrow as pa
+        import pyarrow.fs as pafs
+
+        def rows(path):
+            fs, local = open_path(path, root)
+            at = fs.get_file_info(local)
+            if at.type == pafs.FileType.NotFound:
+                raise FileNotFoundError(f"missing: {path}")
+            if at.type != pafs.FileType.Directory:
+                yield path, at
+                return
+            for info in fs.get_file_info(pafs.FileSelector(local)):
+                hidden = info.base_name.startswith(".") or info.base_name.startswith("_") and "=" not in info.base_name
+                if not hidden and not info.base_name.endswith("._COPYING_"):
+                    yield f"{path.rstrip('/')}/{info.base_name}", info
+
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                found = [(p, i.type == pafs.FileType.Directory, i.size) for p, i in rows(path)
+                         if i.type == pafs.FileType.Directory or name.fullmatch(i.base_name)]
+                for at in range(0, len(found), 10_000):
+                    cols = zip(*found[at:at + 10_000])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.bool_(), pa.int64()))],
+                                                     names=["path", "folder", "size"])
+
+    if root == LOCAL:
+        location = re.sub(r"^file:(//)?(?=/)", "", location)
+    elif not re.match(r"[A-Za-z][A-Za-z0-9+.-]*:", location):
+        location = root + "/" + location.lstrip("/")
+    level = spark.range(0, 1, 1, 1).select(F.lit(location).alias("path"))
+    found = None
+    while True:
+        listed = materialize(level.mapInArrow(look, schema))
+        own = listed.where("not folder").select("path", "size")
+        found = own if found is None else found.unionByName(own)
+        level = listed.where("folder").select("path")
+        if level.isEmpty():
+            return found
+        level = level.repartition(4 * spark.sparkContext.defaultParallelism)
+
+
+def dealt(files: DataFrame, size_col: str, *by: str) -> DataFrame:
+    """``files`` dealt anew: four tasks a core, more where a task would get
+    more than ``TASK_BYTES``.  (Rows that name files are short; what a task
+    reads is not told by their own bytes.)"""
+    total = files.agg(F.sum(size_col)).first()[0] or 0
+    tasks = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
+    return files.repartition(tasks, *by)
+
+
+def write_files(rows: DataFrame, location: str, name_col: str, line_col: str, spread: bool = False) -> None:
+    """Write the rows as text files below ``location``: the consecutive rows of
+    a task with one name are the lines of one file (a null is an empty line).
+
+    ``name_col`` is the file's path below ``location``; with ``spread`` the
+    files of a task lie in numbered folders, ``task=<task>/<folder>/<name>``, of
+    ``FOLDER_FILES`` files at most.  Executors write the
+    files themselves through ``pyarrow.fs``, and a file appears under its name
+    when it is whole: a task that is run again writes the same files, and the
+    driver neither lists nor moves any."""
+    root = default_root(rows.sparkSession)
+
+    def write(batches):
+        import itertools
+        import uuid
+
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        fs, base = open_path(location.rstrip("/"), root)
+        task = TaskContext.get().partitionId()
+        n, made, now, at, stream, draft = 0, None, None, None, None, None
+
+        def close():
+            if stream is not None:
+                stream.close()
+                fs.move(draft, at)
+
+        for batch in batches:
+            pairs = zip(batch.column(name_col).to_pylist(), batch.column(line_col).to_pylist())
+            for name, group in itertools.groupby(pairs, lambda x: x[0]):
+                if name != now or stream is None:
+                    close()
+                    now, at = name, f"{base}/task={task}/{n // FOLDER_FILES}/{name}" if spread else f"{base}/{name}"
+                    folder = at.rpartition("/")[0]
+                    if folder != made:
+                        fs.create_dir(folder, recursive=True)
+                    made, draft, n = folder, f"{folder}/.{uuid.uuid4().hex}", n + 1
+                    stream = fs.open_output_stream(draft, compression=None)
+                stream.write(b"".join((line or "").encode() + b"\n" for _, line in group))
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    def folder(_):
+        fs, base = open_path(location.rstrip("/"), root)
+        fs.create_dir(base, recursive=True)
+
+    rows.sparkSession.range(0, 1, 1, 1).foreachPartition(folder)
+    rows.select(name_col, line_col).mapInArrow(write, "n bigint").agg(F.sum("n")).first()
+
+
+def read_lines(paths: DataFrame, path_col: str = "path") -> DataFrame:
+    """The columns of ``paths`` with ``value``, a line of the file that
+    ``path_col`` names; lines without any sign are left out.  Files are read in
+    pieces by the task that holds the row."""
+    root = default_root(paths.sparkSession)
+    names = paths.columns
+    schema = T.StructType([*paths.schema.fields, T.StructField("value", T.BinaryType())])
+
+    def read(batches):
+        import pyarrow as pa
+
+        def lines(path):
+            fs, local = open_path(path, root)
+            rest = b""
+            with fs.open_input_stream(local) as f:
+                while piece := f.read(1 << 20):
+                    *whole, rest = (rest + piece).replace(b"\r", b"\n").split(b"\n")
+                    yield whole
+            yield [rest]
+
+        for batch in batches:
+            at, held, size = [], [], 0
+
+            def flush():
+                part = batch.take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([*part.columns, pa.array(held, pa.binary())], names=[*names, "value"])
+
+            for i, path in enumerate(batch.column(path_col).to_pylist()):
+                for whole in lines(path):
+                    some = [line for line in whole if line.strip()]
+                    at += [i] * len(some)
+                    held += some
+                    size += sum(map(len, some))
+                    if size > READ_BYTES:
+                        yield flush()
+                        at, held, size = [], [], 0
+            if held:
+                yield flush()
+
+    return paths.mapInArrow(read, schema).withColumn("value", F.col("value").cast("string"))
+
+
 def read_contents(paths: DataFrame, path_col: str = "path", strict: bool = True, under: str | None = None) -> DataFrame:
     """The columns of ``paths`` with ``length``, ``content``, ``present`` of the
     file that ``path_col`` names, opened by the task that holds the row.
