@@ -48,17 +48,14 @@ def scan_contents(spark: SparkSession, location: str, asked: DataFrame | None =
     a null content and ``present = false``.
 
     A folder is listed by the executors (:func:`list_files`), and its files are
-    dealt to tasks by number and bytes.  Wildcards in ``location`` are left to
-    Spark's own listing.  Files without any byte give no row.
+    dealt to tasks by number and bytes.  Files without any byte give no row.
     """
     if asked is not None:
         return read_contents(asked.select("path"), strict=strict, under=location)
-    if recursive and not re.search(r"[*?\[{]", location):
+    if recursive:
         files = list_files(spark, location, glob).where("size > 0")
         return read_contents(dealt(files.select("path", "size"), "size").select("path")).drop("present")
     r = spark.read.format("binaryFile")
-    if recursive:
-        r = r.option("recursiveFileLookup", "true")
     if glob:
         r = r.option("pathGlobFilter", glob)
     return r.load(location).select(strip_scheme("path").alias("path"), "length", "content")
@@ -88,7 +85,12 @@ def list_files(spark: SparkSession, location: str, glob: str | None = None) -> D
 
     Folders are looked into level by level, those of a level dealt to all
     tasks: nothing is listed or kept on the driver.  Names that Spark's file
-    sources pass over (``_x`` without ``=``, ``.x``) are passed over here too."""
+    sources pass over (``_x`` without ``=``, ``.x``) are passed over here too.
+    Wildcards in ``location`` are left to Spark's own listing."""
+    if re.search(r"[*?\[{]", location):
+        r = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+        r = r.option("pathGlobFilter", glob) if glob else r
+        return materialize(r.load(location).select(strip_scheme("path").alias("path"), F.col("length").alias("size")))
     root = default_root(spark)
     name = re.compile(_name_pattern(glob) if glob else ".*", re.DOTALL)
     schema = "path string, folder boolean, size bigint"
@@ -130,17 +132,18 @@ def list_files(spark: SparkSession, location: str, glob: str | None = None) -> D
         own = listed.where("not folder").select("path", "size")
         found = own if found is None else found.unionByName(own)
         level = listed.where("folder").select("path")
-        if level.isEmpty():
+        n = level.count()
+        if not n:
             return found
-        level = level.repartition(4 * spark.sparkContext.defaultParallelism)
+        level = level.repartition(min(n, 4 * spark.sparkContext.defaultParallelism))
 
 
 def dealt(files: DataFrame, size_col: str, *by: str) -> DataFrame:
-    """``files`` dealt anew: four tasks a core, more where a task would get
-    more than ``TASK_BYTES``.  (Rows that name files are short; what a task
-    reads is not told by their own bytes.)"""
-    total = files.agg(F.sum(size_col)).first()[0] or 0
-    tasks = max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-int(total) // TASK_BYTES))
+    """``files`` dealt anew: four tasks a core, if there are as many rows, and
+    more where a task would get more than ``TASK_BYTES``.  (Rows that name files
+    are short; what a task reads is not told by their own bytes.)"""
+    n, total = files.agg(F.count("*"), F.sum(size_col)).first()
+    tasks = max(1, min(n, 4 * files.sparkSession.sparkContext.defaultParallelism), -(-int(total or 0) // TASK_BYTES))
     return files.repartition(tasks, *by)
 
 

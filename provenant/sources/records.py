@@ -20,12 +20,16 @@ entries of positions ``k * part_entries`` up to the next part::
 
 Parts are written before heads, so a Record whose head is there is whole; a
 scan counts the entries against the head, so a lost or doubled part fails.
+Parts are many small files: tasks write, list and read them (see
+:mod:`provenant.sources.files`), and the driver names none.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
+import re
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,7 +37,8 @@ from provenant import __version__
 from provenant.functions.digests import metadata_digest
 from provenant.functions.paths import join_dir, path_relativize, path_resolve
 from provenant.operators.numbering import number_rows
-from provenant.sources.files import strip_scheme
+from provenant.session import materialize
+from provenant.sources.files import dealt, list_files, read_contents, read_lines, write_files
 
 RECORD_SCHEMA = (
     "metadata struct<record_format:bigint, generated_by:string, library_version:string, "
@@ -41,6 +46,7 @@ RECORD_SCHEMA = (
     "record_entries array<struct<file:string, data_digest:string>>, digest string, "
     "n_entries bigint, part_entries bigint"
 )
+_UNSAFE = re.compile("[\x00-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
 PART_SCHEMA = "entry_pos bigint, file string, data_digest string"
 RECORD_FORMAT = 1
 HEX64 = r"^[0-9a-fA-F]{64}$"
@@ -63,24 +69,33 @@ def scan_records(spark: SparkSession, location: str, strict: bool = True) -> dic
     entries; ``strict`` fails the job, otherwise the column ``digest_ok`` tells.
     ``strict`` also counts the entries of Records kept in parts.
     """
-    path = F.col("_metadata.file_path")
-    is_part = path.rlike(_PART_FILE)  # on the file's name: prunes the listing
+    files = list_files(spark, location).where("size > 0")
+    is_part = F.col("path").rlike(_PART_FILE)
+    docs = read_contents(dealt(files.where(~is_part), "size").select("path"))
+    text = F.col("content").cast("string")
+    # a document may be an array of Records
+    many = F.from_json(text, f"array<struct<{RECORD_SCHEMA}>>")
+    raw = docs.select("path", F.explode(F.when(text.rlike(r"^\s*\["), many).otherwise(F.array(F.from_json(text, RECORD_SCHEMA)))).alias("r"))
     raw = (
-        spark.read.schema(RECORD_SCHEMA)
-        .option("multiLine", "true")
-        .option("recursiveFileLookup", "true")
-        .json(location)
-        .where(~is_part)
-        .withColumn("record_path", strip_scheme(path))
+        raw.select("path", "r.*")
+        .withColumnRenamed("path", "record_path")
         .withColumn("record_dir", F.regexp_replace("record_path", r"/[^/]*$", ""))
         .withColumn("record_path", F.when(F.col("part_entries").isNull(), F.col("record_path")).otherwise(F.col("record_dir")))
     )
-    parts = spark.read.schema(PART_SCHEMA).option("recursiveFileLookup", "true").json(location).where(is_part).withColumn(
-        "record_dir", F.regexp_replace(strip_scheme(path), _PART_FILE, ""))
-    lines = parts.select(F.col("record_dir").alias("record_path"), "record_dir", "entry_pos", F.struct("file", "data_digest").alias("e"))
+    raw = materialize(raw)  # each document is read once
+    parts = files.where(is_part)
+    lines = None
+    if not parts.isEmpty():
+        parts = dealt(parts, "size").select("path", F.regexp_replace("path", _PART_FILE, "").alias("record_path"))
+        read = read_lines(parts).select("record_path", F.from_json("value", PART_SCHEMA).alias("p"))
+        lines = materialize(read.select("record_path", F.col("record_path").alias("record_dir"), "p.entry_pos",
+                                        F.struct("p.file", "p.data_digest").alias("e")))
     inline = raw.where("part_entries is null").select(
         "record_path", "record_dir", F.posexplode("record_entries").alias("entry_pos", "e"))
-    ent = inline.withColumn("entry_pos", F.col("entry_pos").cast("bigint")).unionByName(lines)
+    ent = inline.withColumn("entry_pos", F.col("entry_pos").cast("bigint"))
+    if lines is None:
+        lines = ent.limit(0)
+    ent = ent.unionByName(lines)
 
     ok = F.coalesce(F.col("e.data_digest").rlike(HEX64), F.lit(False))
     digest = F.lower(F.col("e.data_digest"))
@@ -191,11 +206,15 @@ def write_records(entries: DataFrame, records: DataFrame, out_dir: str, generate
             return
         big = F.broadcast(large)
         own = _dense_positions(entries.join(big, "record_id", "left_semi"))
+        part = F.floor(F.col("entry_pos") / part_entries)
         lines = _rebased(own, out_dir).select(
-            "record_id", F.floor(F.col("entry_pos") / part_entries).alias("part"), "entry_pos",
+            "record_id", part.alias("part"), "entry_pos",
             F.to_json(F.struct("entry_pos", "file", "data_digest")).alias("value"))
-        lines.repartition("record_id", "part").sortWithinPartitions("record_id", "part", "entry_pos").select(
-            "record_id", "part", "value").write.mode("overwrite").partitionBy("record_id", "part").text(out_dir)
+        # Spark clears the folder; the tasks that hold the parts write them
+        entries.sparkSession.createDataFrame([], "value string").write.mode("overwrite").text(out_dir)
+        lines = lines.repartition("record_id", "part").sortWithinPartitions("record_id", "part", "entry_pos")
+        name = F.concat(F.lit("record_id="), _folder_name("record_id"), F.lit("/part="), F.col("part"), F.lit("/part-00000.txt"))
+        write_files(lines.select(name.alias("name"), "value"), out_dir, "name", "value")
         docs = record_documents(entries.join(big, "record_id", "left_anti"), records, out_dir, **about)
         docs.write.mode("append").partitionBy("record_id").json(out_dir)
         heads = records.join(big, "record_id", "left_semi").select(
@@ -205,6 +224,15 @@ def write_records(entries: DataFrame, records: DataFrame, out_dir: str, generate
         large.unpersist(blocking=False)
 
 
+def _folder_name(column: str):
+    """A value as the folder name that ``partitionBy`` gives it."""
+
+    def escape(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: _UNSAFE.sub(lambda m: f"%{ord(m[0]):02X}", v) if v else "__HIVE_DEFAULT_PARTITION__")
+
+    return F.pandas_udf(escape, "string")(column)
+
+
 def _dense_positions(entries: DataFrame) -> DataFrame:
     """Positions 0, 1, ... in each Record, as a document's order gives them."""
     ends = entries.groupBy("record_id").agg(F.count("*").alias("c"), F.min("entry_pos").alias("low"), F.max("entry_pos").alias("high"),

@@ -60,3 +60,22 @@ def test_segments_of_small_files_are_compressed_together(monkeypatch):
     got = FD._segment_nodes([(d, 0, True) for d in data])
     assert len(passes) <= 20
     assert got == B3.blake3_hex(data)
+
+
+def test_parts_are_named_by_no_driver(spark, tmp_path):
+    """Many parts of Records with odd names; a folder pattern; documents in an array."""
+    e = spark.range(60).select(F.concat(F.lit("a:b c%"), F.col("id") % 2).alias("record_id"), F.floor(F.col("id") / 2).alias("entry_pos"),
+                               F.concat(F.lit("/data/"), "id").alias("file"), F.sha2(F.col("id").cast("string"), 256).alias("data_digest"))
+    records = e.groupBy("record_id").agg(F.count("*").alias("n_entries"), F.lit("0" * 64).alias("digest"))
+    out = str(tmp_path / "out")
+    RS.write_records(e, records, out, inline_entries=5, part_entries=4, generated_at_utc="t")
+    names = os.listdir(f"{out}/record_id=a%3Ab c%251")
+    assert sorted(x for x in names if "=" in x) == [f"part={k}" for k in range(8)]
+    for at in (out, f"{out}/record_id=*"):
+        back = RS.scan_records(spark, at)
+        assert "FileScan json" not in back["entries"]._jdf.queryExecution().executedPlan().toString()
+        rows = back["entries"].join(back["records"].select("record_path", "n_entries"), "record_path").collect()
+        assert sorted((r.entry_pos, r.full_path, r.n_entries) for r in rows) == sorted((i // 2, f"/data/{i}", 30) for i in range(60))
+    one = '{"record_entries": [{"file": "x", "data_digest": "%s"}], "digest": "%s"}' % ("1" * 64, "2" * 64)
+    (tmp_path / "two.json").write_text(f"[{one},\n{one}]")
+    assert RS.scan_records(spark, str(tmp_path / "two.json"))["records"].count() == 2
