@@ -8,7 +8,7 @@ from provenant.plans.registry import register
 from provenant.plans.source_queries import scratch_dir
 from provenant.plans.study_fixtures import transition_log
 from provenant.plans.study_sql import TRANSITIONS_SQL
-from provenant.streaming.status_monitor import transition_verdicts
+from provenant.streaming.status_monitor import bucket_count, transition_verdicts
 
 N_SLICES = 4
 
@@ -17,7 +17,7 @@ N_SLICES = 4
 def q_check_transitions_stream(spark, sf_dir):
     """#73 incrementally: the ``events`` status log arrives as time slices
     (one file each, oldest first), a stream judges each change against the
-    state kept per user, results land in a parquet sink that is read back."""
+    state kept for each user, results land in a parquet sink that is read back."""
     log = transition_log(spark, sf_dir)
     src = scratch_dir(spark, "status-log")
     us = log.select(F.unix_micros(F.col("ts").cast("timestamp")).alias("u"))
@@ -46,10 +46,12 @@ def q_check_transitions_stream(spark, sf_dir):
         parallelism = spark.sparkContext.defaultParallelism
     except Exception:  # Spark Connect: keep the session's setting
         parallelism = int(before)
+    users = log.select(F.approx_count_distinct("user_id")).first()[0]
     spark.conf.set(key, str(max(1, parallelism)))
     try:
         q = (
-            transition_verdicts(stream, unit="user_id", ts="ts", tie="event_id", status="status")
+            transition_verdicts(stream, unit="user_id", ts="ts", tie="event_id", status="status",
+                                buckets=bucket_count(users, parallelism))
             .writeStream.format("parquet")
             .option("checkpointLocation", out + "-checkpoint")
             .outputMode("append")
