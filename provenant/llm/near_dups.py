@@ -13,11 +13,12 @@
    now one component need no more work.  In the others only pairs *between*
    components are open.  They are compared in bounded blocks, without listing
    pairs: first by a byte of each minimum, which leaves the rows that have a
-   possible partner at all, then on the full sets of these rows.  The links
+   possible partner at all, then by 16 bits of each element, which bound from
+   above what two sets share, then on the full sets of the rows left.  The links
    found are joined to the components in a second, smaller run.
 
 Full sets are the wide rows here: they meet others by sort-merge joins at every
-size, and only rows that passed a narrow test carry them.
+size, and only sets of rows that passed the narrow tests are shuffled.
 
 All thresholds are integer comparisons on full sets, so links are exact; the
 only approximation is ``MISS``.
@@ -156,8 +157,8 @@ def _band_table(rows: DataFrame, k: int, model: MinHash) -> DataFrame:
 
 
 def _set_table(rows: DataFrame, k: int, model: MinHash) -> DataFrame:
-    """id, n, low (a byte of each minimum), elements (sorted 64-bit values) of
-    candidate texts."""
+    """id, n, low (a byte of each minimum), short (16 bits of each element,
+    sorted), elements (sorted 64-bit values) of candidate texts."""
 
     def run(batches):
         for batch in text_slices(batches, "text"):
@@ -165,28 +166,60 @@ def _set_table(rows: DataFrame, k: int, model: MinHash) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()),
                  pa.array([model.signature(s).astype(np.uint8).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "low", "elements"])
+                 pa.array([np.sort(s.astype(np.uint16)).tobytes() for s in sets], pa.binary()),
+                 pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "low", "short", "elements"])
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, n long, low binary, elements binary")
+    return rows.mapInArrow(run, f"id {kind}, n long, low binary, short binary, elements binary")
+
+
+def pieces(short: bytes) -> np.ndarray:
+    """Sorted 16-bit pieces as distinct values, each with its number among its
+    equals.  Two sets share no more elements than these values, so that sets
+    that are ``similar`` have ``similar`` pieces."""
+    v = np.frombuffer(short, np.uint16).astype(np.uint64)
+    first = np.flatnonzero(np.append(True, v[1:] != v[:-1])) if len(v) else np.zeros(0, np.int64)
+    count = np.diff(np.append(first, len(v)))
+    return v << np.uint64(32) | (np.arange(len(v)) - np.repeat(first, count)).astype(np.uint64)
+
+
+def _one_each(sets: DataFrame) -> DataFrame:
+    """One of the sets of each id; those of ids with one set are not shuffled."""
+    again = materialize(sets.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    if not again.limit(1).count():
+        return sets
+    return materialize(sets.join(again, "id", "left_anti").unionByName(
+        sets.join(again, "id", "left_semi").dropDuplicates(["id"])))
+
+
+def _only(sets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The sets of these ids; few ids go to the sets, the other sets stay."""
+    ids = ids.distinct()
+    few = ids.count() <= BROADCAST_IDS
+    return sets.join(F.broadcast(ids) if few else ids, "id", "left_semi")
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, model: MinHash, percent: int) -> DataFrame:
-    """The pairs (a, b) that are links: by signature, then on full sets."""
-    one = sets.select(F.col("id").alias("a"), F.col("low").alias("low_a"), F.col("elements").alias("set_a"))
-    two = sets.select(F.col("id").alias("b"), F.col("low").alias("low_b"), F.col("elements").alias("set_b"))
-    both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "low_a", "set_a", "low_b", "set_b")
+    """The pairs (a, b) that are links: by signature, then on the full sets of
+    the pairs that remain."""
+    schema = T.StructType([T.StructField(c, pairs.schema[c].dataType) for c in ("a", "b")])
 
-    def run(batches):
-        for batch in text_slices(batches, "set_a"):
-            cols = [batch.column(c).to_pylist() for c in ("low_a", "set_a", "low_b", "set_b")]
-            ok = []
-            for sa, ea, sb, eb in zip(*cols):
-                near = np.count_nonzero(np.frombuffer(sa, np.uint8) == np.frombuffer(sb, np.uint8)) >= model.least
-                ok.append(near and similar(np.frombuffer(ea, np.uint64), np.frombuffer(eb, np.uint64), percent))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+    def passed(pairs, sets, column, kind, test):
+        one = sets.select(F.col("id").alias("a"), F.col(column).alias("of_a"))
+        two = sets.select(F.col("id").alias("b"), F.col(column).alias("of_b"))
+        both = pairs.join(one.hint("merge"), "a").join(two.hint("merge"), "b").select("a", "b", "of_a", "of_b")
+
+        def run(batches):
+            for batch in text_slices(batches, "of_a"):
+                cols = [batch.column(c).to_pylist() for c in ("of_a", "of_b")]
+                ok = [bool(test(np.frombuffer(x, kind), np.frombuffer(y, kind))) for x, y in zip(*cols)]
+                yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    return both.mapInArrow(run, T.StructType([T.StructField(c, both.schema[c].dataType) for c in ("a", "b")]))
+        return both.mapInArrow(run, schema)
+
+    near = materialize(passed(pairs, sets, "low", np.uint8, lambda x, y: np.count_nonzero(x == y) >= model.least))
+    ends = near.select(F.col("a").alias("id")).unionByName(near.select(F.col("b").alias("id")))
+    return passed(near, _only(sets, ends), "elements", np.uint64, lambda x, y: similar(x, y, percent))
 
 
 def _open_blocks(members: DataFrame) -> DataFrame:
@@ -279,6 +312,16 @@ def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent:
             keep[i] |= len(found) > 0
         return [(block[i], band[i], id_[i], comp[i], left[i], right[i]) for i in np.flatnonzero(keep).tolist()]
 
+    def likely(block, band, id_, comp, left, right, n, low, short):
+        right_, codes, sizes, low_ = arrays(comp, right, n, low)
+        sets_ = [pieces(s) for s in short]
+        keep = np.zeros(len(id_), bool)
+        for i in np.flatnonzero(left).tolist():
+            for j in partners(i, band[0], right_, codes, sizes, low_).tolist():
+                if not (keep[i] and keep[j]) and similar(sets_[i], sets_[j], percent):
+                    keep[i] = keep[j] = True
+        return [(block[i], band[i], id_[i], comp[i], left[i], right[i]) for i in np.flatnonzero(keep).tolist()]
+
     def links(block, band, comp, left, right, n, low, elements):
         parent: dict = {}
 
@@ -298,9 +341,14 @@ def _compare_blocks(blocks: DataFrame, sets: DataFrame, model: MinHash, percent:
                     found.append((comp[i], comp[j]))
         return found
 
-    narrow = blocks.join(sets.select("id", "n", "low").hint("merge"), "id").select("block", "band", "id", "comp", "left", "right", "n", "low")
-    some = materialize(_by_block(narrow, possible, blocks.select("block", "band", "id", "comp", "left", "right").schema))
-    wide = some.join(sets.hint("merge"), "id").select("block", "band", "comp", "left", "right", "n", "low", "elements")
+    row = ["block", "band", "id", "comp", "left", "right"]
+    kind = blocks.select(row).schema
+    narrow = blocks.join(sets.select("id", "n", "low").hint("merge"), "id").select(*row, "n", "low")
+    some = materialize(_by_block(narrow, possible, kind))
+    short = some.join(sets.select("id", "n", "low", "short").hint("merge"), "id").select(*row, "n", "low", "short")
+    some = materialize(_by_block(short, likely, kind))
+    wide = some.join(_only(sets, some.select("id")).hint("merge"), "id").select(
+        "block", "band", "comp", "left", "right", "n", "low", "elements")
     kind = blocks.schema["comp"].dataType
     return _by_block(wide, links, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
@@ -321,7 +369,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, id_col: str
     few = wanted.count() <= BROADCAST_IDS
     wanted = wanted.withColumnRenamed("id", "doc_id")
     texts = rows.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    sets = materialize(_set_table(texts, k, model).dropDuplicates(["id"]))
+    sets = _one_each(materialize(_set_table(texts, k, model)))
 
     # first run: each member and the bucket minimum it meets most often
     tried = members.where("id != pivot").groupBy("id", "pivot").agg(F.count("*").alias("c")).groupBy("id").agg(
@@ -356,10 +404,13 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col:
     its columns; rows that repeat a doc_id count as one document, of which the
     row with the smallest text stays; rows without a doc_id stay."""
     found = near_duplicates(docs, k, percent, id_col, text_col)
-    kept = found.where(F.col("kept") & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(F.count("*").alias("n"))
-    kept = materialize(kept)
+    kept = materialize(found.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias(id_col)).agg(
+        F.count_if("kept").alias("n")))
+    # the ids to drop are few beside those kept: texts stay where they are
+    gone = kept.where("n = 0").select(id_col)
+    few = gone.count() <= BROADCAST_IDS
     repeats = kept.where("n > 1").limit(1).count() > 0
-    chosen = docs.join(kept.select(id_col), id_col, "left_semi")
+    chosen = docs.where(F.col(id_col).isNotNull()).join(F.broadcast(gone) if few else gone, id_col, "left_anti")
     if repeats:
         again = kept.where("n > 1").select(id_col)
         twice = chosen.join(again, id_col, "left_semi")

@@ -362,3 +362,33 @@ def test_one_row_of_a_repeated_id_stays(spark):
     rows = near_dups.drop_near_duplicates(docs).collect()
     assert [(r.doc_id, r.text) for r in rows] == [(1, min(words, "a text of its own here"))]
     assert rows[0].n == "x"
+
+
+def test_pieces_bound_what_sets_share():
+    rng = np.random.default_rng(3)
+    for n in (1, 7, 400, 5000):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64))
+        a, b = (np.sort(rng.choice(pool, n, replace=False)) for _ in range(2))
+        pa_, pb = (near_dups.pieces(np.sort(s.astype(np.uint16)).tobytes()) for s in (a, b))
+        assert len(np.unique(pa_)) == len(a) and (np.diff(pa_.astype(object)) > 0).all()
+        assert len(np.intersect1d(pa_, pb)) >= len(np.intersect1d(a, b))
+        assert near_dups.similar(pa_, near_dups.pieces(np.sort(a.astype(np.uint16)).tobytes()), 100)
+    assert not len(near_dups.pieces(b""))
+
+
+def test_near_copies_go_without_a_shuffle_of_texts(spark):
+    """Few ids are dropped: the texts meet them where they lie, whatever the
+    threshold of automatic broadcasts; a doc_id with two texts stays once."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(30)]
+    texts += [t + " more" for t in texts[:10]] + [texts[6], None, "a b c"]
+    ids = [*range(30), *range(100, 110), 5, 200, None]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = near_dups.drop_near_duplicates(_docs(spark, texts, ids))
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        got = sorted(r.doc_id for r in left.where("doc_id is not null").collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in plan
+    assert got == [i for i in range(30) if i != 6] + [200]
